@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from lectern.llm.mixing import OP10_SQL, op10_mixing
 from lectern.llm.quality_rules import OP2_SQL, op2_quality_rules
+from lectern.llm.secret_scans import OP8_SQL, op8_secret_scans
+from lectern.llm.url_filters import OP5_SQL, op5_url_filters
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op5_url_filters": op5_url_filters,
+    "op8_secret_scans": op8_secret_scans,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL = {
+ORACLE_SQL = {k: v for k, v in {
     "op2_quality_rules": OP2_SQL,
-}
+    "op5_url_filters": OP5_SQL,
+    "op8_secret_scans": OP8_SQL,
+    "op10_mixing": OP10_SQL,
+}.items() if v}
