@@ -17,8 +17,9 @@ _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = True
 _IS_WORD[128:] = True
-#: 1 and up for bytes of words, lower-cased; 0 for others.
-_VALUE = np.where(_IS_WORD, _LOWER.astype(np.uint64) + np.uint64(1), np.uint64(0))
+#: For words between white space, marks and all.
+BETWEEN_BLANKS = np.ones(256, bool)
+BETWEEN_BLANKS[[32, 9, 10, 11, 12, 13]] = False
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
@@ -51,10 +52,10 @@ class Words:
 
     __slots__ = ("data", "doc", "end", "first", "hash", "start")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        """data: bytes; text i is data[offsets[i]:offsets[i + 1]]."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _IS_WORD):
+        """data: bytes; text i is data[offsets[i]:offsets[i + 1]]. is_word: of each byte, whether it is part of words."""
         self.data = data
-        mask = _IS_WORD[data]
+        mask = is_word[data]
         n = len(data)
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True  # no word goes over the end of a text
@@ -68,7 +69,8 @@ class Words:
         self.end = np.flatnonzero(ends) + 1
         powers, inverse = _tables(n)
         if len(self.start):
-            summed = np.add.reduceat(_VALUE[data] * powers[:n], self.start)
+            value = np.where(is_word, _LOWER.astype(np.uint64) + np.uint64(1), np.uint64(0))
+            summed = np.add.reduceat(value[data] * powers[:n], self.start)
             self.hash = mix(summed * inverse[self.start])
         else:
             self.hash = np.zeros(0, np.uint64)
@@ -92,7 +94,7 @@ class Words:
         return mix(out), self.doc[:n] == self.doc[k - 1 : k - 1 + n]
 
 
-def chunks(column: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int, Words]]:
+def chunks(column: pa.Array, most_bytes: int = 2_000_000, is_word: np.ndarray = _IS_WORD) -> Iterator[tuple[int, int, Words]]:
     """The texts of an Arrow string column, some at a time: from, to, their words. Null texts are empty.
 
     A text is never divided; one larger than most_bytes comes alone.
@@ -108,7 +110,7 @@ def chunks(column: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int,
     at = 0
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
-        yield at, end, Words(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+        yield at, end, Words(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], is_word)
         at = end
 
 
