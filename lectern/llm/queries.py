@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from lectern.llm.decontamination import op7_decontamination
 from lectern.llm.html_extraction import op1_html_extraction
+from lectern.llm.lm_scoring import op6_lm_scoring
 from lectern.llm.mixing import OP10_SQL, op10_mixing
 from lectern.llm.near_dedup import op3_near_dedup
 from lectern.llm.pii import op4_pii
+from lectern.llm.quality_classifier import op9_quality_classifier
 from lectern.llm.quality_rules import OP2_SQL, op2_quality_rules
 from lectern.llm.secret_scans import OP8_SQL, op8_secret_scans
 from lectern.llm.url_filters import OP5_SQL, op5_url_filters
@@ -17,8 +19,10 @@ QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op4_pii": op4_pii,
     "op5_url_filters": op5_url_filters,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_decontamination": op7_decontamination,
     "op8_secret_scans": op8_secret_scans,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_mixing": op10_mixing,
 }
 
