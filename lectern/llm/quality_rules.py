@@ -102,6 +102,8 @@ def quality_rules(docs: DataFrame, p: QualityRules = QualityRules(), text: str =
         F.array_join(F.transform(F.filter("_judged", lambda x: x["fault"].isNull()), lambda x: x["line"]), "\n").alias("cleaned_text"),
     )
     kept = ~F.col("base_failed") & (F.col("lost_chars") <= F.col("total_chars") * p.max_lost_share)
+    # A filter on a result must not be moved below: its copy of an array would be made anew for each element.
+    kept = kept & (F.monotonically_increasing_id() >= 0)
     return df.select("_row.*", *[F.col(c) for c in new[:-1]], kept.alias("kept"))
 
 
