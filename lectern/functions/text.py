@@ -59,12 +59,12 @@ def keywords(c: Column, most: int = 8) -> Column:
     """Quoted phrases, then Latin words of three letters or more; each once, in order."""
     quoted = F.regexp_extract_all(c, F.lit("[\"“”]([^\"“”]{2,40})[\"“”]"), F.lit(1))
     words = F.regexp_extract_all(c, F.lit("[A-Za-z][A-Za-z0-9-]{2,}"), F.lit(0))
-    return F.slice(F.array_distinct(F.concat(F.transform(quoted, F.trim), words)), 1, most)
+    return F.slice(F.array_distinct(F.concat(F.transform(quoted, lambda q: F.trim(q)), words)), 1, most)
 
 
 def intent(c: Column, title_hit: Column | None = None) -> Column:
     """exact for a quoted phrase, capitals, a dotted number, a number with a unit, or a title that is named."""
-    exact = c.rlike("[\"“”][^\"“”]{2,}[\"“”]") | c.rlike("\\b[A-Z]{2,}\\b") | c.rlike("\\d+(\\.\\d+)+") | c.rlike("\\b\\d+[kKmM]?[VAWHz]\\b")
+    exact = c.rlike("[\"“”][^\"“”]{2,}[\"“”]") | c.rlike("(?<!\\w)[A-Z]{2,}(?!\\w)") | c.rlike("\\d+(\\.\\d+)+") | c.rlike("(?<!\\w)\\d+[kKmM]?[VAWHz](?!\\w)")
     if title_hit is not None:
         exact = exact | title_hit
     return F.when(exact, F.lit("exact")).otherwise(F.lit("semantic"))

@@ -253,10 +253,10 @@ def chunk_documents(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", "text").groupBy("doc_id").applyInPandas(one, f"doc_id {kind}, {CHUNKS}")
 
 
-def without_back_matter(pages: DataFrame) -> DataFrame:
+def without_back_matter(pages: DataFrame, heading: str = BACK_LINE) -> DataFrame:
     """pages (doc_id, page, text) cut at the first short line that is a back-matter heading; later pages are blank."""
     lines = pages.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    first = lines.where((F.length("s") <= 48) & F.col("s").rlike(BACK_LINE)).groupBy("doc_id").agg(F.min(F.struct("page", "line")).alias("cut"))
+    first = lines.where((F.length("s") <= 48) & F.col("s").rlike(heading)).groupBy("doc_id").agg(F.min(F.struct("page", "line")).alias("cut"))
     joined = pages.join(first, "doc_id", "left")
     cut = F.array_join(F.slice(F.split("text", "\n"), 1, F.col("cut.line")), "\n")
     text = F.when(F.col("cut").isNull() | (F.col("page") < F.col("cut.page")), F.col("text")).when(F.col("page") == F.col("cut.page"), cut).otherwise("")
