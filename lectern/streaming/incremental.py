@@ -50,5 +50,5 @@ def first_in_lifetime(events: DataFrame, key: str, at: str, days: int = 7) -> Da
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """An extension: events by window and type; what is later than the watermark is left out."""
-    counted = events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    counted = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return counted.select(F.col("window.start").alias("start"), "event_type", "n", "total")
