@@ -112,4 +112,37 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-OP10_SQL = None
+def _sql(p: MixRules) -> str:
+    """The same rounds and sums in SQL."""
+
+    def rounds(name: str, fits: str) -> str:
+        out = f"{name}0 AS (SELECT 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi)"
+        for i in range(1, ROUNDS + 1):
+            out += f""",
+{name}{i} AS (SELECT CASE WHEN found IS NULL THEN lo ELSE least(found, hi) END AS lo, CASE WHEN found IS NULL THEN lo WHEN found >= hi THEN hi ELSE above END AS hi FROM (
+  SELECT any_value(lo) AS lo, any_value(hi) AS hi, max(a) FILTER (WHERE {fits}) AS found FROM (
+    SELECT g.a, any_value(g.lo) AS lo, any_value(g.hi) AS hi, sum(pow(share, g.a)) AS z, sum(pow(share, g.a) * ln(share)) AS l, max(pow(share, g.a) / tokens) AS m
+    FROM (SELECT lo, hi, lo + (hi - lo) * i / {GRID} AS a FROM {name}{i - 1}, range({GRID + 1}) AS t(i)) g, sh GROUP BY g.a)),
+  LATERAL (SELECT min(lo + (hi - lo) * i / {GRID}) AS above FROM range({GRID + 1}) AS t(i) WHERE lo + (hi - lo) * i / {GRID} > found))"""
+        return out
+
+    budget = "total" if p.budget is None else str(p.budget)
+    return f"""
+WITH d AS (SELECT doc_id AS id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT AS n FROM documents),
+w AS (SELECT * FROM d WHERE n > 0), t AS (SELECT sum(n)::BIGINT AS total, count(DISTINCT coalesce(source, chr(1))) AS k FROM w),
+sh AS (SELECT source, tokens, tokens / total::DOUBLE AS share, total, k FROM (SELECT source, sum(n)::BIGINT AS tokens FROM w GROUP BY 1), t),
+{rounds("e", f"ln(z) - a * l / z >= {p.target_entropy} * ln((SELECT k FROM t))")},
+{rounds("r", f"(SELECT {budget} FROM t) * m / z > {p.max_repeats}")},
+al AS (SELECT greatest((SELECT lo FROM e{ROUNDS}), (SELECT hi FROM r{ROUNDS})) AS alpha),
+q AS (SELECT source, tokens, floor(pow(share, alpha) / sum(pow(share, alpha)) OVER () * ({budget})::DOUBLE + 1e-6)::BIGINT AS quota FROM sh, al),
+s AS (SELECT source, quota // tokens AS whole, quota % tokens AS rest, ceil(tokens / {p.block_tokens}.0)::BIGINT AS blocks FROM q),
+p AS (SELECT w.id, w.source, n, whole, rest, ('0x' || substr(md5('{p.seed}:b:' || w.id), 1, 8))::BIGINT % blocks AS block, unnest(range(0, whole + 1)) AS epoch FROM w JOIN s ON w.source IS NOT DISTINCT FROM s.source),
+b AS (SELECT source, epoch, block, sum(n) AS size FROM p GROUP BY ALL),
+o AS (SELECT *, sum(size) OVER x - size AS before, row_number() OVER x AS block_rank FROM b WINDOW x AS (PARTITION BY source, epoch ORDER BY md5('{p.seed}:o:' || epoch || ':' || block || ':' || coalesce(source, '')), block)),
+u AS (SELECT p.*, before, block_rank, row_number() OVER y AS rank, sum(n) OVER (y ROWS UNBOUNDED PRECEDING) AS upto FROM p JOIN o ON p.source IS NOT DISTINCT FROM o.source AND p.epoch = o.epoch AND p.block = o.block
+  WINDOW y AS (PARTITION BY p.source, p.epoch, p.block ORDER BY md5('{p.seed}:d:' || p.epoch || ':' || p.id), p.id, n))
+SELECT id AS doc_id, source, n AS n_tokens, epoch, block, block_rank, rank FROM u WHERE epoch < whole OR before + upto <= rest
+"""
+
+
+OP10_SQL = _sql(MixRules())

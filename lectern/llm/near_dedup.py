@@ -35,7 +35,7 @@ class NearRules:
     bands: int = 32
     rows: int = 6
     #: Up to so many nodes left in a bucket are compared in pairs; of more, so many are leaders in each later round.
-    rest: int = 256
+    rest: int = 512
     leaders: int = 32
 
 
@@ -125,6 +125,7 @@ def near_links(nodes: DataFrame, texts_of, p: NearRules) -> DataFrame:
         crossed = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         # Nodes linked to no leader go on, where they are of several components.
         left = seen.groupBy("bucket", "node", "comp").agg(F.min("far").alias("far")).where(F.col("far") > limit)
+        left = left.join(seen.select("bucket", F.col("leader").alias("node")).distinct(), ["bucket", "node"], "left_anti")  # those are done
         open_ = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 1 AND lo <> hi")
         left = materialise(left.join(open_.select("bucket", "n"), "bucket").select("bucket", "node", "comp", "n"))
         small = left.where(F.col("n") <= p.rest)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm.decontamination import op7_decontamination
+from lectern.llm.decontamination import OP7_SQL, op7_decontamination
 from lectern.llm.html_extraction import op1_html_extraction
 from lectern.llm.lm_scoring import op6_lm_scoring
 from lectern.llm.mixing import OP10_SQL, op10_mixing
@@ -29,6 +29,7 @@ QUERIES = {
 ORACLE_SQL = {k: v for k, v in {
     "op2_quality_rules": OP2_SQL,
     "op5_url_filters": OP5_SQL,
+    "op7_decontamination": OP7_SQL,
     "op8_secret_scans": OP8_SQL,
     "op10_mixing": OP10_SQL,
 }.items() if v}

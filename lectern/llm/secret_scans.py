@@ -135,4 +135,51 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(count, STRONG), F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("all_spans")).alias("spans"))
 
 
-OP8_SQL = None
+def _sql_spans(kind: int, pattern: str, least: int) -> str:
+    pattern = pattern.replace("'", "''")
+    mark = f"regexp_replace(t, '{pattern}', chr(1) || '\\1' || chr(2) || '\\2' || chr(1), 'g')"
+    return f"""SELECT rid, {kind} AS kind, list_sum(list_transform(p[1:i - 1], lambda x: length(x) - contains(x, chr(2))::INTEGER))::BIGINT AS a, length(p[i]) - 1 AS n
+      FROM (SELECT rid, p, unnest(range(2, len(p), 2)) AS i FROM (SELECT rid, string_split({mark}, chr(1)) AS p FROM t)) WHERE length(string_split(p[i], chr(2))[-1]) >= {least}"""
+
+
+def _sql() -> str:
+    """The same matches between marks, and the same sweep, in SQL. RE2 lower-cases more than ASCII, so letters in either
+    case are written out."""
+
+    def either(pattern: str) -> str:
+        out, depth, at = "", 0, 0
+        while at < len(pattern):
+            if pattern.startswith("(?i:", at):
+                out, depth, at = out + "(?:", 1, at + 4
+                continue
+            c = pattern[at]
+            if depth:
+                depth += (c == "(") - (c == ")")
+            out += f"[{c.upper()}{c}]" if depth and c.isalpha() else c
+            at += 1
+        return out
+
+    kinds = [STRONG[k] for k in STRONG] + [ENDPOINT if k == "link_endpoint" else WEAK[k] for k in WEAK]
+    spans = " UNION ALL ".join(_sql_spans(i, either(pattern), least) for i, (pattern, least) in enumerate(kinds))
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    roles = "[" + ", ".join(f"'{ROLE[k]}'" for k in KINDS) + "]"
+    gap = LinkRules().max_gap
+    near = ", ".join(
+        f"coalesce(a - max(CASE WHEN role = '{r}' THEN e END) OVER before <= {gap}, false) OR coalesce(first(CASE WHEN role = '{r}' THEN a END IGNORE NULLS) OVER after - e <= {gap}, false) AS near_{r}"
+        for r in ("id", "secret", "endpoint")
+    )
+    count = ", ".join(f"count(*) FILTER (WHERE kind = {i})::BIGINT AS n_{k}" for i, k in enumerate(STRONG))
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS t FROM documents),
+s AS (SELECT rid, kind, coalesce(a, 0) AS a, coalesce(a, 0) + n AS e FROM ({spans})),
+m AS (SELECT *, {roles}[kind + 1] AS role, (SELECT len(regexp_extract_all(substr(t.t, 1, s.a::BIGINT), '\\n[ \\t\\r]*\\n')) FROM t WHERE t.rid = s.rid) AS scope FROM s WHERE rid IN (SELECT rid FROM s WHERE kind > 2)),
+w AS (SELECT *, {near} FROM m WINDOW before AS (PARTITION BY rid, scope ORDER BY a, kind, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after AS (PARTITION BY rid, scope ORDER BY a, kind, e ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+l AS (SELECT rid, kind, a, e FROM w WHERE kind > 2 AND CASE role WHEN 'id' THEN near_secret WHEN 'secret' THEN near_id OR near_endpoint ELSE near_id AND near_secret END),
+u AS (SELECT rid, kind, a, e FROM s WHERE kind <= 2 UNION SELECT rid, kind, a, e FROM l),
+g AS (SELECT rid, {count}, string_agg(CASE WHEN kind <= 2 THEN {names}[kind + 1] || ':' || a || ':' || e END, ',' ORDER BY a, kind) AS base, string_agg({names}[kind + 1] || ':' || a || ':' || e, ',' ORDER BY a, kind) AS spans FROM u GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g USING (rid)
+"""
+
+
+OP8_SQL = _sql()
