@@ -35,7 +35,7 @@ class NearRules:
     bands: int = 32
     rows: int = 6
     #: Up to so many nodes left in a bucket are compared in pairs; of more, so many are leaders in each later round.
-    rest: int = 512
+    rest: int = 1024
     leaders: int = 32
 
 
@@ -110,6 +110,9 @@ def near_links(nodes: DataFrame, texts_of, p: NearRules) -> DataFrame:
     sized = materialise(sized)
     rest = materialise(buckets.join(sized, "bucket"))  # bucket, node, leader, n
     texts = materialise(texts_of(rest.select("node").distinct()))
+    banded = materialise(nodes.join(rest.select("node").distinct(), "node", "left_semi"))
+    # Two nodes that share several buckets are a pair in the first of them only.
+    once = "get(filter(zip_with(x.bands, y.bands, (p, q) -> if(p = q, p, null)), v -> v IS NOT NULL), 0) = x.bucket"
     star = verified(rest.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), texts, p)
     links = star.where(F.col("far") <= limit)
     comp = components(links)
@@ -121,7 +124,7 @@ def near_links(nodes: DataFrame, texts_of, p: NearRules) -> DataFrame:
         # Not in the leader's component yet, and perhaps similar to a node that is linked to it.
         border = seen.where((F.col("far") > limit) & (F.col("far") <= 2 * limit) & (F.col("comp") != F.col("leader_comp")))
         linked = seen.where(F.col("far") <= limit)
-        crossed = border.alias("x").join(linked.alias("y"), F.expr(f"x.bucket = y.bucket AND x.leader = y.leader AND x.comp <> y.comp AND abs(x.far - y.far) <= {limit}"))
+        crossed = border.join(banded, "node").alias("x").join(linked.join(banded, "node").alias("y"), F.expr(f"x.bucket = y.bucket AND x.leader = y.leader AND x.comp <> y.comp AND abs(x.far - y.far) <= {limit} AND {once}"))
         crossed = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         # Nodes linked to no leader go on, where they are of several components.
         left = seen.groupBy("bucket", "node", "comp").agg(F.min("far").alias("far")).where(F.col("far") > limit)
@@ -129,7 +132,8 @@ def near_links(nodes: DataFrame, texts_of, p: NearRules) -> DataFrame:
         open_ = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 1 AND lo <> hi")
         left = materialise(left.join(open_.select("bucket", "n"), "bucket").select("bucket", "node", "comp", "n"))
         small = left.where(F.col("n") <= p.rest)
-        paired = small.alias("x").join(small.alias("y"), F.expr("x.bucket = y.bucket AND x.node < y.node AND x.comp <> y.comp")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        small = small.join(banded, "node")
+        paired = small.alias("x").join(small.alias("y"), F.expr(f"x.bucket = y.bucket AND x.node < y.node AND x.comp <> y.comp AND {once}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         large = left.where(F.col("n") > p.rest)
         if large.limit(1).count():
             asked = large.join(_leaders(large, p), "bucket").where("node <> leader").select("bucket", "leader", "node")
