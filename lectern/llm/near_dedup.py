@@ -1,19 +1,22 @@
 """Near-duplicate documents: BagMinHash signatures, banding, exact multiset overlap, connected components.
 
 Documents with the same text are one node from the start. Nodes that share a band meet in a bucket. In each bucket all
-nodes are first compared with one leader; where that leaves documents in different components that may still be
+nodes are first compared with one leader, the node whose buckets are the largest; where that leaves documents in different components that may still be
 similar, further pairs are compared, in rounds, until no pair of a bucket is left open:
 
 - two nodes linked to the leader are in one component, and need no comparison;
 - 1 - similarity is a metric, so a node linked to the leader and one that isn't can be similar only if their distances
   from it differ by no more than the limit: only those pairs are compared, and only between components;
-- nodes not linked to the leader stay for the next round, with new leaders; small rests are compared in pairs.
+- nodes not linked to the leader stay for the next round, with new leaders; small rests are compared in pairs;
+- pairs other than a leader's are held against their signatures first, packed into a few words: texts are compared only
+  where no more components differ than a similar pair's could (by four standard deviations).
 
 So a bucket of n copies costs n comparisons instead of n * n / 2, and no link is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.bag_minhash import bands, overlap, shingle_bags, signatures
+from lectern.llm.bag_minhash import bands, overlap, planes, shingle_bags, signatures
 from lectern.llm.common import materialise, table
 from lectern.llm.tokens import chunks
 
 
+#: Bits kept of each component.
+PLANES = 4
+
+
 @dataclass(frozen=True)
 class NearRules:
     shingle_words: int = 5
@@ -34,26 +41,42 @@ class NearRules:
     #: 32 bands of 6: a pair at 0.8 is missed with probability 0.00006, one at 0.9 never in practice.
     bands: int = 32
     rows: int = 6
+    #: Components besides those of the bands, for the estimate before texts are compared. All of them: a multiple of 64.
+    more: int = 128
+    #: A pair at the similarity passes the estimate with probability 0.99996.
+    deviations: float = 4.0
     #: Up to so many nodes left in a bucket are compared in pairs; of more, so many are leaders in each later round.
     rest: int = 1024
     leaders: int = 32
 
+    @property
+    def components(self) -> int:
+        return self.bands * self.rows + self.more
+
+    @property
+    def most_differing(self) -> int:
+        """Components in which the planes of a pair at the similarity may differ."""
+        apart = (1 - self.similarity) * (1 - 2.0**-PLANES)
+        return math.floor(self.components * apart + self.deviations * math.sqrt(self.components * apart * (1 - apart)))
+
 
 def signed(docs: DataFrame, p: NearRules, text: str, key: str) -> DataFrame:
-    """id, node, bands (none without words): of each row."""
+    """id, node, bands (none without words), planes: of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, w in chunks(batch.column("text")):
-                best = signatures(*shingle_bags(w, p.shingle_words), b - a, p.bands * p.rows)
+                best = signatures(*shingle_bags(w, p.shingle_words), b - a, p.components)
                 some = np.isfinite(best[:, 0])
-                flat = bands(best, p.rows)[some].view(np.int64).reshape(-1)
-                offsets = np.concatenate([[0], np.cumsum(some * p.bands)]).astype(np.int32)
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("node"), pa.ListArray.from_arrays(offsets, flat)], names=["id", "node", "bands"])
+                lists = []
+                for each in (bands(best[:, : p.bands * p.rows], p.rows).view(np.int64), planes(best, PLANES)):
+                    offsets = np.concatenate([[0], np.cumsum(some * each.shape[1])]).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(offsets, each[some].reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("node"), *lists], names=["id", "node", "bands", "planes"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), node_of(F.col(text)).alias("node"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, node binary, bands array<bigint>")
+    return docs.select(F.col(key).alias("id"), node_of(F.col(text)).alias("node"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, node binary, bands array<bigint>, planes array<bigint>")
 
 
 def node_of(text):
@@ -102,17 +125,23 @@ def components(links: DataFrame) -> DataFrame:
 def near_links(nodes: DataFrame, texts_of, p: NearRules) -> DataFrame:
     """a, b, far: the links found, enough of them for the components to be those of all similar pairs of the buckets.
 
-    nodes: node, bands, distinct. texts_of: gives node and text for a table of nodes.
+    nodes: node, bands, planes, distinct. texts_of: gives node and text for a table of nodes.
     """
     limit = 1 - p.similarity + 1e-9
     buckets = nodes.select(F.explode("bands").alias("bucket"), "node")
-    sized = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    sized = materialise(sized)
-    rest = materialise(buckets.join(sized, "bucket"))  # bucket, node, leader, n
+    sized = materialise(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    met = materialise(buckets.join(sized, "bucket"))
+    # The text that copies were made from is nearer to them than they are to each other, so it shares more bands.
+    central = met.join(met.groupBy("node").agg(F.sum("n").alias("central")), "node")
+    leader = central.groupBy("bucket").agg(F.max(F.struct("central", "node")).alias("top")).select("bucket", F.col("top.node").alias("leader"))
+    rest = materialise(met.join(leader, "bucket"))  # bucket, node, leader, n
     texts = materialise(texts_of(rest.select("node").distinct()))
     banded = materialise(nodes.join(rest.select("node").distinct(), "node", "left_semi"))
     # Two nodes that share several buckets are a pair in the first of them only.
     once = "get(filter(zip_with(x.bands, y.bands, (p, q) -> if(p = q, p, null)), v -> v IS NOT NULL), 0) = x.bucket"
+    words = p.components // 64
+    differ = " + ".join("bit_count(" + " | ".join(f"(x.planes[{k * words + j}] ^ y.planes[{k * words + j}])" for k in range(PLANES)) + ")" for j in range(words))
+    near = f"{differ} <= {p.most_differing}"
     star = verified(rest.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), texts, p)
     links = star.where(F.col("far") <= limit)
     comp = components(links)
@@ -124,7 +153,7 @@ def near_links(nodes: DataFrame, texts_of, p: NearRules) -> DataFrame:
         # Not in the leader's component yet, and perhaps similar to a node that is linked to it.
         border = seen.where((F.col("far") > limit) & (F.col("far") <= 2 * limit) & (F.col("comp") != F.col("leader_comp")))
         linked = seen.where(F.col("far") <= limit)
-        crossed = border.join(banded, "node").alias("x").join(linked.join(banded, "node").alias("y"), F.expr(f"x.bucket = y.bucket AND x.leader = y.leader AND x.comp <> y.comp AND abs(x.far - y.far) <= {limit} AND {once}"))
+        crossed = border.join(banded, "node").alias("x").join(linked.join(banded, "node").alias("y"), F.expr(f"x.bucket = y.bucket AND x.leader = y.leader AND x.comp <> y.comp AND abs(x.far - y.far) <= {limit} AND {near} AND {once}"))
         crossed = crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         # Nodes linked to no leader go on, where they are of several components.
         left = seen.groupBy("bucket", "node", "comp").agg(F.min("far").alias("far")).where(F.col("far") > limit)
@@ -133,7 +162,7 @@ def near_links(nodes: DataFrame, texts_of, p: NearRules) -> DataFrame:
         left = materialise(left.join(open_.select("bucket", "n"), "bucket").select("bucket", "node", "comp", "n"))
         small = left.where(F.col("n") <= p.rest)
         small = small.join(banded, "node")
-        paired = small.alias("x").join(small.alias("y"), F.expr(f"x.bucket = y.bucket AND x.node < y.node AND x.comp <> y.comp AND {once}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        paired = small.alias("x").join(small.alias("y"), F.expr(f"x.bucket = y.bucket AND x.node < y.node AND x.comp <> y.comp AND {near} AND {once}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         large = left.where(F.col("n") > p.rest)
         if large.limit(1).count():
             asked = large.join(_leaders(large, p), "bucket").where("node <> leader").select("bucket", "leader", "node")
@@ -167,7 +196,7 @@ def near_duplicates(docs: DataFrame, p: NearRules = NearRules(), text: str = "te
     """
     own = docs.select(*[c for c in docs.columns if c not in ("class_id", "class_size", "n_links", "is_first", "n_equal")])
     sketches = materialise(signed(docs, p, text, key))
-    nodes = sketches.where("size(bands) > 0").groupBy("node").agg(F.first("bands").alias("bands"))
+    nodes = sketches.where("size(bands) > 0").groupBy("node").agg(F.first(F.struct("bands", "planes")).alias("s")).select("node", "s.*")
 
     def texts_of(asked: DataFrame) -> DataFrame:
         there = docs.select(node_of(F.col(text)).alias("node"), F.col(text).alias("text")).join(asked, "node", "left_semi")
