@@ -5,8 +5,9 @@ each; the corpus counts are the sums by n-gram, partitioned by its hash, and a j
 have the n-gram. There each document's score is summed up. Rows are per chunk, not per document: the most frequent
 n-gram has as many rows as there are chunks, so no key is hot.
 
-A document is scored by the others: its own occurrences are taken off all counts. Words outside the vocabulary (the most
-frequent words; its size is a parameter, which bounds what is broadcast) are one symbol.
+A document is scored by the others: its own occurrences are taken off all counts. Every word counts as itself: n-grams of
+all orders, single words too, are 64-bit hashes that go through the same counts and join, and only the number of words of
+the corpus goes to the driver. A caller may ask for a vocabulary (the most frequent words); other words are one symbol then.
 """
 
 from __future__ import annotations
@@ -19,35 +20,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise, table
+from lectern.llm.common import table
 from lectern.llm.tokens import chunks, mix
 
 
 @dataclass(frozen=True)
 class BackoffRules:
-    order: int = 2
+    order: int = 3
     backoff: float = 0.4
-    vocabulary: int = 1 << 16
+    #: None: every word counts as itself. A number: so many of the most frequent words do, and are broadcast.
+    vocabulary: int | None = None
     chunk_words: int = 2_000_000
 
 
-class Vocabulary:
-    """The most frequent words' hashes, sorted, with their counts; total words of the corpus."""
+def total_words(docs: DataFrame, text: str) -> int:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(w.hash) for _, _, w in chunks(batch.column("text")))], pa.int64())], names=["n"])
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
-        order = np.argsort(hashes)
-        self.hashes, self.total = hashes[order], total
-        self.counts = np.append(counts[order], total - counts.sum()).astype(np.int64)  # the last is for all other words
+    return int(docs.select(F.col(text).alias("text")).mapInArrow(count, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        n = len(self.hashes)
-        if not n:
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), n - 1)
-        return np.where(self.hashes[at] == h, at, n)
 
+def vocabulary(docs: DataFrame, size: int, text: str) -> np.ndarray:
+    """The hashes of the most frequent words, sorted; size of them at most."""
 
-def vocabulary(docs: DataFrame, p: BackoffRules, text: str) -> Vocabulary:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [w.hash for _, _, w in chunks(batch.column("text"))]
@@ -55,66 +51,67 @@ def vocabulary(docs: DataFrame, p: BackoffRules, text: str) -> Vocabulary:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = materialise(counted)
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = counted.orderBy(F.desc("n"), "word").limit(p.vocabulary).toPandas()  # p.vocabulary rows at most
-    return Vocabulary(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), int(total))
+    top = counted.orderBy(F.desc("n"), "word").limit(size).toPandas()
+    return np.sort(top["word"].to_numpy(np.int64).view(np.uint64))
 
 
 class Grams:
-    """n-grams of a chunk's documents: of each order from 2, where they end, and their keys."""
+    """The words of a chunk's documents, and the keys of their n-grams."""
 
-    def __init__(self, texts: pa.Array, v: Vocabulary, order: int):
-        ids, docs = [], []
+    def __init__(self, texts: pa.Array, known_words: np.ndarray | None):
+        words, docs = [], []
         for a, _, w in chunks(texts):
-            ids.append(v.ids(w.hash))
+            words.append(w.hash)
             docs.append((w.doc + a).astype(np.int32))
-        self.id = np.concatenate(ids or [np.zeros(0, np.int64)])
+        self.word = np.concatenate(words or [np.zeros(0, np.uint64)])
         self.doc = np.concatenate(docs or [np.zeros(0, np.int32)])
-        self.at, self.key = {}, {}
-        for k in range(2, order + 1):
-            n = max(0, len(self.id) - k + 1)
-            at = np.flatnonzero(self.doc[:n] == self.doc[k - 1 : k - 1 + n])
-            key = np.zeros(len(at), np.uint64)
-            for j in range(k):
-                key = key * np.uint64(len(v.counts)) + self.id[at + j].astype(np.uint64)
-            # Two words are their numbers; longer ones are hashed with their length.
-            self.key[k] = (key if k == 2 else mix(key + mix(np.full(1, k, np.uint64))[0])).view(np.int64)
-            self.at[k] = at + k - 1
-
-
-def _own(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """For each element, how often its document has its key."""
-    order = np.lexsort((key, doc))
-    d, k = doc[order], key[order]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
+        if known_words is not None:
+            self.word = np.where(np.isin(self.word, known_words), self.word, np.uint64(0))
+
+    def keys(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the n-grams of k words end, and their keys."""
+        n = max(0, len(self.word) - k + 1)
+        at = np.flatnonzero(self.doc[:n] == self.doc[k - 1 : k - 1 + n])
+        key = np.full(len(at), k, np.uint64)
+        for j in range(k):
+            key *= np.uint64(0xD6E8FEB86659FD93)
+            key += self.word[at + j]
+        return at + k - 1, mix(key).view(np.int64)
+
+
+def _elsewhere(key: np.ndarray, doc: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each element, how often documents other than its own have its key. doc doesn't fall."""
+    order = np.argsort(key, kind="stable")  # by key and, as doc doesn't fall, by document
+    key, doc = key[order], doc[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(key)))
+    if len(known[0]) and len(first):
+        i = np.minimum(np.searchsorted(known[0], key[first]), len(known[0]) - 1)
+        count = np.where(known[0][i] == key[first], known[1][i], count)
+    out = np.empty(len(key), np.int64)
     group = np.cumsum(new) - 1
-    out = np.empty(len(d), np.int64)
-    out[order] = np.bincount(group)[group] if len(d) else 0
+    new[1:] |= doc[1:] != doc[:-1]
+    own = np.diff(np.append(np.flatnonzero(new), len(key)))
+    out[order] = count[group] - own[np.cumsum(new) - 1]
     return out
 
 
-def backoff_scores(texts: pa.Array, known: tuple[np.ndarray, np.ndarray], v: Vocabulary, p: BackoffRules) -> dict[str, np.ndarray]:
+def backoff_scores(texts: pa.Array, known: tuple[np.ndarray, np.ndarray], total: int, known_words: np.ndarray | None, p: BackoffRules) -> dict[str, np.ndarray]:
     """known: keys of n-grams that other chunks have too, sorted, and their counts in the corpus."""
-    g = Grams(texts, v, p.order)
-    n = len(g.id)
+    g = Grams(texts, known_words)
+    n = len(g.word)
     words = np.bincount(g.doc, minlength=len(texts))
-    others = np.maximum(v.total - words[g.doc], 1).astype(float) if n else np.zeros(0)
-    one = v.counts[g.id] - _own(g.doc, g.id)
-    score = np.log(np.maximum(one, 0.5) / others)
-    used = np.ones(n, int)
-    below = one  # counts of the n-gram one shorter, by where it ends
-    longest = np.ones(n, int)
+    others = np.maximum(total - words[g.doc], 1).astype(float) if n else np.zeros(0)
+    below = _elsewhere(g.keys(1)[1], g.doc, known)  # counts of the n-gram one shorter, by where it ends
+    score = np.log(np.maximum(below, 0.5) / others)
+    used = np.ones(n, np.int8)
+    longest = np.ones(n, np.int8)
     for k in range(2, p.order + 1):
-        at, key = g.at[k], g.key[k]
-        own_keys, number, inside = np.unique(key, return_inverse=True, return_counts=True)
-        count = inside.astype(np.int64)
-        if len(known[0]):
-            i = np.minimum(np.searchsorted(known[0], own_keys), len(known[0]) - 1)
-            count = np.where(known[0][i] == own_keys, known[1][i], count)
+        at, key = g.keys(k)
         now = np.zeros(n, np.int64)
-        now[at] = count[number] - _own(g.doc[at], key)
+        now[at] = _elsewhere(key, g.doc[at], known)
         seen = at[now[at] > 0]
         longest[at] = k
         score[at] += np.log(p.backoff)  # one step down, unless the longer one is there
@@ -133,22 +130,22 @@ def score_documents(docs: DataFrame, p: BackoffRules = BackoffRules(), text: str
     The context of a word is the words before it in the same document, order - 1 at most. A null text has no words;
     repeated rows are documents like others, and so count for each other.
     """
-    v = vocabulary(docs, p, text)
-    held = docs.sparkSession.sparkContext.broadcast(v)
-    n_chunks = max(1, -(-v.total // p.chunk_words))
+    total = total_words(docs, text)
+    held = docs.sparkSession.sparkContext.broadcast(None if p.vocabulary is None else vocabulary(docs, p.vocabulary, text))
+    n_chunks = max(1, -(-total // p.chunk_words))
     kind = docs.schema[key].dataType.simpleString()
     dealt = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.pmod(F.monotonically_increasing_id(), F.lit(n_chunks)).cast("int").alias("chunk"))
 
     def counted(chunk: pa.Table) -> pa.Table:
-        g = Grams(chunk.column("text").combine_chunks(), held.value, p.order)
-        parts = [np.unique(g.key[k], return_counts=True) for k in g.key]
+        g = Grams(chunk.column("text").combine_chunks(), held.value)
+        parts = [np.unique(g.keys(k)[1], return_counts=True) for k in range(1, p.order + 1)]
         key, n = (np.concatenate(x) for x in zip(*parts))
         return pa.table({"gram": pa.array(key), "chunk": pa.array(np.full(len(key), chunk.column("chunk")[0].as_py(), np.int32)), "n": pa.array(n.astype(np.int64))})
 
     def scored(chunk: pa.Table, known: pa.Table) -> pa.Table:
         keys, n = known.column("gram").to_numpy(), known.column("n").to_numpy()
         order = np.argsort(keys)
-        out = backoff_scores(chunk.column("text").combine_chunks(), (keys[order], n[order]), held.value, p)
+        out = backoff_scores(chunk.column("text").combine_chunks(), (keys[order], n[order]), total, held.value, p)
         return pa.table({"id": chunk.column("id"), **{c: pa.array(x) for c, x in out.items()}})
 
     # Both sides of the join read the same columns, so one exchange of the grams serves both their sums and the join

@@ -62,6 +62,19 @@ def test_backoff_edges(spark):
     assert op6_lm_scoring(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
+def test_backoff_rare_words(spark):
+    """More different words than any fixed vocabulary: a word that no other document has isn't taken for other rare words."""
+    many = " ".join(f"w{i}" for i in range(70_000))
+    texts = [many, many, "zzqx zzqy zzqz", "w1 w2 w3 zzqx"]
+    p = BackoffRules()
+    assert p.order >= 3
+    got = {r["doc_id"]: r for r in score_documents(docs_of(spark, texts), p).collect()}
+    for i, (n, score, back) in enumerate(plain_backoff(texts, p.order, None)):
+        assert (got[i]["n_words"], got[i]["n_backoff"]) == (n, back)
+        assert got[i]["logprob"] == pytest.approx(score, rel=1e-9)
+    assert got[2]["score"] < math.log(1e-5) < got[0]["score"]
+
+
 def plain_kneser_ney(train, order):
     """A function from a list of words to their log probabilities."""
     raw = [Counter() for _ in range(order + 1)]
