@@ -4,10 +4,11 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.plain import EDGES, SF, alnum_words, blank_words, docs_of
 
 from lectern.llm.lm_scoring import BackoffRules, op6_lm_scoring, score_documents
-from lectern.llm.quality_classifier import KneserNeyRules, Model, judge_quality, op9_quality_classifier, trained
+from lectern.llm.quality_classifier import KneserNeyRules, Model, _trains, judge_quality, op9_quality_classifier, trained
 from lectern.llm.tokens import BETWEEN_BLANKS, Words, words_of
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -139,6 +140,20 @@ def test_labelled_text(spark):
     assert sum(bad) <= 0.8 * len(bad)
 
 
+def test_faults_of_held_out_text(spark):
+    """Labelled rows that neither models nor weights are trained on."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = op9_quality_classifier(spark, sf).join(labels, "doc_id").where(~_trains(F.col("doc_id"), KneserNeyRules())).select("quality", "toxic", "kept").collect()
+    clean = [r["kept"] for r in got if r["quality"] == 1 and not r["toxic"]]
+    toxic = [r["kept"] for r in got if r["quality"] == 1 and r["toxic"]]
+    low = [r["kept"] for r in got if r["quality"] == 0]
+    assert min(len(clean), len(toxic), len(low)) > 50
+    assert sum(clean) >= 0.98 * len(clean)
+    assert sum(toxic) <= 0.2 * len(toxic)
+    assert sum(low) <= 0.2 * len(low)
+
+
 def test_classifier_edges(spark):
     docs = docs_of(spark, [*EDGES, (None, "a b"), (None, "a b")])
     labels = spark.createDataFrame([(5, 1, None), (5, 1, 0), (None, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
