@@ -44,7 +44,7 @@ def plain_backoff(texts, order, size):
         yield len(x), score, back
 
 
-@pytest.mark.parametrize("p", [BackoffRules(), BackoffRules(order=3, vocabulary=40, chunk_words=700)])
+@pytest.mark.parametrize("p", [BackoffRules(), BackoffRules(order=3, vocabulary=40, chunk_words=700), BackoffRules(chunk_words=500, shard_grams=900)])
 def test_backoff(spark, p):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).collect()]
     texts = [t for _, t in rows] + [None, "", "!!!", "solo", rows[0][1]]
