@@ -10,8 +10,8 @@ corpus has as many entries as there are chunks, and no key is hot. Shards and ch
 in size; where a corpus is so large that a chunk has few n-grams in each shard, rows hold few, but never number more than
 the n-grams sent.
 
-Hashes have 24 bits more than it takes to number all n-grams of the corpus (64 at most), so whatever the size, an n-gram
-shares its hash, and so its count, with another one with a probability under 2 ** -24.
+Hashes have 20 bits more than it takes to number all n-grams of the corpus (64 at most), so whatever the size, an n-gram
+shares its hash, and so its count, with another one with a probability under 2 ** -20.
 
 A document is scored by the others: its own occurrences are taken off all counts. Every word counts as itself: n-grams of
 all orders, single words too, are hashes that go through the same counts and join, and only the number of words of
@@ -34,7 +34,7 @@ from lectern.llm.tokens import chunks, mix
 
 
 #: Bits of a hash beyond those that number the n-grams of the corpus.
-SPARE_BITS = 24
+SPARE_BITS = 20
 
 
 @dataclass(frozen=True)

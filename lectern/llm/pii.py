@@ -1,13 +1,16 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field for what they miss.
 
 The field's nodes are the tokens near something that may be personal data (digits, an at sign, a cue word) and every
-other occurrence of a name that a cue introduces. Edges are of two kinds: neighbours in the text, and skip edges that
-tie each token to the next one of the same form, however far away. Loopy sum-product passes messages over both until a
-fixed number of rounds is done, so that one clear mention labels the unclear ones. Documents are independent; the
-graphs of a batch are held side by side and passed over together.
-
-The weights are trained here, on sentences made from templates: node and transition weights by pseudo-likelihood, the
-skip weight from how often equal forms have equal labels.
+other mention of a name that a cue introduces. Neighbours in the text share a potential. Tokens of the same or a similar
+form, however far apart, share potentials too: all of them are tied to one node of their own, the label of what they
+name (case, possessive endings and separators of digits don't count, and long names may differ by one letter). What a
+form looks like is evidence about that node, and what stands around a mention is evidence about the mention; so one
+clear mention labels the unclear ones, whose number doesn't matter. Loopy sum-product passes messages over both kinds
+of edges until none of a document's changes by more than RESIDUAL. Documents are independent; the graphs of a batch are
+held side by side and passed over together.
+
+All weights are trained here together, on sentences made from templates, by composite likelihood: that of the mentions
+of each form, given the labels of their neighbours in the text; what the form's own label is gets summed over.
 """
 
 from __future__ import annotations
@@ -17,14 +20,14 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from lectern.llm.common import table
+from lectern.llm.common import map_rows, table
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Labels of the field; a span of any but O is reported under its name.
@@ -98,6 +101,36 @@ def form(token: str) -> str:
     return token.strip(EDGE)
 
 
+def kin(token: str) -> str:
+    """What mentions of one thing have in common; empty for tokens that share nothing with others."""
+    bare = form(token)
+    if any(c.isdigit() for c in bare):
+        digits = only_digits(bare)
+        if "@" in bare or any(c.isalpha() for c in bare):
+            return bare.casefold() if len(bare) >= 3 else ""
+        return digits if len(digits) >= 5 else ""
+    if "@" in bare:
+        return bare.casefold()
+    for ending in ("'s", "’s", "'", "’"):
+        bare = bare.removesuffix(ending).removesuffix(ending.upper())
+    return bare.casefold() if len(bare) >= 3 and bare[0].isupper() else ""
+
+
+def one_edit(a: str, b: str) -> bool:
+    """At most one letter is another, missing or added."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
+
+
+def without_one(word: str) -> set[str]:
+    """Two words at one edit share one of these."""
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
 def shape(token: str) -> str:
     """A token's class."""
     low = token.lower()
@@ -119,19 +152,25 @@ def shape(token: str) -> str:
         return "alnum" + ("6+" if len(bare) >= 6 and digits >= 3 and bare.isalnum() and bare.upper() == bare else "")
     if not bare:
         return "mark"
-    return "Cap" if bare[0].isupper() and bare[1:].islower() and bare.isalpha() else "CAPS" if bare.isupper() else "word"
+    bare = bare.removesuffix("'s").removesuffix("’s")
+    return "Cap" if bare[:1].isupper() and bare[1:].islower() and bare.isalpha() else "CAPS" if bare.isupper() else "word"
 
 
 def cue(token: str) -> str:
     return CUES.get(form(token).lower().rstrip("#"), "")
 
 
+def word_features(token: str) -> list[str]:
+    """Evidence about what a form names, whatever stands around it."""
+    return ["bias", f"s={shape(token)}", f"cue={cue(token)}"]
+
+
 def features(tokens: list[str], i: int) -> list[str]:
-    """tokens: the whole text's; i: which."""
+    """Evidence from what stands around a mention. tokens: the whole text's; i: which."""
     get = lambda j: tokens[j] if 0 <= j < len(tokens) else ""
     s = shape(tokens[i])
     back, back2 = cue(get(i - 1)), cue(get(i - 2))
-    out = ["bias", f"s={s}", f"s={s},p={shape(get(i - 1))}", f"s={s},n={shape(get(i + 1))}", f"cue={cue(tokens[i])}"]
+    out = [f"s={s},p={shape(get(i - 1))}", f"s={s},n={shape(get(i + 1))}"]
     if back:
         out += [f"b={back}", f"b={back},s={s}"]
     if back2:
@@ -142,6 +181,17 @@ def features(tokens: list[str], i: int) -> list[str]:
 # ---- Training -------------------------------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Weights:
+    """word, around: by feature, a weight for each label. chain: by label and the next one. tie: by a mention's label and
+    its form's."""
+
+    word: dict[str, np.ndarray]
+    around: dict[str, np.ndarray]
+    chain: np.ndarray
+    tie: np.ndarray
+
+
 def made_sentences(n: int, seed: int) -> list[tuple[list[str], list[int]]]:
     """Documents of a few sentences with labels; each tells one person's data, and repeats some of it without a cue."""
     rnd = random.Random(seed)
@@ -157,149 +207,220 @@ def made_sentences(n: int, seed: int) -> list[tuple[list[str], list[int]]]:
         card = rnd.choice(([num(4) for _ in range(4)], [num(16)], ["-".join(num(4) for _ in range(4))]))
         ident = rnd.choice((f"{word(1, 2).upper()}{num(6, 8)}", num(9)))
         ip = [".".join(num(1, 3) for _ in range(4))]
-        prose = lambda: [(rnd.choice((word(2, 9), word(2, 9), word(2, 9), word(2, 9).capitalize(), f"{word(2, 9)}.", f"{word(2, 9).capitalize()}.", num(1, 4), num(4), f"{num(1)}.{num(1)}", f"{word(3, 6)}{num(1, 2)}")), 0) for _ in range(rnd.randint(3, 9))]
-        says = lambda cues, what, label: [(rnd.choice(cues), 0), *[(t, LABELS.index(label)) for t in what]]
+        prose = lambda: [(rnd.choice((word(2, 9), word(2, 9), word(2, 9), word(2, 9).capitalize(), word(2, 9).upper(), f"{word(2, 9).upper()}!!", f"{word(2, 9)}.", f"{word(2, 9).capitalize()}.", num(1, 4), num(4), f"{num(1)}.{num(1)}", f"{word(3, 6)}{num(1, 2)}")), 0) for _ in range(rnd.randint(3, 9))]
+        says = lambda cues, what, label: [*[(t, 0) for t in rnd.choice(cues).split()], *[(t, LABELS.index(label)) for t in what]]
+        again = lambda: [(rnd.choice((t, t, t, t.upper(), f"{t}'s", f"{t},")), LABELS.index("name")) for t in name[: rnd.choice((1, 1, 2))]]
         told = [
-            says(("Mr.", "Dr.", "Contact", "Name:", "Ms", "Dear"), rnd.choice((name, name, name[:1])), "name"), says(("email", "Email:", "mail"), [mail], "email"), says(("email", "write"), hidden, "email"),
+            says(("Mr.", "Dr.", "Contact", "Name:", "Ms", "Dear"), rnd.choice((name, name, name[:1])), "name"), says(("email", "Email:", "mail"), [mail], "email"), says(("email", "write", "write to", "or"), hidden, "email"),
             says(("phone", "Tel:", "call", "mobile"), phone, "phone"), says(("card", "Visa", "credit"), card, "card"), says(("passport", "ID:", "SSN", "account"), [ident], "id"), says(("host", "IP", "server"), ip, "ip"),
-            [(t, LABELS.index("name")) for t in name[: rnd.choice((1, 1, 2))]], [(mail, LABELS.index("email"))], [(t, LABELS.index("phone")) for t in phone], [(ip[0], LABELS.index("ip"))], [(ident, LABELS.index("id"))],
+            again(), [(mail, LABELS.index("email"))], [(t, LABELS.index("phone")) for t in phone], [(ip[0], LABELS.index("ip"))], [(ident, LABELS.index("id"))],
         ]
         chosen = sorted(rnd.sample(range(len(told)), rnd.randint(2, 6)))
-        if 0 not in chosen:  # a name is one only where some mention says so; two capitals side by side are common
+        extra = []
+        if 0 not in chosen:  # a name is one only where some mention says so; capitals that come again are common
             chosen = [i for i in chosen if i != 7]
-            told.append([(t, 0) for t in name[: rnd.choice((1, 1, 2))]])
-            chosen.append(len(told) - 1)
+            extra = [[(t, 0) for t in name[: rnd.choice((1, 1, 2))]] for _ in range(rnd.choice((1, 1, 2, 4)))]
+        else:
+            extra = [again() for _ in range(rnd.choice((0, 0, 1, 3, 6)))]
+            if sum(y > 0 for _, y in told[0]) == 1:  # only the first name was told
+                extra = [x[:1] for x in extra]
+                told[7] = told[7][:1]
+        if 5 not in chosen and 11 in chosen and ident.isdigit():  # nine digits alone may be anything
+            chosen.remove(11)
+        if 3 not in chosen and 9 in chosen and len(phone) == 1 and phone[0].isdigit():
+            chosen.remove(9)
         doc = prose()
-        for i in chosen:
-            doc += told[i] + prose()
+        for part in [*(told[i] for i in chosen), *extra]:
+            doc += part + prose()
         docs.append(([t for t, _ in doc], [y for _, y in doc]))
     return docs
 
 
-@functools.lru_cache(maxsize=1)
-def trained(n: int = 1500, seed: int = 5, epochs: int = 20) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-    """Node weights by feature, transition weights, skip weight. n bounds the training sentences.
+def _soft(x: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the summed exponentials, and the share of each."""
+    top = x.max(axis, keepdims=True)
+    e = np.exp(x - top)
+    total = e.sum(axis, keepdims=True)
+    return (np.log(total) + top).squeeze(axis), e / total
 
-    Pseudo-likelihood: each label is fitted given the token's features and its neighbours' labels, by gradient steps.
-    """
-    docs = made_sentences(n, seed)
+
+@functools.lru_cache(maxsize=1)
+def trained(n: int = 700, seed: int = 5, epochs: int = 16) -> Weights:
+    """n bounds the training sentences. Gradient steps (Adam) on the composite likelihood, with a small ridge."""
     L = len(LABELS)
-    index: dict[str, int] = {}
-    rows, prev, nxt, gold = [], [], [], []
-    same = total = 1
-    for tokens, ys in docs:
-        seen: dict[str, int] = {}
+    names: list[dict[str, int]] = [{}, {}]
+    parts = []
+    for tokens, ys in made_sentences(n, seed):
+        group: dict[str, int] = {}
+        held = [[], [], [], [], [], []]  # word features, features around, label, before, after, form
         for i, y in enumerate(ys):
-            rows.append([index.setdefault(f, len(index)) for f in features(tokens, i)])
-            prev.append(ys[i - 1] if i else L)
-            nxt.append(ys[i + 1] if i + 1 < len(ys) else L)
-            gold.append(y)
-            f = form(tokens[i])
-            if f in seen and (y or seen[f]):
-                total += 1
-                same += y == seen[f]
-            seen[f] = y
-    width = max(map(len, rows))
-    pad = len(index)
-    x = np.array([r + [pad] * (width - len(r)) for r in rows])
-    prev, nxt, gold = np.array(prev), np.array(nxt), np.array(gold)
-    node, trans = np.zeros((pad + 1, L)), np.zeros((L + 1, L + 1))
+            found = (word_features(tokens[i]), features(tokens, i))
+            for k in (0, 1):
+                held[k].append([names[k].setdefault(f, len(names[k])) for f in found[k]])
+            row = (y, ys[i - 1] if i else L, ys[i + 1] if i + 1 < len(ys) else L, group.setdefault(kin(tokens[i]) or f"\0{i}", len(group)))
+            for k, v in enumerate(row):
+                held[2 + k].append(v)
+        parts.append(held)
+    pads = [len(x) for x in names]
+    shapes_ = [(pads[0] + 1, L), (pads[1] + 1, L), (L + 1, L + 1), (L, L)]
+    w = [np.zeros(s) for s in shapes_]
+    w[3] += np.eye(L)
+    mean, square = [np.zeros(s) for s in shapes_], [np.zeros(s) for s in shapes_]
     rnd = np.random.default_rng(seed)
-    for epoch in range(epochs):
-        rate = 0.5 / (1 + epoch)
-        for part in np.array_split(rnd.permutation(len(gold)), max(1, len(gold) // 256)):
-            s = node[x[part]].sum(1) + trans[prev[part], :L] + trans[:L, nxt[part]].T
-            p = np.exp(s - s.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(part)), gold[part]] -= 1
-            p *= rate / 8
-            np.subtract.at(node, x[part], p[:, None, :])
-            np.subtract.at(trans, (prev[part][:, None], np.arange(L)), p)
-            np.subtract.at(trans, (np.arange(L), nxt[part][:, None]), p)
-            node[pad] = 0
-    skip = float(np.log(same / (total - same + 1)))
-    return {f: node[i] for f, i in index.items()}, trans[:L, :L], min(skip, 5.0)
+    step = 0
+    for _ in range(epochs):
+        for chosen in np.array_split(rnd.permutation(len(parts)), max(1, len(parts) // 40)):
+            step += 1
+            rows = [np.concatenate([np.array(parts[d][k], int) for d in chosen]) for k in (2, 3, 4)]
+            x = [np.array([f + [pads[k]] * (5 - len(f)) for d in chosen for f in parts[d][k]]) for k in (0, 1)]
+            first = np.cumsum([0] + [max(parts[d][5]) + 1 for d in chosen])
+            form_of = np.concatenate([np.array(parts[d][5]) + first[j] for j, d in enumerate(chosen)])
+            gold, prev, nxt = rows
+            size = np.bincount(form_of)[form_of][:, None]
+            hub = np.zeros((first[-1], L))
+            np.add.at(hub, form_of, w[0][x[0]].sum(1) / size)
+            own = w[1][x[1]].sum(1) + w[2][prev, :L] + w[2][:L, nxt].T
+            inner, given = _soft(own[:, :, None] + w[3][None], 1)  # by mention and form's label: log sum, share of labels
+            free, clamped = hub.copy(), hub.copy()
+            np.add.at(free, form_of, inner)
+            np.add.at(clamped, form_of, w[3][gold])
+            p, q = _soft(free, 1)[1], _soft(clamped, 1)[1]
+            hits = np.eye(L)[gold]
+            expected = (p[form_of][:, None, :] * given).sum(2)
+            grads = [np.zeros(s) for s in shapes_]
+            np.add.at(grads[0], x[0], ((q - p)[form_of] / size)[:, None, :].repeat(5, 1))
+            np.add.at(grads[1], x[1], (hits - expected)[:, None, :].repeat(5, 1))
+            np.add.at(grads[2], (prev[:, None], np.arange(L)), hits - expected)
+            np.add.at(grads[2], (np.arange(L), nxt[:, None]), hits - expected)
+            grads[3] = hits.T @ q[form_of] - np.einsum("ih,iyh->yh", p[form_of], given)
+            for k in range(4):
+                g = grads[k] - 0.02 * w[k]
+                mean[k] += 0.1 * (g - mean[k])
+                square[k] += 0.01 * (g * g - square[k])
+                w[k] += 0.05 * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
+            w[0][pads[0]] = w[1][pads[1]] = 0
+    return Weights({f: w[0][i] for f, i in names[0].items()}, {f: w[1][i] for f, i in names[1].items()}, w[2][:L, :L], w[3])
 
 
 # ---- Inference ------------------------------------------------------------------------------------------------------
 
+#: Fixed bounds of the field. Tokens on each side of a live one that are nodes too; the change of a message (in nats) at
+#: which a document is done; rounds after which a document that still changes is taken as it is; letters from which on
+#: names may differ by one.
 REACH = 2
-ROUNDS = 12
+RESIDUAL = 1e-4
+MOST_ROUNDS = 400
+LONG_NAME = 6
 
 
-def nodes_of(tokens: list[str]) -> list[int]:
-    """Which tokens of a text the field looks at."""
-    live = set()
-    names = set()
+def nodes_of(tokens: list[str]) -> tuple[list[int], list[str], list[bool]]:
+    """Which tokens of a text the field looks at, the form of each (empty: it is tied to no other), and whether a cue
+    introduces that form or one like it somewhere as a name; no other can be one."""
+    live, names = set(), set()
     for i, t in enumerate(tokens):
         kind = cue(t) if t in CUE_TOKENS else ""
-        if kind or "@" in t or any(c.isdigit() for c in t) or t.lower() in AT_WORDS:
+        if kind or "@" in t or any(c.isdigit() for c in t) or t.lower() in AT_WORDS or t.lower() in DOT_WORDS:
             live.add(i)
             if kind == "name":
-                names.update(form(x) for x in tokens[i + 1 : i + 3] if shape(x) == "Cap")
+                names.update(kin(x) for x in tokens[i + 1 : i + 3] if shape(x) in ("Cap", "CAPS"))
+    names.discard("")
+    same: dict[str, str] = {}
     if names:
-        live.update(i for i, t in enumerate(tokens) if form(t) in names)
-    return sorted({j for i in live for j in range(max(0, i - REACH), min(len(tokens), i + REACH + 1))})
+        close: dict[str, set[str]] = {}
+        for x in sorted(names):
+            if len(x) >= LONG_NAME and x.isalpha():
+                for y in without_one(x):
+                    close.setdefault(y, set()).add(x)
+        seen: dict[str, str] = {}
+        for i, t in enumerate(tokens):
+            if not t[:1].isupper() and not form(t)[:1].isupper():
+                continue
+            x = kin(t)
+            if x not in seen:
+                alike = {z for y in without_one(x) for z in close.get(y, ()) if one_edit(x, z)} if close and len(x) >= LONG_NAME and x.isalpha() else set()
+                seen[x] = min(alike | ({x} & names), default="")
+            if seen[x]:
+                live.add(i)
+                same[x] = seen[x]
+    at = sorted({j for i in live for j in range(max(0, i - REACH), min(len(tokens), i + REACH + 1))})
+    forms = [same.get(x, x) for x in (kin(tokens[i]) for i in at)]
+    return at, forms, [x in names for x in forms]
+
+
+NEVER_NAME = np.where(np.array(LABELS) == "name", -30.0, 0.0)
 
 
 class Field:
     """The graphs of many documents, side by side."""
 
-    def __init__(self, weights):
-        self.node, self.trans, self.skip = weights
+    def __init__(self, weights: Weights):
+        self.weights = weights
         self.unary: list[np.ndarray] = []
-        self.chain: list[tuple[int, int]] = []
-        self.far: list[tuple[int, int]] = []
+        self.graph: list[int] = []
+        self.edges: list[tuple[int, int, bool]] = []  # from, to, whether it ties a mention to its form
         self.cache: dict[tuple[str, ...], np.ndarray] = {}
-
-    def add(self, tokens: list[str], at: list[int]) -> int:
-        """The first node's number."""
-        first = len(self.unary)
-        seen: dict[str, int] = {}
+        self.n_graphs = 0
+
+    def _sum(self, table_: dict[str, np.ndarray], found: list[str]) -> np.ndarray:
+        key = tuple(found)
+        if key not in self.cache:
+            self.cache[key] = sum((table_[x] for x in found if x in table_), np.zeros(len(LABELS)))
+        return self.cache[key]
+
+    def add(self, tokens: list[str], at: list[int], forms: list[str], named: list[bool]) -> int:
+        """The first node's number; the mentions' nodes are first, in order, then those of forms."""
+        w, first = self.weights, len(self.unary)
+        members: dict[str, list[int]] = {}
         for k, i in enumerate(at):
-            f = tuple(features(tokens, i))
-            if f not in self.cache:
-                self.cache[f] = sum((self.node[x] for x in f if x in self.node), np.zeros(len(LABELS)))
-            self.unary.append(self.cache[f])
+            own = self._sum(w.around, features(tokens, i))
+            self.unary.append(own if named[k] else own + NEVER_NAME)
             if k and at[k - 1] == i - 1:
-                self.chain.append((first + k - 1, first + k))
-            bare = form(tokens[i])
-            if len(bare) >= 3 and (any(c.isdigit() for c in bare) or "@" in bare or bare[0].isupper()):
-                if bare in seen and at[seen[bare]] != i - 1:
-                    self.far.append((first + seen[bare], first + k))
-                seen[bare] = k
+                self.edges.append((first + k - 1, first + k, False))
+            members.setdefault(forms[k] or f"\0{k}", []).append(k)
+        for held in members.values():
+            hub = sum((self._sum(w.word, word_features(tokens[at[k]])) for k in held), np.zeros(len(LABELS))) / len(held)
+            if len(held) == 1:  # the form's label is summed over right away
+                self.unary[first + held[0]] = self.unary[first + held[0]] + _soft(w.tie + hub, 1)[0]
+            else:
+                self.edges += [(first + k, len(self.unary), True) for k in held]
+                self.unary.append(hub)
+        self.graph += [self.n_graphs] * (len(self.unary) - first)
+        self.n_graphs += 1
         return first
 
-    def labels(self) -> np.ndarray:
-        """The most likely label of each node, by loopy sum-product."""
+    def marginals(self) -> np.ndarray:
+        """Each node's probabilities of the labels, by loopy sum-product; exact where a graph has no loop."""
         L = len(LABELS)
         if not self.unary:
-            return np.zeros(0, int)
-        unary = np.array(self.unary)
-        edges = np.array(self.chain + self.far, dtype=int).reshape(-1, 2)
-        agree = np.eye(L) * self.skip
-        agree[0, 0] = self.skip / 4  # equal forms outside say little
+            return np.zeros((0, L))
+        unary, graph = np.array(self.unary), np.array(self.graph)
+        edges = np.array(self.edges, dtype=int).reshape(-1, 3)
         # Messages go both ways over each edge; in log space, normalised each round.
+        n = len(edges)
         src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        n, far = len(edges), np.arange(len(edges)) >= len(self.chain)
-        message = np.zeros((2 * n, L))
+        which = np.concatenate([2 * edges[:, 2], 2 * edges[:, 2] + 1])
         back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
-        tables = np.stack([np.exp(self.trans), np.exp(self.trans.T), np.exp(agree)])
-        which = np.concatenate([np.where(far, 2, 0), np.where(far, 2, 1)])
-        for _ in range(ROUNDS if n else 0):
-            belief = unary.copy()
-            np.add.at(belief, dst, message)
-            out = belief[src] - message[back]
+        tables = [np.exp(self.weights.chain), np.exp(self.weights.chain.T), np.exp(self.weights.tie), np.exp(self.weights.tie.T)]
+        message = np.zeros((2 * n, L))
+        belief = unary.copy()
+        live = np.arange(2 * n)
+        for _ in range(MOST_ROUNDS if n else 0):
+            out = belief[src[live]] - message[back[live]]
             out = np.exp(out - out.max(1, keepdims=True))
-            new = np.empty_like(message)
-            for t in range(3):
-                chosen = which == t
-                new[chosen] = np.log(out[chosen] @ tables[t])
+            new = np.empty_like(out)
+            for t, weights in enumerate(tables):
+                chosen = which[live] == t
+                new[chosen] = np.log(out[chosen] @ weights)
             new -= new.max(1, keepdims=True)
-            message = 0.3 * message + 0.7 * new
-        belief = unary.copy()
-        np.add.at(belief, dst, message)
-        return belief.argmax(1)
+            new = 0.5 * message[live] + 0.5 * new
+            change = np.zeros(self.n_graphs)
+            np.maximum.at(change, graph[dst[live]], np.abs(new - message[live]).max(1))
+            np.add.at(belief, dst[live], new - message[live])
+            message[live] = new
+            live = live[change[graph[dst[live]]] > RESIDUAL]  # a document's rounds depend on nothing but itself
+            if not len(live):
+                break
+        return _soft(belief, 1)[1]
 
 
 def plausible(kind: str, piece: str) -> bool:
@@ -317,7 +438,36 @@ def plausible(kind: str, piece: str) -> bool:
     return n == 0 and any(c.isalpha() for c in piece)
 
 
-def found_spans(texts: list[str | None], weights: tuple | None = None) -> list[tuple[list, list]]:
+def stretches(text: str, spans: list[tuple[int, int]], labels: list[int], taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """Tokens in a row with one label, without marks around them. A comma, a line break and a taken span end a stretch; one
+    that is no plausible whole is given token by token. spans: of the tokens; labels: 0 for those that aren't looked at."""
+
+    def bare(a: int, b: int) -> tuple[int, int]:
+        while a < b and text[a] in EDGE and text[a] != "(":
+            a += 1
+        while a < b and text[b - 1] in EDGE and text[b - 1] not in ")]":
+            b -= 1
+        return a, b
+
+    runs: list[list[int]] = []
+    t = 0
+    for k, (a, b) in enumerate(spans):
+        while t < len(taken) and taken[t][1] <= a:
+            t += 1
+        if not labels[k] or (t < len(taken) and taken[t][0] < b):
+            continue
+        if runs and runs[-1][-1] == k - 1 and labels[k - 1] == labels[k] and text[spans[k - 1][1] - 1] not in ",;" and "\n" not in text[spans[k - 1][1] : a]:
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+    for run in runs:
+        kind = LABELS[labels[run[0]]]
+        whole = bare(spans[run[0]][0], spans[run[-1]][1])
+        parts = [whole] if plausible(kind, text[slice(*whole)]) else [bare(*spans[k]) for k in run]
+        yield from ((kind, *x) for x in parts if x[0] < x[1] and plausible(kind, text[slice(*x)]))
+
+
+def found_spans(texts: list[str | None], weights: Weights | None = None) -> list[tuple[list, list]]:
     """For each text: base spans, and those that the field adds; none of these overlaps a base one."""
     field = Field(weights or trained())
     base, held = [], []
@@ -328,30 +478,20 @@ def found_spans(texts: list[str | None], weights: tuple | None = None) -> list[t
         if re.search(r"[0-9@]", text) or not CUE_TOKENS.isdisjoint(text.split()):
             matches = list(TOKEN.finditer(text))
             tokens = [m[0] for m in matches]
-            at = nodes_of(tokens)
+            at, forms, named = nodes_of(tokens)
             if at:
-                held[-1] = (field.add(tokens, at), at, [matches[i].span() for i in at])
-    labels = field.labels()
+                held[-1] = (field.add(tokens, at, forms, named), at, [m.span() for m in matches])
+    labels = field.marginals().argmax(1)
     out = []
     for text, own, h in zip(texts, base, held):
         added = []
         if h:
             first, at, spans = h
-            k = 0
-            while k < len(at):
-                y, j = labels[first + k], k + 1
-                while j < len(at) and labels[first + j] == y and at[j] == at[j - 1] + 1:
-                    j += 1
-                if y:
-                    a, b = spans[k][0], spans[j - 1][1]
-                    while a < b and text[a] in EDGE and text[a] != "(":
-                        a += 1
-                    while a < b and text[b - 1] in EDGE and text[b - 1] not in ")]":
-                        b -= 1
-                    kind = LABELS[y]
-                    if a < b and plausible(kind, text[a:b]) and not any(a < e and s < b for _, s, e in own):
-                        added.append((kind, a, b))
-                k = j
+            said = [0] * len(spans)
+            for k, i in enumerate(at):
+                said[i] = int(labels[first + k])
+            if any(said):
+                added = list(stretches(text, spans, said, sorted((a, b) for _, a, b in own)))
         out.append((own, added))
     return out
 
@@ -367,30 +507,25 @@ def find_pii(docs: DataFrame, text: str = "text", batch_chars: int = 4_000_000)
     """Each row of docs with: base and added, arrays of (kind, start, end) in code points, end exclusive.
 
     A null or empty text has none. Repeated rows each get the same. Columns of the input with the name of a result are
-    replaced. batch_chars: the texts whose graphs are held together; it doesn't change results.
+    replaced; others stay, whatever their names. batch_chars: the texts whose graphs are held together; it doesn't change
+    results.
     """
-    own = docs.select(*[c for c in docs.columns if c not in ("base", "added")])
     weights = trained()
-    schema = own.sparkSession.createDataFrame([], f"base {SPANS}, added {SPANS}").schema
-    names = own.schema.names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < batch_chars):
-                    size += len(texts[end] or "")
-                    end += 1
-                found = found_spans(texts[at:end], weights)
-                cells = [[[{"kind": k, "start": a, "end": b} for k, a, b in side] for side in sides] for sides in zip(*found)]
-                part = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c, kind) for c in cells]], names=[*names, "base", "added"])
-                at = end
-
-    return own.mapInArrow(run, StructType([*own.schema.fields, *schema.fields]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def work(column: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        texts = column.to_pylist()
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size < batch_chars):
+                size += len(texts[end] or "")
+                end += 1
+            found = found_spans(texts[at:end], weights)
+            yield at, end, [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in side] for side in sides], kind) for sides in zip(*found)]
+            at = end
+
+    return map_rows(docs, text, f"base {SPANS}, added {SPANS}", work)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 import hashlib
+import itertools
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.plain import EDGES, SF, docs_of
 
-from lectern.llm.pii import base_spans, find_pii, found_spans, luhn, op4_pii
+from lectern.llm.pii import LABELS, Field, Weights, base_spans, features, find_pii, found_spans, kin, luhn, made_sentences, one_edit, op4_pii, trained, word_features
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -39,12 +42,90 @@ def test_field_adds_what_patterns_miss():
     assert ("phone", "555-123-4567") in got and ("id", "XK493022") in got and any(k == "name" and "Maria" in t for k, t in got) and any(k == "email" for k, _ in got)
 
 
-def test_skip_edges_carry_labels():
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 10, 80])
+def test_one_clear_mention_labels_all(k):
     far = " ".join(["the people of the town went to the square and back"] * 40)
-    text = f"Dear Marlowe Hastings, welcome. {far} and then Marlowe said nothing"
+    text = f"Dear Marlowe Hastings, welcome. {far} " + " ".join(["and then the others saw Marlowe near it"] * k)
     (_, added), = found_spans([text])
-    assert [text[a:b] for k, a, b in added if k == "name"].count("Marlowe") == 1  # the later, uncued one
-    assert all("name" != k for k, _, _ in found_spans(["and then Marlowe said nothing"])[0][1])
+    assert [text[a:b] for kind, a, b in added if kind == "name"] == ["Marlowe Hastings"] + ["Marlowe"] * k
+    uncued = " ".join(["and then the others saw Marlowe near it"] * k)
+    assert found_spans([uncued]) == [([], [])]
+
+
+def test_similar_forms_share_labels():
+    text = "Dear Marlowe Hastings, welcome. The board met MARLOWE later, and heard Marlowe's plan. Then Hastinks left for the town of Harlow."
+    (_, added), = found_spans([text])
+    assert [text[a:b] for _, a, b in added] == ["Marlowe Hastings", "MARLOWE", "Marlowe's", "Hastinks"]
+    text = "call 555-123-4567 now. The number is old and 5551234567 is what it said."
+    (_, added), = found_spans([text])
+    assert [(k, text[a:b]) for k, a, b in added] == [("phone", "555-123-4567"), ("phone", "5551234567")]
+
+
+def test_stretches_end_where_one_thing_ends():
+    text = "call 555-123-4567, 555-987-6543\n555-222-3333 or 555-444-5555 555-666-7777 now"
+    (_, added), = found_spans([text])
+    assert [text[a:b] for k, a, b in added if k == "phone"] == re.findall("[0-9-]{12}", text)
+    text = "call a@b.cc 555-123-4567 now"  # beside a base span
+    (base, added), = found_spans([text])
+    assert base == [("email", 5, 11)] and [text[a:b] for _, a, b in added] == ["555-123-4567"]
+
+
+def brute_marginals(field, n):
+    """By all labellings of the n nodes."""
+    total = np.zeros((n, len(LABELS)))
+    w = field.weights
+    for labels in itertools.product(range(len(LABELS)), repeat=n):
+        score = sum(field.unary[i][y] for i, y in enumerate(labels)) + sum((w.tie if tie else w.chain)[labels[a], labels[b]] for a, b, tie in field.edges)
+        total[np.arange(n), labels] += np.exp(score)
+    return total / total.sum(1, keepdims=True)
+
+
+@pytest.mark.parametrize(
+    ("text", "exact"),
+    [("Dear Marlowe went", True), ("Dear Marlowe and Marlowe", False), ("x 555-1234567 y 5551234567", False), ("call 5551234", True)],
+)
+def test_marginals(text, exact):
+    tokens = text.split()
+    field = Field(trained())
+    field.add(tokens, list(range(len(tokens))), [kin(t) for t in tokens], [True] * len(tokens))
+    n = len(field.unary)
+    got, want = field.marginals(), brute_marginals(field, n)
+    assert (got.argmax(1) == want.argmax(1)).all()
+    assert np.abs(got - want).max() < (1e-3 if exact else 0.15)
+
+
+def test_marginals_across_a_hub_without_loops():
+    """Mentions far apart, tied to one form: a tree, where sum-product is exact."""
+    tokens = "Dear Marlowe x x Marlowe x x Marlowe".split()
+    field = Field(trained())
+    field.add(tokens, [1, 4, 7], ["marlowe"] * 3, [True] * 3)
+    assert np.abs(field.marginals() - brute_marginals(field, 4)).max() < 1e-3
+    alone = Field(trained())  # a form with one mention is summed over at once
+    alone.add(tokens, [1], ["marlowe"], [True])
+    w = trained()
+    both = Field(w)
+    both.unary = [both._sum(w.around, features(tokens, 1)), both._sum(w.word, word_features("Marlowe"))]
+    both.edges, both.graph, both.n_graphs = [(0, 1, True)], [0, 0], 1
+    assert np.abs(alone.marginals()[0] - brute_marginals(both, 2)[0]).max() < 1e-3
+
+
+def test_ties_matter_and_held_out_sentences_are_labelled():
+    w = trained()
+    loose = Weights(w.word, w.around, w.chain, np.eye(len(LABELS)) * 0)
+    right = {}
+    for name, weights in (("tied", w), ("loose", loose)):
+        field, gold, where = Field(weights), [], []
+        for tokens, ys in made_sentences(150, 4711):
+            first = field.add(tokens, list(range(len(tokens))), [kin(t) for t in tokens], [True] * len(tokens))
+            gold += ys
+            where += range(first, first + len(ys))
+        right[name] = (field.marginals().argmax(1)[where] == gold).mean()
+    assert right["tied"] > 0.98 and right["tied"] > right["loose"] + 0.01
+
+
+@pytest.mark.parametrize(("a", "b", "close"), [("abcdef", "abcxef", True), ("abcdef", "abcdf", True), ("abcdef", "abcdefg", True), ("abcdef", "abdcef", False), ("abc", "abcde", False), ("abc", "abc", True)])
+def test_one_edit(a, b, close):
+    assert one_edit(a, b) == one_edit(b, a) == close
 
 
 def test_prose_is_left_alone():
@@ -65,7 +146,7 @@ def test_query_and_edges(spark):
         assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
         assert [r[f"n_{k}"] for k in PATTERNS] == [sum(s[0] == k for s in spans) for k in PATTERNS]
         assert set(filter(None, line.split(","))) <= set(r["spans"].split(","))
-    docs = docs_of(spark, [*EDGES, (None, "a@b.cc")]).withColumnRenamed("lang", "base")
+    docs = docs_of(spark, [*EDGES, (None, "a@b.cc")]).withColumnRenamed("lang", "base").withColumn("a.b", F.lit(1)).withColumn("_id", F.lit(2))
     got = find_pii(docs).collect()
     assert len(got) == len(EDGES) + 1 and sum(len(r["base"]) for r in got) == 1
     assert find_pii(docs.limit(0)).count() == 0
