@@ -1,7 +1,9 @@
+import time
+
 import pytest
 from tests.llm.plain import SF
 
-from lectern.llm.html_extraction import extract_html, main_text, op1_html_extraction
+from lectern.llm.html_extraction import BlockRules, extract_html, main_text, op1_html_extraction
 
 PARAGRAPH = "The people of the town are in the square and they talk about what is to come, as it was said by all of them in the morning."
 
@@ -40,3 +42,45 @@ def test_query_gives_the_article_of_every_page(spark):
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         assert r["text"] == "\n\n".join(b for b in blocks if b)
         assert r["n_chars"] == len(r["text"])
+
+
+PLAIN_PAGE = f"""<html><body><div><a href=/a>Home</a> <a href=/b>News</a></div><h1>The title</h1><p>{PARAGRAPH}</p><p>Short one.</p><p>{PARAGRAPH}</p>
+<div>Shoes, boots, sandals, socks, laces, polish, brushes, heels, insoles, buckles, straps, gaiters, slippers, clogs, trainers, pumps</div>
+<p>Prices Tuesday</p><div><a href=/x>{PARAGRAPH}</a> and more</div></body></html>"""
+
+
+def test_densities_decide_where_no_tag_does():
+    assert main_text(PLAIN_PAGE) == f"The title\n\n{PARAGRAPH}\n\nShort one.\n\n{PARAGRAPH}"
+    always, never = BlockRules(stop_low=0, stop_high=0), BlockRules(stop_low=2, stop_high=2)
+    assert "Shoes" in main_text(PLAIN_PAGE, always)
+    assert main_text(PLAIN_PAGE, never) == ""
+    assert main_text(PLAIN_PAGE, BlockRules(max_link_density=2)).count(PARAGRAPH) == 3
+
+
+@pytest.mark.parametrize("container", ['div class="container has-sidebar"', 'div class="content no-comments"', 'div id="social-science"', 'section class="login-guide"', 'div class="main widget"', "form"])
+def test_class_words_that_only_look_like_menus(container):
+    page = f"<body><{container}><h2>Head</h2><p>{PARAGRAPH * 2}</p></{container.split()[0]}></body>"
+    assert main_text(page) == f"Head\n\n{PARAGRAPH * 2}"
+
+
+@pytest.mark.parametrize("container", ['div class="ad"', 'div class="sidebar-left"', 'div id="comments"', 'ol class="comment-list"', 'div class="cookieNotice"', 'div role="navigation"', "aside", "nav", "footer", "div hidden"])
+def test_containers_beside_the_article(container):
+    other = f"<{container}><p>{PARAGRAPH * 2}</p><p>Short.</p></{container.split()[0]}>"
+    assert main_text(f"<body>{other}<div><p>{PARAGRAPH * 2}</p><p>Tail.</p></div>{other}") == f"{PARAGRAPH * 2}\n\nTail."
+
+
+def test_nothing_of_the_article_is_dropped():
+    assert main_text(f"<article><p>{PARAGRAPH}</p><p>for <math><mi>x</mi><mo>=</mo><mn>1</mn></math> only</p></article>") == f"{PARAGRAPH}\n\nfor x=1 only"
+    assert main_text("<article><h1>T</h1><p>Xyzzy plugh.</p></article>") == "T\n\nXyzzy plugh."  # words of no known language
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a b="\'>', "<button>", "<div>", "</p><i>", '<a href="x>', "<!-- ", "<select><p>", "&amp", "<p a='", "<svg>", "<![CDATA["])
+def test_hostile_pages_are_read_once(part):
+    began = time.process_time()
+    main_text(part * 100_000)
+    assert time.process_time() - began < 4
+
+
+def test_clashing_names(spark):
+    pages = spark.createDataFrame([(1, "<p>" + PARAGRAPH, 2, 3)], "page_id long, html string, `a.b` long, c0 long")
+    assert extract_html(pages).first().asDict() == {"page_id": 1, "html": "<p>" + PARAGRAPH, "a.b": 2, "c0": 3, "text": PARAGRAPH}
