@@ -17,15 +17,15 @@ def plain(url, rules):
     return (host, path, *max(fit)[2:]) if fit else (host, path, None, "allow")
 
 
-URLS = [None, "", "no scheme", "://", "http://", "http://NET", "http://net/", "https://a.net/x?q=/en/", "http://example.net/en/", "http://a.b.example.net/en/1#x", "http://example.net/EN/", "http://badexample.com/de/", "http://example.com/de/x", "http://x.org/fr/", "http://x.org?/fr/", "http://user@net:80/", "a://b://c.net/", "http://münchen.net/ü", "http://a..net/", "http://net./", "http://x.net/\x00/y\nz"]
+URLS = [None, "", "no scheme", "://", "http://", "http://NET", "http://net/", "https://a.net/x?q=/en/", "http://example.net/en/", "http://a.b.example.net/en/1#x", "http://example.net/EN/", "http://badexample.com/de/", "http://example.com/de/x", "http://x.org/fr/", "http://x.org?/fr/", "http://user@net:80/", "a://b://c.net/", "http://münchen.net/ü", "http://a..net/", "http://net./", "http://x.net/\x00/y\nz", "http://a.net/\U0010ffffx", "http://a.net/\U0010ffff\U0010ffff", "http://com/", "http://b.com/?q", "http://b.com/?r"]
 
 
 @pytest.mark.parametrize("ranges", [1, 5])
 def test_contract_rules(spark, ranges):
-    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS + URLS)], "page_id long, url string, verdict string")
+    pages = spark.createDataFrame([(i, u, "clash", 1, 2, 3, 4) for i, u in enumerate(URLS + URLS)], "page_id long, url string, verdict string, _url int, hit int, `a.b` int, key int")
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
     got = judge_urls(pages, rules, ranges=ranges).collect()
-    assert len(got) == 2 * len(URLS) and pages.columns[0] == "page_id"
+    assert len(got) == 2 * len(URLS) and got[0].asDict().keys() == {"page_id", "url", "_url", "hit", "a.b", "key", "host", "path", "rule", "verdict"}
     for r in got:
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == plain(r["url"], RULES), r
 
