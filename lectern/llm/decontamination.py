@@ -1,12 +1,13 @@
 """Benchmark decontamination by winnowing.
 
 Of the hashes of GRAM words in a row, the least of every WINDOW neighbours is kept as a fingerprint (the last of equal
-ones). Two texts that share GRAM + WINDOW - 1 = 10 words in a row thus share a fingerprint in them. Fingerprints of
-documents and benchmark items are joined, and each hit is extended to both sides word by word, exactly. Items of fewer
-than 10 words are one window of their own length; for those lengths every gram of a document is a fingerprint.
+ones). Two texts that share GRAM + WINDOW - 1 = 10 words in a row thus share a fingerprint in them. Documents'
+fingerprints are held against the items' in the tasks that read the documents, through a bitmap of bounded size; each
+hit is extended to the windows of 10 words that hold it, and those meet the items' windows in a join on the words
+themselves, so a hash never decides. Items of fewer than 10 words are one window of their own length; for those lengths
+every gram of a document is a fingerprint.
 
-A fixed-size bitmap of the items' fingerprints keeps documents' fingerprints that can't meet any from the shuffle. It
-only saves work: its false positives fall out in the join.
+A window that a text holds many times is one row with its places, so repeated words cost no more than others.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise, table
-from lectern.llm.tokens import Words, chunks, words_of
+from lectern.llm.common import map_rows, materialise, others, packed, table, unpacked
+from lectern.llm.tokens import Words, chunks
 
 #: Words in a shared window; fixed by the contract.
 SPAN = 10
 GRAM, WINDOW = 5, 6
-BITMAP_BITS = 1 << 24
+#: Bits of a bitmap: 32 MB at most, whatever the benchmark's size.
+MOST_BITS = 1 << 28
 #: A word, for counting: A-Z are letters before they are lower-cased.
 WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
 
@@ -46,56 +48,85 @@ def winnowed(w: Words) -> np.ndarray:
     return at, grams[at]
 
 
-def fingerprints(w: Words, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each fingerprint: its length in words, its hash, the number of its first word."""
-    at, h = winnowed(w)
-    found = [(np.full(len(at), GRAM + 100), h, at)]  # lengths of whole short items and of grams don't meet
-    for k in lengths:
-        g, inside = w.grams(k)
-        i = np.flatnonzero(inside)
-        found.append((np.full(len(i), k), g[i], i))
-    return tuple(np.concatenate(x) for x in zip(*found))
+class Filter:
+    """A bitmap of 64-bit hashes. It lets some others through; what it saves is work, not a decision."""
 
+    def __init__(self, bits: int, words: np.ndarray):
+        self.mask, self.words = np.uint64(bits - 1), words
 
-HIT = "struct<size:int,hash:bigint,pos:int>"
-_HITS = pa.list_(pa.struct([("size", pa.int32()), ("hash", pa.int64()), ("pos", pa.int32())]))
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        slot = h & self.mask
+        return ((self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def _lists(doc: np.ndarray, n_docs: int, size, hashed, pos) -> pa.Array:
-    order = np.argsort(doc, kind="stable")
-    offsets = np.searchsorted(doc[order], np.arange(n_docs + 1)).astype(np.int32)
-    values = pa.StructArray.from_arrays([pa.array(size[order].astype(np.int32)), pa.array(hashed[order].view(np.int64)), pa.array(pos[order].astype(np.int32))], fields=list(_HITS.value_type))
-    return pa.ListArray.from_arrays(pa.array(offsets), values).cast(_HITS)
+def filter_of(hashes: DataFrame) -> Filter:
+    """The bitmap of the column hash, of 16 bits a hash, MOST_BITS at most; its words meet on the driver."""
+    n = hashes.count()
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+    slot = F.pmod("hash", F.lit(bits))
+    words = hashes.groupBy(F.floor(slot / 64).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("w"))
+    held = np.zeros(bits // 64, np.int64)
+    for r in words.toLocalIterator():
+        held[r["i"]] = r["w"]
+    return Filter(bits, held.view(np.uint64))
 
 
-def item_fingerprints(items: DataFrame) -> DataFrame:
-    """size, hash, item_id, item_text, pos. items: item_id, item_text, distinct."""
+def _window_texts(w: Words, first: np.ndarray, k: np.ndarray) -> list[str]:
+    """The k words from first on, A-Z lower-cased, one space between."""
+    low, out = w.data.tobytes().lower(), []
+    for i, n in zip(first.tolist(), k.tolist()):
+        out.append(b" ".join(low[w.start[j] : w.end[j]] for j in range(i, i + n)).decode())
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, w in chunks(batch.column("item_text")):
-                n = w.counts()
-                short = np.flatnonzero((n > 0) & (n < SPAN))
-                size, h, at = fingerprints(w, [])
-                whole = {k: w.grams(k)[0] for k in set(n[short].tolist())}
-                size = np.concatenate([size, n[short]])
-                h = np.concatenate([h, np.array([whole[n[i]][w.first[i]] for i in short], np.uint64)])
-                at = np.concatenate([at, w.first[short]])
-                doc = w.doc[at] if len(at) else at
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, _lists(doc, b - a, size, h, at - w.first[doc])], names=[*batch.schema.names, "hits"])
-
-    schema = f"item_id {items.schema['item_id'].dataType.simpleString()}, item_text string, hits array<{HIT}>"
-    return items.select("item_id", "item_text").mapInArrow(run, schema).select("item_id", "item_text", F.inline("hits"))
-
-
-def bitmap_of(marks: DataFrame) -> np.ndarray:
-    """The bitmap of the column hash; its words meet on the driver, never more than BITMAP_BITS / 64 of them."""
-    slot = F.pmod("hash", F.lit(BITMAP_BITS))
-    words = marks.groupBy(F.floor(slot / 64).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("w"))
-    held = np.zeros(BITMAP_BITS // 64, np.int64)
-    for r in words.toLocalIterator():
-        held[r["i"]] = r["w"]
-    return held.view(np.uint64)
+
+def item_marks(items: DataFrame) -> DataFrame:
+    """item_id, windows and prints: every window of each item with its hash, and the hashes of the fingerprints. items:
+    item_id, item_text."""
+
+    def work(column: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        for a, b, w in chunks(column):
+            n = w.counts()
+            first, size = [], []
+            for i in np.flatnonzero(n):
+                k = min(SPAN, int(n[i]))
+                first.append(np.arange(w.first[i], w.first[i] + n[i] - k + 1))
+                size.append(np.full(n[i] - k + 1, k))
+            first, size = (np.concatenate(x or [np.zeros(0, int)]) for x in (first, size))
+            h = np.zeros(len(first), np.uint64)
+            for k in set(size.tolist()):
+                h[size == k] = w.grams(k)[0][first[size == k]]
+            at, prints = winnowed(w)
+            windows = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(_window_texts(w, first, size), pa.string()), pa.array(size.astype(np.int32))], ["hash", "window", "size"])
+            yield a, b, [_lists(w.doc[first], b - a, windows), _lists(w.doc[at], b - a, pa.array(prints.view(np.int64)))]
+
+    return map_rows(items, "item_text", "windows array<struct<hash:bigint,window:string,size:int>>, prints array<bigint>", work)
+
+
+def _lists(doc: np.ndarray, n_docs: int, values: pa.Array) -> pa.Array:
+    """doc doesn't fall."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n_docs + 1)).astype(np.int32)), values)
+
+
+def met_windows(w: Words, prints: Filter, windows: Filter, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where windows begin that items may have, their sizes and hashes. A window of SPAN words holds a fingerprint; each
+    that is known is extended to the windows around it. For shorter items every gram of their length is looked at."""
+    at, h = winnowed(w)
+    at = at[prints(h)]
+    last = len(w.hash) - SPAN
+    first = np.unique((at[:, None] - np.arange(SPAN - GRAM + 1)).ravel())
+    first = first[(first >= 0) & (first <= last)]
+    first = first[w.doc[first] == w.doc[first + SPAN - 1]]
+    found = [(first, SPAN, w.grams(SPAN)[0][first])]
+    for k in lengths:
+        g, inside = w.grams(k)
+        i = np.flatnonzero(inside)
+        found.append((i, k, g[i]))
+    keep = [windows(g) for _, _, g in found]
+    return (
+        np.concatenate([i[c] for (i, _, _), c in zip(found, keep)]),
+        np.concatenate([np.full(c.sum(), k) for (_, k, _), c in zip(found, keep)]),
+        np.concatenate([g[c] for (_, _, g), c in zip(found, keep)]),
+    )
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -103,94 +134,51 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     as strings, sorted), contaminated.
 
     A null text has no words, and so is clean; an item without words never occurs. Items with equal ids count as one.
-    Repeated rows each get the same. Columns of docs with the name of a result are replaced.
+    Repeated rows each get the same. Columns of docs with the name of a result are replaced; others stay, whatever their
+    names.
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", F.col("text").alias("item_text")).where("item_text IS NOT NULL").distinct()
-    marks = materialise(item_fingerprints(items))
-    lengths = sorted(r[0] for r in marks.where(F.col("size") < SPAN).select("size").distinct().collect())  # 9 at most
-    held = spark.sparkContext.broadcast(bitmap_of(marks))
-    bits = np.uint64(BITMAP_BITS - 1)
+    marks = materialise(item_marks(items).select(F.col("item_id").cast("string").alias("item"), "windows", "prints"))
+    inside = materialise(marks.select("item", F.inline("windows")).distinct())  # item, hash, window, size
+    lengths = sorted(r[0] for r in inside.where(F.col("size") < SPAN).select("size").distinct().collect())  # 9 at most
+    held = spark.sparkContext.broadcast((filter_of(marks.select(F.explode("prints").alias("hash"))), filter_of(inside.select("hash"))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
-        for batch in batches:
-            for a, b, w in chunks(batch.column("_text")):
-                size, h, at = fingerprints(w, lengths)
-                slot = h & bits
-                there = np.flatnonzero((known[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
-                size, h, at = size[there], h[there], at[there]
-                doc = w.doc[at] if len(at) else at
-                hits = _lists(doc, b - a, size, h, at - w.first[doc])
-                part = batch.slice(a, b - a)
-                clean = np.ones(b - a, bool)
-                clean[doc] = False
-                texts = pa.array(part.column("_text").to_pylist(), pa.string(), mask=clean)
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_hash"), texts, hits], names=["_id", "_hash", "_text", "hits"])
-
-    key_type = docs.schema[key].dataType.simpleString()
-    keyed = docs.select(F.col(key).alias("_id"), F.xxhash64(text, F.length(text)).alias("_hash"), F.col(text).alias("_text"))
-    scanned = materialise(keyed.mapInArrow(scan, f"_id {key_type}, _hash bigint, _text string, hits array<{HIT}>"))
-
-    hits = scanned.where("size(hits) > 0").select("_id", "_hash", F.inline("hits"))
-    met = hits.withColumnRenamed("pos", "at").join(marks, ["size", "hash"])
-    met = met.groupBy("_id", "_hash", "item_id", "item_text").agg(F.collect_set(F.struct("at", "pos")).alias("pairs"))
-    met = met.groupBy("_id", "_hash").agg(F.collect_list(F.struct("item_id", "item_text", "pairs")).alias("met"))
-    texts = scanned.where("size(hits) > 0").select("_id", "_hash", "_text")
-    asked = texts.alias("t").join(met.alias("m"), F.expr("t._id <=> m._id AND t._hash = m._hash")).select("t._id", "t._hash", "t._text", "m.met")
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints, windows = held.value
         for batch in batches:
-            n_hit, found = [], []
-            for text, met in zip(batch.column("_text").to_pylist(), batch.column("met").to_pylist()):
-                n, ids = extended(text, [(m["item_id"], m["item_text"], [(p["at"], p["pos"]) for p in m["pairs"]]) for m in met])
-                n_hit.append(n)
-                found.append(sorted({str(i) for i in ids}))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string()))], names=["_id", "_hash", "n_hit", "items"])
-
-    checked = asked.mapInArrow(extend, f"_id {key_type}, _hash bigint, n_hit bigint, items array<string>").where("n_hit > 0")
-    checked = materialise(checked.groupBy("_id", "_hash").agg(F.first("n_hit").alias("n_hit"), F.first("items").alias("items")))
-    own = docs.select(*[c for c in docs.columns if c not in ("n_words", "n_hit", "items", "contaminated")])
-    n_words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    left = own.select("*", n_words.alias("n_words"), F.col(key).alias("_d_id"), F.xxhash64(text, F.length(text)).alias("_d_hash"))
+            for a, _, w in chunks(batch.column("text")):
+                first, size, h = met_windows(w, prints, windows, lengths)
+                doc = w.doc[first] if len(first) else first
+                order = np.lexsort((first, h, size, doc))  # each different window of a text once, with its places
+                first, size, h, doc = first[order], size[order], h[order], doc[order]
+                new = np.ones(len(first), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (size[1:] != size[:-1]) | (h[1:] != h[:-1])
+                begin = np.flatnonzero(new)
+                places = pa.ListArray.from_arrays(pa.array(np.append(begin, len(first)).astype(np.int32)), pa.array((first - w.first[doc]).astype(np.int32)))
+                rows = pa.array(doc[begin] + a)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("hash").take(rows), pa.array(_window_texts(w, first[begin], size[begin]), pa.string()), pa.array(size[begin].astype(np.int32)), places], names=["id", "hash", "window", "size", "at"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    id_, text_ = F.col(f"`{key}`"), F.col(f"`{text}`")
+    version = F.xxhash64(text_, F.length(text_))
+    scanned = docs.select(id_.alias("id"), version.alias("hash"), text_.alias("text")).mapInArrow(scan, f"id {kind}, hash bigint, window string, size int, at array<int>")
+    # Here the words themselves are compared. Equal rows give the same windows, of which one is kept.
+    asked = materialise(scanned.join(inside.select("window").distinct(), "window", "left_semi").dropDuplicates(["id", "hash", "window"]))
+    spans = F.array_sort(F.flatten(F.collect_list(F.transform("at", lambda i: F.struct(i.alias("from"), (i + F.col("size")).alias("to"))))))
+    begin = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
+    covered = lambda a, s: F.struct(F.greatest(a["upto"], s["to"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), s["to"] - F.greatest(a["upto"], s["from"]))).alias("n"))
+    n_hit = asked.groupBy("id", "hash").agg(spans.alias("spans")).select("id", "hash", F.aggregate("spans", begin, covered)["n"].alias("n_hit"))
+    found = asked.join(inside.select("window", "item"), "window").groupBy("id", "hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    same = F.expr("h.id <=> f.id AND h.hash = f.hash")
+    checked = materialise(n_hit.alias("h").join(found.alias("f"), same).select(F.col("h.id").alias("_id"), F.col("h.hash").alias("_hash"), "n_hit", "items"))
+
+    own = others(docs, "n_words", "n_hit", "items", "contaminated")
+    n_words = F.regexp_count(F.coalesce(text_, F.lit("")), F.lit(WORD)).cast("long")
+    left = docs.select(packed(docs, own), n_words.alias("n_words"), id_.alias("_d_id"), version.alias("_d_hash"))
     joined = left.join(checked, F.expr("_d_id <=> _id AND _d_hash = _hash"), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return joined.select(*own.columns, "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
-
-
-def extended(text: str, met: list[tuple[object, str, list[tuple[int, int]]]]) -> tuple[int, list]:
-    """Words of the text that are hit, and the items that occur. met: item, its text, (word of the text, word of the
-    item) where fingerprints meet."""
-    own = _listed(text)
-    hit = np.zeros(len(own), bool)
-    ids = []
-    for item, item_text, pairs in met:
-        theirs = _listed(item_text)
-        need = min(SPAN, len(theirs))
-        seen: dict[int, int] = {}  # diagonal -> up to which word of the text it is done
-        found = False
-        for at, pos in sorted(pairs):
-            if seen.get(at - pos, -1) > at or own[at] != theirs[pos]:
-                continue
-            a, b = at, pos
-            while a and b and own[a - 1] == theirs[b - 1]:
-                a, b = a - 1, b - 1
-            c, d = at + 1, pos + 1
-            while c < len(own) and d < len(theirs) and own[c] == theirs[d]:
-                c, d = c + 1, d + 1
-            seen[at - pos] = c
-            if c - a >= need:
-                hit[a:c] = True
-                found = True
-        if found:
-            ids.append(item)
-    return int(hit.sum()), ids
-
-
-def _listed(text: str) -> list[bytes]:
-    w = words_of(text)
-    low = w.data.tobytes().lower()
-    return [low[a:b] for a, b in zip(w.start.tolist(), w.end.tolist())]
+    hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return unpacked(joined, own, "n_words", hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (hit > 0).alias("contaminated"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

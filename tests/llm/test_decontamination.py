@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 from tests.llm.plain import EDGES, SF, alnum_words, docs_of
@@ -67,9 +68,18 @@ def test_query(spark):
 
 
 def test_shape(spark):
-    docs = docs_of(spark, [(None, "a b c d e f g h i j"), (None, "a b c d e f g h i j"), (2, None)]).withColumnRenamed("lang", "items")
+    docs = docs_of(spark, [(None, "a b c d e f g h i j"), (None, "a b c d e f g h i j"), (2, None)]).withColumnRenamed("lang", "items").selectExpr("*", "1 AS _id", "2 AS _hash", "3 AS _d_id", "4 AS `a.b`", "5 AS id", "6 AS window")
     one = bench(spark, [(1, "a b c d e f g h i j k")])
     got = find_contamination(docs, one).collect()
     assert sorted(r["n_hit"] for r in got) == [0, 10, 10]
+    assert [(r["_id"], r["_hash"], r["_d_id"], r["a.b"], r["id"], r["window"]) for r in got] == [(1, 2, 3, 4, 5, 6)] * 3
     assert find_contamination(docs, one.limit(0)).where("contaminated").count() == 0
     assert find_contamination(docs.limit(0), one).count() == 0
+
+
+def test_repeated_words_cost_no_more(spark):
+    n = 100_000
+    began = time.time()
+    got = find_contamination(docs_of(spark, ["x " * n, "x y " * n, "a b c d e f g h i j k " * 20_000]), bench(spark, [(1, "x " * 2000), (2, "y x " * 500), (3, "z")])).collect()
+    assert time.time() - began < 60
+    assert [(r["n_hit"], r["items"]) for r in sorted(got, key=lambda r: r["doc_id"])] == [(n, ["1"]), (2 * n, ["2"]), (0, [])]
