@@ -8,13 +8,14 @@ by start, gives each part its scope, and the nearest earlier and later part of e
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table
+from lectern.llm.common import materialise, others, packed, table, unpacked
 
 #: Fixed values of the contract: the strong kinds in their order. Group 2 of each is what the length is asked of.
 STRONG = {
@@ -40,23 +41,55 @@ class LinkRules:
     max_gap: int = 200
 
 
+BLOCK = 256
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body asks for it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each element what merge makes of all before it, starting at zero; merge is associative. The elements are taken in
+    blocks, so that the arrays that grow step by step stay short."""
+
+    def within(block: Column, first: Column) -> Column:
+        start = F.struct(first.alias("now"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, start, lambda a, x: F.struct(merge(a["now"], x).alias("now"), F.concat(a["out"], F.array(a["now"])).alias("out")), lambda a: a["out"])
+
+    def blocks(v: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(v, i * BLOCK + 1, BLOCK))
+
+    def whole(held: Column) -> Column:
+        firsts = within(F.transform(held, lambda x: F.aggregate(x, zero, merge)), zero)
+        return bound(firsts, lambda f: F.flatten(F.transform(held, lambda x, i: within(x, F.get(f, i)))))
+
+    return bound(values, lambda v: bound(blocks(v), whole))
+
+
+def starts(sizes: Column) -> Column:
+    """Where each piece of a text starts, by their lengths."""
+    return running(sizes, F.lit(0), lambda a, n: a + n)
+
+
 def _spans(text: Column, kind: str, pattern: str, least: int) -> Column:
     """Leftmost non-overlapping matches as (start, kind, end); those with a shorter group 2 are dropped, without retries.
 
-    The text holds no \\x01 or \\x02. Each match is put between two \\x01 marks; in the pieces between marks every second
+    The text holds no \x01 or \x02. Each match is put between two \x01 marks; in the pieces between marks every second
     one is a match, and the lengths of all before give its place.
     """
     pieces = F.split(F.regexp_replace(text, pattern, "\x01$1\x02$2\x01"), "\x01", -1)
-    none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), none.alias("out"))
 
-    def step(a, piece):
-        size = F.length(piece) - F.when(a["hit"], 1).otherwise(0)
-        long_enough = a["hit"] & (F.length(F.substring_index(piece, "\x02", -1)) >= least)
-        span = F.struct(a["at"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (a["at"] + size).alias("end"))
-        return F.struct((a["at"] + size).alias("at"), (~a["hit"]).alias("hit"), F.when(long_enough, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+    def found(x: Column) -> Column:
+        sizes = F.transform(x, lambda piece, i: F.length(piece) - i % 2)
+        all_ = F.zip_with(x, starts(sizes), lambda piece, at: F.struct(at.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (at + F.length(piece) - 1).alias("end"), F.length(F.substring_index(piece, "\x02", -1)).alias("n")))
+        hits = F.filter(all_, lambda s, i: (i % 2 == 1) & (s["n"] >= least))
+        return F.transform(hits, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
-    return F.when(text.rlike(pattern), F.aggregate(pieces, start, step)["out"]).otherwise(none)
+    # Plain searches come first: what lacks these letters has no match.
+    may = {"access": F.contains(text, F.lit("AKIA")), "hex": F.lit(True), "link_endpoint": F.contains(text, F.lit("://"))}.get(kind, F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")))
+    return F.when(may & text.rlike(pattern), bound(pieces, found)).otherwise(F.array().cast(SPAN))
 
 
 def _written(spans: Column) -> Column:
@@ -69,27 +102,35 @@ def secret_scans(docs: DataFrame, p: LinkRules = LinkRules(), text: str = "text"
     start, then kind (kind: index in KINDS; code points, end exclusive).
 
     A null text has no spans. Repeated rows each get the same spans; a null key is a key like another. Columns of the
-    input with the name of a result are replaced.
+    input with the name of a result are replaced; others stay, whatever their names.
     """
-    own = [c for c in docs.columns if c not in ("base", "all_spans")]
-    masked = F.translate(F.coalesce(F.col(text), F.lit("")), "\x01\x02", "\x03\x03")
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(key).alias("_id"), F.xxhash64(text, F.length(text)).alias("_text"), masked.alias("_t"))
+    own = others(docs, "base", "all_spans")
+    id_, text_ = F.col(f"`{key}`"), F.col(f"`{text}`")
+    version = F.xxhash64(text_, F.length(text_))
+    marked = F.contains(text_, F.lit("\x01")) | F.contains(text_, F.lit("\x02"))
+    masked = F.coalesce(F.when(marked, F.translate(text_, "\x01\x02", "\x03\x03")).otherwise(text_), F.lit(""))
     weak = [(k, *(ENDPOINT if k == "link_endpoint" else WEAK[k])) for k in WEAK]
-    df = df.select(
-        "_row", "_id", "_text",
+    found = docs.select(id_.alias("_id"), version.alias("_text"), masked.alias("_t")).select(
+        "_id", "_text", "_t",
         F.array_sort(F.concat(*[_spans(F.col("_t"), k, *v) for k, v in STRONG.items()])).alias("base"),
-        F.concat(*[_spans(F.col("_t"), *w) for w in weak]).alias("_weak"), "_t",
+        F.concat(*[_spans(F.col("_t"), *w) for w in weak]).alias("weak"),
     )
-    links = linked_parts(df.where("size(_weak) > 0").select("_id", "_text", F.concat("base", "_weak").alias("parts"), _scope_starts(F.col("_t")).alias("scopes")), p)
-    joined = df.alias("d").join(links.alias("l"), F.expr("d._id <=> l._id AND d._text = l._text"), "left")
-    return joined.select("d._row.*", "d.base", F.array_sort(F.array_union("d.base", F.coalesce("l.links", F.array().cast(SPAN)))).alias("all_spans"))
+    scopes = F.when(F.size("weak") > 0, _scope_starts(F.col("_t"))).otherwise(F.array().cast("array<int>"))
+    # Texts are searched once; what is found is written, and equal rows are one from here on.
+    found = materialise(found.where("size(base) + size(weak) > 0").select("_id", "_text", "base", "weak", scopes.alias("scopes")).dropDuplicates(["_id", "_text"]))
+    links = linked_parts(found.where("size(weak) > 0").select("_id", "_text", F.concat("base", "weak").alias("parts"), "scopes"), p)
+    spans = found.alias("f").join(links.alias("l"), F.expr("f._id <=> l._id AND f._text = l._text"), "left")
+    none = F.array().cast(SPAN)
+    spans = materialise(spans.select("f._id", "f._text", "f.base", F.array_sort(F.concat("f.base", F.coalesce("l.links", none))).alias("all_spans")))
+    rows = docs.select(packed(docs, own), id_.alias("_id"), version.alias("_text"))
+    joined = rows.alias("d").join(spans.alias("s"), F.expr("d._id <=> s._id AND d._text = s._text"), "left")
+    return unpacked(joined, own, F.coalesce("s.base", none).alias("base"), F.coalesce("s.all_spans", none).alias("all_spans"))
 
 
 def _scope_starts(text: Column) -> Column:
     """Where the blocks between blank lines start."""
     pieces = F.split(F.regexp_replace(text, "(\\n[ \\t\\r]*\\n)", "$1\x01"), "\x01", -1)
-    start = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("out"))
-    return F.aggregate(pieces, start, lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.concat(a["out"], F.array(a["at"] + F.length(x))).alias("out")))["out"]
+    return starts(F.transform(pieces, F.length))
 
 
 def linked_parts(found: DataFrame, p: LinkRules) -> DataFrame:
@@ -100,12 +141,13 @@ def linked_parts(found: DataFrame, p: LinkRules) -> DataFrame:
     parts = events.unionByName(scopes).withColumn("scope", F.last("scope", ignorenulls=True).over(sweep)).where("s IS NOT NULL").distinct()
     role = F.get(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("s.kind"))
     parts = parts.select("_id", "_text", "scope", "s", role.alias("role"))
-    order = W.partitionBy("_id", "_text", "scope").orderBy("s")
-    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    scope = W.partitionBy("_id", "_text", "scope")
+    # Both run forwards over their order: a frame that reaches to the end is gone over again for every row.
+    before, after = (scope.orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.asc("s"), F.desc("s")))
     near = []
     for r in ("id", "secret", "endpoint"):
         was = F.max(F.when(F.col("role") == r, F.col("s.end"))).over(before)
-        comes = F.first(F.when(F.col("role") == r, F.col("s.start")), ignorenulls=True).over(after)
+        comes = F.last(F.when(F.col("role") == r, F.col("s.start")), ignorenulls=True).over(after)
         near.append((F.coalesce(F.col("s.start") - was <= p.max_gap, F.lit(False)) | F.coalesce(comes - F.col("s.end") <= p.max_gap, F.lit(False))).alias(f"near_{r}"))
     parts = parts.select("*", *near)
     complete = (
@@ -117,16 +159,30 @@ def linked_parts(found: DataFrame, p: LinkRules) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every stretch covered by spans replaced by one mark. spans: by start."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with every stretch covered by spans replaced by one mark. spans: by start.
 
-    def step(a, s):
-        fresh = F.array(text.substr(a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], fresh)).otherwise(a["out"]).alias("out"))
-
-    done = F.aggregate(spans, start, step)
-    rest = text.substr(done["at"] + 1, F.length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(done["out"], ""), rest))
+    The text is cut into blocks, and what stays is put together from them: no place is counted from the text's start.
+    """
+    cut = 1024
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{cut}}}"), F.lit(0))
+    ends = F.transform(spans, lambda s: s["end"])
+
+    def part(held: Column, a: Column, b: Column) -> Column:
+        """From a to before b."""
+        first, last = F.floor(a / cut).cast("int"), F.floor((b - 1) / cut).cast("int")
+        one = F.get(held, first).substr(a % cut + 1, b - a)
+        middle = F.array_join(F.slice(held, first + 2, F.greatest(F.lit(0), last - first - 1)), "")
+        more = F.concat(F.get(held, first).substr(a % cut + 1, F.lit(cut)), middle, F.get(held, last).substr(F.lit(1), (b - 1) % cut + 1))
+        return F.when(b <= a, "").when(first == last, one).otherwise(more)
+
+    def whole(held: Column) -> Column:
+        # A stretch begins where a span starts at or behind the end of all before it.
+        upto = running(ends, F.lit(0), lambda a, b: F.greatest(a, b))
+        kept = F.zip_with(spans, upto, lambda s, at: F.when(s["start"] >= at, F.concat(part(held, at, s["start"]), F.lit(mark))).otherwise(""))
+        rest = bound(F.array_max(ends), lambda end: part(held, end, F.length(text)))
+        return F.concat(F.array_join(kept, ""), rest)
+
+    return F.when(F.size(spans) > 0, bound(blocks, whole)).otherwise(text)
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.plain import EDGES, SF, docs_of
 
-from lectern.llm.secret_scans import KINDS, op8_secret_scans, redacted, secret_scans
+from lectern.llm.secret_scans import KINDS, op8_secret_scans, redacted, running, secret_scans
 
 ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
 
@@ -67,3 +68,40 @@ def test_redaction_and_shape(spark):
     got = secret_scans(docs).select("doc_id", redacted(F.col("text"), F.col("all_spans")).alias("t")).collect()
     assert sorted((r["t"] for r in got), key=str) == [None, "[SECRET] [SECRET] 😀", "a [SECRET] z", "a [SECRET] z", "plain"][0:0] + sorted([None, "[SECRET] [SECRET] 😀", "a [SECRET] z", "a [SECRET] z", "plain"], key=str)
     assert secret_scans(docs.limit(0)).count() == 0
+
+
+def test_many_matches_cost_no_more(spark):
+    n = 40_000
+    text = "é token=abcdefgh 0 user=bob pwd=s3cr\n" * n
+    began = time.time()
+    r = secret_scans(docs_of(spark, [text])).select("base", "all_spans", redacted(F.col("text"), F.col("all_spans")).alias("t")).first()
+    assert time.time() - began < 60
+    assert len(r["base"]) == n and len(r["all_spans"]) == 3 * n and [tuple(s) for s in r["base"]][-1] == (37 * (n - 1) + 2, 0, 37 * (n - 1) + 16)
+    assert r["t"] == "é [SECRET] 0 [SECRET] [SECRET]\n" * n
+
+
+@pytest.mark.parametrize("size", [0, 1, 255, 256, 257, 700])
+def test_running(spark, size):
+    values = [(i * 7919) % 101 for i in range(size)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    got = df.select(running(F.col("v"), F.lit(0), lambda a, x: a + x).alias("sum"), running(F.col("v"), F.lit(0), lambda a, x: F.greatest(a, x)).alias("top")).first()
+    assert got["sum"] == [sum(values[:i]) for i in range(size)]
+    assert got["top"] == [max(values[:i], default=0) for i in range(size)]
+
+
+def test_redaction_of_overlapping_and_far_spans(spark):
+    text = "".join(chr(97 + i % 26) if i % 50 else "😀" for i in range(5000))
+    spans = [(0, 0, 3), (1, 1, 2), (3, 0, 5), (10, 0, 20), (15, 1, 18), (1020, 0, 1030), (1023, 1, 3500), (3000, 0, 3100), (4999, 0, 5000)]
+    df = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:int,kind:int,end:int>>")
+    want, at = "", 0
+    for a, _, b in spans:
+        if a >= at:
+            want += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    assert df.select(redacted(F.col("t"), F.col("s"))).first()[0] == want + text[at:]
+
+
+def test_clashing_names(spark):
+    docs = docs_of(spark, [(1, "token=abcdefgh"), (1, "token=abcdefgh")]).selectExpr("*", "1 AS _id", "2 AS _text", "3 AS _t", "4 AS `a.b`", "5 AS _row")
+    got = secret_scans(docs).collect()
+    assert [(r["_id"], r["_text"], r["_t"], r["a.b"], r["_row"], len(r["base"])) for r in got] == [(1, 2, 3, 4, 5, 1)] * 2
