@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.bag_minhash import bands, overlap, planes, shingle_bags, signatures
-from lectern.llm.common import materialise, table
+from lectern.llm.common import materialise, others, packed, table, unpacked
 from lectern.llm.tokens import chunks
 
 
@@ -43,8 +43,8 @@ class NearRules:
     rows: int = 6
     #: Components besides those of the bands, for the estimate before texts are compared. All of them: a multiple of 64.
     more: int = 128
-    #: A pair at the similarity passes the estimate with probability 0.99996.
-    deviations: float = 4.0
+    #: A pair at the similarity passes the estimate with probability 0.99996. None: texts of all those pairs are compared.
+    deviations: float | None = 4.0
     #: Up to so many nodes left in a bucket are compared in pairs; of more, so many are leaders in each later round.
     rest: int = 1024
     leaders: int = 32
@@ -76,7 +76,7 @@ def signed(docs: DataFrame, p: NearRules, text: str, key: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("node"), *lists], names=["id", "node", "bands", "planes"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), node_of(F.col(text)).alias("node"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, node binary, bands array<bigint>, planes array<bigint>")
+    return docs.select(F.col(f"`{key}`").alias("id"), node_of(F.col(f"`{text}`")).alias("node"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"id {kind}, node binary, bands array<bigint>, planes array<bigint>")
 
 
 def node_of(text):
@@ -141,7 +141,7 @@ def near_links(nodes: DataFrame, texts_of, p: NearRules) -> DataFrame:
     once = "get(filter(zip_with(x.bands, y.bands, (p, q) -> if(p = q, p, null)), v -> v IS NOT NULL), 0) = x.bucket"
     words = p.components // 64
     differ = " + ".join("bit_count(" + " | ".join(f"(x.planes[{k * words + j}] ^ y.planes[{k * words + j}])" for k in range(PLANES)) + ")" for j in range(words))
-    near = f"{differ} <= {p.most_differing}"
+    near = "true" if p.deviations is None else f"{differ} <= {p.most_differing}"
     star = verified(rest.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), texts, p)
     links = star.where(F.col("far") <= limit)
     comp = components(links)
@@ -192,14 +192,15 @@ def near_duplicates(docs: DataFrame, p: NearRules = NearRules(), text: str = "te
     text).
 
     A document without words is a group by itself. Null keys come after others; rows with equal texts are copies of each
-    other, and equal rows are all first or none. Columns of docs with the name of a result are replaced.
+    other, and equal rows are all first or none. Columns of docs with the name of a result are replaced; others stay,
+    whatever their names.
     """
-    own = docs.select(*[c for c in docs.columns if c not in ("class_id", "class_size", "n_links", "is_first", "n_equal")])
+    own = others(docs, "class_id", "class_size", "n_links", "is_first", "n_equal")
     sketches = materialise(signed(docs, p, text, key))
     nodes = sketches.where("size(bands) > 0").groupBy("node").agg(F.first(F.struct("bands", "planes")).alias("s")).select("node", "s.*")
 
     def texts_of(asked: DataFrame) -> DataFrame:
-        there = docs.select(node_of(F.col(text)).alias("node"), F.col(text).alias("text")).join(asked, "node", "left_semi")
+        there = docs.select(node_of(F.col(f"`{text}`")).alias("node"), F.col(f"`{text}`").alias("text")).join(asked, "node", "left_semi")
         return there.groupBy("node").agg(F.first("text").alias("text"))
 
     links = materialise(near_links(nodes, texts_of, p))
@@ -213,8 +214,8 @@ def near_duplicates(docs: DataFrame, p: NearRules = NearRules(), text: str = "te
     first = F.col("_alone") | (F.col("_first._id").eqNullSafe(F.col("_id")) & (F.col("_first._own") == F.col("_own")))
     class_id, size = F.when(F.col("_alone"), F.col("_id")).otherwise(F.col("class_id")), F.when(F.col("_alone"), F.lit(1).cast("long")).otherwise(F.col("class_size"))
     told = rows.select("_id", "_own", class_id.alias("class_id"), size.alias("class_size"), "n_links", first.alias("is_first"), "n_equal")
-    left = own.select("*", F.col(key).alias("_key"), node_of(F.col(text)).alias("_text_node"))
-    return left.join(told, F.expr("_key <=> _id AND _text_node = _own")).select(*own.columns, "class_id", "class_size", "n_links", "is_first", "n_equal")
+    left = docs.select(packed(docs, own), F.col(f"`{key}`").alias("_key"), node_of(F.col(f"`{text}`")).alias("_text_node"))
+    return unpacked(left.join(told, F.expr("_key <=> _id AND _text_node = _own")), own, "class_id", "class_size", "n_links", "is_first", "n_equal")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
