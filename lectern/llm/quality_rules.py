@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BLANKS, table, word_array
+from lectern.llm.common import BLANKS, others, packed, table, unpacked, word_array
 
 #: A sentence ends somewhere in the line.
 FINISHED = "[.!?…。！？][\"'”»)\\]]*([ \\t\\x0b\\f\\r]|$)"
@@ -83,7 +83,7 @@ def quality_rules(docs: DataFrame, p: QualityRules = QualityRules(), text: str =
     of the input with the name of a result are replaced. Repeated rows are judged each by itself.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "total_chars", "lost_chars", "line_faults", "cleaned_text", "kept"]
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in new]).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    df = docs.select(packed(docs, others(docs, *new)), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     df = df.select("*", word_array(F.col("_t")).alias("_w"))
     df = df.select(
         "_row", "_t", "_w", F.size("_w").cast("long").alias("n_words"),
@@ -104,7 +104,7 @@ def quality_rules(docs: DataFrame, p: QualityRules = QualityRules(), text: str =
     kept = ~F.col("base_failed") & (F.col("lost_chars") <= F.col("total_chars") * p.max_lost_share)
     # A filter on a result must not be moved below: its copy of an array would be made anew for each element.
     kept = kept & (F.monotonically_increasing_id() >= 0)
-    return df.select("_row.*", *[F.col(c) for c in new[:-1]], kept.alias("kept"))
+    return unpacked(df, others(docs, *new), *[F.col(c) for c in new[:-1]], kept.alias("kept"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
