@@ -24,6 +24,10 @@ from lectern.llm.common import materialise, table
 GRID, ROUNDS = 16, 7
 
 
+#: First digits of a block's turn that make its stretch of the order: 4096 stretches.
+HEX_DIGITS = 3
+
+
 @dataclass(frozen=True)
 class MixRules:
     #: Entropy to reach, as a part of the logarithm of the number of sources.
@@ -70,10 +74,11 @@ def mix_sources(docs: DataFrame, p: MixRules = MixRules(), text: str = "text", k
 
     Tokens are words `[^\\x20\\x09-\\x0D]+`. A document without any is never used; a null source is a source like another.
     Equal rows are documents like others; of those with equal keys the order is by tokens. An empty table gives none.
+    Columns of docs other than key, source and text are left out, whatever their names.
     The sums of a source's uses never exceed its budget.
     """
-    words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit("[^ \\t-\\r]+")).cast("long")
-    docs = materialise(docs.select(F.col(key).alias("id"), "source", words.alias("n_tokens")).where("n_tokens > 0"))
+    words = F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit("[^ \\t-\\r]+")).cast("long")
+    docs = materialise(docs.select(F.col(f"`{key}`").alias("id"), "source", words.alias("n_tokens")).where("n_tokens > 0"))
     sources = materialise(docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
     total, n = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     if n == 0:
@@ -96,9 +101,18 @@ def mix_sources(docs: DataFrame, p: MixRules = MixRules(), text: str = "text", k
     # Sums of blocks, and where each starts in its epoch.
     name = F.coalesce("source", F.lit(""))
     blocks = placed.groupBy("source", "epoch", "block").agg(F.sum("n_tokens").alias("size"))
-    run = W.partitionBy("source", "epoch").orderBy("turn", "block")
+    # Running sums in two steps: within stretches of the order, then over the stretches, of which no source has more than
+    # 4096; so however many blocks a source has, no task goes over all of them.
     blocks = blocks.withColumn("turn", drawn(F.lit("o"), F.col("epoch").cast("string"), F.col("block").cast("string"), name))
-    blocks = blocks.select(F.col("source").alias("b_source"), F.col("epoch").alias("b_epoch"), F.col("block").alias("b_block"), (F.sum("size").over(run) - F.col("size")).alias("before"), F.row_number().over(run).cast("long").alias("block_rank"))
+    blocks = materialise(blocks.withColumn("stretch", F.substring("turn", 1, HEX_DIGITS)))
+    upto = W.partitionBy("source", "epoch").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    stretches = blocks.groupBy("source", "epoch", "stretch").agg(F.sum("size").alias("sum"), F.count("*").alias("n"))
+    none = F.lit(0).cast("long")
+    stretches = stretches.select("source", "epoch", "stretch", F.coalesce(F.sum("sum").over(upto), none).alias("first"), F.coalesce(F.sum("n").over(upto), none).alias("past"))
+    run = W.partitionBy("source", "epoch", "stretch").orderBy("turn", "block")
+    within = blocks.select("*", (F.sum("size").over(run) - F.col("size")).alias("before"), F.row_number().over(run).cast("long").alias("k"))
+    joined = within.alias("w").join(stretches.alias("s"), F.expr("w.source <=> s.source AND w.epoch = s.epoch AND w.stretch = s.stretch"))
+    blocks = joined.select(F.col("w.source").alias("b_source"), F.col("w.epoch").alias("b_epoch"), F.col("w.block").alias("b_block"), (F.col("w.before") + F.col("s.first")).alias("before"), (F.col("w.k") + F.col("s.past")).alias("block_rank"))
     blocks = materialise(blocks)
     used = placed.join(blocks, F.expr("source <=> b_source AND epoch = b_epoch AND block = b_block"))
     inner = W.partitionBy("source", "epoch", "block").orderBy("turn", "id", "n_tokens")
