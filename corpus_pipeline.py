@@ -33,14 +33,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the least doc_id. Of equal rows one stays."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
     first = near_duplicates(docs).where("is_first")
-    once, again = first.where("n_equal = 1").select(*docs.columns), first.where("n_equal > 1").select(*docs.columns)
+    once, again = first.where("n_equal = 1").select(*own), first.where("n_equal > 1").select(*own)
     return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    return find_contamination(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*docs.columns)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return find_contamination(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*own)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: Near-duplicates by similarity and components can't be put in SQL; tests/llm holds run() against a plain version.
+#: Near-duplicates by similarity and components can't be put in SQL; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
