@@ -3,12 +3,13 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.plain import EDGES, SF, alnum_words, blank_words, docs_of
 
 from lectern.llm.lm_scoring import BackoffRules, op6_lm_scoring, score_documents
-from lectern.llm.quality_classifier import KneserNeyRules, Model, _trains, judge_quality, op9_quality_classifier, trained
+from lectern.llm.quality_classifier import KneserNeyRules, Model, Table, _trains, judge_quality, op9_quality_classifier, sampled, trained
 from lectern.llm.tokens import BETWEEN_BLANKS, Words, words_of
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -117,8 +118,6 @@ def test_kneser_ney(spark):
     model = Model(*trained(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string"), p), p.order)
     want = plain_kneser_ney([blank_words(t.translate(LOWER)) for t in texts], 3)
     for t in ["a b c", "a b zzz a b d", "f e e e", "q", "the a b d c"]:
-        import numpy as np
-
         data = np.frombuffer(t.encode(), np.uint8)
         got = model.logprobs(Words(data, np.array([0, len(data)]), BETWEEN_BLANKS))
         assert list(got) == pytest.approx(want(t.split()), rel=1e-5)
@@ -137,7 +136,7 @@ def test_labelled_text(spark):
     good = [r["kept"] for r in got if r["quality"] == 1 and not r["toxic"]]
     bad = [r["kept"] for r in got if r["quality"] == 0]
     assert sum(good) >= 0.98 * len(good)
-    assert sum(bad) <= 0.8 * len(bad)
+    assert len(bad) > 30 and sum(bad) <= 0.2 * len(bad)
 
 
 def test_faults_of_held_out_text(spark):
@@ -154,6 +153,31 @@ def test_faults_of_held_out_text(spark):
     assert sum(low) <= 0.2 * len(low)
 
 
+def test_look_ups():
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 2, 1000):
+        hashes = rnd.integers(0, 1 << 64, n, dtype=np.uint64)
+        hashes[: n // 2] >>= np.uint64(40)  # many that begin alike
+        hashes = np.unique(hashes)
+        values = rnd.random(len(hashes))
+        shuffled = rnd.permutation(len(hashes))
+        keys = np.concatenate([hashes, rnd.integers(0, 1 << 64, 50, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+        known = dict(zip(hashes.tolist(), values))
+        assert Table(hashes[shuffled], values[shuffled]).look(keys, -1.0).tolist() == [known.get(k, -1.0) for k in keys.tolist()]
+
+
+def test_sample(spark):
+    """Bounds hold for each kind; equal rows are one; of documents with ties in the order all columns decide."""
+    docs = docs_of(spark, [(i, f"w{i} " * 10) for i in range(300)] + [(7, "again " * 10)] * 50 + [(None, "x"), (8, None), (9, "")]).withColumn("n", F.lit(1)).withColumn("kind", F.lit(2))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(300)] + [(1, 0, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    p = KneserNeyRules(train_docs=40, train_words=200)
+    got = sampled(docs, labels, p, "text", "doc_id").collect()
+    assert len(got) == len(set(got))
+    for kind, ok in (("trusted", lambda i: i % 3 > 0 and i % 5 > 0 and i != 1), ("low", lambda i: i % 3 == 0 or i == 1), ("toxic", lambda i: i % 5 == 0)):
+        own = [r for r in got if r["kind"] == kind]
+        assert 15 <= len(own) <= 20 and all(ok(r["id"]) for r in own)
+
+
 def test_classifier_edges(spark):
     docs = docs_of(spark, [*EDGES, (None, "a b"), (None, "a b")])
     labels = spark.createDataFrame([(5, 1, None), (5, 1, 0), (None, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
