@@ -1,27 +1,34 @@
 """Documents into chunks: structural blocks of markdown pages, packed by section to a budget of tokens.
 
-Packing is a fold over a document's blocks in order, so it runs for one document at a time, in a grouped Arrow function;
-documents are what Spark deals out.
+Lines, fences, headings and paragraphs are found by windows over a document's lines. Packing is a fold over a section's
+pieces in order, so it runs for one section at a time, in a grouped Arrow function.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lectern.functions.text import estimate_tokens
 
 # Budgets in tokens, and the headings that are told apart.
 TARGET, HARD, LEAST, OVERLAP = 1024, 1400, 40, 128
-BACK_MATTER = re.compile(r"(references?(\s+cited)?|bibliography|acknowledg?ments?|author\s+biographies?|biograph(y|ies)|参考文献|致\s*谢|作者简介)", re.I)
-APPENDIX = re.compile(r"(appendix|appendices|supplementary|附\s*录)", re.I)
-ABSTRACT = re.compile(r"(abstract|summary|摘\s*要)\b", re.I)
-CAPTION = re.compile(r"(figure|fig\.|table|图|表)\s*\d+", re.I)
-NUMBERED = (re.compile(r"(\d+(?:\.\d+)*)[.)]?\s+(.*)$"), re.compile(r"(ix|iv|v?i{1,3})\.\s+(.*)$", re.I), re.compile(r"第([一二三四五六七八九十百\d]+)章\s*(.*)$"))
+BACK_MATTER = r"(?i)^(references?(\s+cited)?|bibliography|acknowledg?ments?|author\s+biographies?|biograph(y|ies)|参考文献|致\s*谢|作者简介)"
+APPENDIX = r"(?i)^(appendix|appendices|supplementary|附\s*录)"
+ABSTRACT = r"(?iU)^(abstract|summary|摘\s*要)\b"
+CAPTION = r"(?i)^(figure|fig\.|table|图|表)\s*\d+"
+NUMBERED = (r"^(\d+(?:\.\d+)*)[.)]?\s+(.*)$", r"(?i)^(ix|iv|v?i{1,3})\.\s+(.*)$", r"^第([一二三四五六七八九十百\d]+)章\s*(.*)$")
+HEADING_LINE = r"^#{1,6}\s+(.*)$"
+IMAGE_LINE = r"^!\[[^\]]*\]\([^)]*\)$"
+BLANK = " \t\n\x0b\x0c\r"
 SENTENCE = re.compile(r"[^.。;；!！?？\n]+[.。;；!！?？]*")
 CJK = re.compile(r"[一-鿿぀-ヿ가-힯]")
 BACK_LINE = "(?i)^\\s*(references?|bibliography|acknowledg?ments?|参考文献|致\\s*谢)\\s*:?\\s*$"
@@ -37,15 +44,11 @@ def sentences(text: str) -> list[str]:
 
 
 def tail(text: str, size: int = OVERLAP) -> str:
-    """The last sentences, about so many tokens."""
-    kept: list[str] = []
-    for s in reversed(sentences(text[-6 * size :])):
-        if kept and sum(map(tokens, kept)) + tokens(s) > size:
-            break
-        kept.append(s)
-        if sum(map(tokens, kept)) >= size:
-            break
-    return " ".join(reversed(kept)) or text[-3 * size :]
+    """The last sentences, about so many tokens: all that fit together, one at least."""
+    found = sentences(text[-6 * size :])
+    upto = itertools.accumulate(map(tokens, reversed(found)))
+    most = max(1, sum(n <= size for n in upto))
+    return " ".join(found[-most:]) or text[-3 * size :]
 
 
 @dataclass
@@ -56,10 +59,6 @@ class Block:
     title: str = ""
     kind: str = "body"
 
-    @property
-    def section(self):
-        return self.page, self.number, self.title, self.kind
-
 
 @dataclass
 class Piece:
@@ -78,66 +77,74 @@ class Chunk:
     text: str = ""
 
 
-def heading(title: str) -> tuple[str, str]:
+# ---- Blocks ---------------------------------------------------------------------------------------------------------
+
+
+def _short(title: Column) -> Column:
+    return F.when(F.length(title) <= 120, title).otherwise(F.concat(F.substring(title, 1, 120), F.lit("…")))
+
+
+def _numbered(title: Column) -> tuple[Column, Column]:
     """Number and title of a heading."""
-    for i, pattern in enumerate(NUMBERED):
-        if m := pattern.match(title):
-            number = m[1].upper() if i == 1 else m[1]
-            return number, _short(m[2].strip() or (f"第{m[1]}章" if i == 2 else ""))
-    return "", _short(title)
-
-
-def _short(title: str) -> str:
-    return title if len(title) <= 120 else title[:120] + "…"
-
-
-def parse_pages(pages: list[tuple[int, str]]) -> list[Block]:
-    """Paragraphs, captions and fenced pieces of (page, markdown), with their sections; back matter is left out."""
-    out: list[Block] = []
-    now = Block("", 0)
-    front, skipping = True, False
-    held: list[str] = []
-
-    def give(text: str, kind: str, page: int) -> None:
-        if text and not skipping and len(text) > 8:
-            out.append(Block(text, page, now.number, now.title, kind))
-
-    def close(page: int) -> None:
-        text = " ".join(" ".join(held).split())
-        held.clear()
-        give(text, "caption" if now.kind == "body" and CAPTION.match(text) else now.kind, page)
-
-    fence: list[str] | None = None
-    for page, markdown in pages:
-        for raw in markdown.split("\n"):
-            line = raw.strip()
-            if line.startswith(("```", "~~~")):
-                if fence is None:
-                    close(page)
-                    fence = [line]
-                else:
-                    give("\n".join([*fence, line]).strip(), "abstract" if now.kind == "abstract" else "body", page)
-                    fence = None
-            elif fence is not None:
-                fence.append(raw.rstrip())
-            elif m := re.match(r"#{1,6}\s+(.*)$", raw.rstrip()):
-                close(page)
-                title = re.sub(r"[*_`#]", "", m[1]).strip()
-                skipping = bool(BACK_MATTER.match(title))
-                if not skipping:
-                    front = False
-                    if APPENDIX.match(title):
-                        now.number, now.title, now.kind = "Appendix", title, "body"
-                    else:
-                        (now.number, now.title), now.kind = heading(title), "abstract" if ABSTRACT.match(title) else "body"
-            elif not line:
-                close(page)
-            elif not re.fullmatch(r"!\[[^\]]*\]\([^)]*\)", line):
-                if front:
-                    now.kind = "abstract"
-                held.append(line)
-        close(page)
-    return out
+    arabic, roman, chapter = NUMBERED
+    part = lambda pattern, i: F.regexp_extract(title, pattern, i)
+    number = F.when(title.rlike(arabic), part(arabic, 1)).when(title.rlike(roman), F.upper(part(roman, 1))).when(title.rlike(chapter), part(chapter, 1)).otherwise("")
+    rest = F.when(title.rlike(arabic), F.trim(part(arabic, 2))).when(title.rlike(roman), F.trim(part(roman, 2)))
+    named = F.trim(part(chapter, 2))
+    rest = rest.when(title.rlike(chapter), F.when(named != "", named).otherwise(F.concat(F.lit("第"), part(chapter, 1), F.lit("章"))))
+    return number, _short(rest.otherwise(title))
+
+
+def blocks_of(pages: DataFrame) -> DataFrame:
+    """doc_id, seq (rising in a document), page, text, number, title, kind: paragraphs, captions and fenced pieces of pages
+    (doc_id, page, text in markdown) with their sections. Back matter is left out.
+
+    Every line is a row. What holds until something else comes (a fence, a heading, whether a heading has been at all) is a
+    running value over a document's lines, and lines that belong together share the number of breaks before them.
+    """
+    rows = pages.select("doc_id", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "raw"))
+    rows = rows.select("*", F.btrim("raw", F.lit(BLANK)).alias("s"), F.rtrim(F.col("raw"), F.lit(BLANK)).alias("r"))
+    order = W.partitionBy("doc_id").orderBy("page", "line")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.select("*", F.col("s").rlike("^(```|~~~)").alias("mark"))
+    rows = rows.select("*", F.sum(F.col("mark").cast("int")).over(upto).alias("marks"))
+    fenced = F.col("mark") | (F.col("marks") % 2 == 1)
+    head = ~fenced & F.col("r").rlike(HEADING_LINE)
+    title = F.trim(F.regexp_replace(F.regexp_extract("r", HEADING_LINE, 1), "[*_`#]", ""))
+    rows = rows.select("*", fenced.alias("fenced"), head.alias("head"), F.when(head, title).alias("named"))
+    back = F.col("named").rlike(BACK_MATTER)
+    plain = ~F.col("fenced") & ~F.col("head") & (F.col("s") != "") & ~F.col("s").rlike(IMAGE_LINE)
+    rows = rows.select("*", plain.alias("plain"), F.last(back, True).over(upto).alias("back"), F.last(F.when(~back, F.col("named")), True).over(upto).alias("section"))
+    rows = rows.select("*", F.max("plain").over(upto).alias("begun"))
+    first = F.row_number().over(W.partitionBy("doc_id", "page").orderBy("line")) == 1
+    ends = F.col("mark") | F.col("head") | ((F.col("s") == "") & ~F.col("fenced")) | (first & ~F.col("fenced"))
+    rows = rows.select("*", F.sum(ends.cast("int")).over(upto).alias("breaks"))
+    kept = rows.where((F.col("plain") | F.col("fenced")) & ~F.coalesce("back", F.lit(False)))
+    # A closing mark has counted itself, an opening one too; both have the number of their pair.
+    pair = F.floor((F.col("marks") + 1) / 2)
+    place = F.when(F.col("fenced"), pair).otherwise(F.col("breaks"))
+    grouped = kept.groupBy("doc_id", "fenced", place.alias("place")).agg(
+        F.array_sort(F.collect_list(F.struct("page", "line", F.when(F.col("mark") | ~F.col("fenced"), F.col("s")).otherwise(F.col("r")).alias("t")))).alias("lines"),
+        F.sum(F.col("mark").cast("int")).alias("ends"), F.max(F.struct("page", "line", "section", "begun")).alias("at"),
+    )
+    grouped = grouped.where(~F.col("fenced") | (F.col("ends") == 2))  # a fence that is never closed holds nothing
+    texts = F.transform("lines", lambda x: x["t"])
+    text = F.when(F.col("fenced"), F.btrim(F.array_join(texts, "\n"), F.lit(BLANK))).otherwise(F.btrim(F.regexp_replace(F.array_join(texts, " "), "(?U)\\s+", " "), F.lit(BLANK)))
+    found = grouped.select("doc_id", "fenced", text.alias("text"), "at.*").where(F.length("text") > 8)
+    section = F.col("section")
+    number, named = _numbered(section)
+    appendix = section.rlike(APPENDIX)
+    kind = F.when(section.isNull(), F.when(F.col("begun"), "abstract").otherwise("body")).when(~appendix & section.rlike(ABSTRACT), "abstract").otherwise("body")
+    caption = ~F.col("fenced") & (kind == "body") & F.col("text").rlike(CAPTION)
+    return found.select(
+        "doc_id", F.struct("page", "line").alias("seq"), "page", "text",
+        F.when(section.isNull(), "").when(appendix, "Appendix").otherwise(number).alias("number"),
+        F.when(section.isNull(), "").when(appendix, section).otherwise(named).alias("title"),
+        F.when(caption, "caption").otherwise(kind).alias("kind"),
+    )
+
+
+# ---- Packing --------------------------------------------------------------------------------------------------------
 
 
 def packed(pieces: list[Piece], block: Block) -> list[Chunk]:
@@ -186,71 +193,75 @@ def divided(text: str) -> list[Piece]:
     return out
 
 
-def _given(chunks: list[Chunk]) -> list[dict]:
-    out = []
-    for i, c in enumerate(chunks):
-        parts = [tail(chunks[i - 1].text)] if i else []
-        for p in c.pieces:
-            parts += [x for x in (p.before, p.topic and f"Topic: {p.topic}", p.text) if x]
-        out.append({"page": c.block.page, "ord": i, "text": c.text, "embed_text": "\n".join(parts), "section_no": c.block.number, "section_title": c.block.title, "kind": c.block.kind})
-    return out
+def packed_blocks(blocks: list[Block]) -> list[Chunk]:
+    """Chunks of blocks of one section in a row; one that is too long is divided and stands alone."""
+    pieces = [divided(b.text) if tokens(b.text) > HARD else [Piece(b.text, tokens(b.text))] for b in blocks]
+    return packed([p for some in pieces for p in some], blocks[-1])
 
 
-def chunk_blocks(blocks: list[Block]) -> list[dict]:
-    """Chunks of a document's blocks. A caption is a chunk by itself and doesn't part the section around it."""
-    chunks: list[Chunk] = []
-    group: list[Piece] = []
-    of: Block | None = None
-
-    def close() -> None:
-        nonlocal group, of
-        if of:
-            chunks.extend(packed(group, of))
-        group, of = [], None
-
-    for b in blocks:
-        size = tokens(b.text)
-        if b.kind == "caption":
-            if size >= 10:
-                chunks.append(Chunk(b, [Piece(b.text, size)], b.text))
-            continue
-        if of and of.section != b.section:
-            close()
-        if size > HARD:
-            close()
-            chunks.extend(packed(divided(b.text), b))
-        else:
-            of = b
-            group.append(Piece(b.text, size))
-    close()
-    return _given(chunks)
+def packed_lines(page: int, text: str) -> list[Chunk]:
+    """Chunks of a page without structure: its lines are the pieces."""
+    pieces: list[Piece] = []
+    for line in filter(None, map(str.strip, text.split("\n"))):
+        size = tokens(line)
+        pieces += divided(line) if size > HARD else [Piece(line, size)] if size >= 8 else []
+    return packed(pieces, Block("", page))
 
 
-def chunk_lines(pages: list[tuple[int, str]]) -> list[dict]:
-    """Chunks of pages without structure: their lines are the pieces."""
-    chunks: list[Chunk] = []
-    for page, text in pages:
-        pieces: list[Piece] = []
-        for line in filter(None, map(str.strip, text.split("\n"))):
-            size = tokens(line)
-            pieces += divided(line) if size > HARD else [Piece(line, size)] if size >= 8 else []
-        chunks += packed(pieces, Block("", page))
-    return _given(chunks)
+def embedded(pieces: list[Piece]) -> str:
+    return "\n".join(x for p in pieces for x in (p.before, p.topic and f"Topic: {p.topic}", p.text) if x)
 
 
-CHUNKS = "page int, ord int, text string, embed_text string, section_no string, section_title string, kind string"
+PACKED = "seq struct<page:int,line:int>, sub int, page int, text string, own string, section_no string, section_title string, kind string"
 
 
-def chunk_documents(pages: DataFrame) -> DataFrame:
-    """doc_id and chunks of pages (doc_id, page, text): by structure, or by lines where that gives none."""
-    kind = pages.schema["doc_id"].dataType.simpleString()
+def section_parts(blocks: DataFrame) -> DataFrame:
+    """blocks with part: blocks with the same one are packed together. A caption is a part by itself and doesn't end the
+    section around it; a block that is too long is one too, and does."""
+    text = blocks.where("kind <> 'caption'").select("*", (estimate_tokens(F.col("text")) > HARD).alias("_long"))
+    order = W.partitionBy("doc_id").orderBy("seq")
+    section = F.struct("page", "number", "title", "kind", "_long")
+    new = F.col("_long") | (F.lag(section).over(order) != section)
+    text = text.withColumn("part", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_long")
+    captions = blocks.where("kind = 'caption'").where(estimate_tokens(F.col("text")) >= 10).withColumn("part", -F.row_number().over(order))
+    return text.unionByName(captions)
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        given = [(int(p), t or "") for p, t in pdf.sort_values("page")[["page", "text"]].itertuples(index=False)]
-        found = chunk_blocks(parse_pages(given)) or chunk_lines(given)
-        return pd.DataFrame([{"doc_id": key[0], **c} for c in found], columns=["doc_id", *[x.split()[0] for x in CHUNKS.split(", ")]])
 
-    return pages.select("doc_id", "page", "text").groupBy("doc_id").applyInPandas(one, f"doc_id {kind}, {CHUNKS}")
+def chunk_documents(pages: DataFrame) -> DataFrame:
+    """doc_id and chunks of pages (doc_id, page, text): by structure, or by lines where that gives none.
+
+    Only the greedy packing of one section's pieces runs in Python, one section at a time; the order of a document's chunks
+    and the end of the chunk before each are windows over what it gives.
+    """
+    kind = pages.schema["doc_id"].dataType.simpleString()
+    columns = ["doc_id", *[x.strip().split()[0] for x in PACKED.replace("struct<page:int,line:int>", "x").split(", ")]]
+
+    def rows(doc: object, seq: dict, chunks: list[Chunk]) -> pd.DataFrame:
+        return pd.DataFrame([(doc, seq, i, c.block.page, c.text, embedded(c.pieces), c.block.number, c.block.title, c.block.kind) for i, c in enumerate(chunks)], columns=columns)
+
+    def section(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "line"])
+        own = [Block(*r) for r in pdf[["text", "page", "number", "title", "kind"]].itertuples(index=False, name=None)]
+        chunks = [Chunk(b, [Piece(b.text, tokens(b.text))], b.text) for b in own] if own[0].kind == "caption" else packed_blocks(own)
+        return rows(key[0], {"page": int(pdf["at"].iloc[-1]), "line": int(pdf["line"].iloc[-1])}, chunks)
+
+    def page_lines(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        chunks = [c for text in pdf["text"] for c in packed_lines(int(key[1]), text)]
+        return rows(key[0], {"page": int(key[1]), "line": 0}, chunks)
+
+    parts = section_parts(blocks_of(pages)).select("doc_id", "part", F.col("seq.page").alias("at"), F.col("seq.line").alias("line"), "page", "text", "number", "title", "kind")
+    structured = parts.groupBy("doc_id", "part").applyInPandas(section, f"doc_id {kind}, {PACKED}")
+    bare = pages.select("doc_id", F.col("page").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text")).join(blocks_of(pages).select("doc_id").distinct(), "doc_id", "left_anti")
+    lines = bare.groupBy("doc_id", "page").applyInPandas(page_lines, f"doc_id {kind}, {PACKED}")
+    order = W.partitionBy("doc_id").orderBy("seq", "sub")
+    found = structured.unionByName(lines).select("*", (F.row_number().over(order) - 1).alias("ord"), F.lag("text").over(order).alias("_last"))
+    embed_text = F.when(F.col("_last").isNull(), F.col("own")).otherwise(F.concat_ws("\n", tails("_last"), F.col("own")))
+    return found.select("doc_id", "page", "ord", "text", embed_text.alias("embed_text"), "section_no", "section_title", "kind")
+
+
+@F.pandas_udf(T.StringType())
+def tails(c: pd.Series) -> pd.Series:
+    return c.map(lambda s: None if s is None else tail(s))
 
 
 def without_back_matter(pages: DataFrame, heading: str = BACK_LINE) -> DataFrame:

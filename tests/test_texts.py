@@ -52,7 +52,7 @@ def test_citation_rules(spark):
     assert [r["level"] for r in merged] == ["error", "warn", "warn"] and merged[1]["issues"][0]["refs"] == [1] and len(merged[1]["issues"]) == 1
 
 
-@pytest.mark.parametrize("text, once", [("a[7] b[7] c[7].", "a b c [7]."), ("x `a[1]` [1](u) [1]", "x `a[1]` [1](u) [1]"), ("你[2]好[2]。", "你好[2]。"), ("[1] then [2]", "[1] then [2]")])
+@pytest.mark.parametrize("text, once", [("a[7] b[7] c[7].", "a b c [7]."), ("x `a[1]` [1](u) [1]", "x `a[1]` [1](u) [1]"), ("你[2]好[2]。", "你好[2]。"), ("[1] then [2]", "[1] then [2]"), ("a [3] [3] (b)", "a   (b) [3]"), ("`[4]` [4] [4]!?", "`[4]`  [4]!?"), ("", ""), (None, None)])
 def test_cites_once(text, once):
     assert V.cites_once(text) == once
 
@@ -66,21 +66,38 @@ def test_cites_once_is_idempotent(text):
 P = "word " * 400  # 500 tokens
 
 
-def test_chunks():
-    blocks = [C.Block(P.strip(), 1, "1", "One") for _ in range(3)] + [C.Block("Figure 1 shows the thing that is of note here now", 1, "1", "One", "caption"), C.Block(P.strip(), 1, "1", "One"), C.Block("tiny text", 2, "2", "Two")]
-    got = C.chunk_blocks(blocks)
+def test_chunks(spark):
+    para = P.strip()
+    page = "\n\n".join(["# 1 One", para, para, para, "Figure 1 shows the thing that is of note here now", para])
+    got = C.chunk_documents(spark.createDataFrame([(1, 2, "# 2 Two\n\ntiny text"), (1, 1, page)], "doc_id long, page int, text string")).orderBy("ord").collect()
     assert [(c["ord"], c["kind"], c["section_no"]) for c in got] == [(0, "caption", "1"), (1, "body", "1"), (2, "body", "1")]
     assert got[2]["embed_text"].endswith(got[2]["text"]) and len(got[2]["embed_text"]) > len(got[2]["text"])
     assert [C.tokens(t) for t in ("abcd", "abcde", "你好")] == [1, 2, 2]
     long = " ".join(f"Sentence number {i} is here to be counted with others." for i in range(400))
-    parts = C.chunk_blocks([C.Block(long, 1)])
-    assert len(parts) > 1 and all(C.tokens(c["text"]) <= C.HARD for c in parts) and "Topic: Sentence number 0" in parts[1]["embed_text"]
+    parts = C.packed_blocks([C.Block(long, 1)])
+    assert len(parts) > 1 and all(C.tokens(c.text) <= C.HARD for c in parts) and "Topic: Sentence number 0" in C.embedded(parts[1].pieces)
 
 
-def test_headings():
-    page = "Title of it all here\n\n# Abstract\nWe say something of note.\n\n## 3.2 Method\nText of the method.\n\n![x](y)\n```\ncode of some length\n```\n## III. Results\nResults are all here.\n## V. X\nNo number is here.\n## 第三章 方法\nText of the chapter.\n## References\n[1] Left out of all.\n## Appendix A\nMore of the text."
-    got = [(b.kind, b.number, b.title) for b in C.parse_pages([(1, page)])]
-    assert got == [("abstract", "", ""), ("abstract", "", "Abstract"), ("body", "3.2", "Method"), ("body", "3.2", "Method"), ("body", "III", "Results"), ("body", "", "V. X"), ("body", "三", "方法"), ("body", "Appendix", "Appendix A")]
+@pytest.mark.parametrize("size", [1, 5, 20, 1000])
+def test_tail(size):
+    text = "One is here. Two is there. Three is a longer one than these. Four."
+    kept = C.tail(text, size)
+    found = C.sentences(text[-6 * size :])
+    assert text.endswith(kept.rpartition(". ")[2]) and (C.tokens(kept) <= size + 3 or kept == found[-1])
+    assert C.tail("", 5) == "" and C.tail("....", 5) == "...."
+
+
+def test_headings(spark):
+    page = "Title of it all here\n\n# Abstract\nWe say something of note.\n\n## 3.2 Method\nText of the method.\n\n![x](y)\n```\n  code of some length\n# no heading\n```\n## III. Results\nResults are all here.\n## V. X\nNo number is here.\n## 第三章 方法\nText of the chapter.\n## References\n[1] Left out of all.\n## Appendix A\nMore of the text.\n~~~\nnever closed at all"
+    rows = C.blocks_of(spark.createDataFrame([(1, 1, page), (2, 1, None), (3, 1, "")], "doc_id long, page int, text string")).orderBy("seq").collect()
+    assert [(b["kind"], b["number"], b["title"]) for b in rows] == [("abstract", "", ""), ("abstract", "", "Abstract"), ("body", "3.2", "Method"), ("body", "3.2", "Method"), ("body", "III", "Results"), ("body", "", "V. X"), ("body", "三", "方法"), ("body", "Appendix", "Appendix A")]
+    assert rows[3]["text"] == "```\n  code of some length\n# no heading\n```"
+
+
+def test_blocks_over_pages(spark):
+    pages = [(1, 1, "Front of  it\tall\ngoes on here"), (1, 2, "and here again.\n```"), (1, 3, "in a fence\n```\nTable 2 has all the numbers")]
+    rows = C.blocks_of(spark.createDataFrame(pages, "doc_id long, page int, text string")).orderBy("seq").collect()
+    assert [(b["page"], b["kind"], b["text"]) for b in rows] == [(1, "abstract", "Front of it all goes on here"), (2, "abstract", "and here again."), (3, "abstract", "```\nin a fence\n```"), (3, "abstract", "Table 2 has all the numbers")]
 
 
 def test_back_matter(spark):
@@ -110,9 +127,15 @@ def test_records(spark):
     assert B.parse_entry(text)["fields"] == e["fields"] and text.index("author") < text.index("title") < text.index("doi")
 
 
-@pytest.mark.parametrize("who, year, title, key", [("Xiao Wang, Ming Li", 2023, "A Novel Approach to Junction", "wang2023approach"), ("Zhang, San and Li, Si", 2020, "Thermal Analysis", "zhang2020thermal"), ("San Zhang", None, "The IGBT", "zhangigbt"), ("Cee", 1999, "Design of something", "cee1999something"), ("", 2021, "Cooling", "anon2021cooling"), ("Müller, Jan", 2015, "Ein Versuch", "muller2015ein")])
-def test_keys(who, year, title, key):
-    assert B.cite_key(who, year, title) == key
+@pytest.mark.parametrize("who, year, title, key", [("Xiao Wang, Ming Li", 2023, "A Novel Approach to Junction", "wang2023approach"), ("Zhang, San and Li, Si", 2020, "Thermal Analysis", "zhang2020thermal"), ("San Zhang", None, "The IGBT", "zhangigbt"), ("Cee", 1999, "Design of something", "cee1999something"), ("", 2021, "Cooling", "anon2021cooling"), ("Müller, Jan", 2015, "Ein Versuch", "muller2015ein"), (None, None, None, "anonpaper")])
+def test_keys(spark, who, year, title, key):
+    df = spark.createDataFrame([(who, year, title)], "who string, year int, title string")
+    assert df.select(B.cite_keys(F.col("who"), F.col("year"), F.col("title"))).first()[0] == key
+
+
+@pytest.mark.parametrize("who, family", [("San Zhang, Si Li", "Zhang"), ("Zhang, San and Li, Si", "Zhang"), ("San Zhang and Si Li", "Zhang"), ("", ""), (None, ""), ("  Ana  Ruiz ", "Ruiz"), ("Anderson Sand", "Sand"), (", x", "")])
+def test_family_names(spark, who, family):
+    assert values(spark, B.family_name, who) == [family]
 
 
 def test_latex(spark):
