@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ from pyspark.sql import types as T
 CJK = "[\\u4e00-\\u9fff\\u3040-\\u30ff\\uac00-\\ud7af]"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body asks for it and wherever the optimiser moves it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def estimate_tokens(c: Column) -> Column:
     """A CJK character is a token, of others four are."""
     cjk = F.regexp_count(c, F.lit(CJK))

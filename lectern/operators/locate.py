@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.functions.text import bigrams, dice, full_width
+from lectern.functions.text import bigrams, bound, dice, full_width
 
 
 def find_count(text: Column, needle: str) -> Column:
@@ -44,34 +47,59 @@ def snippet_place(text: Column, snippet: Column) -> Column:
 
 def best_windows(pages: DataFrame, words: list[str], target: int, step: int = 48, width: int = 240) -> DataFrame:
     """doc_id, page, start, hits: the window of the target page and its neighbours that holds most words; enough of them,
-    or none. Of equals the target page's, then the first."""
-    near = pages.where(F.abs(F.col("page") - target) <= 1)
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(step)))
-    cut = near.select("doc_id", "page", F.lower("text").alias("t"), starts.alias("start")).withColumn("w", F.substring("t", F.col("start") + 1, F.lit(width)))
-    hits = sum((F.when(F.col("w").contains(x.lower()), 1).otherwise(0) for x in words), F.lit(0))
+    or none. Of equals the target page's, then the first. width is a multiple of step.
+
+    A page is cut into pieces of step characters once; a window is some neighbouring pieces. All of a page's windows are
+    looked at within its row, and one of them leaves it.
+    """
     need = max(2, -(-18 * len(words) // 100))
-    found = cut.withColumn("hits", hits).where(F.col("hits") >= need)
-    best = found.groupBy("doc_id").agg(F.max_by(F.struct("page", "start", "hits"), F.struct("hits", F.col("page") == target, -F.col("page"), -F.col("start"))).alias("b"))
-    return best.select("doc_id", "b.*")
+    near = pages.where(F.abs(F.col("page") - target) <= 1)
+    pieces = F.regexp_extract_all(F.lower("text"), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    said = lambda w: sum((F.when(F.contains(w, F.lit(x.lower())), 1).otherwise(0) for x in words), F.lit(0))
+    window = lambda p, i: F.array_join(F.slice(p, i + 1, width // step), "")
+    scored = lambda p: F.array_max(F.transform(p, lambda _, i: F.struct(bound(window(p, i), said).alias("hits"), (-i * step).alias("before"))))
+    best = near.select("doc_id", "page", bound(pieces, scored).alias("b"))
+    best = best.groupBy("doc_id").agg(F.max_by(F.struct("page", (-F.col("b.before")).alias("start"), "b.hits"), F.struct("b.hits", F.col("page") == target, -F.col("page"))).alias("b"))
+    return best.select("doc_id", "b.*").where(F.col("hits") >= need)
 
 
 def alike_windows(texts: DataFrame, snippet: str, step: int = 10, width: int = 200, least: float = 0.66) -> DataFrame:
-    """id, start, overlap: the first window of text whose pairs of characters (with repeats) overlap most with snippet's."""
+    """id, start, overlap: the first window of text whose pairs of characters (with repeats) overlap most with snippet's.
+
+    Each text is folded within its row: the pairs become numbers, and a block of windows is counted at a time.
+    """
     piece = snippet[:width]
-    counts = pd.Series([piece[i : i + 2] for i in range(len(piece) - 1)]).value_counts()
-    total = int(counts.sum())
-    asked = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, int(n))])
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - len(piece), F.lit(0)), F.lit(step)))
-    windows = texts.select("id", starts.alias("start"), "text").select("id", "start", F.substring("text", F.col("start") + 1, F.lit(len(piece))).alias("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - 1, F.lit(1))), lambda i: F.substring("w", i, F.lit(2)))
-    held = windows.select("id", "start", F.explode(grams).alias("g")).groupBy("id", "start", "g").agg(F.count("*").alias("n"))
-    score = held.groupBy("id", "start").agg((F.sum(F.least("n", F.coalesce(asked[F.col("g")], F.lit(0)))) / F.lit(float(total))).alias("overlap")).where(F.col("overlap") >= least)
-    best = score.groupBy("id").agg(F.max_by(F.struct("start", "overlap"), F.struct("overlap", -F.col("start"))).alias("b"))
-    return best.select("id", "b.*")
+    asked = Counter(piece[i : i + 2] for i in range(len(piece) - 1))
+    number = {g: i for i, g in enumerate(asked)}
+    wanted = np.array([*asked.values(), 0])
+    size, total = len(piece) - 1, max(1, sum(asked.values()))
+
+    def best(text: str | None) -> tuple[int, float]:
+        text = text or ""
+        ids = np.array([number.get(text[i : i + 2], len(number)) for i in range(len(text) - 1)], dtype=np.int64)
+        if not len(ids):
+            return 0, 0.0
+        ids = np.concatenate([ids, np.full(size, len(number))])  # the last windows are short
+        found = (0, -1)
+        starts = np.arange(0, max(len(text) - len(piece), 0) + 1, step)
+        for block in np.array_split(starts, -(-len(starts) // 4096)):
+            rows = ids[block[:, None] + np.arange(size)] + (np.arange(len(block)) * len(wanted))[:, None]
+            shared = np.minimum(np.bincount(rows.ravel(), minlength=len(block) * len(wanted)).reshape(len(block), -1), wanted).sum(1)
+            i = int(shared.argmax())
+            if shared[i] > found[1]:
+                found = int(block[i]), int(shared[i])
+        return found[0], found[1] / total
+
+    @F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("overlap", T.DoubleType())]))
+    def folded(c: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([best(t) for t in c], columns=["start", "overlap"])
+
+    return texts.select("id", folded("text").alias("b")).select("id", "b.*").where(F.col("overlap") >= least)
 
 
 # ---- Reference lists ------------------------------------------------------------------------------------------------
 
+# What a reference list looks like.
 HEADINGS = re.compile(r"(references?|bibliography|works cited|literature cited|参考文献)\W*$", re.I)
 BRACKETED = re.compile(r"\s*[\[(](\d{1,4})[\])]\s*(.*)")
 DOTTED = re.compile(r"\s*(\d{1,3})[.)]\s+([A-Z\[(].*)")
