@@ -5,8 +5,11 @@ Operators take and give DataFrames; what ranks has a score and, for ties, the or
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,20 +20,172 @@ from lectern.functions.vectors import dot
 DIGITS = 9
 
 
+#: Questions that are asked in one pass over the rows. So many at once reach the driver and the tasks, whatever there are.
+BLOCK = 2048
+
+
+def blocks_of(questions: DataFrame, size: int = BLOCK) -> Iterator[pa.Table]:
+    """The questions by blocks of about size, dealt by a hash of query_id; one block at a time is on the driver."""
+    n = max(1, -(-questions.count() // size))
+    for i in range(n):
+        found = questions.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).toArrow()
+        if found.num_rows:
+            yield found
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each column's k highest scores, of equals those with the least ids; -inf is none."""
+    n = len(scores)
+    if n > k:
+        kth = np.partition(scores, n - k, axis=0)[n - k]
+        keep = (scores >= kth) & (scores > -np.inf)
+        for c in np.flatnonzero(keep.sum(0) > k):  # ties at the end
+            order = np.lexsort((ids, -scores[:, c]))[:k]
+            keep[:, c] = False
+            keep[order, c] = True
+    else:
+        keep = scores > -np.inf
+    return np.nonzero(keep)
+
+
+def _vectors(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def nearest(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """query_id, id, paper_id, score, pos (from 0): each question's k chunks with the highest product.
+
+    chunks: id, paper_id, vec. questions: query_id, vec. Every row meets every question, a block of questions in a pass and
+    a batch of rows at a time; a batch gives on k rows a question at most, so what is shuffled doesn't grow with all pairs.
+    """
+    out = None
+    for block in blocks_of(questions.select("query_id", "vec")):
+        part = _ranked_block(chunks, block, lambda scores, ids, _: _best(scores, ids, k))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = chunks.join(questions.select("query_id").limit(0), how="cross").select("query_id", "id", "paper_id", F.lit(0.0).alias("score"))
+    return top(out, k, "id", by=["query_id"])
+
+
+def nearest_of_group(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """query_id, paper_id, id, score: for each question each paper's chunk with the highest product, the first of equals."""
+
+    def pick(scores: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, groups))
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), np.diff(groups[order]) != 0]))
+        found = [order[a:b][scores[order[a:b]].argmax(0)] for a, b in zip(first, np.append(first[1:], len(order)))]
+        rows = np.array(found).reshape(len(found), scores.shape[1])
+        return rows.ravel(), np.tile(np.arange(scores.shape[1]), len(found))
+
+    out = None
+    for block in blocks_of(questions.select("query_id", "vec")):
+        part = _ranked_block(chunks, block, pick)
+        out = part if out is None else out.unionByName(part)
+    return best_of_group(out, ["query_id", "paper_id"], "id")
+
+
+def _ranked_block(chunks: DataFrame, block: pa.Table, pick: Callable) -> DataFrame:
+    vec = block.column("vec").combine_chunks()
+    width = len(vec[0])
+    asked, queries = block.column("query_id").to_numpy(), _vectors(vec, width).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, groups = batch.column("id").to_numpy(), batch.column("paper_id").to_numpy()
+                scores = np.round(_vectors(batch.column("vec"), width) @ queries, DIGITS)
+                r, c = pick(scores, ids, groups)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[c]), pa.array(ids[r]), pa.array(groups[r]), pa.array(scores[r, c])], names=["query_id", "id", "paper_id", "score"])
+
+    return chunks.select("id", "paper_id", "vec").mapInArrow(run, "query_id bigint, id bigint, paper_id bigint, score double")
+
+
+def text_search(texts: DataFrame, questions: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, id, score, pos: each question's k texts with the highest score, as bm25() gives it for the question's terms.
+
+    texts: id, text. questions: query_id, terms. A block of questions takes two passes: one finds in how many texts each
+    term is, one scores. All terms of a block are looked for together in one walk over a text.
+    """
+    low, out = texts.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("text")), None
+    n, mean = low.agg(F.count("*"), F.avg(F.greatest(F.length("text") - 2, F.lit(0)))).first()
+    for block in blocks_of(questions.select("query_id", "terms")):
+        asked = [[t.lower() for t in dict.fromkeys(terms or []) if len(t) >= 3] for terms in block.column("terms").to_pylist()]
+        terms = sorted({t for own in asked for t in own})
+        if not terms:
+            continue
+        place = {t: i for i, t in enumerate(terms)}
+
+        def counted(batch: pa.RecordBatch, finder: ahocorasick.Automaton, terms: list[str] = terms) -> Iterator[np.ndarray]:
+            for text in batch.column("text").to_pylist():
+                yield np.bincount([i for _, i in finder.iter(text)], minlength=len(terms))
+
+        def finder(terms: list[str] = terms) -> ahocorasick.Automaton:
+            found = ahocorasick.Automaton()
+            for i, t in enumerate(terms):
+                found.add_word(t, i)
+            found.make_automaton()
+            return found
+
+        def frequencies(batches: Iterator[pa.RecordBatch], terms: list[str] = terms, finder=finder, counted=counted) -> Iterator[pa.RecordBatch]:
+            held, total = finder(), np.zeros(len(terms), np.int64)
+            for batch in batches:
+                for row in counted(batch, held):
+                    total += row > 0
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "df"])
+
+        df = np.zeros(len(terms))
+        for r in low.mapInArrow(frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():  # a row a term
+            df[r["term"]] = r["df"]
+        raw = np.log((n - df + 0.5) / (df + 0.5))
+        idf = np.where(raw > 0, raw, 1e-6)
+        some = [i for i, own in enumerate(asked) if own]
+        flat = np.array([place[t] for i in some for t in asked[i]])
+        first = np.cumsum([0] + [len(asked[i]) for i in some])[:-1]
+        ids_asked = block.column("query_id").to_numpy()[some]
+
+        def scored(batches: Iterator[pa.RecordBatch], finder=finder, counted=counted, idf=idf, flat=flat, first=first, ids_asked=ids_asked) -> Iterator[pa.RecordBatch]:
+            held = finder()
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    batch = whole.slice(at, 256)
+                    tf = np.array(list(counted(batch, held)), float)
+                    size = np.array([max(len(t) - 2, 0) for t in batch.column("text").to_pylist()])[:, None]
+                    weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean)) if mean else idf * tf * 0
+                    scores = np.round(np.add.reduceat(weight[:, flat], first, axis=1), DIGITS)
+                    scores[np.add.reduceat(tf[:, flat], first, axis=1) == 0] = -np.inf
+                    ids = batch.column("id").to_numpy()
+                    r, c = _best(scores, ids, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids_asked[c]), pa.array(ids[r]), pa.array(scores[r, c])], names=["query_id", "id", "score"])
+
+        part = low.mapInArrow(scored, "query_id bigint, id bigint, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = low.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0)
+    return top(out, k, "id", by=["query_id"])
+
+
 def similarity(chunks: DataFrame, query: list[float], vec: str = "vec") -> DataFrame:
-    """chunks with score: the product with the query vector. The vector is a literal, so there is no join."""
+    """chunks with score: the product with one query vector. The vector is a literal, so there is no join."""
     return chunks.withColumn("score", F.round(dot(F.col(vec), F.array(*map(F.lit, map(float, query)))), DIGITS))
 
 
-def top(ranked: DataFrame, k: int, *ties: str) -> DataFrame:
-    """The k best by score; pos from 0."""
-    best = ranked.orderBy(F.desc("score"), *ties).limit(k)
-    return best.withColumn("pos", (F.row_number().over(W.orderBy(F.desc("score"), *ties)) - 1).cast("long"))
+def top(ranked: DataFrame, k: int, *ties: str, by: list[str] | None = None) -> DataFrame:
+    """The k best by score, of each by where it is given; pos from 0."""
+    order = [F.desc("score"), *ties]
+    best = ranked if by else ranked.orderBy(*order).limit(k)
+    window = W.partitionBy(*by).orderBy(*order) if by else W.orderBy(*order)
+    # The bare number is compared, so that each task already keeps k rows of a group at most.
+    return best.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= k).withColumn("pos", (F.col("_n") - 1).cast("long")).drop("_n")
 
 
-def best_of_group(scored: DataFrame, group: str, item: str) -> DataFrame:
+def best_of_group(scored: DataFrame, group: str | list[str], item: str) -> DataFrame:
     """Each group's item with the highest score, the first of equals."""
-    return scored.groupBy(group).agg(F.max_by(item, F.struct("score", -F.col(item))).alias(item), F.max("score").alias("score"))
+    return scored.groupBy(*_listed(group)).agg(F.max_by(item, F.struct("score", -F.col(item))).alias(item), F.max("score").alias("score"))
+
+
+def _listed(x: str | list[str]) -> list[str]:
+    return [x] if isinstance(x, str) else list(x)
 
 
 def bm25(df: DataFrame, texts: list[str], terms: list[str], key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -65,13 +220,14 @@ def _overlapping(c: Column, term: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(term), F.lit("")))) / F.lit(len(term))).cast("int")
 
 
-def fuse(lists: list[tuple[DataFrame, float]], key: str, k: int = 60) -> DataFrame:
+def fuse(lists: list[tuple[DataFrame, float]], key: str | list[str], k: int = 60) -> DataFrame:
     """Weighted reciprocal rank fusion. Each list: key, pos (from 0). Gives key, score, seen (by list, then place)."""
-    parts = [df.select(key, (F.lit(w) / (k + F.col("pos"))).alias("s"), (F.lit(i * 1_000_000).cast("long") + F.col("pos")).alias("seen")) for i, (df, w) in enumerate(lists)]
+    key = _listed(key)
+    parts = [df.select(*key, (F.lit(w) / (k + F.col("pos"))).alias("s"), (F.lit(i * 1_000_000).cast("long") + F.col("pos")).alias("seen")) for i, (df, w) in enumerate(lists)]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    return union.groupBy(key).agg(F.round(F.sum("s"), DIGITS).alias("score"), F.min("seen").alias("seen"))
+    return union.groupBy(*key).agg(F.round(F.sum("s"), DIGITS).alias("score"), F.min("seen").alias("seen"))
 
 
 def weights(intent: str) -> tuple[float, float]:
@@ -87,9 +243,9 @@ def section_boost(ranked: DataFrame, section: list[str], share: float = 0.08, na
     return ranked.withColumn("boosted", F.round(F.col("score") + share * group, DIGITS))
 
 
-def capped(ranked: DataFrame, group: str, most: int, order: list[Column]) -> DataFrame:
+def capped(ranked: DataFrame, group: str | list[str], most: int, order: list[Column]) -> DataFrame:
     """At most so many of each group, the first in order."""
-    return ranked.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+    return ranked.withColumn("_n", F.row_number().over(W.partitionBy(*_listed(group)).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 
 def rerank(ranked: DataFrame, score_pairs: Callable[[DataFrame], DataFrame] | None, head: int = 40) -> DataFrame:
@@ -103,17 +259,20 @@ def rerank(ranked: DataFrame, score_pairs: Callable[[DataFrame], DataFrame] | No
     return scored.unionByName(rest).withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
 
 
-def recall(best: DataFrame, paper_scores: DataFrame, title_hits: DataFrame, covered: DataFrame, room: int, with_chunks: Column, bonus: float = 0.35, floor: float = 0.3) -> DataFrame:
-    """Papers that the ranking doesn't cover yet: paper_id, score, the room best of them.
+def recall(
+    best: DataFrame, paper_scores: DataFrame, title_hits: DataFrame, covered: DataFrame, room: int, with_chunks: Column, bonus: float = 0.35, floor: float = 0.3, by: list[str] | None = None,
+) -> DataFrame:
+    """Papers that the ranking doesn't cover yet: paper_id, score, the room best of them (for each by where it is given).
 
     The score is the better of the best chunk's and the paper's own, and a bonus where the title is hit. A paper without
     chunks must score above floor. best, paper_scores: paper_id, score.
     """
-    a, b = best.select("paper_id", F.col("score").alias("chunk_score")), paper_scores.select("paper_id", F.col("score").alias("own_score"))
-    all_ = a.join(b, "paper_id", "full").join(title_hits.select("paper_id").distinct().withColumn("hit", F.lit(True)), "paper_id", "left")
+    key = [*(by or []), "paper_id"]
+    a, b = best.select(*key, F.col("score").alias("chunk_score")), paper_scores.select(*key, F.col("score").alias("own_score"))
+    all_ = a.join(b, key, "full").join(title_hits.select(*key).distinct().withColumn("hit", F.lit(True)), key, "left")
     score = F.greatest(F.coalesce("chunk_score", F.lit(-1.0)), F.coalesce("own_score", F.lit(-1.0))) + F.when(F.col("hit"), bonus).otherwise(0.0)
-    scored = all_.join(covered.select("paper_id").distinct(), "paper_id", "left_anti").select("paper_id", F.round(score, DIGITS).alias("score"), with_chunks.alias("has_chunks"))
-    return scored.where(F.col("has_chunks") | (F.col("score") > floor)).orderBy(F.desc("score"), "paper_id").limit(room).select("paper_id", "score")
+    scored = all_.join(covered.select(*key).distinct(), key, "left_anti").select(*key, F.round(score, DIGITS).alias("score"), with_chunks.alias("has_chunks"))
+    return top(scored.where(F.col("has_chunks") | (F.col("score") > floor)), room, "paper_id", by=by).select(*key, "score")
 
 
 def neighbours(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -130,7 +289,9 @@ def expanded(chunks: DataFrame, most: int = 4500) -> DataFrame:
     return out.withColumn("context", F.when(F.col("after").isNotNull() & (F.length("context") + F.length("after") + 1 <= most), F.concat("context", F.lit("\n"), F.col("after"))).otherwise(F.col("context")))
 
 
-def numbered_sources(hits: DataFrame) -> DataFrame:
-    """n (from 1, by first place), paper_id, chunks (in order) of hits (paper_id, chunk_id, pos)."""
-    grouped = hits.groupBy("paper_id").agg(F.min("pos").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))), lambda s: s["chunk_id"]).alias("chunks"))
-    return grouped.select(F.row_number().over(W.orderBy("first", "paper_id")).cast("long").alias("n"), "paper_id", "chunks")
+def numbered_sources(hits: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """n (from 1, by first place), paper_id, chunks (in order) of hits (paper_id, chunk_id, pos); for each by where given."""
+    by = by or []
+    grouped = hits.groupBy(*by, "paper_id").agg(F.min("pos").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))), lambda s: s["chunk_id"]).alias("chunks"))
+    order = W.partitionBy(*by).orderBy("first", "paper_id") if by else W.orderBy("first", "paper_id")
+    return grouped.select(*by, F.row_number().over(order).cast("long").alias("n"), "paper_id", "chunks")

@@ -9,20 +9,23 @@ from lectern.operators import retrieval as R
 
 
 def hybrid_search(
-    chunks: DataFrame, papers: DataFrame, query: list[float], terms: list[str], section: list[str], cap_by: str,
+    chunks: DataFrame, papers: DataFrame, questions: DataFrame, section: list[str], cap_by: str,
     intent: str = "semantic", recall: int = 50, fused: int = 240, cap: int = 4, most: int = 10, scope=None,
 ) -> DataFrame:
-    """pos, id, score of the hits.
+    """query_id, id, what cap_by names, score of each question's hits.
 
-    chunks: id, vec. papers: id, text and what section and cap_by name. Both lists are cut before the scope (a condition
-    on papers) is looked at, unless it is given to the callers' own tables.
+    chunks: id, paper_id, vec. papers: id, text and what section and cap_by name. questions: query_id, vec, terms. Both
+    lists are cut before the scope (a condition on papers) is looked at, unless it is given to the callers' own tables.
     """
-    vectors = R.top(R.similarity(chunks, query).select("id", "score"), recall, "id")
-    texts = R.top(R.bm25(papers, ["text"], terms, "id"), recall, "id")
+    by = ["query_id"]
+    vectors = R.nearest(chunks, questions.where("vec IS NOT NULL"), recall)
+    texts = R.text_search(papers, questions, recall)
     by_vector, by_text = R.weights(intent)
-    ranked = R.fuse([(vectors, by_vector), (texts, by_text)], "id").orderBy(F.desc("score"), "seen", "id").limit(fused)
+    fused_ = R.fuse([(vectors, by_vector), (texts, by_text)], ["query_id", "id"])
+    ranked = R.top(fused_, fused, "seen", "id", by=by).drop("pos")
     own = papers if scope is None else papers.where(scope)
     guarded = ranked.join(own.select("id", *dict.fromkeys([*section, cap_by])), "id")
-    boosted = R.section_boost(guarded, section)
+    boosted = R.section_boost(guarded, [*by, *section])
     order = [F.desc("boosted"), F.col("seen"), F.col("id")]
-    return R.capped(boosted, cap_by, cap, order).orderBy(*order).limit(most).select("id", "lang", F.round("boosted", 6).alias("score"))
+    kept = R.capped(boosted, [*by, cap_by], cap, order)
+    return R.capped(kept, by, most, order).select("query_id", "id", cap_by, F.round("boosted", 6).alias("score"))

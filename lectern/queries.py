@@ -19,7 +19,6 @@ from lectern.sources.tables import chunks, papers, read
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-TERMS = ["nicht", "keit", "worthless"]
 NOW = "timestamp '2024-02-01 00:00:00'"
 
 
@@ -34,97 +33,118 @@ def query(sql: str | None = None):
 
 
 # SQL that several queries share.
-PAPERS = "papers AS (SELECT doc_id AS id, substr(regexp_extract(text, '^([^\\n]*)', 1), 1, 80) AS title, source AS category, lang, text, n_chars FROM documents)"
-PROBE = "q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0)"
+PAPERS = "papers AS (SELECT doc_id AS id, regexp_extract(text, '^([^\\n]*)', 1) AS title, source AS category, lang, text, n_chars FROM documents)"
 DOT = "list_dot_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
-VECTORS = f"sims AS (SELECT vec_id AS id, label AS paper_id, round({DOT.format('embedding', 'v')}, 9) AS score FROM embeddings, q)"
-BM25 = """
-low AS (SELECT doc_id AS id, lower(text) AS t FROM documents),
-tf AS (SELECT id, greatest(length(t) - 2, 0) AS d, (length(t) - length(replace(t, 'nicht', ''))) / 5 AS t0, (length(t) - length(replace(t, 'keit', ''))) / 4 AS t1,
-  (length(t) - length(replace(t, 'worthless', ''))) / 9 AS t2 FROM low),
-st AS (SELECT count(*) AS n, avg(d) AS m, count(*) FILTER (WHERE t0 > 0) AS d0, count(*) FILTER (WHERE t1 > 0) AS d1, count(*) FILTER (WHERE t2 > 0) AS d2 FROM tf),
-idf AS (SELECT *, CASE WHEN ln((n - d0 + .5) / (d0 + .5)) > 0 THEN ln((n - d0 + .5) / (d0 + .5)) ELSE 1e-6 END AS i0, CASE WHEN ln((n - d1 + .5) / (d1 + .5)) > 0 THEN ln((n - d1 + .5) / (d1 + .5)) ELSE 1e-6 END AS i1,
-  CASE WHEN ln((n - d2 + .5) / (d2 + .5)) > 0 THEN ln((n - d2 + .5) / (d2 + .5)) ELSE 1e-6 END AS i2 FROM st),
-bm AS (SELECT id, round(i0 * t0 * 2.2 / (t0 + 1.2 * (.25 + .75 * d / m)) + i1 * t1 * 2.2 / (t1 + 1.2 * (.25 + .75 * d / m)) + i2 * t2 * 2.2 / (t2 + 1.2 * (.25 + .75 * d / m)), 9) AS score
-  FROM tf, idf WHERE t0 > 0 OR t1 > 0 OR t2 > 0)"""
+# Searches take as questions every row whose id is divisible by 100, against all rows: a vector asks for vectors, and the
+# title of the document of that number for texts, by its first three words whose first letter doesn't come again in them.
+PROBE = "q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0)"
+VECTORS = f"sims AS (SELECT query_id, vec_id AS id, label AS paper_id, round({DOT.format('embedding', 'v')}, 9) AS score FROM embeddings, q)"
+QT = r"""qw AS (SELECT id AS query_id, list_transform(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9-]{2,}'), lambda x: lower(x)) AS w FROM papers WHERE id % 100 = 0),
+qd AS (SELECT query_id, list_filter(w, lambda x, i: list_position(w, x) = i AND NOT contains(substr(x, 2), x[1])) AS w FROM qw),
+qt AS (SELECT query_id, unnest(list_slice(w, 1, 3)) AS term FROM qd), terms AS (SELECT DISTINCT term FROM qt)"""
+
+
+def _bm25(name: str, text: str) -> str:
+    return f"""low{name} AS (SELECT id, lower({text}) AS t, greatest(length({text}) - 2, 0) AS d FROM papers),
+tf{name} AS (SELECT id, d, term, (length(t) - length(replace(t, term, ''))) // length(term) AS f FROM low{name}, terms WHERE contains(t, term)),
+st{name} AS (SELECT count(*) AS n, avg(d) AS m FROM low{name}),
+idf{name} AS (SELECT term, n, m, CASE WHEN ln((n - df + .5) / (df + .5)) > 0 THEN ln((n - df + .5) / (df + .5)) ELSE 1e-6 END AS i FROM (SELECT term, count(*) AS df FROM tf{name} GROUP BY 1), st{name}),
+bm{name} AS (SELECT query_id, id, round(sum(i * f * 2.2 / (f + 1.2 * (.25 + .75 * d / m))), 9) AS score FROM tf{name} JOIN idf{name} USING (term) JOIN qt USING (term) GROUP BY 1, 2)"""
+
+
+BM25 = f"{PAPERS}, {QT}, {_bm25('', 'text')}"
 LISTS = f"""{PROBE}, {VECTORS}, {BM25},
-vl AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS pos FROM sims QUALIFY pos < 50),
-tl AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS pos FROM bm QUALIFY pos < 50)"""
-FUSED = """fused AS (SELECT id, round(sum(s), 9) AS score, min(seen) AS seen FROM (
-  SELECT id, {w0} / (60 + pos) AS s, pos AS seen FROM vl UNION ALL SELECT id, {w1} / (60 + pos), 1000000 + pos FROM tl) GROUP BY id)"""
+vl AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS pos FROM sims QUALIFY pos < 50),
+tl AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS pos FROM bm QUALIFY pos < 50)"""
+FUSED = """fused AS (SELECT query_id, id, round(sum(s), 9) AS score, min(seen) AS seen FROM (
+  SELECT query_id, id, {w0} / (60 + pos) AS s, pos AS seen FROM vl UNION ALL SELECT query_id, id, {w1} / (60 + pos), 1000000 + pos FROM tl) GROUP BY 1, 2)"""
 
 
-def _probe(spark: SparkSession, sf: str) -> list[float]:
-    return list(read(spark, sf, "embeddings").where("vec_id = 0").first()["embedding"])
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    """query_id, vec, terms."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all("title", F.lit("[A-Za-z][A-Za-z0-9-]{2,}"), F.lit(0)), lambda w: F.lower(w)))
+    plain = F.filter(words, lambda w: ~F.contains(F.substring(w, 2, 1 << 20), F.substring(w, 1, 1)))
+    asked = papers(spark, sf).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.slice(plain, 1, 3).alias("terms"))
+    vectors = chunks(spark, sf).where("id % 100 = 0").select(F.col("id").alias("query_id"), "vec")
+    return vectors.join(asked, "query_id", "full")
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return _questions(spark, sf).where("vec IS NOT NULL")
 
 
 def _lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    vectors = retrieval.top(retrieval.similarity(chunks(spark, sf), _probe(spark, sf)).select("id", "score"), 50, "id")
-    return vectors, retrieval.top(retrieval.bm25(papers(spark, sf), ["text"], TERMS, "id"), 50, "id")
+    return retrieval.nearest(chunks(spark, sf), _vectors(spark, sf), 50), retrieval.text_search(papers(spark, sf), _questions(spark, sf), 50)
+
+
+def _score():
+    return F.round("score", 6).alias("score")
 
 
 @query(f"""WITH {LISTS}, {FUSED.format(w0='1.0', w1='1.0')},
-g AS (SELECT f.*, lang, source FROM (SELECT * FROM fused ORDER BY score DESC, seen, id LIMIT 240) f JOIN documents d ON d.doc_id = f.id),
-b AS (SELECT *, round(score + 0.08 * sum(score) OVER (PARTITION BY lang, source), 9) AS boosted FROM g),
-c AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY boosted DESC, seen, id) AS k FROM b)
-SELECT id, lang, round(boosted, 6) AS score FROM c WHERE k <= 4 ORDER BY boosted DESC, seen, id LIMIT 10""")
+g AS (SELECT f.*, lang, source FROM (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, id) <= 240) f JOIN documents d ON d.doc_id = f.id),
+b AS (SELECT *, round(score + 0.08 * sum(score) OVER (PARTITION BY query_id, lang, source), 9) AS boosted FROM g),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY boosted DESC, seen, id) AS k FROM b)
+SELECT query_id, id, lang, round(boosted, 6) AS score FROM (SELECT * FROM c WHERE k <= 4) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, seen, id) <= 10""")
 def hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid search: the flagship."""
-    return hybrid_search(chunks(spark, sf), papers(spark, sf), _probe(spark, sf), TERMS, ["lang", "category"], "lang")
+    return hybrid_search(chunks(spark, sf), papers(spark, sf), _questions(spark, sf), ["lang", "category"], "lang")
 
 
-@query(f"WITH {PROBE}, {VECTORS} SELECT id, round(score, 6) AS score FROM sims ORDER BY sims.score DESC, id LIMIT 50")
+@query(f"WITH {PROBE}, {VECTORS} SELECT query_id, id, round(score, 6) AS score FROM sims QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sims.score DESC, id) <= 50")
 def vector_topk(spark, sf):
-    return retrieval.top(retrieval.similarity(chunks(spark, sf), _probe(spark, sf)), 50, "id").select("id", F.round("score", 6).alias("score"))
+    return retrieval.nearest(chunks(spark, sf), _vectors(spark, sf), 50).select("query_id", "id", _score())
 
 
-@query(f"WITH {PROBE}, {VECTORS}, r AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, id) AS k FROM sims) SELECT paper_id::BIGINT AS paper_id, id, round(score, 6) AS score FROM r WHERE k = 1")
+@query(f"WITH {PROBE}, {VECTORS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, paper_id ORDER BY score DESC, id) AS k FROM sims) SELECT query_id, paper_id::BIGINT AS paper_id, id, round(score, 6) AS score FROM r WHERE k = 1")
 def best_chunk_per_paper(spark, sf):
-    best = retrieval.best_of_group(retrieval.similarity(chunks(spark, sf), _probe(spark, sf)), "paper_id", "id")
-    return best.select("paper_id", "id", F.round("score", 6).alias("score"))
+    return retrieval.nearest_of_group(chunks(spark, sf), _vectors(spark, sf)).select("query_id", "paper_id", "id", _score())
 
 
-@query(f"WITH {BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 50")
+@query(f"WITH {BM25} SELECT query_id, id, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm.score DESC, id) <= 50")
 def bm25_topk(spark, sf):
-    return retrieval.top(retrieval.bm25(papers(spark, sf), ["text"], TERMS, "id"), 50, "id").select("id", F.round("score", 6).alias("score"))
+    return retrieval.text_search(papers(spark, sf), _questions(spark, sf), 50).select("query_id", "id", _score())
 
 
-@query(f"WITH {LISTS}, {FUSED.format(w0='0.75', w1='1.25')} SELECT id, round(score, 6) AS score, seen::BIGINT AS seen FROM fused")
+@query(f"WITH {LISTS}, {FUSED.format(w0='0.75', w1='1.25')} SELECT query_id, id, round(score, 6) AS score, seen::BIGINT AS seen FROM fused")
 def rank_fusion(spark, sf):
     lists = _lists(spark, sf)
-    return retrieval.fuse(list(zip(lists, retrieval.weights("exact"))), "id").select("id", F.round("score", 6).alias("score"), "seen")
+    return retrieval.fuse(list(zip(lists, retrieval.weights("exact"))), ["query_id", "id"]).select("query_id", "id", _score(), "seen")
 
 
-@query(f"WITH {LISTS}, {FUSED.format(w0='1.0', w1='1.0')} SELECT f.id, round(score + 0.08 * sum(score) OVER (PARTITION BY lang, source), 6) AS boosted FROM fused f JOIN documents d ON d.doc_id = f.id")
+@query(f"WITH {LISTS}, {FUSED.format(w0='1.0', w1='1.0')} SELECT query_id, f.id, round(score + 0.08 * sum(score) OVER (PARTITION BY query_id, lang, source), 6) AS boosted FROM fused f JOIN documents d ON d.doc_id = f.id")
 def section_boost(spark, sf):
-    fused = retrieval.fuse(list(zip(_lists(spark, sf), (1.0, 1.0))), "id").join(papers(spark, sf).select("id", "lang", "category"), "id")
-    return retrieval.section_boost(fused, ["lang", "category"]).select("id", F.round("boosted", 6).alias("boosted"))
+    fused = retrieval.fuse(list(zip(_lists(spark, sf), (1.0, 1.0))), ["query_id", "id"]).join(papers(spark, sf).select("id", "lang", "category"), "id")
+    return retrieval.section_boost(fused, ["query_id", "lang", "category"]).select("query_id", "id", F.round("boosted", 6).alias("boosted"))
 
 
-@query(f"WITH {PROBE}, {VECTORS}, t AS (SELECT * FROM sims ORDER BY score DESC, id LIMIT 50), r AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, id) AS k FROM t) SELECT id, paper_id::BIGINT AS paper_id FROM r WHERE k <= 4")
+@query(f"WITH {PROBE}, {VECTORS}, t AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 50), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, paper_id ORDER BY score DESC, id) AS k FROM t) SELECT query_id, id, paper_id::BIGINT AS paper_id FROM r WHERE k <= 4")
 def per_paper_cap(spark, sf):
-    ranked = retrieval.top(retrieval.similarity(chunks(spark, sf), _probe(spark, sf)), 50, "id")
-    return retrieval.capped(ranked, "paper_id", 4, [F.col("pos")]).select("id", "paper_id")
+    ranked = retrieval.nearest(chunks(spark, sf), _vectors(spark, sf), 50)
+    return retrieval.capped(ranked, ["query_id", "paper_id"], 4, [F.col("pos")]).select("query_id", "id", "paper_id")
 
 
-@query(f"""WITH {PROBE}, {VECTORS}, best AS (SELECT paper_id, max(score) AS c FROM sims GROUP BY 1),
-own AS (SELECT label AS paper_id, round({DOT.format('m', 'v')}, 9) AS o FROM (SELECT label, first(embedding ORDER BY vec_id) AS m FROM embeddings GROUP BY 1), q),
-hits AS (SELECT DISTINCT label AS paper_id FROM embeddings WHERE vec_id % 97 = 5), covered AS (SELECT DISTINCT paper_id FROM (SELECT * FROM sims ORDER BY score DESC, id LIMIT 3))
-SELECT best.paper_id::BIGINT AS paper_id, round(greatest(c, o) + CASE WHEN hits.paper_id IS NULL THEN 0 ELSE 0.35 END, 6) AS score FROM best JOIN own USING (paper_id) LEFT JOIN hits USING (paper_id)
-WHERE best.paper_id NOT IN (SELECT paper_id FROM covered) ORDER BY round(greatest(c, o) + CASE WHEN hits.paper_id IS NULL THEN 0 ELSE 0.35 END, 9) DESC, best.paper_id LIMIT 4""")
+@query(f"""WITH {PROBE}, {VECTORS}, {PAPERS}, {QT}, {_bm25('', 'title')}, best AS (SELECT query_id, paper_id, max(score) AS c FROM sims GROUP BY 1, 2),
+own AS (SELECT query_id, label AS paper_id, round({DOT.format('m', 'v')}, 9) AS o FROM (SELECT label, first(embedding ORDER BY vec_id) AS m FROM embeddings GROUP BY 1), q),
+hits AS (SELECT DISTINCT query_id, id AS paper_id FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 50),
+covered AS (SELECT DISTINCT query_id, paper_id FROM (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3)),
+s AS (SELECT query_id, best.paper_id::BIGINT AS paper_id, round(greatest(c, o) + CASE WHEN hits.paper_id IS NULL THEN 0 ELSE 0.35 END, 9) AS score FROM best JOIN own USING (query_id, paper_id) LEFT JOIN hits USING (query_id, paper_id)
+  WHERE (query_id, best.paper_id) NOT IN (SELECT (query_id, paper_id) FROM covered))
+SELECT query_id, paper_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, paper_id) <= 4""")
 def paper_recall(spark, sf):
-    scored = retrieval.similarity(chunks(spark, sf), _probe(spark, sf))
-    first = chunks(spark, sf).groupBy("paper_id").agg(F.min_by("vec", "id").alias("vec"))
-    hits = chunks(spark, sf).where("id % 97 = 5")
-    covered = retrieval.top(scored, 3, "id")
-    found = retrieval.recall(retrieval.best_of_group(scored, "paper_id", "id"), retrieval.similarity(first, _probe(spark, sf)), hits, covered, 4, F.col("chunk_score").isNotNull())
-    return found.select("paper_id", F.round("score", 6).alias("score"))
+    """A paper's own vector is its first chunk's here; its title is that of the document of its number."""
+    c, q = chunks(spark, sf), _vectors(spark, sf)
+    first = c.groupBy("paper_id").agg(F.min_by(F.struct("id", "vec"), "id").alias("f")).select("paper_id", "f.*")
+    hits = retrieval.text_search(papers(spark, sf).select("id", F.col("title").alias("text")), _questions(spark, sf), 50).withColumnRenamed("id", "paper_id")
+    best, own, covered = retrieval.nearest_of_group(c, q), retrieval.nearest_of_group(first, q), retrieval.nearest(c, q, 3)
+    return retrieval.recall(best, own, hits, covered, 4, F.col("chunk_score").isNotNull(), by=["query_id"]).select("query_id", "paper_id", _score())
 
 
-@query(f"WITH {PROBE}, {VECTORS}, t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) - 1 AS pos FROM sims QUALIFY pos < 12), g AS (SELECT paper_id, min(pos) AS f, string_agg(id::VARCHAR, ',' ORDER BY pos) AS chunks FROM t GROUP BY 1) SELECT row_number() OVER (ORDER BY f, paper_id) AS n, paper_id::BIGINT AS paper_id, chunks FROM g")
+@query(f"""WITH {PROBE}, {VECTORS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS pos FROM sims QUALIFY pos < 12), g AS (SELECT query_id, paper_id, min(pos) AS f, string_agg(id::VARCHAR, ',' ORDER BY pos) AS chunks FROM t GROUP BY 1, 2)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY f, paper_id) AS n, paper_id::BIGINT AS paper_id, chunks FROM g""")
 def numbered_sources(spark, sf):
-    hits = retrieval.top(retrieval.similarity(chunks(spark, sf), _probe(spark, sf)), 12, "id").select("paper_id", F.col("id").alias("chunk_id"), "pos")
-    return retrieval.numbered_sources(hits).select("n", "paper_id", F.array_join("chunks", ",").alias("chunks"))
+    hits = retrieval.nearest(chunks(spark, sf), _vectors(spark, sf), 12).select("query_id", "paper_id", F.col("id").alias("chunk_id"), "pos")
+    return retrieval.numbered_sources(hits, by=["query_id"]).select("query_id", "n", "paper_id", F.array_join("chunks", ",").alias("chunks"))
 
 
 @query("SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 6) AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 6) AS first FROM embeddings")
@@ -160,13 +180,13 @@ def slugs(spark, sf):
     return papers(spark, sf).select("id", X.slugify(F.col("title")).alias("slug"), X.norm_title(F.col("title")).alias("norm"))
 
 
-@query(rf"""WITH {PAPERS}, t AS (SELECT id, 'see "' || substr(title, 1, 20) || '" IGBT ' || title AS t FROM papers),
+@query(rf"""WITH {PAPERS}, t AS (SELECT id, 'see "' || title || '" IGBT ' || title AS t FROM papers),
 c AS (SELECT id, t, substr(regexp_replace(trim(t), '\s+', ' ', 'g'), 1, 500) AS s FROM t)
 SELECT id, trim(regexp_replace(s, '^(\[\d+\]|\(\d+\)|\d+\.)\s*', '')) AS cleaned,
   array_to_string(list_slice(list_filter(list_concat(list_transform(regexp_extract_all(t, '["“”]([^"“”]{{2,40}})["“”]', 1), lambda x: trim(x)), regexp_extract_all(t, '[A-Za-z][A-Za-z0-9-]{{2,}}')),
     lambda x, i: list_position(list_concat(list_transform(regexp_extract_all(t, '["“”]([^"“”]{{2,40}})["“”]', 1), lambda y: trim(y)), regexp_extract_all(t, '[A-Za-z][A-Za-z0-9-]{{2,}}')), x) = i), 1, 8), ',') AS words FROM c""")
 def query_words(spark, sf):
-    t = papers(spark, sf).select("id", F.concat(F.lit('see "'), F.substring("title", 1, 20), F.lit('" IGBT '), F.col("title")).alias("t"))
+    t = papers(spark, sf).select("id", F.concat(F.lit('see "'), "title", F.lit('" IGBT '), F.col("title")).alias("t"))
     return t.select("id", X.clean_query(F.col("t")).alias("cleaned"), F.array_join(X.keywords(F.col("t")), ",").alias("words"))
 
 
@@ -331,29 +351,28 @@ def ranked_urls(spark, sf):
     return library.ranked_urls(c)
 
 
-_DICE = r"""a AS (SELECT doc_id AS id, substr(lower(regexp_extract(text, '^([^\n]*)', 1)), 1, 80) AS t, lower(regexp_extract(text, '^(\w+)', 1)) AS w FROM documents),
-b AS (SELECT item_id AS ordinal, lower(substr(regexp_extract(text, '^([^\n]*)', 1), 1, 80)) AS t, lower(regexp_extract(text, '^(\w+)', 1)) AS w FROM benchmark),
-g AS (SELECT id, t, w, CASE WHEN length(t) >= 2 THEN list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) ELSE [] END AS g FROM a),
-h AS (SELECT ordinal, t, w, CASE WHEN length(t) >= 2 THEN list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) ELSE [] END AS g FROM b),
-p AS (SELECT g.id, h.ordinal, round(CASE WHEN len(g.g) = 0 OR len(h.g) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect(g.g, h.g)) / (len(g.g) + len(h.g)) END, 9) AS dice FROM g JOIN h ON g.w = h.w AND g.w <> '')"""
+_DICE = r"""a AS (SELECT doc_id AS id, lower(regexp_extract(text, '^([^\n]*)', 1)) AS t FROM documents),
+b AS (SELECT item_id AS ordinal, lower(regexp_extract(text, '^([^\n]*)', 1)) AS t FROM benchmark),
+g AS (SELECT id, CASE WHEN length(t) >= 2 THEN list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) ELSE [] END AS g FROM a),
+h AS (SELECT ordinal, CASE WHEN length(t) >= 2 THEN list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) ELSE [] END AS g FROM b),
+o AS (SELECT id, ordinal, count(*) AS n FROM (SELECT id, unnest(g) AS x FROM g) JOIN (SELECT ordinal, unnest(g) AS x FROM h) USING (x) GROUP BY 1, 2),
+p AS (SELECT id, ordinal, round(2.0::DOUBLE * n / (len(g.g) + len(h.g)), 9) AS dice FROM o JOIN g USING (id) JOIN h USING (ordinal))"""
 
 
-def _candidates(spark, sf):
-    word = lambda c: F.lower(F.regexp_extract(c, r"^(\w+)", 1))
-    line = lambda c: F.substring(F.regexp_extract(c, r"^([^\n]*)", 1), 1, 80)
-    own = papers(spark, sf).select("id", "title", word("text").alias("w")).where("w <> ''")
-    works = read(spark, sf, "benchmark").select(F.col("item_id").alias("ordinal"), line("text").alias("title"), word("text").alias("w"))
-    return own.select("id", "title"), own.select("id", "w").join(works, "w").drop("w")
+def _works(spark, sf):
+    return read(spark, sf, "benchmark").select(F.col("item_id").alias("ordinal"), F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"))
 
 
-@query(rf"WITH {_DICE} SELECT id, ordinal, round(dice, 6) AS dice FROM p WHERE dice > 0.12 QUALIFY row_number() OVER (PARTITION BY id ORDER BY p.dice DESC, ordinal) = 1")
+@query(rf"WITH {_DICE} SELECT id, ordinal, round(dice, 6) AS dice FROM p WHERE dice > 0.6 QUALIFY row_number() OVER (PARTITION BY id ORDER BY p.dice DESC, ordinal) = 1")
 def best_match(spark, sf):
-    return bibliography.matches(*_candidates(spark, sf), 0.12).select("id", "work.ordinal", F.round("work.dice", 6).alias("dice"))
+    p, w = papers(spark, sf).select("id", "title"), _works(spark, sf)
+    return bibliography.matches(p, bibliography.candidates(p, w, 0.6), 0.6).select("id", "work.ordinal", F.round("work.dice", 6).alias("dice"))
 
 
-@query(rf"WITH {_DICE} SELECT id, ordinal, round(dice, 6) AS dice FROM p WHERE dice > 0.15 QUALIFY row_number() OVER (PARTITION BY id ORDER BY ordinal) = 1")
+@query(rf"WITH {_DICE} SELECT id, ordinal, round(dice, 6) AS dice FROM p WHERE dice > 0.65 QUALIFY row_number() OVER (PARTITION BY id ORDER BY ordinal) = 1")
 def first_match(spark, sf):
-    return bibliography.matches(*_candidates(spark, sf), 0.15, best=False).select("id", "work.ordinal", F.round("work.dice", 6).alias("dice"))
+    p, w = papers(spark, sf).select("id", "title"), _works(spark, sf)
+    return bibliography.matches(p, bibliography.candidates(p, w, 0.65), 0.65, best=False).select("id", "work.ordinal", F.round("work.dice", 6).alias("dice"))
 
 
 @query(r"""WITH a AS (SELECT conv_id, turn, text || ' [' || (turn % 4)::VARCHAR || '] and [9] 《' || substr(text, 1, 12) || '》' AS x FROM conversations),
@@ -431,6 +450,5 @@ def chunked_documents(spark, sf):
 @query()
 def bibliography_export(spark, sf):
     p = papers(spark, sf).select("id", "title", F.col("category").alias("authors"), (2000 + F.col("id") % 20).cast("int").alias("year"), F.lit("").alias("venue"))
-    _, c = _candidates(spark, sf)
-    works = c.select("id", "ordinal", "title", F.lit("A Author").alias("authors"), F.lit(2005).alias("year"), F.lit("Journal").alias("venue"), F.lit("").alias("doi"), F.lit("journal-article").alias("kind"), F.lit(None).cast("string").alias("bibtex"))
+    works = bibliography.candidates(p, _works(spark, sf), 0.6).select("id", "ordinal", "title", F.lit("A Author").alias("authors"), F.lit(2005).alias("year"), F.lit("Journal").alias("venue"), F.lit("").alias("doi"), F.lit("journal-article").alias("kind"), F.lit(None).cast("string").alias("bibtex"))
     return bibliography.exported(bibliography.resolved(p, works))

@@ -11,8 +11,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, title (the first line, 80 characters at most), category, lang, text, n_chars of each document."""
-    title = F.substring(F.regexp_extract("text", r"^([^\n]*)", 1), 1, 80)
+    """id, title (the whole first line), category, lang, text, n_chars of each document."""
+    title = F.regexp_extract("text", r"^([^\n]*)", 1)
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), title.alias("title"), F.col("source").alias("category"), "lang", "text", "n_chars")
 
 

@@ -35,11 +35,11 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     first, again = entry.entry(spark), entry.entry(spark)
-    assert first.columns == ["id", "lang", "score"] and first.collect() == again.collect()
+    assert first.columns == ["query_id", "id", "lang", "score"] and sorted(first.collect()) == sorted(again.collect())
 
 
 def test_plans(spark):
     plan = entry.queries()["vector_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan and "ReadSchema: struct<vec_id" in plan
+    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     plan = entry.queries()["chat_history"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan

@@ -156,3 +156,19 @@ def test_resolution(spark):
     out = B.exported(B.resolved(papers, works)).collect()
     assert all(r["ok"] for r in out) and len({r["key"] for r in out}) == 4
     assert B.source_counts(B.resolved(papers, works)).first().asDict() == {"official": 1, "web": 1, "local": 2}
+
+
+def test_no_candidate_is_lost(spark):
+    import random
+
+    rnd = random.Random(5)
+    made = lambda: "".join(rnd.choice("abcde ") for _ in range(rnd.randrange(0, 40)))
+    titles = [made() for _ in range(60)]
+    near = ["".join(c if rnd.random() > 0.15 else rnd.choice("abcxyz") for c in t) for t in titles]
+    papers = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
+    works = spark.createDataFrame(list(enumerate(near)), "ordinal long, title string")
+    pairs = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    for least in (0.3, 0.6):
+        got = {(r["id"], r["ordinal"]) for r in B.candidates(papers, works, least).collect()}
+        want = {(i, j) for i, a in enumerate(titles) for j, b in enumerate(near) if pairs(a) and pairs(b) and 2 * len(pairs(a) & pairs(b)) / (len(pairs(a)) + len(pairs(b))) > least}
+        assert want <= got and len(want) > 20
