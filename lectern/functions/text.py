@@ -76,6 +76,34 @@ def intent(c: Column, title_hit: Column | None = None) -> Column:
     return F.when(exact, F.lit("exact")).otherwise(F.lit("semantic"))
 
 
+def merged_keywords(first: Column, then: Column, most: int = 8) -> Column:
+    """Those that a model gave before those of the rules; each once."""
+    return F.slice(F.array_distinct(F.concat(first, then)), 1, most)
+
+
+#: Words that tell nothing about where a passage stands.
+LOCATE_STOP_WORDS = frozenset(
+    "the and for are with this that from have has had was were will can could its their than then when what which how why does did not but all any"
+    " into over between based using used use via about you your there these those some such may also should would".split()
+)
+
+
+def locate_words(c: Column, size: int = 500, most: int = 24) -> Column:
+    """Words by which a passage is looked for: Latin ones of three letters or more, then pairs of CJK characters."""
+    probe = F.substring(c, 1, size)
+    latin = F.transform(F.regexp_extract_all(probe, F.lit("[A-Za-z][A-Za-z0-9+-]{2,}"), F.lit(0)), F.lower)
+    latin = F.filter(latin, lambda w: ~w.isin(sorted(LOCATE_STOP_WORDS)))
+    runs = F.regexp_extract_all(probe, F.lit("[\\u4e00-\\u9fff]{2,}"), F.lit(0))
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: r.substr(i, F.lit(2)))))
+    return F.slice(F.array_distinct(F.concat(latin, pairs)), 1, most)
+
+
+def file_title(path: Column) -> Column:
+    """title (the file's name without its ending) and year (the first 19.. or 20.. in it, else null)."""
+    name = F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), "(?<=.)\\.[^.]*$", "")
+    return F.struct(name.alias("title"), F.nullif(F.regexp_extract(name, "((?:19|20)\\d{2})", 1), F.lit("")).cast("int").alias("year"))
+
+
 def search_terms(words: Column) -> Column:
     """Terms of a search: blanks collapsed, two characters at least, eight at most."""
     clean = F.transform(words, lambda k: F.trim(F.regexp_replace(k, "[\"\\s]+", " ")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.vectors import dot, l2_normalise
-from lectern.operators import bibliography, chats, chunking, library, locate, retrieval, verify
+from lectern.operators import bibliography, chats, chunking, library, locate, retrieval, upkeep, verify
 from lectern.plans.hybrid import hybrid_search
 from lectern.sources import library as files
 from lectern.sources.tables import chunks, papers, read
@@ -452,3 +452,86 @@ def bibliography_export(spark, sf):
     p = papers(spark, sf).select("id", "title", F.col("category").alias("authors"), (2000 + F.col("id") % 20).cast("int").alias("year"), F.lit("").alias("venue"))
     works = bibliography.candidates(p, _works(spark, sf), 0.6).select("id", "ordinal", "title", F.lit("A Author").alias("authors"), F.lit(2005).alias("year"), F.lit("Journal").alias("venue"), F.lit("").alias("doi"), F.lit("journal-article").alias("kind"), F.lit(None).cast("string").alias("bibtex"))
     return bibliography.exported(bibliography.resolved(p, works))
+
+
+@query(rf"WITH {PAPERS}, c AS (SELECT doc_id AS id, '  New  title ' || quality || ' of ' || doc_id AS t FROM labels WHERE toxic = 0) SELECT p.id, coalesce(trim(regexp_replace(c.t, '\s+', ' ', 'g')), p.title) AS title, CASE WHEN c.id IS NULL THEN p.n_chars END AS pvec FROM papers p LEFT JOIN c USING (id)")
+def renamed_papers(spark, sf):
+    """The number of characters stands for a paper's vector; labels for what users say."""
+    said = read(spark, sf, "labels").where("toxic = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("  New  title "), "quality", F.lit(" of "), "doc_id").alias("title"))
+    return upkeep.renamed(papers(spark, sf).select("id", "title", F.col("n_chars").alias("pvec")), said)
+
+
+@query("SELECT d.doc_id AS id, coalesce('q' || l.quality, source) AS category FROM documents d LEFT JOIN labels l USING (doc_id)")
+def moved_papers(spark, sf):
+    said = read(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("q"), "quality").alias("category"))
+    return upkeep.moved(papers(spark, sf).select("id", "category"), said)
+
+
+@query(rf"WITH {PAPERS} SELECT id, nullif(regexp_replace(regexp_replace(lower(trim(title)), '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g'), '') AS slug FROM papers")
+def category_slugs(spark, sf):
+    return papers(spark, sf).select("id", upkeep.category_slug(F.col("title")).alias("slug"))
+
+
+@query("WITH c AS (SELECT DISTINCT source AS category FROM documents UNION SELECT 'nothing here'), n AS (SELECT source AS category, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY 1) SELECT category, coalesce(n, 0) AS n, n IS NULL AS ok FROM c LEFT JOIN n USING (category)")
+def deletable_categories(spark, sf):
+    p = papers(spark, sf)
+    named = p.select("category").unionByName(spark.range(1).select(F.lit("nothing here").alias("category")))
+    return upkeep.deletable(named, p.where("lang = 'en'"))
+
+
+@query("SELECT d.doc_id AS id, n IS NOT NULL AS indexed, coalesce(n, 0)::BIGINT AS n_pages FROM documents d LEFT JOIN (SELECT conv_id, max(turn) AS n FROM conversations GROUP BY 1) ON conv_id = d.doc_id")
+def indexed_papers(spark, sf):
+    found = read(spark, sf, "conversations").select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("page"))
+    return upkeep.indexed(papers(spark, sf).select("id"), found)
+
+
+@query(rf"WITH {PAPERS} SELECT id, 'Title: ' || title || chr(10) || 'Authors: ' || chr(10) || 'Venue: ' || lang || chr(10) || 'Category: ' || category || chr(10) || chr(10) || substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 1400) AS header FROM papers")
+def paper_headers(spark, sf):
+    """A paper's own vector is made of so many characters of its first page, and of no more."""
+    p = papers(spark, sf).withColumns({"authors": F.lit(None).cast("string"), "venue": F.col("lang")})
+    return p.select("id", upkeep.paper_header(F.col("text")).alias("header"))
+
+
+@query("""WITH m AS (SELECT conv_id AS chat_id, turn, role, text FROM conversations),
+n AS (SELECT chat_id, row_number() OVER (PARTITION BY chat_id ORDER BY turn) - 1 AS turn, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, text FROM m WHERE role <> 'system' AND trim(text) <> '')
+SELECT chat_id, turn, role, text FROM m WHERE chat_id NOT IN (SELECT chat_id FROM m WHERE role <> 'system') UNION ALL SELECT * FROM n""")
+def replaced_messages(spark, sf):
+    """Chats are written anew without what the system said."""
+    m = read(spark, sf, "conversations").select(F.col("conv_id").alias("chat_id"), "turn", "role", "text")
+    return upkeep.messages_replaced(m, m.where("role <> 'system'"))
+
+
+@query(f"WITH {PAPERS}, c AS (SELECT user_id AS id, max(ts) AS t FROM events GROUP BY 1) SELECT p.id FROM papers p LEFT JOIN c USING (id) WHERE c.id IS NULL OR c.t < {NOW} - INTERVAL 7 DAY OR p.lang = 'de'")
+def stale_lookups(spark, sf):
+    """German papers have another title by now."""
+    p = papers(spark, sf).select("id", "title")
+    at = read(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("at"))
+    was = F.when(F.col("lang") == "de", F.concat("title", F.lit("!"))).otherwise(F.col("title"))
+    cache = papers(spark, sf).select("id", was.alias("title")).join(at, "id")
+    return upkeep.stale(p, cache, F.expr(NOW)).select("id")
+
+
+@query(rf"WITH {PAPERS}, k AS (SELECT id, regexp_replace(lower(title), '[^a-z0-9一-鿿]', '', 'g') AS k FROM papers), f AS (SELECT k, min(id) AS paper_id FROM k WHERE length(k) > 8 GROUP BY 1) SELECT k.id, paper_id FROM k LEFT JOIN f USING (k)")
+def titles_in_library(spark, sf):
+    p = papers(spark, sf).select("id", "title")
+    return upkeep.in_library(p, p).select("id", "paper_id")
+
+
+@query("SELECT conv_id AS n, substr(string_agg(text, chr(10) || chr(10) ORDER BY turn), 1, 12000) AS text FROM conversations GROUP BY 1")
+def paper_contexts(spark, sf):
+    hits = read(spark, sf, "conversations").select(F.col("conv_id").alias("n"), F.col("turn").alias("pos"), "text")
+    return upkeep.paper_contexts(hits)
+
+
+@query(f"WITH {PAPERS} SELECT id AS n, '《' || title || '》(' || category || CASE WHEN id % 4 = 0 THEN '' ELSE ' · ' || (2000 + id % 20) END || ') p.1' || CASE WHEN lang = 'en' THEN ' §2.1 ' || lang WHEN lang = 'de' THEN ' §' || lang ELSE '' END AS label FROM papers")
+def source_labels(spark, sf):
+    p = papers(spark, sf)
+    no, title = F.when(F.col("lang") == "en", "2.1").otherwise(""), F.when(F.col("lang").isin("en", "de"), F.col("lang")).otherwise("")
+    year = F.when(F.col("id") % 4 != 0, (2000 + F.col("id") % 20).cast("int"))
+    return upkeep.source_labels(p.select(F.col("id").alias("n"), "title", "category", year.alias("year"), F.lit(1).alias("page"), no.alias("section_no"), title.alias("section_title"), "text")).select("n", "label")
+
+
+@query(r"SELECT page_id AS id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1') AS title, try_cast(nullif(regexp_extract(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1'), '((?:19|20)\d{2})', 1), '') AS INTEGER) AS year FROM pages")
+def file_titles(spark, sf):
+    found = read(spark, sf, "pages").select(F.col("page_id").alias("id"), X.file_title(F.col("url")).alias("f"))
+    return found.select("id", "f.*")

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import text as X
 from lectern.functions.models import word_overlap_reranker
-from lectern.operators import chats, library, locate, retrieval
+from lectern.operators import chats, library, locate, retrieval, upkeep
 from lectern.sources import library as files
 from lectern.streaming import incremental
 
@@ -146,3 +147,48 @@ def test_stream_windows(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_upkeep(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    p = df([(1, "Old", "a", None, "", ""), (2, "A Thing of Note", "b", 2020, "V", "A B")], "id long, title string, slug string, year int, venue string, authors string")
+    assert [r["id"] for r in upkeep.without_venue(p).collect()] == [1]
+    assert [r["id"] for r in upkeep.catalogue(p.withColumn("category", F.lit("c"))).collect()] == [1, 2]
+    found = df([(1, "old", "Faculty Opinions", "C D", 1999), (2, "a thing of note", "W", "X", 2021)], "id long, title string, venue string, authors string, year int")
+    assert [tuple(r) for r in upkeep.gated_fills(p, found).collect()] == [(1, None, "C D", 1999)]
+    titles = df([("a <i>b</i>",), ("Recommendation of b",), ("<b></b>",)], "t string")
+    assert [r[0] for r in titles.select(upkeep.clean_title(F.col("t"))).collect()] == ["a b", None, None]
+    names = df([([("A", "B"), (None, "C"), ("", "")],)], "a array<struct<given:string,family:string>>")
+    assert names.select(upkeep.author_names(F.col("a"))).first()[0] == "A B, C"
+    places = df([(1, "u ", ["v", "", None, "u"]), (2, None, None)], "key int, best string, locations array<string>")
+    assert [r["url"] for r in upkeep.open_access(places).orderBy("ord").collect()] == ["u", "v", "u"]
+    urls = df([("http://x/a.PDF",), ("http://arxiv.org/pdf/1",), ("http://x/a",)], "u string")
+    assert [r[0] for r in urls.select(upkeep.direct_pdf(F.col("u"))).collect()] == ["http://x/a.PDF", "http://arxiv.org/pdf/1", None]
+    files_ = df([(bytearray(b"x" * 900 + b"%PDF-1"),), (bytearray(b"<html>"),)], "c binary")
+    assert [r[0] for r in files_.select(upkeep.is_pdf(F.col("c"))).collect()] == [True, False]
+
+
+def test_bib_file(spark):
+    entry = "@article{%s,\n  title = {T},\n}\n"
+    rows = [(0, "A", "a", entry % "a", "official"), (1, "B", "b", "@article{b, title = {", "web"), (2, "C", "a", entry % "a", "local")]
+    text, errors = upkeep.bib_file(spark.createDataFrame(rows, "ord int, title string, key string, bibtex string, source string"), "2024-01-02")
+    assert [r["text"] for r in text.orderBy("line").collect()] == ["% BibTeX export, 2024-01-02\n% 3 entries, official 1, web 1, local 1", (entry % "a").rstrip(), (entry % "a").rstrip()]
+    assert [tuple(r) for r in errors.orderBy("ord").collect()] == [(1, "B: does not parse"), (2, "C: key repeated (a)")]
+
+
+def test_chat_changes(spark):
+    c = spark.createDataFrame([(1, "First Chat", None), (2, "second", None)], "id long, title string, updated_at timestamp")
+    assert [r["id"] for r in upkeep.chats_named(c, "CHAT").collect()] == [1]
+    said = spark.createDataFrame([(1, ""), (2, "x" * 70)], "id long, title string")
+    assert [r["title"] for r in upkeep.chats_renamed(c, said).orderBy("id").collect()] == ["New chat", "x" * 60]
+    m = spark.createDataFrame([(2,)], "chat_id long").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    assert [r["updated_at"] is None for r in upkeep.touched(c, m).orderBy("id").collect()] == [True, False]
+    marks = spark.createDataFrame([(1, 2, [(1.0, 2.0)], "y" * 600)], "paper_id long, page int, rects array<struct<x:double,y:double>>, text string")
+    assert tuple(upkeep.highlighted(marks).first()) == (1, 2, '[{"x":1.0,"y":2.0}]', "y" * 500)
+
+
+def test_words_for_places(spark):
+    df = spark.createDataFrame([("The IGBT+ losses of the igbt+ 热设计 x",)], "t string")
+    assert df.select(X.locate_words(F.col("t"))).first()[0] == ["igbt+", "losses", "热设", "设计"]
+    assert df.select(X.merged_keywords(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c")))).first()[0] == ["a", "b", "c"]
+    assert df.select(upkeep.with_category(F.lit("t"), F.lit("inbox"))).first()[0] == "【unsorted】t"
