@@ -31,8 +31,12 @@ STATE = "at timestamp"
 CHOSEN = "key string, at timestamp"
 
 
-def first_in_lifetime(events: DataFrame, key: str, at: str, days: int = 7) -> DataFrame:
-    """key, at of the events that come when none of their key was let through in so many days (of event time)."""
+def first_in_lifetime(events: DataFrame, key: str, at: str, days: int = 7, late: str = "1 day") -> DataFrame:
+    """key, at of the events that come when none of their key was let through in so many days (of event time).
+
+    Events older than the watermark (late behind the newest) are left out. A key's state goes when the watermark is a day
+    past its lifetime, so what is held is bounded by the keys of the last days.
+    """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -41,11 +45,17 @@ def first_in_lifetime(events: DataFrame, key: str, at: str, days: int = 7) -> Da
             if last is None or t - last > pd.Timedelta(days=days):
                 out.append((k[0], t))
                 last = t
-        state.update((last,))
+        ends = None if last is None else int((last + pd.Timedelta(days=days + 1)).timestamp() * 1000)
+        if state.hasTimedOut or ends is None or ends <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last,))
+            state.setTimeoutTimestamp(ends)
         yield pd.DataFrame(out, columns=["key", "at"])
 
-    keyed = events.select(F.col(key).cast("string").alias("key"), F.col(at).alias("at"))
-    return keyed.groupBy("key").applyInPandasWithState(run, CHOSEN, STATE, "append", "NoTimeout")
+    keyed = events.select(F.col(key).cast("string").alias("key"), F.col(at).cast("timestamp").alias("at")).withWatermark("at", late)
+    return keyed.groupBy("key").applyInPandasWithState(run, CHOSEN, STATE, "append", "EventTimeTimeout")
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
