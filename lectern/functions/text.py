@@ -125,8 +125,10 @@ def relative_time(then: Column, now: Column) -> Column:
 
 
 def bigrams(c: Column) -> Column:
-    """The distinct pairs of neighbouring characters."""
-    return F.when(F.length(c) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    """The distinct pairs of neighbouring characters: those from the first on, and those from the second on. No character is
+    counted from the start of a text, so long ones cost no more."""
+    pairs = lambda t: F.regexp_extract_all(t, F.lit("(?s).."), F.lit(0))
+    return F.coalesce(F.array_distinct(F.concat(pairs(c), pairs(F.substring(c, 2, (1 << 31) - 1)))), F.array().cast("array<string>"))
 
 
 def dice(a: Column, b: Column) -> Column:

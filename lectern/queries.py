@@ -353,8 +353,8 @@ def ranked_urls(spark, sf):
 
 _DICE = r"""a AS (SELECT doc_id AS id, lower(regexp_extract(text, '^([^\n]*)', 1)) AS t FROM documents),
 b AS (SELECT item_id AS ordinal, lower(regexp_extract(text, '^([^\n]*)', 1)) AS t FROM benchmark),
-g AS (SELECT id, CASE WHEN length(t) >= 2 THEN list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) ELSE [] END AS g FROM a),
-h AS (SELECT ordinal, CASE WHEN length(t) >= 2 THEN list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) ELSE [] END AS g FROM b),
+g AS (SELECT id, list_distinct(list_concat(regexp_extract_all(t, '(?s)..'), regexp_extract_all(substr(t, 2), '(?s)..'))) AS g FROM a),
+h AS (SELECT ordinal, list_distinct(list_concat(regexp_extract_all(t, '(?s)..'), regexp_extract_all(substr(t, 2), '(?s)..'))) AS g FROM b),
 o AS (SELECT id, ordinal, count(*) AS n FROM (SELECT id, unnest(g) AS x FROM g) JOIN (SELECT ordinal, unnest(g) AS x FROM h) USING (x) GROUP BY 1, 2),
 p AS (SELECT id, ordinal, round(2.0::DOUBLE * n / (len(g.g) + len(h.g)), 9) AS dice FROM o JOIN g USING (id) JOIN h USING (ordinal))"""
 
