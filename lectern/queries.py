@@ -112,7 +112,7 @@ def rank_fusion(spark, sf):
     return retrieval.fuse(list(zip(lists, retrieval.weights("exact"))), ["query_id", "id"]).select("query_id", "id", _score(), "seen")
 
 
-@query(f"WITH {LISTS}, {FUSED.format(w0='1.0', w1='1.0')} SELECT query_id, f.id, round(score + 0.08 * sum(score) OVER (PARTITION BY query_id, lang, source), 6) AS boosted FROM fused f JOIN documents d ON d.doc_id = f.id")
+@query(f"WITH {LISTS}, {FUSED.format(w0='1.0', w1='1.0')} SELECT query_id, f.id, round(round(score + 0.08 * sum(score) OVER (PARTITION BY query_id, lang, source), 9), 6) AS boosted FROM fused f JOIN documents d ON d.doc_id = f.id")
 def section_boost(spark, sf):
     fused = retrieval.fuse(list(zip(_lists(spark, sf), (1.0, 1.0))), ["query_id", "id"]).join(papers(spark, sf).select("id", "lang", "category"), "id")
     return retrieval.section_boost(fused, ["query_id", "lang", "category"]).select("query_id", "id", F.round("boosted", 6).alias("boosted"))
@@ -181,10 +181,11 @@ def slugs(spark, sf):
 
 
 @query(rf"""WITH {PAPERS}, t AS (SELECT id, 'see "' || title || '" IGBT ' || title AS t FROM papers),
-c AS (SELECT id, t, substr(regexp_replace(trim(t), '\s+', ' ', 'g'), 1, 500) AS s FROM t)
-SELECT id, trim(regexp_replace(s, '^(\[\d+\]|\(\d+\)|\d+\.)\s*', '')) AS cleaned,
-  array_to_string(list_slice(list_filter(list_concat(list_transform(regexp_extract_all(t, '["“”]([^"“”]{{2,40}})["“”]', 1), lambda x: trim(x)), regexp_extract_all(t, '[A-Za-z][A-Za-z0-9-]{{2,}}')),
-    lambda x, i: list_position(list_concat(list_transform(regexp_extract_all(t, '["“”]([^"“”]{{2,40}})["“”]', 1), lambda y: trim(y)), regexp_extract_all(t, '[A-Za-z][A-Za-z0-9-]{{2,}}')), x) = i), 1, 8), ',') AS words FROM c""")
+c AS (SELECT id, substr(regexp_replace(trim(t), '\s+', ' ', 'g'), 1, 500) AS s FROM t),
+w AS (SELECT id, list_concat(list_transform(regexp_extract_all(t, '["“”]([^"“”]{{2,40}})["“”]', 1), lambda x: trim(x)), regexp_extract_all(t, '[A-Za-z][A-Za-z0-9-]{{2,}}')) AS w FROM t),
+u AS (SELECT id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w), f AS (SELECT id, x, min(i) AS i FROM u GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY min(i)) <= 8),
+g AS (SELECT id, string_agg(x, ',' ORDER BY i) AS words FROM f GROUP BY 1)
+SELECT id, trim(regexp_replace(s, '^(\[\d+\]|\(\d+\)|\d+\.)\s*', '')) AS cleaned, coalesce(words, '') AS words FROM c LEFT JOIN g USING (id)""")
 def query_words(spark, sf):
     t = papers(spark, sf).select("id", F.concat(F.lit('see "'), "title", F.lit('" IGBT '), F.col("title")).alias("t"))
     return t.select("id", X.clean_query(F.col("t")).alias("cleaned"), F.array_join(X.keywords(F.col("t")), ",").alias("words"))
