@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lectern.llm.decontamination import OP7_SQL, op7_decontamination
 from lectern.llm.filter_audit import OP13_SQL, op13_filter_audit
+from lectern.llm.fingerprints import op11_fingerprints
 from lectern.llm.html_extraction import op1_html_extraction
 from lectern.llm.lm_scoring import op6_lm_scoring
 from lectern.llm.mixing import OP10_SQL, op10_mixing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_mixing": op10_mixing,
+    "op11_fingerprints": op11_fingerprints,
     "op13_filter_audit": op13_filter_audit,
 }
 
