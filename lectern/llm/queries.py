@@ -10,6 +10,7 @@ from lectern.llm.lm_scoring import op6_lm_scoring
 from lectern.llm.mixing import OP10_SQL, op10_mixing
 from lectern.llm.near_dedup import op3_near_dedup
 from lectern.llm.pii import op4_pii
+from lectern.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from lectern.llm.quality_classifier import op9_quality_classifier
 from lectern.llm.quality_rules import OP2_SQL, op2_quality_rules
 from lectern.llm.secret_scans import OP8_SQL, op8_secret_scans
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_mixing": op10_mixing,
     "op11_fingerprints": op11_fingerprints,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -36,5 +38,6 @@ ORACLE_SQL = {k: v for k, v in {
     "op7_decontamination": OP7_SQL,
     "op8_secret_scans": OP8_SQL,
     "op10_mixing": OP10_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_filter_audit": OP13_SQL,
 }.items() if v}
