@@ -1,8 +1,7 @@
-"""Places in texts: finding words, snippets and passages that are only alike; reference lists and their markers."""
+"""Places in texts: finding words, snippets and passages that are only alike; entries of reference lists and their markers."""
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -99,70 +98,9 @@ def alike_windows(texts: DataFrame, snippet: str, step: int = 10, width: int = 2
 
 # ---- Reference lists ------------------------------------------------------------------------------------------------
 
-# What a reference list looks like.
-HEADINGS = re.compile(r"(references?|bibliography|works cited|literature cited|参考文献)\W*$", re.I)
-BRACKETED = re.compile(r"\s*[\[(](\d{1,4})[\])]\s*(.*)")
-DOTTED = re.compile(r"\s*(\d{1,3})[.)]\s+([A-Z\[(].*)")
-AUTHOR_YEAR = re.compile(r"[A-Z][\w'-]+,? .*\(?(19|20)\d{2}[a-z]?\)?")
-END = re.compile(r"(appendix|supplementary|about the authors?|author biograph)", re.I)
-
-
-def line_key(text: str) -> str:
-    """What stays of a line when it is looked up: lower case, letters, digits and CJK."""
-    return re.sub(r"[^a-z0-9一-鿿]", "", text.translate({0xFF10 + i: str(i) for i in range(10)}).lower())
-
-
-def entries_of(lines: list[tuple[int, str, float]]) -> list[dict]:
-    """num, raw, page, keys of a reference list in (page, text, left edge) lines: after its last heading; numbered entries
-    with rising numbers, else entries that start at the margin."""
-    start = max((i for i, (_, t, _) in enumerate(lines) if HEADINGS.match(t.strip())), default=-1)
-    body = [x for x in lines[start + 1 :] if not re.fullmatch(r"\s*\d{1,4}\s*", x[1])] if start >= 0 else []
-    stop = next((i for i, (_, t, _) in enumerate(body) if END.match(t.strip())), len(body))
-    body = body[:stop]
-    marked = [next((m for m in (BRACKETED.match(t), DOTTED.match(t)) if m), None) for _, t, _ in body]
-    begins: dict[int, int] = {}
-    expected = None
-    for i, m in enumerate(marked):
-        if m and (expected is None or int(m[1]) == expected):
-            begins[i] = int(m[1])
-            expected = int(m[1]) + 1
-    if len(begins) < 2:
-        margin: dict[int, float] = {}
-        for p, _, x in body:
-            margin[p] = min(margin.get(p, x), x)
-        begins = {}
-        for i, (p, t, x) in enumerate(body):
-            if x <= margin[p] + 2 and AUTHOR_YEAR.match(t.strip()):
-                begins[i] = len(begins) + 1
-    out: list[dict] = []
-    for i, (page, text, _) in enumerate(body):
-        if i in begins:
-            out.append({"num": begins[i], "raw": "", "page": page, "keys": []})
-        if out:
-            e = out[-1]
-            e["raw"] = e["raw"][:-1] + text.strip() if re.search(r"[A-Za-z]-$", e["raw"]) and text.strip()[:1].islower() else f"{e['raw']} {text.strip()}".strip()
-            e["keys"].append(line_key(text))
-    return out
-
-
-ENTRIES = "num int, raw string, page int, keys array<string>"
-
-
-def reference_index(lines: DataFrame) -> DataFrame:
-    """doc_id and entries of lines (doc_id, page, line, text, x). A list is a sequence, so one document goes at a time."""
-    kind = lines.schema["doc_id"].dataType.simpleString()
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["page", "line"])
-        found = entries_of(list(zip(rows["page"], rows["text"].fillna(""), rows["x"].astype(float))))
-        return pd.DataFrame([{"doc_id": key[0], **e} for e in found], columns=["doc_id", "num", "raw", "page", "keys"])
-
-    return lines.select("doc_id", "page", "line", "text", "x").groupBy("doc_id").applyInPandas(one, f"doc_id {kind}, {ENTRIES}")
-
-
 def looked_up(index: DataFrame, asked: DataFrame, least: float = 0.65) -> DataFrame:
     """asked (ask_id, doc_id, num, key) with entry (number) and how: by number, by a line's key, or by the most similar
-    line of the same document."""
+    line of the same document. index: doc_id, num, keys, as layout.reference_entries() gives them."""
     keys = index.select("doc_id", "num", F.explode("keys").alias("k")).groupBy("doc_id", "k").agg(F.min("num").alias("e"))
     numbers = index.select(F.col("doc_id").alias("_d"), F.col("num").alias("_n")).distinct()
     a = asked.join(numbers, (F.col("doc_id") == F.col("_d")) & (F.col("num") == F.col("_n")), "left").withColumnRenamed("_n", "by_number").drop("_d")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.vectors import dot, l2_normalise
-from lectern.operators import bibliography, chats, chunking, library, locate, retrieval, upkeep, verify
+from lectern.operators import bibliography, chats, chunking, layout, library, locate, retrieval, upkeep, verify
 from lectern.plans.hybrid import hybrid_search
 from lectern.sources import library as files
 from lectern.sources.tables import chunks, papers, read
@@ -536,3 +536,136 @@ def source_labels(spark, sf):
 def file_titles(spark, sf):
     found = read(spark, sf, "pages").select(F.col("page_id").alias("id"), X.file_title(F.col("url")).alias("f"))
     return found.select("id", "f.*")
+
+
+# ---- Placed text: documents set in two columns, seven words a line, fifty lines a page -------------------------------
+
+_WORDS = r"w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents)"
+_RUNS = f"""{_WORDS}, u AS (SELECT doc_id, unnest(w) AS str, unnest(range(0, len(w))) AS ord FROM w),
+v AS (SELECT doc_id, str, ord, ord // 7 AS i, ord % 7 AS j FROM u),
+runs AS (SELECT doc_id, i // 50 + 1 AS page, ord, str, 50.0::DOUBLE + 290 * ((i // 25) % 2) + 34 * j AS x, 780.0::DOUBLE - 14 * (i % 25) + (doc_id + 3 * i + 5 * j) % 7 AS y, 28.0::DOUBLE AS w, 8.0::DOUBLE + 2 * (j % 3) AS h, j = 6 AS eol FROM v)"""
+
+
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each word is a run; lines slope, so that which runs make a row is for the operator to say."""
+    u = _words(spark, sf).select("doc_id", F.posexplode("w").alias("ord", "str"))
+    i, j = F.floor(F.col("ord") / 7), F.col("ord") % 7
+    x, y = 50.0 + 290 * (F.floor(i / 25) % 2) + 34 * j, 780.0 - 14 * (i % 25) + (F.col("doc_id") + 3 * i + 5 * j) % 7
+    size = {"w": F.lit(28.0), "h": 8.0 + 2 * (j % 3), "page_w": F.lit(600.0), "page_h": F.lit(800.0), "eol": j == 6}
+    return u.select("doc_id", (F.floor(i / 50) + 1).alias("page"), "ord", "str", x.alias("x"), y.alias("y"), *[v.alias(k) for k, v in size.items()])
+
+
+def _rows_sql(of: str, apart: str, order: str) -> str:
+    """Rows of runs, one run after the other."""
+    return f"""it AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY {order}) AS pos FROM {of}),
+rec AS (SELECT doc_id, page, pos, y AS ay, h AS ah, 1 AS nth FROM it WHERE pos = 1 UNION ALL
+  SELECT doc_id, page, pos, CASE WHEN cut THEN y ELSE ay END, CASE WHEN cut THEN h ELSE ah END, nth + cut::INTEGER FROM (SELECT i.*, ay, ah, nth, abs(i.y - ay) > {apart} AS cut FROM rec r JOIN it i ON i.doc_id = r.doc_id AND i.page = r.page AND i.pos = r.pos + 1)),
+placed AS (SELECT it.*, nth FROM it JOIN rec USING (doc_id, page, pos))"""
+
+
+@query(f"""WITH RECURSIVE {_RUNS}, {_rows_sql('runs', 'greatest(2, greatest(ah, i.h) * 0.5)', 'y DESC, x, ord')},
+g AS (SELECT *, x - (lag(x) OVER q + lag(w) OVER q) AS gap, lag(h) OVER q AS ph FROM placed WINDOW q AS (PARTITION BY doc_id, page, nth ORDER BY x, pos)),
+c AS (SELECT *, sum((gap IS NULL OR gap > 7.2)::INTEGER) OVER (PARTITION BY doc_id, page, nth ORDER BY x, pos) AS seg FROM g),
+s AS (SELECT doc_id, page, nth, seg, trim(string_agg(CASE WHEN gap <= 7.2 AND gap > greatest(1, ph * 0.2) THEN ' ' ELSE '' END || str, '' ORDER BY x, pos)) AS text, first(y ORDER BY x, pos) AS y, min(x) AS x0 FROM c GROUP BY ALL),
+k AS (SELECT *, (x0 >= 270)::INTEGER AS col, count(*) FILTER (WHERE x0 >= 270) OVER p >= 3 AND count(*) FILTER (WHERE x0 < 270) OVER p >= 3 AS two FROM s WINDOW p AS (PARTITION BY doc_id, page))
+SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN two THEN col ELSE 0 END, y DESC, nth, seg))::INTEGER AS line, text, x0, col FROM k""")
+def reading_order(spark, sf):
+    return layout.page_lines(_runs(spark, sf)).select("doc_id", "page", "line", "text", "x0", "col")
+
+
+_NEEDLE = "the"
+_FOUND = f"""{_RUNS}, j AS (SELECT *, coalesce(abs(y - lag(y) OVER p) > greatest(h, 2) * 0.6, false) AS jump FROM runs WINDOW p AS (PARTITION BY doc_id, page ORDER BY ord)),
+b AS (SELECT *, CASE WHEN jump THEN chr(10) ELSE '' END || lower(str) || CASE WHEN eol THEN chr(10) ELSE '' END AS piece FROM j),
+o AS (SELECT *, (sum(length(piece)) OVER (PARTITION BY doc_id, page ORDER BY ord) - length(piece) + jump::INTEGER)::BIGINT AS s FROM b),
+t AS (SELECT doc_id, page, string_agg(piece, '' ORDER BY ord) AS t FROM b GROUP BY 1, 2),
+m AS (SELECT doc_id, page, t, unnest(range(0, length(t))) AS s FROM t WHERE contains(t, '{_NEEDLE}')),
+f AS (SELECT doc_id, page, s, row_number() OVER (PARTITION BY doc_id, page ORDER BY s) AS hit FROM m WHERE substr(t, s + 1, {len(_NEEDLE)}) = '{_NEEDLE}'),
+r AS (SELECT f.doc_id, f.page, hit, x, y, w, h, ord, greatest(f.s, o.s) - o.s AS l, least(f.s + {len(_NEEDLE)}, o.s + length(str)) - greatest(f.s, o.s) AS z, length(str) AS n FROM f JOIN o ON f.doc_id = o.doc_id AND f.page = o.page AND f.s < o.s + length(str) AND o.s < f.s + {len(_NEEDLE)})"""
+
+
+@query(f"WITH {_FOUND} SELECT doc_id, page, hit::INTEGER AS hit, ord::INTEGER AS ord, round((x + w * l / n) / 600, 6) AS x, round(1 - (y + h * 0.85) / 800, 6) AS y, round(w * z / n / 600, 6) AS w, round(h * 1.12 / 800, 6) AS h FROM r")
+def find_positions(spark, sf):
+    return layout.find_rects(_runs(spark, sf), _NEEDLE).select("doc_id", "page", "hit", "ord", *[F.round(c, 6).alias(c) for c in "xywh"])
+
+
+@query(f"WITH {_FOUND} SELECT doc_id, page, count(DISTINCT hit) AS n_hits, count(*)::INTEGER AS n_rects, (count(*) FILTER (WHERE hit = 2))::INTEGER AS n_current FROM r GROUP BY 1, 2")
+def find_by_page(spark, sf):
+    """The reader is at the second match of each page."""
+    found = layout.hits_by_page(layout.find_rects(_runs(spark, sf), _NEEDLE), F.col("hit") == 2)
+    return found.select("doc_id", "page", "n_hits", F.size("rects").alias("n_rects"), F.size("current_rects").alias("n_current"))
+
+
+@query(f"""WITH RECURSIVE {_RUNS}, part AS (SELECT * FROM runs WHERE ord % 350 BETWEEN 20 AND 60), {_rows_sql('part', 'greatest(2, i.h * 0.45)', 'y DESC, ord')},
+b AS (SELECT doc_id, page, nth, min(x) AS x0, max(x + w) AS x1, min(y) AS y0, max(y + h) AS y1 FROM placed GROUP BY 1, 2, 3)
+SELECT doc_id, page, count(*)::INTEGER AS n_rects, round(sum((x1 - x0) / 600), 6) AS wide, round(min((800 - y1) / 800), 6) AS top, round(max((800 - y0) / 800) - min((800 - y1) / 800), 6) AS height FROM b GROUP BY 1, 2""")
+def passage_rects(spark, sf):
+    """The passage is the 21st to the 61st word of each page."""
+    found = layout.row_rects(_runs(spark, sf).where("ord % 350 BETWEEN 20 AND 60"))
+    wide = F.aggregate("rects", F.lit(0.0), lambda a, r: a + r["w"])
+    return found.select("doc_id", "page", F.size("rects").alias("n_rects"), F.round(wide, 6).alias("wide"), F.round("top", 6).alias("top"), F.round("height", 6).alias("height"))
+
+
+# Lines with a heading somewhere at the beginning, entries of three lines behind it (numbered, or by author in every
+# fourth document), citations that were wrapped to the front of a line, page numbers, an appendix, and pages without any.
+_LINES = f"""{_WORDS}, n AS (SELECT doc_id, w, unnest(range(0, (len(w) + 6) // 7)) AS i FROM w),
+t AS (SELECT doc_id, i, array_to_string(w[i * 7 + 1 : i * 7 + 7], ' ') AS r FROM n),
+lines AS (SELECT doc_id, i // 50 + 1 AS page, i % 50 + 1 AS line, i, (i // 25) % 2 AS col,
+  50.0::DOUBLE + 280 * ((i // 25) % 2) + CASE WHEN (i // 50) % 5 = 3 THEN 0 WHEN doc_id % 8 = 5 THEN CASE WHEN i % 3 = 0 AND i % 25 < 3 THEN 0 ELSE 18 END WHEN i % 3 <> 0 OR i % 13 = 5 THEN 18 ELSE 0 END AS x0,
+  CASE WHEN i = doc_id % 5 * 3 THEN 'References' WHEN i = 170 THEN 'Appendix A' WHEN i % 50 = 49 THEN (i // 50 + 1)::VARCHAR WHEN (i // 50) % 5 = 3 THEN r
+    WHEN doc_id % 4 = 3 THEN CASE i % 3 WHEN 0 THEN 'Smith J ' || r WHEN 2 THEN r || '.' ELSE r || '-' END
+    WHEN i % 13 = 5 THEN '[' || (i // 3 + 40) || '] ' || r WHEN i % 3 = 0 THEN '[' || (i // 3 + 1) || '] ' || r ELSE r END AS text FROM t)"""
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    n = _words(spark, sf).where(F.size("w") > 0).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") + 6) / 7).cast("int") - 1)).alias("i"))
+    i, page = F.col("i"), F.floor(F.col("i") / 50)
+    t = n.select("doc_id", "i", F.array_join(F.slice("w", i * 7 + 1, F.lit(7)), " ").alias("r"))
+    plain, kind = page % 5 == 3, i % 3
+    indent = F.when(plain, 0).when(F.col("doc_id") % 8 == 5, F.when((kind == 0) & (i % 25 < 3), 0).otherwise(18)).when((kind != 0) | (i % 13 == 5), 18).otherwise(0)
+    numbered = lambda more: F.concat(F.lit("["), (F.floor(i / 3) + more).cast("string"), F.lit("] "), "r")
+    by_name = F.when(kind == 0, F.concat(F.lit("Smith J "), "r")).when(kind == 2, F.concat("r", F.lit("."))).otherwise(F.concat("r", F.lit("-")))
+    text = F.when(i == F.col("doc_id") % 5 * 3, "References").when(i == 170, "Appendix A").when(i % 50 == 49, (page + 1).cast("string")).when(plain, F.col("r"))
+    text = text.when(F.col("doc_id") % 4 == 3, by_name).when(i % 13 == 5, numbered(40)).when(kind == 0, numbered(1)).otherwise(F.col("r"))
+    col = F.floor(i / 25) % 2
+    return t.select("doc_id", (page + 1).alias("page"), (i % 50 + 1).alias("line"), col.alias("col"), (50.0 + 280 * col + indent).alias("x0"), text.alias("text"), F.lit(600.0).alias("page_w"))
+
+
+_REGION = rf"""{_LINES}, f AS (SELECT *, regexp_replace(trim(regexp_replace(translate(text, '０１２３４５６７８９（）［］．', '0123456789()[].'), '[ \t-\r]+', ' ', 'g')), '', '') AS raw, regexp_replace(lower(translate(text, '０１２３４５６７８９（）［］．', '0123456789()[].')), '[^a-z0-9一-鿿]', '', 'g') AS key FROM lines),
+hd AS (SELECT doc_id, max(i) AS hi FROM f WHERE regexp_replace(lower(raw), '[\s:：.。]+$', '') IN ('references', 'reference', 'bibliography', '参考文献') GROUP BY 1),
+rg AS (SELECT f.*, regexp_matches(trim(text), '^\d{{1,4}}$') OR key LIKE 'authorizedlicenseduse%' OR key LIKE 'downloadedon%' AS junk,
+  try_cast(coalesce(nullif(regexp_extract(raw, '^[\[(]\s*(\d{{1,4}})\s*[\])]\s*(.*)$', 1), ''), nullif(regexp_extract(raw, '^(\d{{1,3}})[.)]\s+[A-Z\[(“"].*$', 1), '')) AS INTEGER) AS num,
+  trim(CASE WHEN regexp_matches(raw, '^[\[(]\s*(\d{{1,4}})\s*[\])]\s*(.*)$') THEN regexp_extract(raw, '^[\[(]\s*(\d{{1,4}})\s*[\])]\s*(.*)$', 2) ELSE regexp_extract(raw, '^(\d{{1,3}})[.)]\s+([A-Z\[(“"].*)$', 2) END) AS rest FROM f JOIN hd USING (doc_id) WHERE i > hi),
+ed AS (SELECT *, x0 > min(x0) OVER q + 4.8 AS indented, min(x0) FILTER (WHERE num IS NOT NULL) OVER q AS se FROM rg WINDOW q AS (PARTITION BY doc_id, page, col)),
+st AS (SELECT doc_id, page, count(*) AS n_lines, count(*) FILTER (WHERE num IS NOT NULL AND NOT junk) AS n_starts, count(*) FILTER (WHERE indented) AS n_indented FROM ed GROUP BY 1, 2),
+a AS (SELECT *, n_lines <= 250 AND (n_starts >= 3 OR n_indented / n_lines >= 0.15) AS opens, n_lines <= 250 AND (n_starts >= 1 OR n_indented / n_lines >= 0.15) AS goes FROM st),
+fp AS (SELECT doc_id, min(page) AS fp FROM a WHERE opens GROUP BY 1), sp AS (SELECT a.doc_id, min(page) AS sp FROM a JOIN fp USING (doc_id) WHERE page > fp AND NOT goes GROUP BY 1),
+ga AS (SELECT a.*, coalesce(page >= fp AND (sp IS NULL OR page < sp), false) AS is_list FROM a LEFT JOIN fp USING (doc_id) LEFT JOIN sp USING (doc_id))"""
+
+
+@query(f"WITH {_REGION} SELECT doc_id, page, n_lines, n_starts, n_indented, is_list FROM ga")
+def bibliography_pages(spark, sf):
+    return layout.list_pages(_lines(spark, sf))
+
+
+@query(rf"""WITH {_REGION}, nn AS (SELECT doc_id, count(num) AS nn FROM rg GROUP BY 1),
+b AS (SELECT ed.*, nn FROM ed JOIN ga USING (doc_id, page) JOIN nn USING (doc_id) WHERE is_list AND NOT junk),
+bo AS (SELECT doc_id, min(i) AS stop FROM b WHERE regexp_matches(text, '(?i)^(appendix|appendices|acknowledg|supplementary|supporting information)') GROUP BY 1),
+c AS (SELECT b.*, min(x0) OVER q AS edge, min(x0) FILTER (WHERE num IS NULL) OVER q AS ce FROM b LEFT JOIN bo USING (doc_id) WHERE (stop IS NULL OR i < stop) AND raw <> '' WINDOW q AS (PARTITION BY doc_id, page, col)),
+d AS (SELECT *, x0 > coalesce(se, x0) + 4.8 AND coalesce(abs(x0 - ce) <= 4.8, false) AS wrapped, count(num) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier, coalesce(regexp_matches(lag(raw) OVER o, '[.?!]["''”’)]?$'), true) AS ended,
+  regexp_matches(raw, '^[A-Z][A-Za-z''’\-]+ [A-Z]') AS named, x0 <= edge + 4.8 AS at_edge FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT *, CASE WHEN NOT wrapped OR earlier = 0 THEN num END AS el FROM d),
+g AS (SELECT *, coalesce(el > coalesce(max(el) OVER o, -1), false) AS strict, coalesce(num > coalesce(max(num) OVER o, -1), false) AS loose, count(*) FILTER (WHERE named) OVER o AS nb FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, count(*) FILTER (WHERE strict) OVER p AS ns, count(*) FILTER (WHERE NOT at_edge) OVER p / count(*) OVER p AS share FROM g WINDOW p AS (PARTITION BY doc_id)),
+k AS (SELECT *, CASE WHEN nn >= 3 THEN CASE WHEN ns < least(3, nn * 0.5) THEN loose ELSE strict END ELSE named AND (nb = 0 OR (at_edge AND ended)) AND share >= 0.15 END AS opens FROM h),
+l AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY doc_id ORDER BY i) AS entry FROM k),
+m AS (SELECT *, CASE WHEN opens AND nn >= 3 THEN rest ELSE raw END AS t FROM l WHERE entry > 0),
+x AS (SELECT *, lead(t) OVER (PARTITION BY doc_id, entry ORDER BY i) AS nxt FROM m)
+SELECT doc_id, (max(CASE WHEN opens THEN CASE WHEN nn >= 3 THEN num ELSE entry END END))::INTEGER AS num,
+  string_agg(CASE WHEN nxt IS NULL OR t = '' THEN t WHEN regexp_matches(t, '[a-zA-Z]-$') AND regexp_matches(nxt, '^[a-z]') THEN substr(t, 1, length(t) - 1) ELSE t || ' ' END, '' ORDER BY i) AS raw,
+  min(page) AS page, string_agg(key, ',' ORDER BY i) FILTER (WHERE key <> '') AS keys FROM x GROUP BY doc_id, entry""")
+def reference_lists(spark, sf):
+    return layout.reference_entries(_lines(spark, sf)).select("doc_id", "num", "raw", "page", F.array_join("keys", ",").alias("keys"))

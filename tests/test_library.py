@@ -90,20 +90,6 @@ def test_recall(spark):
     assert [tuple(r) for r in got] == [(2, 0.6), (1, 0.55), (5, 0.31)]
 
 
-def test_lookup(spark):
-    lines = [(1, 1, "Text", 10.0), (1, 2, "References", 10.0)] + [(2, i, f"[{i + 1}] Author {chr(97 + i)}{'xyz' * i}, A Title of Note, 20{i:02d}", 10.0) for i in range(4)] + [(2, 9, "wrapped-", 20.0), (2, 10, "around", 20.0)]
-    df = spark.createDataFrame([(7, *x) for x in lines], "doc_id long, page int, line int, text string, x double")
-    index = locate.reference_index(df)
-    got = index.orderBy("num").collect()
-    assert [r["num"] for r in got] == [1, 2, 3, 4] and got[3]["raw"].endswith("wrappedaround")
-    key = locate.line_key(lines[4][2])
-    asked = spark.createDataFrame([(1, 7, 2, None), (2, 7, None, key), (3, 7, None, key[: int(len(key) * 0.82)]), (4, 7, None, "nothing alike")], "ask_id long, doc_id long, num int, key string")
-    assert [(r["entry"], r["how"]) for r in locate.looked_up(index, asked).orderBy("ask_id").collect()] == [(2, "number"), (3, "key"), (3, "likeness"), (None, None)]
-    hanging = [(1, 0, "Bibliography", 10.0), (1, 1, "Smith, J. On things. 2001", 10.0), (1, 2, "continued here", 20.0), (1, 3, "Jones, K. Of others. 1999", 10.0)]
-    df = spark.createDataFrame([(8, *x) for x in hanging], "doc_id long, page int, line int, text string, x double")
-    assert [r["raw"] for r in locate.reference_index(df).orderBy("num").collect()] == ["Smith, J. On things. 2001 continued here", "Jones, K. Of others. 1999"]
-
-
 def test_places(spark):
     text = "x" * 95 + "the exact passage that is looked for stands here in the text" + "y" * 90
     df = spark.createDataFrame([(1, text), (2, "nothing")], "id long, text string")
