@@ -151,12 +151,13 @@ def prefix_trie(turns: DataFrame, sequences: DataFrame) -> DataFrame:
     named = materialise(prefix_names(turns))
     nodes = named.groupBy("pos", "name").agg(F.min("seq").alias("conv_id"), F.count("*").alias("n_convs"), F.first("size").alias("size"))
     nodes = materialise(nodes.select("conv_id", F.col("pos").alias("depth"), "name", "n_convs", "size"))
-    root = materialise(sequences.agg(F.min("seq").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0"))  # one row
+    root, n_sequences = sequences.agg(F.min("seq"), F.count("*")).first()
+    top = turns.sparkSession.createDataFrame([(root, 0, n_sequences, 0)] if n_sequences else [], "conv_id long, depth long, n_convs long, size long")
 
     # The node at each depth of each sequence; the root is at depth 0 of all.
     owners = nodes.select(F.col("depth").alias("pos"), "name", F.col("conv_id").alias("node"))
     path = named.join(owners, ["pos", "name"]).select("seq", "pos", "node", "last")
-    path = materialise(path.unionByName(sequences.join(F.broadcast(root.select(F.col("conv_id").alias("node")))).select("seq", F.lit(0).cast("long").alias("pos"), "node", (F.col("n") == 0).alias("last"))))
+    path = materialise(path.unionByName(sequences.select("seq", F.lit(0).cast("long").alias("pos"), F.lit(root).cast("long").alias("node"), (F.col("n") == 0).alias("last"))))
 
     # Where each node hangs: its parent (bit -1), and the prefix cut above it for each bit of its depth.
     bits = F.filter(F.sequence(F.lit(0), F.length(F.bin("depth")) - 1), lambda k: F.call_function("shiftright", F.col("depth"), k).bitwiseAND(F.lit(1)) == 1)
@@ -165,8 +166,7 @@ def prefix_trie(turns: DataFrame, sequences: DataFrame) -> DataFrame:
     asked = nodes.select(*key, "n_convs", "size", F.explode(asked).alias("c")).select(*key, "n_convs", "size", "c.bit", "c.pos")
     hung = asked.join(path.select(F.col("seq").alias("conv_id"), "pos", "node"), ["conv_id", "pos"])
     hung = hung.groupBy(*key).agg(F.first("n_convs").alias("n_convs"), F.first("size").alias("size"), F.max(F.when(F.col("bit") < 0, F.col("node"))).alias("parent_conv_id"), F.collect_list(F.when(F.col("bit") >= 0, F.struct("bit", "pos", "node"))).alias("cuts"))
-    none = F.lit(None).cast("long")
-    top = root.select("conv_id", F.lit(0).cast("long").alias("depth"), "n_convs", F.lit(0).cast("long").alias("size"), none.alias("parent_conv_id"), F.array().cast(hung.schema["cuts"].dataType).alias("cuts"))
+    top = top.select("*", F.lit(None).cast("long").alias("parent_conv_id"), F.array().cast(hung.schema["cuts"].dataType).alias("cuts"))
     hung = materialise(hung.unionByName(top))
 
     children = hung.where("depth > 0").groupBy(F.col("parent_conv_id").alias("conv_id"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("n_children"))
