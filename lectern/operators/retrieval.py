@@ -20,8 +20,8 @@ from lectern.functions.vectors import dot
 DIGITS = 9
 
 
-#: Questions that are asked in one pass over the rows. So many at once reach the driver and the tasks, whatever there are.
-BLOCK = 2048
+#: Questions of texts that are asked in one pass: so many at once reach the driver and the tasks, whatever there are.
+BLOCK = 1 << 16
 
 
 def blocks_of(questions: DataFrame, size: int = BLOCK) -> Iterator[pa.Table]:
@@ -48,123 +48,187 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.nonzero(keep)
 
 
-def _vectors(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+#: Rows and questions that one task holds at most, and those whose products are made at once.
+CELL_ROWS, CELL_QUESTIONS = 1 << 20, 1 << 16
+ROWS_AT_ONCE, QUESTIONS_AT_ONCE = 4096, 1024
+#: Scores that a task holds before it keeps the best only; k for each question stay in any case.
+MOST_HELD = 1 << 20
 
 
-def nearest(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """query_id, id, paper_id, score, pos (from 0): each question's k chunks with the highest product.
-
-    chunks: id, paper_id, vec. questions: query_id, vec. Every row meets every question, a block of questions in a pass and
-    a batch of rows at a time; a batch gives on k rows a question at most, so what is shuffled doesn't grow with all pairs.
-    """
-    out = None
-    for block in blocks_of(questions.select("query_id", "vec")):
-        part = _ranked_block(chunks, block, lambda scores, ids, _: _best(scores, ids, k))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = chunks.join(questions.select("query_id").limit(0), how="cross").select("query_id", "id", "paper_id", F.lit(0.0).alias("score"))
-    return top(out, k, "id", by=["query_id"])
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def nearest_of_group(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """query_id, paper_id, id, score: for each question each paper's chunk with the highest product, the first of equals."""
+def _compared(chunks: DataFrame, questions: DataFrame, k: int | None, by_paper: bool) -> DataFrame:
+    """query_id, id, paper_id, score: of each question the best k of every cell of rows, or the best k papers' best rows.
 
-    def pick(scores: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((ids, groups))
-        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), np.diff(groups[order]) != 0]))
-        found = [order[a:b][scores[order[a:b]].argmax(0)] for a, b in zip(first, np.append(first[1:], len(order)))]
-        rows = np.array(found).reshape(len(found), scores.shape[1])
-        return rows.ravel(), np.tile(np.arange(scores.shape[1]), len(found))
-
-    out = None
-    for block in blocks_of(questions.select("query_id", "vec")):
-        part = _ranked_block(chunks, block, pick)
-        out = part if out is None else out.unionByName(part)
-    return best_of_group(out, ["query_id", "paper_id"], "id")
+    Rows and questions are dealt to cells by hashes of their ids, and each cell of rows meets each cell of questions in one
+    task; how many cells there are follows from the counts, so the plan is the same for any number of questions. What a
+    cell gives on is k rows a question. A row meets the questions whose vectors are as wide as its own; null vectors, and
+    vectors with a null in them, meet nothing.
+    """
+    whole = "vec IS NOT NULL AND NOT exists(vec, x -> x IS NULL) AND size(vec) > 0"
+    rows, asked = chunks.select("id", "paper_id", "vec").where(whole), questions.select("query_id", "vec").where(whole)
+    n, m = rows.count(), asked.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    across = max(-(-n // CELL_ROWS), min(-(-n // ROWS_AT_ONCE), cores), 1)
+    down = max(-(-m // CELL_QUESTIONS), 1)
+    dealt = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    rows = rows.select("*", F.size("vec").alias("width"), dealt("id", across).alias("across"), every(down).alias("down"))
+    asked = asked.select("*", F.size("vec").alias("width"), dealt("query_id", down).alias("down"), every(across).alias("across"))
+
+    def meet(key: tuple, some: pa.Table, questions: pa.Table) -> pa.Table:
+        ids, groups = some.column("id").to_numpy(), some.column("paper_id").to_numpy()
+        names = questions.column("query_id").to_numpy()
+        held: list[list[np.ndarray]] = []
+        if len(ids) and len(names):
+            order = np.lexsort((ids, groups)) if by_paper else np.arange(len(ids))
+            vectors, wanted = _matrix(some.column("vec")), _matrix(questions.column("vec"))
+            for q in range(0, len(names), QUESTIONS_AT_ONCE):
+                best: list[tuple[np.ndarray, ...]] = []
+                for at in range(0, len(order), ROWS_AT_ONCE):
+                    part = order[at : at + ROWS_AT_ONCE]
+                    scores = np.round(vectors[part] @ wanted[q : q + QUESTIONS_AT_ONCE].T, DIGITS)
+                    r, c = _of_papers(scores, groups[part]) if by_paper else _best(scores, ids[part], k)
+                    best.append((c, scores[r, c], part[r]))
+                    if len(best) == 16 and k is not None:
+                        best = [_kept(k, by_paper, best, ids, groups)]
+                c, score, r = _kept(k, by_paper, best, ids, groups)
+                held.append([names[q + c], ids[r], groups[r], score])
+        columns = [np.concatenate(x) for x in zip(*held)] if held else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        return pa.table(columns, names=["query_id", "id", "paper_id", "score"])
+
+    key = ["width", "across", "down"]
+    return rows.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(meet, "query_id bigint, id bigint, paper_id bigint, score double")
+
+
+def _of_papers(scores: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each paper's first row with the highest score; rows of a paper stand together."""
+    first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    size = np.diff(np.append(first, len(groups)))
+    is_most = scores == np.repeat(np.maximum.reduceat(scores, first, axis=0), size, axis=0)
+    turn = np.where(is_most, np.arange(len(groups))[:, None], len(groups))
+    rows = np.minimum.reduceat(turn, first, axis=0)
+    return rows.ravel(), np.tile(np.arange(scores.shape[1]), len(first))
+
+
+def _kept(k: int | None, by_paper: bool, best: list[tuple[np.ndarray, ...]], ids: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Question, score and row of what stays: one row for each question and paper, k for each question."""
+    c, score, r = (np.concatenate(x) for x in zip(*best))
+    if by_paper:
+        order = np.lexsort((ids[r], -score, groups[r], c))
+        own = np.stack([c[order], groups[r[order]]])
+        order = order[np.concatenate([[True], (own[:, 1:] != own[:, :-1]).any(0)])]
+        c, score, r = c[order], score[order], r[order]
+    if k is not None:
+        item = groups[r] if by_paper else ids[r]
+        order = np.lexsort((item, -score, c))
+        at = np.flatnonzero(np.concatenate([[True], c[order][1:] != c[order][:-1]]))
+        order = order[np.arange(len(order)) - np.repeat(at, np.diff(np.append(at, len(order)))) < k]
+        c, score, r = c[order], score[order], r[order]
+    return c, score, r
 
 
-def _ranked_block(chunks: DataFrame, block: pa.Table, pick: Callable) -> DataFrame:
-    vec = block.column("vec").combine_chunks()
-    width = len(vec[0])
-    asked, queries = block.column("query_id").to_numpy(), _vectors(vec, width).T
+def nearest(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """query_id, id, paper_id, score, pos (from 0): each question's k chunks with the highest product, of equals those with
+    the least id. chunks: id, paper_id, vec. questions: query_id, vec. No chunks or no questions, no rows."""
+    return top(_compared(chunks, questions, k, by_paper=False), k, "id", by=["query_id"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ids, groups = batch.column("id").to_numpy(), batch.column("paper_id").to_numpy()
-                scores = np.round(_vectors(batch.column("vec"), width) @ queries, DIGITS)
-                r, c = pick(scores, ids, groups)
-                yield pa.RecordBatch.from_arrays([pa.array(asked[c]), pa.array(ids[r]), pa.array(groups[r]), pa.array(scores[r, c])], names=["query_id", "id", "paper_id", "score"])
 
-    return chunks.select("id", "paper_id", "vec").mapInArrow(run, "query_id bigint, id bigint, paper_id bigint, score double")
+def nearest_of_group(chunks: DataFrame, questions: DataFrame, k: int | None = None) -> DataFrame:
+    """query_id, paper_id, id, score: for each question each paper's chunk with the highest product, the first of equals;
+    of the k best papers where k is given. A paper that isn't among the k of any cell can't be among the k of all."""
+    best = best_of_group(_compared(chunks, questions, k, by_paper=True), ["query_id", "paper_id"], "id")
+    return best if k is None else top(best, k, "paper_id", by=["query_id"]).drop("pos")
 
 
 def text_search(texts: DataFrame, questions: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, id, score, pos: each question's k texts with the highest score, as bm25() gives it for the question's terms.
 
-    texts: id, text. questions: query_id, terms. A block of questions takes two passes: one finds in how many texts each
-    term is, one scores. All terms of a block are looked for together in one walk over a text.
+    texts: id, text. questions: query_id, terms. All terms are looked for together in one walk over a text (Aho-Corasick,
+    of the package ahocorasick); two passes over the texts, one that finds in how many each term is, one that scores, do for
+    BLOCK questions. A task gives on k texts a question. A null text is empty; a question without terms of three
+    characters has no rows.
     """
-    low, out = texts.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("text")), None
+    low = texts.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     n, mean = low.agg(F.count("*"), F.avg(F.greatest(F.length("text") - 2, F.lit(0)))).first()
+    out = None
     for block in blocks_of(questions.select("query_id", "terms")):
-        asked = [[t.lower() for t in dict.fromkeys(terms or []) if len(t) >= 3] for terms in block.column("terms").to_pylist()]
-        terms = sorted({t for own in asked for t in own})
-        if not terms:
-            continue
-        place = {t: i for i, t in enumerate(terms)}
-
-        def counted(batch: pa.RecordBatch, finder: ahocorasick.Automaton, terms: list[str] = terms) -> Iterator[np.ndarray]:
-            for text in batch.column("text").to_pylist():
-                yield np.bincount([i for _, i in finder.iter(text)], minlength=len(terms))
-
-        def finder(terms: list[str] = terms) -> ahocorasick.Automaton:
-            found = ahocorasick.Automaton()
-            for i, t in enumerate(terms):
-                found.add_word(t, i)
-            found.make_automaton()
-            return found
-
-        def frequencies(batches: Iterator[pa.RecordBatch], terms: list[str] = terms, finder=finder, counted=counted) -> Iterator[pa.RecordBatch]:
-            held, total = finder(), np.zeros(len(terms), np.int64)
-            for batch in batches:
-                for row in counted(batch, held):
-                    total += row > 0
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "df"])
-
-        df = np.zeros(len(terms))
-        for r in low.mapInArrow(frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():  # a row a term
-            df[r["term"]] = r["df"]
-        raw = np.log((n - df + 0.5) / (df + 0.5))
-        idf = np.where(raw > 0, raw, 1e-6)
-        some = [i for i, own in enumerate(asked) if own]
-        flat = np.array([place[t] for i in some for t in asked[i]])
-        first = np.cumsum([0] + [len(asked[i]) for i in some])[:-1]
-        ids_asked = block.column("query_id").to_numpy()[some]
-
-        def scored(batches: Iterator[pa.RecordBatch], finder=finder, counted=counted, idf=idf, flat=flat, first=first, ids_asked=ids_asked) -> Iterator[pa.RecordBatch]:
-            held = finder()
-            for whole in batches:
-                for at in range(0, whole.num_rows, 256):
-                    batch = whole.slice(at, 256)
-                    tf = np.array(list(counted(batch, held)), float)
-                    size = np.array([max(len(t) - 2, 0) for t in batch.column("text").to_pylist()])[:, None]
-                    weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean)) if mean else idf * tf * 0
-                    scores = np.round(np.add.reduceat(weight[:, flat], first, axis=1), DIGITS)
-                    scores[np.add.reduceat(tf[:, flat], first, axis=1) == 0] = -np.inf
-                    ids = batch.column("id").to_numpy()
-                    r, c = _best(scores, ids, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids_asked[c]), pa.array(ids[r]), pa.array(scores[r, c])], names=["query_id", "id", "score"])
-
-        part = low.mapInArrow(scored, "query_id bigint, id bigint, score double")
-        out = part if out is None else out.unionByName(part)
+        asked = [[t.lower() for t in dict.fromkeys(terms or []) if t and len(t) >= 3] for terms in block.column("terms").to_pylist()]
+        place = {t: i for i, t in enumerate(sorted({t for own in asked for t in own}))}
+        if place:
+            part = _scored_block(low, block.column("query_id").to_numpy(), asked, place, n, mean, k, k1, b)
+            out = part if out is None else out.unionByName(part)
     if out is None:
         out = low.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0)
     return top(out, k, "id", by=["query_id"])
 
 
+def _finder(terms: list[str]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for i, t in enumerate(terms):
+        found.add_word(t, i)
+    found.make_automaton()
+    return found
+
+
+def _scored_block(low: DataFrame, names: np.ndarray, asked: list[list[str]], place: dict[str, int], n: int, mean: float, k: int, k1: float, b: float) -> DataFrame:
+    terms = list(place)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = _finder(terms), np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                total[list({i for _, i in held.iter(text)})] += 1
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "df"])
+
+    df = np.zeros(len(terms))
+    for r in low.select("text").mapInArrow(frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():  # a row a term
+        df[r["term"]] = r["df"]
+    raw = np.log((n - df + 0.5) / (df + 0.5))
+    idf = np.where(raw > 0, raw, 1e-6)
+    # Which questions ask for each term, one list behind the other.
+    pairs = np.array([(place[t], q) for q, own in enumerate(asked) for t in own])
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    first = np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1))
+    by_term = pairs[:, 1]
+
+    def best(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        q, ids, score = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((ids, -score, q))
+        at = np.flatnonzero(np.concatenate([[True], q[order][1:] != q[order][:-1]]))
+        order = order[np.arange(len(order)) - np.repeat(at, np.diff(np.append(at, len(order)))) < k]
+        return q[order], ids[order], score[order]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, found, size = _finder(terms), [], 0
+        for batch in batches:
+            for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                hits = [i for _, i in held.iter(text)]
+                if not hits:
+                    continue
+                t, tf = np.unique(hits, return_counts=True)
+                weight = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * max(len(text) - 2, 0) / mean))
+                reach = first[t + 1] - first[t]
+                q = np.concatenate([by_term[first[i] : first[i + 1]] for i in t])
+                q, at = np.unique(q, return_inverse=True)
+                found.append((q, np.full(len(q), id_), np.round(np.bincount(at, np.repeat(weight, reach)), DIGITS)))
+                size += len(q)
+                if size > MOST_HELD:
+                    found = [best(found)]
+                    size = len(found[0][0])
+        if found:
+            q, ids, score = best(found)
+            for at in range(0, len(q), ROWS_AT_ONCE):
+                part = slice(at, at + ROWS_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([pa.array(names[q[part]]), pa.array(ids[part]), pa.array(score[part])], names=["query_id", "id", "score"])
+
+    return low.mapInArrow(scored, "query_id bigint, id bigint, score double")
+
+
 def similarity(chunks: DataFrame, query: list[float], vec: str = "vec") -> DataFrame:
     """chunks with score: the product with one query vector. The vector is a literal, so there is no join."""
     return chunks.withColumn("score", F.round(dot(F.col(vec), F.array(*map(F.lit, map(float, query)))), DIGITS))
@@ -265,16 +329,25 @@ def recall(
     """Papers that the ranking doesn't cover yet: paper_id, score, the room best of them (for each by where it is given).
 
     The score is the better of the best chunk's and the paper's own, and a bonus where the title is hit. A paper without
-    chunks must score above floor. best, paper_scores: paper_id, score.
+    chunks must score above floor. best, paper_scores: paper_id, score; of equal papers the higher holds. Both need only
+    hold the best papers (as many as room and what is covered) and those whose titles are hit: others can't come in.
     """
     key = [*(by or []), "paper_id"]
-    a, b = best.select(*key, F.col("score").alias("chunk_score")), paper_scores.select(*key, F.col("score").alias("own_score"))
+    a, b = best.groupBy(*key).agg(F.max("score").alias("chunk_score")), paper_scores.groupBy(*key).agg(F.max("score").alias("own_score"))
     all_ = a.join(b, key, "full").join(title_hits.select(*key).distinct().withColumn("hit", F.lit(True)), key, "left")
     score = F.greatest(F.coalesce("chunk_score", F.lit(-1.0)), F.coalesce("own_score", F.lit(-1.0))) + F.when(F.col("hit"), bonus).otherwise(0.0)
     scored = all_.join(covered.select(*key).distinct(), key, "left_anti").select(*key, F.round(score, DIGITS).alias("score"), with_chunks.alias("has_chunks"))
     return top(scored.where(F.col("has_chunks") | (F.col("score") > floor)), room, "paper_id", by=by).select(*key, "score")
 
 
+def scores_of(chunks: DataFrame, questions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """query_id, paper_id, score: the best product of a question with a paper's chunks, for the pairs (query_id, paper_id)
+    asked for. Null vectors have no score."""
+    asked = pairs.select("query_id", "paper_id").distinct().join(questions.select("query_id", F.col("vec").alias("q")), "query_id")
+    met = asked.join(chunks.select("paper_id", "vec"), "paper_id").where("vec IS NOT NULL AND q IS NOT NULL AND size(vec) = size(q)")
+    return met.groupBy("query_id", "paper_id").agg(F.max(F.round(dot(F.col("vec"), F.col("q")), DIGITS)).alias("score"))
+
+
 def neighbours(chunks: DataFrame, text: str = "text") -> DataFrame:
     """chunks (paper_id, section, ord, text) with before and after: the texts that stand next to each in its section."""
     w = W.partitionBy("paper_id", "section").orderBy("ord")

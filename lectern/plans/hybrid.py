@@ -29,3 +29,18 @@ def hybrid_search(
     order = [F.desc("boosted"), F.col("seen"), F.col("id")]
     kept = R.capped(boosted, [*by, cap_by], cap, order)
     return R.capped(kept, by, most, order).select("query_id", "id", cap_by, F.round("boosted", 6).alias("score"))
+
+
+def recalled(chunks: DataFrame, paper_vectors: DataFrame, questions: DataFrame, title_hits: DataFrame, covered: DataFrame, room: int, most_covered: int) -> DataFrame:
+    """query_id, paper_id, score: the room best papers that a search (which kept most_covered rows at most) left out.
+
+    chunks, paper_vectors: id, paper_id, vec. Of each question only the best papers by chunks and by their own vectors are
+    looked at, and those whose titles are hit, whose scores are asked for one by one; no list holds all papers.
+    """
+    k = room + most_covered
+    by_chunk = R.nearest_of_group(chunks, questions, k).select("query_id", "paper_id", "score")
+    by_own = R.nearest_of_group(paper_vectors, questions, k).select("query_id", "paper_id", "score")
+    has_chunks = by_own.join(chunks.select("paper_id").distinct(), "paper_id", "left_semi").withColumn("score", F.lit(-1.0))
+    best = by_chunk.unionByName(R.scores_of(chunks, questions, title_hits)).unionByName(has_chunks)
+    own = by_own.unionByName(R.scores_of(paper_vectors, questions, title_hits))
+    return R.recall(best, own, title_hits, covered, room, F.col("chunk_score").isNotNull(), by=["query_id"])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.functions.vectors import dot, l2_normalise
 from lectern.operators import bibliography, chats, chunking, layout, library, locate, retrieval, upkeep, verify
-from lectern.plans.hybrid import hybrid_search
+from lectern.plans.hybrid import hybrid_search, recalled
 from lectern.sources import library as files
 from lectern.sources.tables import chunks, papers, read
 
@@ -36,17 +36,18 @@ def query(sql: str | None = None):
 PAPERS = "papers AS (SELECT doc_id AS id, regexp_extract(text, '^([^\\n]*)', 1) AS title, source AS category, lang, text, n_chars FROM documents)"
 DOT = "list_dot_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
 # Searches take as questions every row whose id is divisible by 100, against all rows: a vector asks for vectors, and the
-# title of the document of that number for texts, by its first three words whose first letter doesn't come again in them.
+# title of the document of that number for texts, by its first three words.
 PROBE = "q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0)"
 VECTORS = f"sims AS (SELECT query_id, vec_id AS id, label AS paper_id, round({DOT.format('embedding', 'v')}, 9) AS score FROM embeddings, q)"
 QT = r"""qw AS (SELECT id AS query_id, list_transform(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9-]{2,}'), lambda x: lower(x)) AS w FROM papers WHERE id % 100 = 0),
-qd AS (SELECT query_id, list_filter(w, lambda x, i: list_position(w, x) = i AND NOT contains(substr(x, 2), x[1])) AS w FROM qw),
+qd AS (SELECT query_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS w FROM qw),
 qt AS (SELECT query_id, unnest(list_slice(w, 1, 3)) AS term FROM qd), terms AS (SELECT DISTINCT term FROM qt)"""
 
 
 def _bm25(name: str, text: str) -> str:
     return f"""low{name} AS (SELECT id, lower({text}) AS t, greatest(length({text}) - 2, 0) AS d FROM papers),
-tf{name} AS (SELECT id, d, term, (length(t) - length(replace(t, term, ''))) // length(term) AS f FROM low{name}, terms WHERE contains(t, term)),
+tf{name} AS (SELECT id, d, term, CASE WHEN NOT contains(substr(term, 2), term[1]) THEN (length(t) - length(replace(t, term, ''))) // length(term)
+  ELSE len(list_filter(range(2, len(string_split(t, term[1])) + 1), lambda j: starts_with(term[1] || list_reduce(string_split(t, term[1])[j : j + length(term) - 1], lambda a, b: a || term[1] || b), term))) END AS f FROM low{name}, terms WHERE contains(t, term)),
 st{name} AS (SELECT count(*) AS n, avg(d) AS m FROM low{name}),
 idf{name} AS (SELECT term, n, m, CASE WHEN ln((n - df + .5) / (df + .5)) > 0 THEN ln((n - df + .5) / (df + .5)) ELSE 1e-6 END AS i FROM (SELECT term, count(*) AS df FROM tf{name} GROUP BY 1), st{name}),
 bm{name} AS (SELECT query_id, id, round(sum(i * f * 2.2 / (f + 1.2 * (.25 + .75 * d / m))), 9) AS score FROM tf{name} JOIN idf{name} USING (term) JOIN qt USING (term) GROUP BY 1, 2)"""
@@ -63,8 +64,7 @@ FUSED = """fused AS (SELECT query_id, id, round(sum(s), 9) AS score, min(seen) A
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
     """query_id, vec, terms."""
     words = F.array_distinct(F.transform(F.regexp_extract_all("title", F.lit("[A-Za-z][A-Za-z0-9-]{2,}"), F.lit(0)), lambda w: F.lower(w)))
-    plain = F.filter(words, lambda w: ~F.contains(F.substring(w, 2, 1 << 20), F.substring(w, 1, 1)))
-    asked = papers(spark, sf).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.slice(plain, 1, 3).alias("terms"))
+    asked = papers(spark, sf).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.slice(words, 1, 3).alias("terms"))
     vectors = chunks(spark, sf).where("id % 100 = 0").select(F.col("id").alias("query_id"), "vec")
     return vectors.join(asked, "query_id", "full")
 
@@ -81,11 +81,14 @@ def _score():
     return F.round("score", 6).alias("score")
 
 
-@query(f"""WITH {LISTS}, {FUSED.format(w0='1.0', w1='1.0')},
+_HYBRID = f"""{LISTS}, {FUSED.format(w0='1.0', w1='1.0')},
 g AS (SELECT f.*, lang, source FROM (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, id) <= 240) f JOIN documents d ON d.doc_id = f.id),
 b AS (SELECT *, round(score + 0.08 * sum(score) OVER (PARTITION BY query_id, lang, source), 9) AS boosted FROM g),
-c AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY boosted DESC, seen, id) AS k FROM b)
-SELECT query_id, id, lang, round(boosted, 6) AS score FROM (SELECT * FROM c WHERE k <= 4) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, seen, id) <= 10""")
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY boosted DESC, seen, id) AS k FROM b),
+kept AS (SELECT query_id, id, lang, boosted FROM (SELECT * FROM c WHERE k <= 4) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, seen, id) <= 10)"""
+
+
+@query(f"WITH {_HYBRID} SELECT query_id, id, lang, round(boosted, 6) AS score FROM kept")
 def hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid search: the flagship."""
     return hybrid_search(chunks(spark, sf), papers(spark, sf), _questions(spark, sf), ["lang", "category"], "lang")
@@ -124,20 +127,24 @@ def per_paper_cap(spark, sf):
     return retrieval.capped(ranked, ["query_id", "paper_id"], 4, [F.col("pos")]).select("query_id", "id", "paper_id")
 
 
-@query(f"""WITH {PROBE}, {VECTORS}, {PAPERS}, {QT}, {_bm25('', 'title')}, best AS (SELECT query_id, paper_id, max(score) AS c FROM sims GROUP BY 1, 2),
-own AS (SELECT query_id, label AS paper_id, round({DOT.format('m', 'v')}, 9) AS o FROM (SELECT label, first(embedding ORDER BY vec_id) AS m FROM embeddings GROUP BY 1), q),
-hits AS (SELECT DISTINCT query_id, id AS paper_id FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 50),
-covered AS (SELECT DISTINCT query_id, paper_id FROM (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3)),
-s AS (SELECT query_id, best.paper_id::BIGINT AS paper_id, round(greatest(c, o) + CASE WHEN hits.paper_id IS NULL THEN 0 ELSE 0.35 END, 9) AS score FROM best JOIN own USING (query_id, paper_id) LEFT JOIN hits USING (query_id, paper_id)
-  WHERE (query_id, best.paper_id) NOT IN (SELECT (query_id, paper_id) FROM covered))
-SELECT query_id, paper_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, paper_id) <= 4""")
+@query(f"""WITH {_HYBRID}, {_bm25('t', 'title')}, best AS (SELECT query_id, paper_id, max(score) AS c FROM sims GROUP BY 1, 2),
+vecs AS (SELECT label::BIGINT AS paper_id, first(embedding ORDER BY vec_id) AS m FROM embeddings GROUP BY 1 UNION ALL SELECT vec_id + 1000, embedding FROM embeddings WHERE vec_id % 97 = 0),
+own AS (SELECT query_id, paper_id, round({DOT.format('m', 'v')}, 9) AS o FROM vecs, q),
+hits AS (SELECT DISTINCT query_id, id AS paper_id FROM bmt QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 50),
+covered AS (SELECT DISTINCT query_id, label::BIGINT AS paper_id FROM kept JOIN embeddings ON vec_id = id),
+s AS (SELECT query_id, own.paper_id, best.paper_id IS NOT NULL AS chunked, round(greatest(coalesce(c, -1), o) + CASE WHEN hits.paper_id IS NULL THEN 0 ELSE 0.35 END, 9) AS score FROM own LEFT JOIN best USING (query_id, paper_id) LEFT JOIN hits USING (query_id, paper_id)
+  WHERE (query_id, own.paper_id) NOT IN (SELECT (query_id, paper_id) FROM covered))
+SELECT query_id, paper_id, round(score, 6) AS score FROM s WHERE chunked OR score > 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, paper_id) <= 4""")
 def paper_recall(spark, sf):
-    """A paper's own vector is its first chunk's here; its title is that of the document of its number."""
+    """A paper's own vector is its first chunk's here, and every 97th vector is a paper without chunks; a paper's title is
+    that of the document of its number. Covered is what hybrid search keeps."""
     c, q = chunks(spark, sf), _vectors(spark, sf)
     first = c.groupBy("paper_id").agg(F.min_by(F.struct("id", "vec"), "id").alias("f")).select("paper_id", "f.*")
+    alone = c.where("id % 97 = 0").select((F.col("id") + 1000).alias("paper_id"), "id", "vec")
+    kept = hybrid_search(c, papers(spark, sf), _questions(spark, sf), ["lang", "category"], "lang")
+    covered = kept.select("query_id", "id").join(c.select("id", "paper_id"), "id")
     hits = retrieval.text_search(papers(spark, sf).select("id", F.col("title").alias("text")), _questions(spark, sf), 50).withColumnRenamed("id", "paper_id")
-    best, own, covered = retrieval.nearest_of_group(c, q), retrieval.nearest_of_group(first, q), retrieval.nearest(c, q, 3)
-    return retrieval.recall(best, own, hits, covered, 4, F.col("chunk_score").isNotNull(), by=["query_id"]).select("query_id", "paper_id", _score())
+    return recalled(c, first.unionByName(alone), q, hits, covered, room=4, most_covered=10).select("query_id", "paper_id", _score())
 
 
 @query(f"""WITH {PROBE}, {VECTORS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS pos FROM sims QUALIFY pos < 12), g AS (SELECT query_id, paper_id, min(pos) AS f, string_agg(id::VARCHAR, ',' ORDER BY pos) AS chunks FROM t GROUP BY 1, 2)

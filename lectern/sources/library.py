@@ -6,11 +6,12 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.text import title_from_slug
+from lectern.operators.numbering import numbered
+from lectern.sources.shared import materialise
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -98,10 +99,11 @@ def year_of_slug(slug: Column) -> Column:
 
 def unique_slugs(df: DataFrame, slug: str = "slug", order: str = "path") -> DataFrame:
     """Each slug once: the k-th of equal ones gets -k, the first by order keeps it. Where that meets a slug that was there
-    from the start, it is done again."""
+    from the start, it is done again. Each round is written to the shared folder."""
     done = df
     while True:
-        k = F.row_number().over(W.partitionBy(slug).orderBy(order))
-        done = done.withColumn("_k", k).withColumn(slug, F.when(F.col("_k") > 1, F.concat(slug, F.lit("-"), F.col("_k").cast("string"))).otherwise(F.col(slug))).drop("_k")
+        done = numbered(done, slug, order)
+        done = done.withColumn(slug, F.when(F.col("_k") > 1, F.concat(slug, F.lit("-"), F.col("_k").cast("string"))).otherwise(F.col(slug))).drop("_k")
+        done = materialise(done)
         if not done.groupBy(slug).count().where("count > 1").limit(1).count():
             return done

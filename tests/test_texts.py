@@ -168,7 +168,7 @@ def test_no_candidate_is_lost(spark):
     papers = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
     works = spark.createDataFrame(list(enumerate(near)), "ordinal long, title string")
     pairs = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
-    for least in (0.3, 0.6):
+    for least in (0.0, 0.3, 0.6):
         got = {(r["id"], r["ordinal"]) for r in B.candidates(papers, works, least).collect()}
         want = {(i, j) for i, a in enumerate(titles) for j, b in enumerate(near) if pairs(a) and pairs(b) and 2 * len(pairs(a) & pairs(b)) / (len(pairs(a)) + len(pairs(b))) > least}
-        assert want <= got and len(want) > 20
+        assert want == got and len(want) > 20
