@@ -1,23 +1,18 @@
 """Documents into chunks: structural blocks of markdown pages, packed by section to a budget of tokens.
 
-Lines, fences, headings and paragraphs are found by windows over a document's lines. Packing is a fold over a section's
-pieces in order, so it runs for one section at a time, in a grouped Arrow function.
+Lines, fences, headings and paragraphs are found by windows over a document's lines. A section's pieces are one row, and
+where chunks begin follows from running sums of the pieces' sizes; all of it is column expressions.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-import re
-from dataclasses import dataclass, field
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lectern.functions.text import estimate_tokens
+from lectern.functions.arrays import divided_at, filled_starts, summed
+from lectern.functions.text import bound, estimate_tokens, split_sentences
+from lectern.sources.shared import materialise
 
 # Budgets in tokens, and the headings that are told apart.
 TARGET, HARD, LEAST, OVERLAP = 1024, 1400, 40, 128
@@ -29,54 +24,9 @@ NUMBERED = (r"^(\d+(?:\.\d+)*)[.)]?\s+(.*)$", r"(?i)^(ix|iv|v?i{1,3})\.\s+(.*)$"
 HEADING_LINE = r"^#{1,6}\s+(.*)$"
 IMAGE_LINE = r"^!\[[^\]]*\]\([^)]*\)$"
 BLANK = " \t\n\x0b\x0c\r"
-SENTENCE = re.compile(r"[^.。;；!！?？\n]+[.。;；!！?？]*")
-CJK = re.compile(r"[一-鿿぀-ヿ가-힯]")
 BACK_LINE = "(?i)^\\s*(references?|bibliography|acknowledg?ments?|参考文献|致\\s*谢)\\s*:?\\s*$"
 
 
-def tokens(text: str) -> int:
-    cjk = len(CJK.findall(text))
-    return math.ceil(cjk + (len(text) - cjk) / 4)
-
-
-def sentences(text: str) -> list[str]:
-    return [s for s in (x.strip() for x in SENTENCE.findall(text)) if s]
-
-
-def tail(text: str, size: int = OVERLAP) -> str:
-    """The last sentences, about so many tokens: all that fit together, one at least."""
-    found = sentences(text[-6 * size :])
-    upto = itertools.accumulate(map(tokens, reversed(found)))
-    most = max(1, sum(n <= size for n in upto))
-    return " ".join(found[-most:]) or text[-3 * size :]
-
-
-@dataclass
-class Block:
-    text: str
-    page: int
-    number: str = ""
-    title: str = ""
-    kind: str = "body"
-
-
-@dataclass
-class Piece:
-    """What is never divided: a paragraph, or a part of one that is too long."""
-
-    text: str
-    size: int
-    topic: str = ""
-    before: str = ""
-
-
-@dataclass
-class Chunk:
-    block: Block
-    pieces: list[Piece] = field(default_factory=list)
-    text: str = ""
-
-
 # ---- Blocks ---------------------------------------------------------------------------------------------------------
 
 
@@ -146,124 +96,98 @@ def blocks_of(pages: DataFrame) -> DataFrame:
 
 # ---- Packing --------------------------------------------------------------------------------------------------------
 
+#: What is never divided: a paragraph or a line, or a part of one that is too long, which knows its topic and the end of the
+#: part before it.
+PIECE = "struct<text: string, size: bigint, topic: string, before: string>"
+
 
-def packed(pieces: list[Piece], block: Block) -> list[Chunk]:
-    """Pieces in order, as many in a chunk as the target takes; what is too short joins the chunk before, or is lost."""
-    runs: list[list[Piece]] = []
-    for p in pieces:
-        if runs and sum(x.size for x in runs[-1]) + p.size <= TARGET:
-            runs[-1].append(p)
-        else:
-            runs.append([p])
-    out: list[Chunk] = []
-    for run in runs:
-        text = "\n".join(p.text for p in run)
-        if sum(p.size for p in run) >= LEAST:
-            out.append(Chunk(block, run, text))
-        elif out:
-            out[-1].text += f"\n{text}"
-            out[-1].pieces.extend(run)
-    return out
-
-
-def divided(text: str) -> list[Piece]:
-    """A paragraph that is too long, by sentences; later parts know its topic and the end of the part before."""
-    found = sentences(text)
-    topic = found[0] if found else text[:120]
-    out: list[Piece] = []
-    run: list[str] = []
-
-    def give() -> None:
-        own, size = " ".join(run), sum(map(tokens, run))
-        if out and size < LEAST and final:
-            out[-1].text += f" {own}"
-            out[-1].size += size
-        else:
-            out.append(Piece(own, size, topic if out else "", tail(out[-1].text) if out else ""))
-        run.clear()
-
-    final = False
-    for s in found:
-        if run and sum(map(tokens, run)) + tokens(s) > TARGET:
-            give()
-        run.append(s)
-    final = True
-    if run:
-        give()
-    return out
-
-
-def packed_blocks(blocks: list[Block]) -> list[Chunk]:
-    """Chunks of blocks of one section in a row; one that is too long is divided and stands alone."""
-    pieces = [divided(b.text) if tokens(b.text) > HARD else [Piece(b.text, tokens(b.text))] for b in blocks]
-    return packed([p for some in pieces for p in some], blocks[-1])
-
-
-def packed_lines(page: int, text: str) -> list[Chunk]:
-    """Chunks of a page without structure: its lines are the pieces."""
-    pieces: list[Piece] = []
-    for line in filter(None, map(str.strip, text.split("\n"))):
-        size = tokens(line)
-        pieces += divided(line) if size > HARD else [Piece(line, size)] if size >= 8 else []
-    return packed(pieces, Block("", page))
-
-
-def embedded(pieces: list[Piece]) -> str:
-    return "\n".join(x for p in pieces for x in (p.before, p.topic and f"Topic: {p.topic}", p.text) if x)
-
-
-PACKED = "seq struct<page:int,line:int>, sub int, page int, text string, own string, section_no string, section_title string, kind string"
+def tail(text: Column, size: int = OVERLAP) -> Column:
+    """The last sentences, about so many tokens: all that fit together, one at least. Without sentences the last characters."""
+    end = lambda n: F.substring(text, F.greatest(F.length(text) - n + 1, F.lit(1)), F.lit(n))
+    fits = lambda found: F.aggregate(F.reverse(found), F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n")), lambda s, x: F.struct((s["used"] + estimate_tokens(x)).alias("used"), (s["n"] + F.when(s["used"] + estimate_tokens(x) <= size, 1).otherwise(0)).alias("n")), lambda s: F.greatest(s["n"], F.lit(1)))
+    last = lambda found: F.when(F.size(found) == 0, F.lit("")).otherwise(F.array_join(F.slice(found, -F.least(fits(found), F.size(found)), F.size(found)), " "))
+    return F.coalesce(F.nullif(bound(split_sentences(end(6 * size)), last), F.lit("")), end(3 * size))
+
+
+def _piece(text: Column, size: Column, topic: Column | None = None, before: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(text.alias("text"), size.alias("size"), (none if topic is None else topic).alias("topic"), (none if before is None else before).alias("before")).cast(PIECE)
+
+
+def _divided(text: Column) -> Column:
+    """The pieces of a text that is too long: its sentences up to the target; a last one that is too short joins the one
+    before."""
+    run = lambda r: F.struct(F.array_join(F.transform(r, lambda x: x["text"]), " ").alias("text"), summed(r, lambda x: x["size"]).alias("size"))
+
+    def joined(parts: Column) -> Column:
+        n, last, other = F.size(parts), F.element_at(parts, -1), F.element_at(parts, -2)
+        both = F.struct(F.concat(other["text"], F.lit(" "), last["text"]).alias("text"), (other["size"] + last["size"]).alias("size"))
+        return F.when((n > 1) & (last["size"] < LEAST), F.concat(F.slice(parts, 1, n - 2), F.array(both))).otherwise(parts)
+
+    def pieces(found: Column) -> Column:
+        sized = F.transform(found, lambda s: F.struct(s.alias("text"), estimate_tokens(s).alias("size")))
+        runs = bound(sized, lambda z: F.transform(divided_at(z, filled_starts(F.transform(z, lambda x: x["size"]), TARGET)), run))
+        parts = F.when(F.size(found) == 0, F.array().cast("array<struct<text: string, size: bigint>>")).otherwise(bound(runs, joined))
+        topic = F.get(found, 0)
+        return bound(parts, lambda p: F.transform(p, lambda x, i: _piece(x["text"], x["size"], F.when(i > 0, topic), F.when(i > 0, tail(F.get(p, i - 1)["text"])))))
+
+    return bound(split_sentences(text), pieces)
+
+
+def _packed(pieces: Column) -> Column:
+    """Chunks (text, own) of pieces in order: as many in one as the target takes; what is too short joins the chunk before,
+    or is lost where there is none."""
+    runs = divided_at(pieces, filled_starts(F.transform(pieces, lambda p: p["size"]), TARGET))
+
+    def kept(found: Column) -> Column:
+        long = F.filter(F.transform(found, lambda r, i: F.when(summed(r, lambda p: p["size"]) >= LEAST, i + 1)), lambda i: i.isNotNull())
+        return F.transform(divided_at(found, long), F.flatten)
+
+    said = lambda p: F.array(p["before"], F.concat(F.lit("Topic: "), p["topic"]), p["text"])
+    text = lambda c: F.struct(F.array_join(F.transform(c, lambda p: p["text"]), "\n").alias("text"), F.array_join(F.flatten(F.transform(c, said)), "\n").alias("own"))
+    return F.transform(bound(runs, kept), text)
 
 
 def section_parts(blocks: DataFrame) -> DataFrame:
-    """blocks with part: blocks with the same one are packed together. A caption is a part by itself and doesn't end the
-    section around it; a block that is too long is one too, and does."""
-    text = blocks.where("kind <> 'caption'").select("*", (estimate_tokens(F.col("text")) > HARD).alias("_long"))
+    """blocks with part and long: blocks with the same part are packed together. A block that is too long is one by itself
+    and ends the section around it. Captions aren't in it."""
+    text = blocks.where("kind <> 'caption'").select("*", (estimate_tokens(F.col("text")) > HARD).alias("long"))
     order = W.partitionBy("doc_id").orderBy("seq")
-    section = F.struct("page", "number", "title", "kind", "_long")
-    new = F.col("_long") | (F.lag(section).over(order) != section)
-    text = text.withColumn("part", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_long")
-    captions = blocks.where("kind = 'caption'").where(estimate_tokens(F.col("text")) >= 10).withColumn("part", -F.row_number().over(order))
-    return text.unionByName(captions)
+    section = F.struct("page", "number", "title", "kind", "long")
+    new = F.col("long") | (F.lag(section).over(order) != section)
+    return text.withColumn("part", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
 
 
 def chunk_documents(pages: DataFrame) -> DataFrame:
-    """doc_id and chunks of pages (doc_id, page, text): by structure, or by lines where that gives none.
+    """doc_id, page, ord, text, embed_text, section_no, section_title, kind: the chunks of pages (doc_id, page, text), by
+    structure, or by lines where that gives none.
 
-    Only the greedy packing of one section's pieces runs in Python, one section at a time; the order of a document's chunks
-    and the end of the chunk before each are windows over what it gives.
+    Blocks are found once and written to the shared folder. A section and a page are a row each; a null text is empty, and
+    a document without text has no chunks. embed_text begins with the end of the chunk before.
     """
-    kind = pages.schema["doc_id"].dataType.simpleString()
-    columns = ["doc_id", *[x.strip().split()[0] for x in PACKED.replace("struct<page:int,line:int>", "x").split(", ")]]
-
-    def rows(doc: object, seq: dict, chunks: list[Chunk]) -> pd.DataFrame:
-        return pd.DataFrame([(doc, seq, i, c.block.page, c.text, embedded(c.pieces), c.block.number, c.block.title, c.block.kind) for i, c in enumerate(chunks)], columns=columns)
-
-    def section(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "line"])
-        own = [Block(*r) for r in pdf[["text", "page", "number", "title", "kind"]].itertuples(index=False, name=None)]
-        chunks = [Chunk(b, [Piece(b.text, tokens(b.text))], b.text) for b in own] if own[0].kind == "caption" else packed_blocks(own)
-        return rows(key[0], {"page": int(pdf["at"].iloc[-1]), "line": int(pdf["line"].iloc[-1])}, chunks)
-
-    def page_lines(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        chunks = [c for text in pdf["text"] for c in packed_lines(int(key[1]), text)]
-        return rows(key[0], {"page": int(key[1]), "line": 0}, chunks)
-
-    parts = section_parts(blocks_of(pages)).select("doc_id", "part", F.col("seq.page").alias("at"), F.col("seq.line").alias("line"), "page", "text", "number", "title", "kind")
-    structured = parts.groupBy("doc_id", "part").applyInPandas(section, f"doc_id {kind}, {PACKED}")
-    bare = pages.select("doc_id", F.col("page").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text")).join(blocks_of(pages).select("doc_id").distinct(), "doc_id", "left_anti")
-    lines = bare.groupBy("doc_id", "page").applyInPandas(page_lines, f"doc_id {kind}, {PACKED}")
+    blocks = materialise(blocks_of(pages))
+    # The outer form, as the other makes the optimiser ask for the arrays' sizes first, which computes them twice.
+    chunk = "doc_id", "seq", "page", F.posexplode_outer("chunks").alias("sub", "c"), "number", "title", "kind"
+    parts = section_parts(blocks).groupBy("doc_id", "part").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "text", "long"))).alias("own"), F.max("seq").alias("seq"), *[F.first(c).alias(c) for c in ("page", "number", "title", "kind")]
+    )
+    pieces = F.flatten(F.transform("own", lambda b: F.when(b["long"], _divided(b["text"])).otherwise(F.array(_piece(b["text"], estimate_tokens(b["text"]))))))
+    structured = parts.withColumn("chunks", bound(pieces, _packed)).select(*chunk)
+    captions = blocks.where("kind = 'caption'").where(estimate_tokens(F.col("text")) >= 10)
+    captions = captions.withColumn("chunks", F.array(F.struct("text", F.col("text").alias("own")))).select(*chunk)
+    bare = pages.select("doc_id", F.col("page").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text")).join(blocks.select("doc_id").distinct(), "doc_id", "left_anti")
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != "")
+    taken = lambda x, n: F.when(n > HARD, _divided(x)).when(n >= 8, F.array(_piece(x, n))).otherwise(F.array().cast(f"array<{PIECE}>"))
+    pieces = F.flatten(F.transform(lines, lambda x: taken(x, estimate_tokens(x))))
+    none = F.lit("")
+    plain = bare.select("doc_id", F.struct("page", F.lit(0).alias("line")).alias("seq"), "page", bound(pieces, _packed).alias("chunks"), none.alias("number"), none.alias("title"), F.lit("body").alias("kind")).select(*chunk)
     order = W.partitionBy("doc_id").orderBy("seq", "sub")
-    found = structured.unionByName(lines).select("*", (F.row_number().over(order) - 1).alias("ord"), F.lag("text").over(order).alias("_last"))
-    embed_text = F.when(F.col("_last").isNull(), F.col("own")).otherwise(F.concat_ws("\n", tails("_last"), F.col("own")))
+    found = structured.unionByName(captions).unionByName(plain).where("c IS NOT NULL")
+    found = found.select("doc_id", "page", "c.text", "c.own", F.col("number").alias("section_no"), F.col("title").alias("section_title"), "kind", (F.row_number().over(order) - 1).alias("ord"), F.lag("c.text").over(order).alias("last"))
+    embed_text = F.when(F.col("last").isNull(), F.col("own")).otherwise(F.concat_ws("\n", tail(F.col("last")), F.col("own")))
     return found.select("doc_id", "page", "ord", "text", embed_text.alias("embed_text"), "section_no", "section_title", "kind")
 
 
-@F.pandas_udf(T.StringType())
-def tails(c: pd.Series) -> pd.Series:
-    return c.map(lambda s: None if s is None else tail(s))
-
-
 def without_back_matter(pages: DataFrame, heading: str = BACK_LINE) -> DataFrame:
     """pages (doc_id, page, text) cut at the first short line that is a back-matter heading; later pages are blank."""
     lines = pages.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("line", "s"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions.arrays import divided_at
 from lectern.functions.text import bound, full_width
 
 # What counts as one visual row, a gap between columns, a gap between words, and the right column.
@@ -37,11 +38,6 @@ def _number(c: str) -> Column:
     return F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
 
 
-def _cuts(n: Column, starts: Column) -> Column:
-    """from and size of the stretches that begin at starts (from 1, in order) among n."""
-    return F.transform(starts, lambda s, i: F.struct(s.alias("from"), (F.coalesce(F.get(starts, i + 1), n + 1) - s).alias("size")))
-
-
 def anchored_rows(runs: Column, alike: Callable[[Column, Column], Column]) -> Column:
     """runs (an array of structs with y, from the top down) cut into rows: a run is of a row if it is alike to the row's
     first. alike gets that first run and the other."""
@@ -50,7 +46,7 @@ def anchored_rows(runs: Column, alike: Callable[[Column, Column], Column]) -> Co
     place = F.transform(runs, lambda r, i: F.struct(r.alias("r"), (i + 1).alias("i")))
     step = lambda s, p: F.when((p["i"] > 1) & alike(s["anchor"], p["r"]), s).otherwise(F.struct(p["r"].alias("anchor"), F.array_append(s["starts"], p["i"]).alias("starts")))
     starts = F.aggregate(place, none, step, lambda s: s["starts"])
-    return bound(starts, lambda at: F.transform(_cuts(F.size(runs), at), lambda c: F.slice(runs, c["from"], c["size"])))
+    return divided_at(runs, starts)
 
 
 def _segments(row: Column, page_w: Column) -> Column:
@@ -61,7 +57,7 @@ def _segments(row: Column, page_w: Column) -> Column:
 
     def cut(all_: Column) -> Column:
         starts = F.filter(F.transform(all_, lambda r, i: F.when((i == 0) | (gap(all_, i) > limit), i + 1)), lambda s: s.isNotNull())
-        return bound(starts, lambda at: F.transform(_cuts(F.size(all_), at), lambda c: F.slice(all_, c["from"], c["size"])))
+        return divided_at(all_, starts)
 
     def text(seg: Column) -> Column:
         wide = lambda i: gap(seg, i) > F.greatest(F.lit(WORD_LEAST), F.get(seg, i - 1)["r"]["h"] * WORD_SHARE)
@@ -92,7 +88,8 @@ def page_lines(runs: DataFrame) -> DataFrame:
         key = lambda x, i: F.struct(F.when(two & right(x), 1).otherwise(0).alias("side"), (-x["y"]).alias("down"), i.alias("i"), x["text"].alias("text"), x["x0"].alias("x0"), F.when(right(x), 1).otherwise(0).alias("col"))
         return F.array_sort(F.transform(s, key))
 
-    pages = pages.select("doc_id", "page", "page_w", F.posexplode(bound(segs, ordered)).alias("at", "s"))
+    # The outer form, as the other makes the optimiser ask for the arrays' sizes first, which computes them twice.
+    pages = pages.select("doc_id", "page", "page_w", F.posexplode_outer(bound(segs, ordered)).alias("at", "s")).where("s IS NOT NULL")
     return pages.select("doc_id", "page", (F.col("at") + 1).alias("line"), "s.text", "s.x0", "s.col", "page_w")
 
 
@@ -240,7 +237,7 @@ def match_places(pages: DataFrame, needle: str) -> DataFrame:
     here = "(?=" + "".join(f"\\x{{{ord(c):x}}}" for c in low) + ")"
     # The text is divided before each place; so places are running sums of the parts' lengths. A place at the very start
     # divides nothing off.
-    parts = pages.where(F.contains("text", F.lit(low))).select("doc_id", "page", F.startswith("text", F.lit(low)).alias("at_start"), F.posexplode(F.split("text", here, -1)).alias("i", "part"))
+    parts = pages.where(F.contains("text", F.lit(low))).select("doc_id", "page", F.startswith("text", F.lit(low)).alias("at_start"), F.posexplode_outer(F.split("text", here, -1)).alias("i", "part"))
     upto = F.sum(F.length("part")).over(W.partitionBy("doc_id", "page").orderBy("i").rowsBetween(W.unboundedPreceding, 0)) - F.length("part")
     found = parts.select("doc_id", "page", "i", "at_start", upto.cast("long").alias("start")).where("i > 0 OR at_start")
     return found.select("doc_id", "page", "start", (F.col("start") + len(low)).alias("end"))

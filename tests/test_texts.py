@@ -63,30 +63,6 @@ def test_cites_once_is_idempotent(text):
     assert V.cites_once(once) == once
 
 
-P = "word " * 400  # 500 tokens
-
-
-def test_chunks(spark):
-    para = P.strip()
-    page = "\n\n".join(["# 1 One", para, para, para, "Figure 1 shows the thing that is of note here now", para])
-    got = C.chunk_documents(spark.createDataFrame([(1, 2, "# 2 Two\n\ntiny text"), (1, 1, page)], "doc_id long, page int, text string")).orderBy("ord").collect()
-    assert [(c["ord"], c["kind"], c["section_no"]) for c in got] == [(0, "caption", "1"), (1, "body", "1"), (2, "body", "1")]
-    assert got[2]["embed_text"].endswith(got[2]["text"]) and len(got[2]["embed_text"]) > len(got[2]["text"])
-    assert [C.tokens(t) for t in ("abcd", "abcde", "你好")] == [1, 2, 2]
-    long = " ".join(f"Sentence number {i} is here to be counted with others." for i in range(400))
-    parts = C.packed_blocks([C.Block(long, 1)])
-    assert len(parts) > 1 and all(C.tokens(c.text) <= C.HARD for c in parts) and "Topic: Sentence number 0" in C.embedded(parts[1].pieces)
-
-
-@pytest.mark.parametrize("size", [1, 5, 20, 1000])
-def test_tail(size):
-    text = "One is here. Two is there. Three is a longer one than these. Four."
-    kept = C.tail(text, size)
-    found = C.sentences(text[-6 * size :])
-    assert text.endswith(kept.rpartition(". ")[2]) and (C.tokens(kept) <= size + 3 or kept == found[-1])
-    assert C.tail("", 5) == "" and C.tail("....", 5) == "...."
-
-
 def test_headings(spark):
     page = "Title of it all here\n\n# Abstract\nWe say something of note.\n\n## 3.2 Method\nText of the method.\n\n![x](y)\n```\n  code of some length\n# no heading\n```\n## III. Results\nResults are all here.\n## V. X\nNo number is here.\n## 第三章 方法\nText of the chapter.\n## References\n[1] Left out of all.\n## Appendix A\nMore of the text.\n~~~\nnever closed at all"
     rows = C.blocks_of(spark.createDataFrame([(1, 1, page), (2, 1, None), (3, 1, "")], "doc_id long, page int, text string")).orderBy("seq").collect()
