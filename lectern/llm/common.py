@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lectern.sources.shared import materialise, new_folder, scratch, shared_dir  # noqa: F401  used by the operators
+
 #: ASCII white space: what separates words in the contracts.
 BLANKS = " \t\n\x0b\x0c\r"
 MASK = (1 << 64) - 1
@@ -19,24 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode (tests);
-    on a cluster that is an error, as executors don't see each other's folders."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found or "/tmp/lectern-checkpoints"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: later steps survive the loss of any executor and don't
-    compute it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def others(df: DataFrame, *named: str) -> list[str]:
     """The columns of df but those."""
     return [c for c in df.columns if c not in named]

@@ -9,7 +9,6 @@ are. Only ids are joined; texts are read once.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from itertools import permutations
 from math import factorial
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lectern.functions.text import bound
-from lectern.llm.common import materialise, shared_dir, table, word_array
+from lectern.llm.common import materialise, new_folder, table, word_array
 
 #: A document in the id tables: its doc_id, and a hash of its text, which tells rows with equal doc_id apart.
 ID = ["id", "text_hash"]
@@ -63,7 +62,7 @@ def failing_tables(docs: DataFrame, p: AuditRules = AuditRules()) -> tuple[DataF
     base = materialise(base)
     alone = base.select(*ID, F.explode("failed").alias("filter"))
     copies = later_copies(base).withColumn("filter", F.lit("E"))
-    path = f"{shared_dir(docs.sparkSession)}/failing-{uuid.uuid4().hex}"
+    path = new_folder(docs.sparkSession, "failing")
     alone.unionByName(copies).write.partitionBy("filter").parquet(path)
     stored = docs.sparkSession.read.schema("id long, text_hash long, filter string").parquet(path)
     return base.select(*ID, "doc_id", "part"), {f: stored.where(F.col("filter") == f).select(*ID) for f in "ABCDE"}
