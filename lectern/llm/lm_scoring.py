@@ -10,8 +10,8 @@ corpus has as many entries as there are chunks, and no key is hot. Shards and ch
 in size; where a corpus is so large that a chunk has few n-grams in each shard, rows hold few, but never number more than
 the n-grams sent.
 
-Hashes have 20 bits more than it takes to number all n-grams of the corpus (64 at most), so whatever the size, an n-gram
-shares its hash, and so its count, with another one with a probability under 2 ** -20.
+Hashes have some bits more than it takes to number all n-grams of the corpus (a rule; 64 bits at most), so whatever the
+size, an n-gram shares its hash, and so its count, with another one with a probability that the rule sets.
 
 A document is scored by the others: its own occurrences are taken off all counts. Every word counts as itself: n-grams of
 all orders, single words too, are hashes that go through the same counts and join, and only the number of words of
@@ -33,10 +33,6 @@ from lectern.llm.common import table
 from lectern.llm.tokens import chunks, mix
 
 
-#: Bits of a hash beyond those that number the n-grams of the corpus.
-SPARE_BITS = 20
-
-
 @dataclass(frozen=True)
 class BackoffRules:
     order: int = 3
@@ -46,6 +42,9 @@ class BackoffRules:
     #: About so many words in a chunk, and n-grams in a shard; they bound a task's memory and change no result.
     chunk_words: int = 500_000
     shard_grams: int = 2_000_000
+    #: Bits of a hash beyond those that number the n-grams of the corpus, so that one shares its count with another with a
+    #: probability under 2 ** -spare_bits; None: hashes of 64 bits, as many as there are.
+    spare_bits: int | None = 20
 
 
 def total_words(docs: DataFrame, text: str) -> int:
@@ -203,7 +202,7 @@ def score_documents(docs: DataFrame, p: BackoffRules = BackoffRules(), text: str
     held = docs.sparkSession.sparkContext.broadcast(None if p.vocabulary is None else vocabulary(docs, p.vocabulary, text))
     n_chunks = max(1, -(-total // p.chunk_words))
     n_shards = max(1, -(-total * p.order // p.shard_grams))
-    bits = min(64, (total * p.order).bit_length() + SPARE_BITS)
+    bits = 64 if p.spare_bits is None else min(64, (total * p.order).bit_length() + p.spare_bits)
     kind = docs.schema[key].dataType.simpleString()
     id_, text_ = F.col(f"`{key}`"), F.col(f"`{text}`")
     dealt = docs.select(id_.alias("id"), text_.alias("text"), F.pmod(F.xxhash64(id_, text_), F.lit(n_chunks)).alias("chunk"))

@@ -45,7 +45,7 @@ def plain_backoff(texts, order, size):
         yield len(x), score, back
 
 
-@pytest.mark.parametrize("p", [BackoffRules(), BackoffRules(order=3, vocabulary=40, chunk_words=700), BackoffRules(chunk_words=500, shard_grams=900)])
+@pytest.mark.parametrize("p", [BackoffRules(), BackoffRules(order=3, vocabulary=40, chunk_words=700), BackoffRules(chunk_words=500, shard_grams=900), BackoffRules(spare_bits=None, chunk_words=900)])
 def test_backoff(spark, p):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).collect()]
     texts = [t for _, t in rows] + [None, "", "!!!", "solo", rows[0][1]]
@@ -64,6 +64,16 @@ def test_backoff_edges(spark):
     assert op6_lm_scoring(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
+def test_backoff_many_equal_rows_and_clashing_columns(spark):
+    """Equal rows share a chunk and count for each other; columns of the input don't meet the results'."""
+    docs = docs_of(spark, [(1, "one two three")] * 50 + [(2, "one two"), (2, "one two")]).selectExpr("doc_id", "text", "lang AS chunk", "source AS score", "n_chars AS id")
+    out = score_documents(docs, BackoffRules(chunk_words=3))
+    assert out.columns == ["doc_id", "n_words", "logprob", "n_backoff", "score"]
+    got = [(r["doc_id"], r["n_words"], round(r["logprob"], 9)) for r in out.collect()]
+    want = [(i, n, round(score, 9)) for (i, (n, score, _)) in zip([1] * 50 + [2, 2], plain_backoff(["one two three"] * 50 + ["one two"] * 2, 3, None))]
+    assert sorted(got) == sorted(want)
+
+
 def test_backoff_rare_words(spark):
     """More different words than any fixed vocabulary: a word that no other document has isn't taken for other rare words."""
     many = " ".join(f"w{i}" for i in range(70_000))
