@@ -7,6 +7,7 @@ document is judged within its row.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +17,13 @@ from lectern.llm.common import BLANKS, others, packed, table, unpacked, word_arr
 
 #: A sentence ends somewhere in the line.
 FINISHED = "[.!?…。！？][\"'”»)\\]]*([ \\t\\x0b\\f\\r]|$)"
-BOILERPLATE = (
-    "(?i)(cookie|privacy policy|terms of (use|service)|all rights reserved|licensed under|general public license"
-    "|copyright \\(c\\)|subscribe to our|sign up for|log in to|enable javascript|lorem ipsum)"
-)
+#: Phrases of lines that stand on pages of any content, in the languages of the tables; a caller gives others.
+BOILERPLATE = {
+    "en": ["cookie", "privacy policy", "terms of use", "terms of service", "all rights reserved", "licensed under", "general public license", "copyright (c)", "subscribe to our", "sign up for", "log in to", "enable javascript", "lorem ipsum"],
+    "de": ["alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "impressum", "abonnieren sie", "newsletter bestellen", "melden sie sich an", "lizenziert unter", "javascript aktivieren"],
+    "fr": ["tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "abonnez-vous", "inscrivez-vous", "connectez-vous", "sous licence", "activer javascript"],
+    "es": ["todos los derechos reservados", "política de privacidad", "condiciones de uso", "aviso legal", "suscríbete", "regístrate", "inicia sesión", "bajo licencia", "activar javascript"],
+}
 SEPARATORS = "|»›•·"
 SYMBOLS = "#*$%&|<>"
 
@@ -33,6 +37,8 @@ class QualityRules:
     shout_share: float = 0.25
     #: A longer line is text even where it has such a phrase.
     boilerplate_max_words: int = 40
+    #: In small letters.
+    boilerplate: tuple[str, ...] = tuple(phrase for own in BOILERPLATE.values() for phrase in own)
     max_lost_share: float = 0.5
 
 
@@ -40,6 +46,11 @@ def _count(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
+def _pattern(phrases: tuple[str, ...]) -> str:
+    """Any of the phrases; none of them if there are none."""
+    return "|".join(re.sub(r"([^\w\s'-])", r"\\\1", x) for x in phrases) or "[^\\x{0}-\\x{10ffff}]"
+
+
 def line_fault(line: Column, p: QualityRules) -> Column:
     """The first rule that a line fails, or null."""
     words = F.regexp_count(line, F.lit("[^ \\t-\\r]+"))
@@ -47,7 +58,7 @@ def line_fault(line: Column, p: QualityRules) -> Column:
         F.when(_count(line, SEPARATORS) > words * p.separator_share, F.lit("navigation"))
         .when(_count(line, SYMBOLS) > words * p.symbol_share, F.lit("symbols"))
         .when(F.regexp_count(line, F.lit("!!")) > words * p.shout_share, F.lit("shouting"))
-        .when((words <= p.boilerplate_max_words) & line.rlike(BOILERPLATE), F.lit("boilerplate"))
+        .when((words <= p.boilerplate_max_words) & F.lower(line).rlike(_pattern(p.boilerplate)), F.lit("boilerplate"))
         .when(~line.rlike(FINISHED), F.lit("unfinished"))
     )
 
@@ -102,9 +113,10 @@ def quality_rules(docs: DataFrame, p: QualityRules = QualityRules(), text: str =
         F.array_join(F.transform(F.filter("_judged", lambda x: x["fault"].isNull()), lambda x: x["line"]), "\n").alias("cleaned_text"),
     )
     kept = ~F.col("base_failed") & (F.col("lost_chars") <= F.col("total_chars") * p.max_lost_share)
-    # A filter on a result must not be moved below: its copy of an array would be made anew for each element.
-    kept = kept & (F.monotonically_increasing_id() >= 0)
-    return unpacked(df, others(docs, *new), *[F.col(c) for c in new[:-1]], kept.alias("kept"))
+    # The results of a row come out of an array of one element, as a filter on them must not be moved below: it would
+    # compute them again.
+    df = df.select("_row", F.explode_outer(F.array(F.struct(*[F.col(c) for c in new[:-1]], kept.alias("kept")))).alias("_new"))
+    return unpacked(df, others(docs, *new), *[F.col(f"_new.{c}") for c in new])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +141,7 @@ f AS (SELECT rid, length(x)::BIGINT AS c, len(regexp_extract_all(x, '[^ \t-\r]+'
     length(x) - length(translate(x, '|»›•·', '')) AS sep, length(x) - length(translate(x, '#*$%&|<>', '')) AS sym,
     len(regexp_extract_all(x, '!!')) AS sh, x FROM l),
 s AS (SELECT rid, sum(c)::BIGINT AS total, coalesce(sum(c) FILTER (WHERE sep > n * 0.33::DOUBLE OR sym > n * 0.25::DOUBLE OR sh > n * 0.25::DOUBLE
-    OR (n <= 40 AND regexp_matches(x, '(?i)(cookie|privacy policy|terms of (use|service)|all rights reserved|licensed under|general public license|copyright \(c\)|subscribe to our|sign up for|log in to|enable javascript|lorem ipsum)'))
+    OR (n <= 40 AND regexp_matches(lower(x), '@phrases@'))
     OR NOT regexp_matches(x, '[.!?…。！？]["''”»)\]]*([ \t\x0b\f\r]|$)')), 0)::BIGINT AS lost FROM f GROUP BY rid),
 o AS (SELECT b.doc_id, b.n_words, coalesce(b.wc, 0)::BIGINT AS word_chars, b.n_symbols,
     (len(b.lines) - len(list_distinct(b.lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
@@ -139,4 +151,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, lost_chars,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= total * 0.5::DOUBLE AS kept
 FROM o
-"""
+""".replace("@phrases@", _pattern(QualityRules().boilerplate).replace("'", "''"))

@@ -2,7 +2,7 @@ from collections import Counter
 
 from tests.llm.plain import EDGES, blank_words, docs_of
 
-from lectern.llm.quality_rules import quality_rules
+from lectern.llm.quality_rules import QualityRules, quality_rules
 
 
 def plain(text):
@@ -41,3 +41,17 @@ def test_shape(spark):
     assert out.where("kept").count() == 2 and out.columns.count("kept") == 1
     assert quality_rules(docs.limit(0)).count() == 0
     assert quality_rules(spark.createDataFrame([(None, None, 1)], "doc_id long, text string, n_words int")).first()["n_words"] == 0
+
+
+def test_phrases_of_all_languages(spark):
+    lines = ["Alle Rechte vorbehalten.", "TOUS DROITS RÉSERVÉS.", "Lea el Aviso legal.", "Copyright (c) 2020.", "Copyright c 2020.", "Condiciones de uso: all."]
+    faults = lambda p: quality_rules(docs_of(spark, [f"{GOOD}\n{x}" for x in lines]), p).orderBy("doc_id").collect()
+    assert [r["line_faults"] for r in faults(QualityRules())] == [["boilerplate"]] * 4 + [[], ["boilerplate"]]
+    assert [r["line_faults"] for r in faults(QualityRules(boilerplate=("c 2020",)))] == [[], [], [], [], ["boilerplate"], []]
+    assert not any(r["line_faults"] for r in faults(QualityRules(boilerplate=())))
+
+
+def test_results_are_computed_once(spark):
+    """A filter on a result stays above the row's arrays."""
+    plan = quality_rules(docs_of(spark, [GOOD])).where("kept")._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically" not in plan and plan.index("Filter") < plan.index("Generate")
