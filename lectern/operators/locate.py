@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.text import bigrams, bound, dice, full_width
+from lectern.functions.text import bigrams, bound, dice, full_width, norm_title
+from lectern.sources.shared import materialise
 
 
 def find_count(text: Column, needle: str) -> Column:
@@ -62,12 +64,8 @@ def best_windows(pages: DataFrame, words: list[str], target: int, step: int = 48
     return best.select("doc_id", "b.*").where(F.col("hits") >= need)
 
 
-def alike_windows(texts: DataFrame, snippet: str, step: int = 10, width: int = 200, least: float = 0.66) -> DataFrame:
-    """id, start, overlap: the first window of text whose pairs of characters (with repeats) overlap most with snippet's.
-
-    Each text is folded within its row: the pairs become numbers, and a block of windows is counted at a time.
-    """
-    piece = snippet[:width]
+def _overlap(piece: str, step: int) -> Callable[[str | None], tuple[int, float]]:
+    """Where a text's window begins whose pairs of characters overlap most with piece's, and by how much."""
     asked = Counter(piece[i : i + 2] for i in range(len(piece) - 1))
     number = {g: i for i, g in enumerate(asked)}
     wanted = np.array([*asked.values(), 0])
@@ -89,6 +87,16 @@ def alike_windows(texts: DataFrame, snippet: str, step: int = 10, width: int = 2
                 found = int(block[i]), int(shared[i])
         return found[0], found[1] / total
 
+    return best
+
+
+def alike_windows(texts: DataFrame, snippet: str, step: int = 10, width: int = 200, least: float = 0.66) -> DataFrame:
+    """id, start, overlap: the first window of text whose pairs of characters (with repeats) overlap most with snippet's.
+
+    Each text is folded within its row: the pairs become numbers, and a block of windows is counted at a time.
+    """
+    best = _overlap(snippet[:width], step)
+
     @F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("overlap", T.DoubleType())]))
     def folded(c: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([best(t) for t in c], columns=["start", "overlap"])
@@ -96,6 +104,55 @@ def alike_windows(texts: DataFrame, snippet: str, step: int = 10, width: int = 2
     return texts.select("id", folded("text").alias("b")).select("id", "b.*").where(F.col("overlap") >= least)
 
 
+PLACE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("overlap", T.DoubleType())])
+
+
+@F.pandas_udf(PLACE)
+def _alike_place(text: pd.Series, snippet: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_overlap((s or "")[:200], 10)(t) for t, s in zip(text, snippet)], columns=["start", "overlap"])
+
+
+def jumps(pages: DataFrame, asks: DataFrame, step: int = 48, width: int = 240, least: float = 0.66) -> DataFrame:
+    """ask_id, doc_id, page, how, start: where a citation leads. pages: doc_id, page, text. asks: ask_id, doc_id, page, snippet,
+    words.
+
+    First the snippet is looked for on its page, letter by letter (how: exact; start in the page's letters and digits);
+    where it isn't there, what is only alike (alike); then the words around the citation, on the page and its neighbours
+    (words; start in the text); else it leads to the top of the page (top). Each of these searches is dearer than the one
+    before and sees only what that left open. A page beyond a document's last is its last; an ask of a document without
+    pages has no row. A null snippet is none, null words are none.
+    """
+    last = pages.groupBy("doc_id").agg(F.max("page").alias("_last"))
+    known = asks.select("ask_id", "doc_id", F.col("page").cast("int").alias("page"), norm_title(F.coalesce("snippet", F.lit(""))).alias("snippet"), F.filter(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.length(w) > 0).alias("words"))
+    known = known.join(last, "doc_id").withColumn("page", F.greatest(F.lit(1), F.least("page", "_last"))).drop("_last")
+    own = pages.select("doc_id", F.col("page").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    done = lambda df, how: df.select("ask_id", "doc_id", "page", F.lit(how).alias("how"), (F.col("place") - 1).cast("int").alias("start"))
+
+    exact = F.when(F.length("snippet") >= 20, snippet_place(norm_title(F.col("text")), F.col("snippet")))
+    one = materialise(known.join(own, ["doc_id", "page"], "left").select(*known.columns, exact.alias("place")))
+    found = done(one.where("place IS NOT NULL"), "exact")
+
+    left = one.where("place IS NULL").drop("place")
+    seen = left.where(F.length("snippet") >= 30).join(own, ["doc_id", "page"]).select("ask_id", _alike_place(norm_title(F.col("text")), F.col("snippet")).alias("p"))
+    two = materialise(left.join(seen.where(F.col("p.overlap") >= least).select("ask_id", (F.col("p.start") + 1).alias("place")), "ask_id", "left"))
+    found = found.unionByName(done(two.where("place IS NOT NULL"), "alike"))
+
+    left = two.where("place IS NULL").drop("place")
+    near = left.where(F.size("words") > 0).withColumn("at", F.explode(F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1)))
+    near = near.join(own.withColumnRenamed("page", "at"), ["doc_id", "at"])
+    pieces = F.regexp_extract_all(F.lower("text"), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    low = F.transform("words", lambda w: F.lower(w))
+    said = lambda w: F.size(F.filter(low, lambda x: F.contains(w, x)))
+    window = lambda p, i: F.array_join(F.slice(p, i + 1, width // step), "")
+    scored = lambda p: F.array_max(F.transform(p, lambda _, i: F.struct(bound(window(p, i), said).alias("hits"), (-i * step).alias("before"))))
+    best = near.select("ask_id", "page", "at", F.size("words").alias("n"), bound(pieces, scored).alias("b")).where("b IS NOT NULL")
+    best = best.groupBy("ask_id", "n").agg(F.max_by(F.struct("at", (1 - F.col("b.before")).alias("place"), "b.hits"), F.struct("b.hits", F.col("at") == F.col("page"), -F.col("at"))).alias("b"))
+    enough = F.col("b.hits") >= F.greatest(F.lit(2), F.ceil(F.col("n") * 18 / 100))
+    three = materialise(left.join(best.where(enough).select("ask_id", "b.at", "b.place"), "ask_id", "left"))
+    found = found.unionByName(done(three.where("place IS NOT NULL").drop("page").withColumnRenamed("at", "page"), "words"))
+    return found.unionByName(three.where("place IS NULL").select("ask_id", "doc_id", "page", F.lit("top").alias("how"), F.lit(0).alias("start")))
+
+
 # ---- Reference lists ------------------------------------------------------------------------------------------------
 
 def looked_up(index: DataFrame, asked: DataFrame, least: float = 0.65) -> DataFrame:

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.vectors import dot, l2_normalise
-from lectern.operators import bibliography, chats, chunking, layout, library, locate, retrieval, upkeep, verify
+from lectern.operators import bibliography, chats, chunking, intake, layout, library, locate, retrieval, upkeep, verify
 from lectern.plans.hybrid import hybrid_search, recalled
 from lectern.sources import library as files
+from lectern.sources import versions
+from lectern.sources.shared import new_folder
 from lectern.sources.tables import chunks, papers, read
+from lectern.streaming import lookups
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -676,3 +679,141 @@ SELECT doc_id, (max(CASE WHEN opens THEN CASE WHEN nn >= 3 THEN num ELSE entry E
   min(page) AS page, string_agg(key, ',' ORDER BY i) FILTER (WHERE key <> '') AS keys FROM x GROUP BY doc_id, entry""")
 def reference_lists(spark, sf):
     return layout.reference_entries(_lines(spark, sf)).select("doc_id", "num", "raw", "page", F.array_join("keys", ",").alias("keys"))
+
+
+# ---- Taking papers in: pages are files, and what a model says about them is made of their numbers ---------------------
+
+_ITEMS = """p AS (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN upper(url) ELSE url END AS path FROM pages),
+items AS (SELECT page_id AS ord, path, CASE page_id % 6 WHEN 0 THEN 'Chosen: one' WHEN 1 THEN 'inbox' ELSE '' END AS category,
+  CASE WHEN page_id % 5 = 0 THEN 'Given ' || page_id % 40 END AS title, 'A. Given' AS authors, CASE WHEN page_id % 2 = 0 THEN 1999 END AS year FROM p),
+said AS (SELECT page_id, path, 'T' || page_id % 30 AS t, CASE WHEN page_id % 3 <> 0 THEN 2000 + page_id % 20 END AS y, 'area-' || page_id % 7 AS cat FROM p WHERE page_id % 4 IN (1, 3))"""
+
+
+def _items(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Files with what users say of them, and answers: of four one lacks its title, one is broken, two are good."""
+    p, n = read(spark, sf, "pages"), F.col("page_id")
+    path = F.when(n % 10 == 0, F.upper("url")).otherwise(F.col("url")).alias("path")
+    chosen = F.when(n % 6 == 0, "Chosen: one").when(n % 6 == 1, "inbox").otherwise("").alias("category")
+    given = F.when(n % 5 == 0, F.concat(F.lit("Given "), (n % 40).cast("string"))).alias("title")
+    items = p.select(n.alias("ord"), path, chosen, given, F.lit("A. Given").alias("authors"), F.when(n % 2 == 0, 1999).alias("year"), F.lit("").alias("venue"))
+    year = F.when(n % 3 != 0, F.concat(F.lit(', "year": "'), (2000 + n % 20).cast("string"), F.lit('?"'))).otherwise("")
+    good = F.concat(F.lit('```json\n{"title": "T'), (n % 30).cast("string"), F.lit('"'), year, F.lit(', "category_slug": "Area '), (n % 7).cast("string"), F.lit('", "paper_slug": null}\n```'))
+    out = F.when(n % 4 == 0, F.lit('{"title": "", "category_slug": "x"}')).when(n % 4 == 2, F.lit("Sorry, {no")).otherwise(good).alias("out")
+    return items, p.select(path, out)
+
+
+_DASHED = "regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(rf"""WITH {_ITEMS}, f AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY lower(path) ORDER BY ord) = 1),
+j AS (SELECT f.*, t, y, cat, coalesce(f.title, '') <> '' AS given, regexp_replace(regexp_extract(f.path, '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1') AS name FROM f LEFT JOIN said USING (path)),
+k AS (SELECT ord, path, CASE WHEN given THEN title ELSE coalesce(t, name) END AS title, CASE WHEN given THEN authors ELSE '' END AS authors,
+  coalesce(CASE WHEN given THEN year ELSE y END, try_cast(nullif(regexp_extract(name, '((?:19|20)\d{{2}})', 1), '') AS INTEGER)) AS year, CASE WHEN category = 'Chosen: one' THEN 'Chosen one' WHEN category = 'inbox' OR given THEN 'inbox' ELSE coalesce(cat, 'inbox') END AS category,
+  category <> 'Chosen: one' AND (given OR (category = '' AND t IS NOT NULL)) AS classified, NOT given AND t IS NULL AS bare FROM j),
+s AS (SELECT *, {_DASHED.format("CASE WHEN bare THEN title ELSE coalesce(year::VARCHAR, '') || '-' || title END")} AS d FROM k), u AS (SELECT *, CASE WHEN d = '' THEN 'paper' ELSE substr(d, 1, 48) END AS sl FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY category, sl ORDER BY ord) AS nth FROM u)
+SELECT path, title, authors, year::INTEGER AS year, '' AS venue, category, sl || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END AS slug, classified FROM n""")
+def import_plan(spark, sf):
+    return intake.import_plan(*_items(spark, sf))
+
+
+@query(f"WITH {_ITEMS} SELECT items.path, t IS NOT NULL AS ok, coalesce(cat, 'inbox') AS category, t AS title FROM items LEFT JOIN said ON page_id = ord")
+def import_preview(spark, sf):
+    items, answers = _items(spark, sf)
+    return intake.import_preview(items, answers)
+
+
+@query("""WITH a AS (SELECT doc_id AS key, CASE WHEN toxic = 0 THEN '10.1/' || upper(hex(doc_id % 50)) ELSE '' END AS doi, CASE WHEN quality = 1 THEN doc_id % 9 END AS cited_by, 'first ' || quality AS title FROM labels),
+b AS (SELECT doc_id AS key, '' AS doi, n_chars AS cited_by, 'second ' || lang AS title FROM documents WHERE lang <> 'en' AND doc_id NOT IN (SELECT doc_id FROM labels)),
+u AS (SELECT '10.1/' || lower(hex(page_id % 50)) AS doi, page_id AS ord, url FROM pages WHERE page_id < 200), c AS (SELECT '10.1/' || lower(hex(item_id % 60)) AS doi, max(item_id) AS cited FROM benchmark WHERE item_id % 60 < 25 GROUP BY 1),
+v AS (SELECT a.key, url, ord, true AS open FROM a JOIN u ON lower(a.doi) = u.doi UNION ALL SELECT a.key, 'https://arxiv.org/' || cited, 1 << 30, false FROM a JOIN c ON lower(a.doi) = c.doi),
+o AS (SELECT * FROM v WHERE regexp_matches(lower(url), '^https?://') QUALIFY row_number() OVER (PARTITION BY key, lower(url) ORDER BY ord) = 1),
+w AS (SELECT key, url, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN open THEN 0 WHEN ends_with(lower(url), '.pdf') THEN 1 WHEN contains(lower(url), 'arxiv') THEN 2 ELSE 3 END, ord) AS rank FROM o),
+r AS (SELECT key, string_agg(url, ' ' ORDER BY rank) AS urls FROM w WHERE rank <= 5 GROUP BY 1)
+SELECT a.key, 'first' AS source, a.doi, coalesce(cited_by, cited)::BIGINT AS cited_by, title, coalesce(urls, '') AS urls FROM a LEFT JOIN c ON lower(a.doi) = c.doi LEFT JOIN r ON r.key = a.key UNION ALL SELECT key, 'second', doi, cited_by, title, '' FROM b""")
+def merged_lookup(spark, sf):
+    """Labels stand for what the first service knows, documents in other languages than English for the second."""
+    doi = lambda n: F.concat(F.lit("10.1/"), F.upper(F.hex(n)))
+    d, n = read(spark, sf, "documents"), F.col("doc_id")
+    first = read(spark, sf, "labels").select(n.alias("key"), n.alias("ord"), F.when(F.col("toxic") == 0, doi(n % 50)).otherwise("").alias("doi"), F.when(F.col("quality") == 1, n % 9).alias("cited_by"), F.concat(F.lit("first "), F.col("quality").cast("string")).alias("title"))
+    second = d.where("lang <> 'en'").select(n.alias("key"), n.alias("ord"), F.lit("").alias("doi"), F.col("n_chars").alias("cited_by"), F.concat(F.lit("second "), "lang").alias("title"))
+    places = read(spark, sf, "pages").where("page_id < 200").select(doi(F.col("page_id") % 50).alias("doi"), F.col("page_id").alias("ord"), "url")
+    cited = read(spark, sf, "benchmark").where("item_id % 60 < 25").select(doi(F.col("item_id") % 60).alias("doi"), F.col("item_id").alias("cited_by"), F.concat(F.lit("https://arxiv.org/"), F.col("item_id").cast("string")).alias("url"))
+    found = intake.merged_lookup(d.select(n.alias("key")), first, second, places, cited)
+    return found.select("key", "source", "doi", "cited_by", "title", F.array_join("pdf_urls", " ").alias("urls"))
+
+
+@query("""WITH n AS (SELECT doc_id, lang, doc_id % 3 = 0 AS touched, substr(text, 1, 300) AS t, chr(10) AS nl, 'A "title" $1 of ' || doc_id AS name, source, CASE WHEN doc_id % 4 <> 0 THEN (2000 + doc_id % 20)::VARCHAR END AS year FROM documents),
+v AS (SELECT *, 'title: "' || replace(name, '"', chr(39)) || '"' AS lt, 'authors: "' || source || '"' AS la, 'year: "' || coalesce(year, 'null') || '"' AS ly, 'venue: "' || lang || '"' AS lv, CASE WHEN touched THEN '- **发表:** ' || lang || coalesce(' · ' || year, '') ELSE '- **发表:** (?)' END AS said FROM n)
+SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN '---' || nl || lt || nl || 'tags: [a]' || nl || 'title: again' || nl || la || nl || ly || nl || lv || nl || '---' || nl || t
+  WHEN doc_id % 5 > 2 THEN '---' || nl || lv || nl || ly || nl || lt || nl || la || nl || '---' || nl || nl || said || nl || t || nl || '- **发表:** (2)'
+  ELSE '---' || nl || lt || nl || la || nl || 'year: ' || coalesce(year, 'null') || nl || lv || nl || '---' || nl || nl || '# ' || name || nl END AS note FROM v""")
+def rewritten_notes(spark, sf):
+    """Documents' first lines are notes, some with a head."""
+    d, n = read(spark, sf, "documents"), F.col("doc_id")
+    t = F.substring("text", 1, 300)
+    raw = F.when(n % 5 == 1, t).when(n % 5 == 2, F.concat(F.lit("---\ntitle: old\ntags: [a]\ntitle: again\n---\n"), t)).when(n % 5 > 2, F.concat(F.lit("---\nvenue: x\nyear: 1\n---\n\n- **发表:** (?)\n"), t, F.lit("\n- **发表:** (2)")))
+    note = intake.note_rewritten(raw, F.concat(F.lit('A "title" $1 of '), n.cast("string")), F.col("source"), F.when(n % 4 != 0, 2000 + n % 20), F.col("lang"), n % 3 == 0)
+    return d.select("doc_id", note.alias("note"))
+
+
+# ---- Runs that fail or are cancelled ----------------------------------------------------------------------------------
+
+
+@query("SELECT lang, count(*) AS n, 'two' AS model FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1")
+def versioned_rebuild(spark, sf):
+    """Built for one model, then for another; a third run is cancelled when half of its tables are written."""
+    root, docs = new_folder(spark, "versions"), read(spark, sf, "documents")
+    counts = lambda df, model: {"counts": df.groupBy("lang").agg(F.count("*").alias("n")).withColumn("model", F.lit(model))}
+    versions.rebuilt(spark, root, {"model": "one"}, lambda: counts(docs, "one"))
+    versions.rebuilt(spark, root, {"model": "two"}, lambda: counts(docs.where("doc_id % 3 <> 0"), "two"))
+    versions.rebuilt(spark, root, {"model": "two"}, lambda: counts(docs, "never built"))
+    try:
+        versions.publish(spark, root, counts(docs, "three") | {"other": docs.select(F.raise_error(F.lit("cancelled")).cast("int").alias("x"))}, {"model": "three"})
+    except Exception as e:
+        if "cancelled" not in str(e):
+            raise
+    return versions.current(spark, root, "counts")
+
+
+@query("SELECT url AS path, max(CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END) AS mtime, CASE WHEN max(CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END) = 2 THEN 'second' ELSE 'first' END AS run, arg_max(length(html), CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END)::INTEGER AS size FROM pages WHERE page_id % 7 <> 0 GROUP BY 1")
+def memoised_files(spark, sf):
+    """Listed twice; in between every third file changes and every seventh goes."""
+    root, n = new_folder(spark, "memo"), F.col("page_id")
+    listed = lambda mtime: read(spark, sf, "pages").select(F.col("url").alias("path"), mtime.alias("mtime"), n, "html")
+    derive = lambda run: lambda due: due.select("path", F.lit(run).alias("run"), F.length("html").alias("size"))
+    versions.memoised(spark, root, listed(F.lit(1)), derive("first"))
+    return versions.memoised(spark, root, listed(F.when(n % 3 == 0, 2).otherwise(1)).where(n % 7 != 0), derive("second")).select("path", "mtime", "run", "size")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 <> 2 THEN length(url) END AS size, CASE WHEN page_id % 5 = 2 THEN 'ValueError: no answer for ' || page_id END AS error FROM pages")
+def isolated_lookups(spark, sf):
+    """A service that fails for every fifth page."""
+
+    def lookup(row: dict) -> dict:
+        if row["page_id"] % 5 == 2:
+            raise ValueError(f"no answer for {row['page_id']}")
+        return {"size": len(row["url"])}
+
+    asked = lookups.paced(read(spark, sf, "pages").select("page_id", "url"), lookup, "size bigint", gap=0, lanes=8)
+    return asked.select("page_id", "size", "error")
+
+
+_PROBES = ", ".join(f"CASE WHEN length(substr(sn, (floor(length(sn) * {o}))::INTEGER + 1, {n})) >= 20 THEN nullif(strpos(nt, substr(sn, (floor(length(sn) * {o}))::INTEGER + 1, {n})), 0) END" for n in (200, 120, 70, 40) for o in ("0.0", "0.25", "0.5"))
+_NORM = "regexp_replace(lower({}), '[^a-z0-9一-鿿]', '', 'g')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text AS t, {_NORM.format('text')} AS nt, length(text) AS n FROM documents),
+b AS (SELECT *, {_NORM.format("CASE doc_id % 3 WHEN 0 THEN substr(t, n // 3 + 1, 300) ELSE '' END")} AS sn FROM d),
+c AS (SELECT *, CASE WHEN length(sn) >= 20 THEN coalesce({_PROBES}) END AS place FROM b),
+w AS (SELECT doc_id, unnest(range(0, greatest(n, 1), 48)) AS start, lower(t) AS t FROM c WHERE place IS NULL AND doc_id % 3 <> 2 AND n > 0),
+h AS (SELECT doc_id, start, contains(substr(t, start + 1, 240), 'the')::INTEGER + contains(substr(t, start + 1, 240), 'ound')::INTEGER + contains(substr(t, start + 1, 240), 'keit')::INTEGER AS hits FROM w),
+k AS (SELECT doc_id, start FROM h WHERE hits >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, start) = 1)
+SELECT c.doc_id AS ask_id, CASE WHEN place IS NOT NULL THEN 'exact' WHEN start IS NOT NULL THEN 'words' ELSE 'top' END AS how, coalesce(place - 1, start, 0)::INTEGER AS start FROM c LEFT JOIN k USING (doc_id)""")
+def jump_places(spark, sf):
+    """Every third document is asked for by a passage of its own, every third by words, and the rest by nothing."""
+    d, n = read(spark, sf, "documents"), F.col("doc_id")
+    snippet = F.when(n % 3 == 0, F.substring(F.col("text"), F.floor(F.length("text") / 3).cast("int") + 1, F.lit(300)))
+    words = F.when(n % 3 != 2, F.array(F.lit("the"), F.lit("ound"), F.lit("Keit")))
+    asks = d.select(n.alias("ask_id"), n, F.lit(5).alias("page"), snippet.alias("snippet"), words.alias("words"))
+    return locate.jumps(d.select(n, F.lit(1).alias("page"), "text"), asks).select("ask_id", "how", "start")
