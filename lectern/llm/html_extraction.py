@@ -1,9 +1,9 @@
 """Main text of HTML pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. The first pass sums evidence about each block: the density of stop words
-and the length of its text, the share of it that stands in links, and, with fixed weights, the tags and class words of
-the containers around it. Clear sums decide; others, and short blocks and headings, stay undecided. In the second pass an
-undecided block takes the label of its nearest decided neighbours: good where both are good, and where they differ, that
+and the length of its text, the share of it that stands in links, and, with fixed weights, the tags and the words of the
+names of the containers around it. Clear sums decide; others, and short blocks and headings, stay undecided: prose in a
+container whose name only touches on what isn't an article, too. In the second pass an undecided block takes the label of its nearest decided neighbours: good where both are good, and where they differ, that
 of the nearer one. Each page is handled within its row, in one walk over it.
 """
 
@@ -39,22 +39,24 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
-#: A class, id or role tells a container that isn't the article if all its words are of these two lists, one of the first at
-#: least. Names that say what a page has or lacks tell nothing.
+#: Words of a class, id or role that speak against a container. The word that a name ends with says what the container is;
+#: some words say it wherever they stand; a word elsewhere says something about it, but little.
 HINTS = frozenset(
     "ad ads advert advertisement advertising adverts banner sponsor sponsored sponsors promo promoted promotion nav navbar navigation menu menubar sidebar"
-    " footer breadcrumb breadcrumbs cookie cookies consent notice comment comments disqus reply replies share sharing social related recommended"
-    " recommendations newsletter subscribe subscription popup modal widget widgets pagination pager toolbar masthead login contentinfo complementary".split()
+    " footer breadcrumb breadcrumbs cookie cookies consent gdpr notice alert toast comment comments disqus reply replies share sharing social related recommended"
+    " recommendations newsletter subscribe subscription signup popup modal widget widgets pagination pager toolbar masthead login contentinfo complementary".split()
 )
+ANYWHERE = frozenset("ad ads advert advertisement advertising adverts sponsor sponsored sponsors promoted cookie cookies consent gdpr comment comments disqus newsletter breadcrumb breadcrumbs".split())
+#: Words that say nothing, so that the word before them is the one that a name ends with.
 LAYOUT = frozenset(
     "a area b bar block body bottom box button buttons c center col column container content count d form global group header holder icons inner"
-    " item items l large left line link links list m main medium middle outer overlay page panel primary r row secondary section site slot small tag text"
-    " the thread title top r right unit w wrap wrapper".split()
+    " item items l large left line link links list m main medium middle outer overlay page panel primary r right row secondary section site slot small tag text"
+    " the thread title top unit w wrap wrapper x posts articles stories reads".split()
 )
 SAYS_OF_PAGE = frozenset("has no with without is not".split())
-#: What stands in such elements, and in containers with such words, weighs so much; a form is as good as such a word.
-APART = -6
-CONTAINER_WORDS = HINTS | LAYOUT
+#: What stands in such elements weighs so much against a block; in containers with such words so much, and with a word that
+#: only says something about them; a form is as good as a container with such a word.
+CHROME_WEIGHT, NAMED_WEIGHT, TOUCHED_WEIGHT = -6, -6, -1
 NAME_WORD = re.compile(r"[a-z]+")
 OPENS = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([A-Za-z][A-Za-z0-9:-]*))")
 #: Where a tag ends or a quoted value begins.
@@ -78,7 +80,7 @@ class BlockRules:
 class Block:
     __slots__ = ("chrome", "heading", "hint", "linked", "main", "text")
 
-    def __init__(self, text: str, linked: int, chrome: bool, hint: bool, main: bool, heading: bool):
+    def __init__(self, text: str, linked: int, chrome: bool, hint: int, main: bool, heading: bool):
         self.text, self.linked, self.chrome, self.hint, self.main, self.heading = text, linked, chrome, hint, main, heading
 
 
@@ -116,7 +118,7 @@ def blocks_of(page: str) -> list[Block]:
     """The blocks with text, in page order; white space is one space each. A tag that the end of the page cuts off is none."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, in chrome, hinted, in the main part
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, in chrome, weight of the names around, in the main part
     opened: Counter[str] = Counter()
     tags = Tags(page)
     links, at, size = 0, 0, len(page)
@@ -128,7 +130,7 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(x for x, _ in parts)).split())
             if text:
                 linked = len(" ".join(entities.unescape("".join(x for x, link in parts if link)).split()))
-                out.append(Block(text, linked, *(stack[-1][1:] if stack else (False, False, False)), heading))
+                out.append(Block(text, linked, *(stack[-1][1:] if stack else (False, 0, False)), heading))
             parts = []
         heading = False
 
@@ -183,9 +185,9 @@ def blocks_of(page: str) -> list[Block]:
                     pop()
                 if tag in SELF_CLOSING and stack and stack[-1][0] == tag:
                     pop()
-                _, chrome, hint, main = stack[-1] if stack else ("", False, False, False)
+                _, chrome, hint, main = stack[-1] if stack else ("", False, 0, False)
                 chrome = chrome or (tag in CHROME and not (tag == "header" and main))
-                hint = hint or tag == "form" or (tag not in ("html", "body", *MAIN) and hinted(inner))
+                hint = min(hint, NAMED_WEIGHT if tag == "form" else 0 if tag in ("html", "body", *MAIN) else name_weight(inner))
                 main = main or tag in MAIN
                 stack.append((tag, chrome, hint, main))
                 opened[tag] += 1
@@ -196,24 +198,24 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def hinted(attributes: str) -> bool:
-    if not attributes:
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
+def name_weight(attributes: str) -> int:
+    """What the names of a container weigh: the heaviest of its classes, ids and roles."""
+    weight = 0
+    for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         if m[1].lower() == "hidden":
-            return True
+            return NAMED_WEIGHT
         for name in (m[2] or m[3] or m[4] or "").split():
             words = NAME_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
-            if words and words[0] not in SAYS_OF_PAGE and not HINTS.isdisjoint(words) and CONTAINER_WORDS.issuperset(words):
-                return True
-    return False
+            if words and words[0] not in SAYS_OF_PAGE and not HINTS.isdisjoint(words):
+                said = [w for w in words if w not in LAYOUT]
+                weight = min(weight, NAMED_WEIGHT if said[-1] in HINTS or not ANYWHERE.isdisjoint(words) else TOUCHED_WEIGHT)
+    return weight
 
 
 def evidence(b: Block, r: BlockRules, hints: bool = True) -> int:
     """Above 0 speaks for the article, below 0 against it."""
     score = 1 if b.main else 0
-    if b.chrome or (b.hint and hints):
-        score += APART
+    score += min(CHROME_WEIGHT if b.chrome else 0, b.hint if hints else 0)
     if b.linked > r.max_link_density * len(b.text):
         score -= 5
     if len(b.text) >= r.short_chars and not b.heading:
@@ -239,7 +241,7 @@ def labels(blocks: list[Block], r: BlockRules = BlockRules(), marked: bool = Fal
     """
     hints = marked or any(first_pass(b, r) != "bad" for b in blocks)
     kinds = [first_pass(b, r, hints) for b in blocks]
-    apart = [k == "bad" and (b.chrome or (b.hint and hints)) for b, k in zip(blocks, kinds)]
+    apart = [k == "bad" and (b.chrome or (hints and b.hint <= NAMED_WEIGHT)) for b, k in zip(blocks, kinds)]
 
     def nearest(order: range) -> dict[int, tuple[str, int]]:
         seen: tuple[str, int] | None = None

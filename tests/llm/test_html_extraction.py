@@ -1,8 +1,12 @@
+import random
+import re
 import time
+from html.parser import HTMLParser
 
 import pytest
 from tests.llm.plain import SF
 
+from lectern.llm import html_extraction as H
 from lectern.llm.html_extraction import BlockRules, extract_html, main_text, op1_html_extraction
 
 PARAGRAPH = "The people of the town are in the square and they talk about what is to come, as it was said by all of them in the morning."
@@ -35,7 +39,6 @@ def test_edges(spark):
 
 def test_query_gives_the_article_of_every_page(spark):
     import html
-    import re
 
     for r in op1_html_extraction(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
         inner = re.search(r"<article>(.*?)(</article>|$)", r["html"], re.S)[1]
@@ -84,3 +87,154 @@ def test_hostile_pages_are_read_once(part):
 def test_clashing_names(spark):
     pages = spark.createDataFrame([(1, "<p>" + PARAGRAPH, 2, 3)], "page_id long, html string, `a.b` long, c0 long")
     assert extract_html(pages).first().asDict() == {"page_id": 1, "html": "<p>" + PARAGRAPH, "a.b": 2, "c0": 3, "text": PARAGRAPH}
+
+
+UNLISTED = "reader-comments user-comments article-comments post-comments related-posts privacy-notice gdpr-banner newsletter-signup google-ad ad-300x250 story-sidebar cookie-law signup toast alert".split()
+
+
+@pytest.mark.parametrize("name", [*UNLISTED, "storyComments", "site-wide-alert", "very-long-made-up-name-for-an-ad", "page7-comment-thread"])
+def test_names_of_parts_in_no_list(name):
+    """Prose in such containers isn't the article's: beside an article, within one, and where no element says what it is."""
+    other = f'<div class="{name}"><p>{PARAGRAPH * 2}</p><p>Short.</p></div>'
+    own = f"<p>{PARAGRAPH}</p><p>Tail.</p>"
+    for page in (f"{other}<article>{own}</article>{other}", f"<article>{own}{other}</article>", f"<div>{own}</div>{other}", f"{other}<div>{own}</div>"):
+        assert main_text(f"<body>{page}</body>") == f"{PARAGRAPH}\n\nTail."
+
+
+@pytest.mark.parametrize("name", ["social-science", "login-guide", "share-price-analysis", "menu-engineering", "notice-of-meeting"])
+def test_names_that_touch_on_parts_leave_it_to_the_text(name):
+    """The name alone doesn't decide: prose beside prose stays, a list of goods doesn't."""
+    part = f'<div class="{name}"><p>{PARAGRAPH * 2}</p></div>'
+    assert main_text(f"<body><p>{PARAGRAPH}</p>{part}<p>{PARAGRAPH}</p></body>") == f"{PARAGRAPH}\n\n{PARAGRAPH * 2}\n\n{PARAGRAPH}"
+    goods = "Shoes, boots, sandals, socks, laces, polish, brushes, heels, insoles, buckles, straps, gaiters, slippers"
+    assert main_text(f'<body><p>{PARAGRAPH}</p><div class="{name}"><p>{goods}</p></div><p>{PARAGRAPH}</p></body>') == f"{PARAGRAPH}\n\n{PARAGRAPH}"
+
+
+class Plain(HTMLParser):
+    """The rules once more, on well-formed pages: blocks with the elements around them, then sums, then neighbours."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks, self.text, self.linked, self.link, self.off = [], [], "", "", 0, 0
+        self.feed(page)
+        self.close()
+        self.cut()
+
+    def cut(self):
+        text = " ".join(self.text.split())
+        if text:
+            self.blocks.append((text, len(" ".join(self.linked.split())), list(self.open)))
+        self.text = self.linked = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.off += 1
+        elif tag == "a":
+            self.link += 1
+        elif tag in ("div", "p", "section", "article", "nav", "aside", "footer", "ul", "li", "h1", "h2", "form"):
+            self.cut()
+            self.open.append((tag, dict(attrs)))
+        elif tag == "br":
+            self.text += " "
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.off -= 1
+        elif tag == "a":
+            self.link -= 1
+        elif self.open and tag == self.open[-1][0]:
+            self.cut()
+            self.open.pop()
+
+    def handle_data(self, data):
+        if not self.off:
+            self.text += data
+            self.linked += data if self.link else ""
+
+
+def plain_weight(around):
+    worst = 0
+    for tag, attrs in around:
+        if tag == "form" or "hidden" in attrs:
+            worst = min(worst, -6)
+        for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split() if tag != "article" else ():
+            words = re.findall("[a-z]+", name.lower())
+            if words and words[0] not in H.SAYS_OF_PAGE and set(words) & H.HINTS:
+                ends = next(w for w in reversed(words) if w not in H.LAYOUT)
+                worst = min(worst, -6 if ends in H.HINTS or set(words) & H.ANYWHERE else -1)
+    return worst
+
+
+def plain_text(page):
+    blocks = Plain(page).blocks
+    tags = [[t for t, _ in around] for _, _, around in blocks]
+    chrome = [bool({"nav", "aside", "footer"} & set(t)) for t in tags]
+    main = ["article" in t for t in tags]
+    head = [bool(t) and t[-1] in ("h1", "h2") for t in tags]
+
+    def kinds(names):
+        out = []
+        for (text, linked, around), c, m, h in zip(blocks, chrome, main, head):
+            n = m + min(-6 if c else 0, plain_weight(around) if names else 0) - 5 * (linked > 0.33 * len(text))
+            if len(text) >= 70 and not h:
+                words = re.findall(r"[^\W\d_]+", text.lower())
+                share = sum(w in H.STOP_WORDS for w in words) / max(1, len(words))
+                n += (2 if share >= 0.2 else 1 if share >= 0.12 else -2) + (len(text) >= 200 and share >= 0.12)
+            out.append("good" if n >= 2 else "bad" if n <= -2 else "short")
+        return out
+
+    names = any(main) or "<article" in page or any(k != "bad" for k in kinds(True))
+    first = kinds(names)
+    tells = [i for i, k in enumerate(first) if k != "short" and not (k == "bad" and (chrome[i] or (names and plain_weight(blocks[i][2]) <= -6)))]
+    inside, good = any(m and k != "bad" for m, k in zip(main, first)), []
+    for i, k in enumerate(first):
+        if k == "short":
+            before, after = max((j for j in tells if j < i), default=None), min((j for j in tells if j > i), default=None)
+            if inside and not main[i]:
+                k = "bad"
+            elif before is None and after is None:
+                k = "good"
+            elif before is None or after is None:
+                k = first[after if before is None else before]
+            elif i - before != after - i:
+                k = first[before if i - before < after - i else after]
+            elif head[i]:
+                k = first[after]
+            else:
+                k = "good" if (first[before] == first[after] == "good") or (first[before] != first[after] and main[i]) else "bad"
+        good.append(k == "good")
+    return "\n\n".join(b[0] for b, g in zip(blocks, good) if g)
+
+
+def made_page(seed):
+    r = random.Random(seed)
+    goods = "Shoes boots sandals socks laces polish brushes heels insoles buckles straps gaiters slippers "
+    names = ["content", "story", "reader-comments", "social-science", "sidebar", "x", "related-posts", "no-comments", "login-guide", "ad-300x250"]
+
+    def block():
+        text = r.choice([PARAGRAPH, PARAGRAPH * 2, "Well then.", "Prices", goods, goods * 3, "The end of it &amp; all"])
+        kind = r.choice(["p", "p", "p", "li", "h2", "div"])
+        return f"<{kind}>{f'<a href=x>{text}</a>' if r.random() < 0.15 else text}{r.choice(['', '', '<br>more'])}</{kind}>"
+
+    def part(depth):
+        inner = "".join(part(depth - 1) if depth and r.random() < 0.4 else block() for _ in range(r.randint(1, 4)))
+        tag = r.choice(["div", "div", "section", "ul", "nav", "aside", "form", "article"])
+        return f'<{tag} class="{r.choice(names)} {r.choice(names)}">{inner}</{tag}>' if r.random() < 0.6 else f"<{tag}>{inner}</{tag}>"
+
+    return f"<body>{''.join(part(2) for _ in range(r.randint(1, 4)))}<script>no</script></body>"
+
+
+def test_made_pages_against_the_plain_rules():
+    pages = [made_page(i) for i in range(1500)]
+    wrong = [p for p in pages if main_text(p) != plain_text(p)]
+    assert not wrong, (wrong[0], main_text(wrong[0]), plain_text(wrong[0]))
+    # Every feature decides somewhere.
+    for p in (BlockRules(max_link_density=9), BlockRules(stop_low=0, stop_high=0), BlockRules(short_chars=10_000)):
+        assert sum(main_text(x, p) != main_text(x) for x in pages) > 20
+
+
+def test_query_against_the_plain_rules(spark):
+    rows = op1_html_extraction(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
+    closed = [r for r in rows if re.search("</article>", r["html"])]
+    n = sum(r["text"] == plain_text(re.sub(r"<p>((?:(?!</?p>|</article>).)*)(?=<p>)", r"<p>\1</p>", r["html"], flags=re.S)) for r in closed)
+    assert n >= 0.9 * len(closed) > 0, (n, len(closed))
