@@ -6,7 +6,7 @@ form, however far apart, share potentials too: all of them are tied to one node
 name (case, possessive endings and separators of digits don't count, and long names may differ by one letter). What a
 form looks like is evidence about that node, and what stands around a mention is evidence about the mention; so one
 clear mention labels the unclear ones, whose number doesn't matter. Loopy sum-product passes messages over both kinds
-of edges until none of a document's changes by more than RESIDUAL. Documents are independent; the graphs of a batch are
+of edges until none of a document's changes any more. Documents are independent; the graphs of a batch are
 held side by side and passed over together.
 
 All weights are trained here together, on sentences made from templates, by composite likelihood: that of the mentions
@@ -82,17 +82,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 TOKEN = re.compile(r"\S+")
 EDGE = "\"'()[]{}<>,;:!?."
-NAME_CUES = frozenset("mr mrs ms dr prof herr frau monsieur madame señor señora name signed sincerely regards contact attn dear".split())
+NAME_CUES = frozenset("mr mrs ms dr prof herr frau monsieur madame señor señora name names named signed sincerely truly regards contact attn dear i'm heiße m'appelle llamo".split())
 CUES = {
-    **dict.fromkeys(("phone", "tel", "telephone", "call", "mobile", "cell", "fax", "ring", "telefon", "tél", "teléfono"), "phone"),
+    **dict.fromkeys(("phone", "tel", "telephone", "call", "mobile", "cell", "fax", "ring", "reach", "text", "number", "telefon", "tél", "teléfono"), "phone"),
     **dict.fromkeys(("email", "e-mail", "mail", "mailto", "write"), "email"),
     **dict.fromkeys(("card", "visa", "mastercard", "amex", "credit", "cc"), "card"),
     **dict.fromkeys(("ip", "host", "server", "address"), "ip"),
-    **dict.fromkeys(("ssn", "passport", "id", "iban", "account", "licence", "license#", "nif", "insurance"), "id"),
+    **dict.fromkeys(("ssn", "passport", "id", "iban", "account", "licence", "license#", "nif", "nie", "dni", "nhs", "insurance", "reisepass", "passeport", "pasaporte"), "id"),
     **dict.fromkeys(NAME_CUES, "name"),
 }
+#: Words that may stand between a cue and what it introduces.
+LINKS = frozenset("is ist est es was at on to me no nr number nummer".split())
+#: Cues that introduce a name too, where two capitalised words follow.
+ASKS = frozenset(("call", "ring", "text", "reach"))
 #: Forms under which a cue word stands in a text as a whole token.
 CUE_TOKENS = frozenset(x + end for w in CUES for x in (w, w.capitalize(), w.upper()) for end in ("", ".", ":", ",", "#"))
+DATE = re.compile(r"\d{1,2}[/.-]\d{1,2}[/.-]\d{4}|\d{4}-\d{2}-\d{2}")
 AT_WORDS = frozenset(("(at)", "[at]", "{at}", "<at>"))
 DOT_WORDS = frozenset(("(dot)", "[dot]", "{dot}", "<dot>"))
 
@@ -145,6 +150,8 @@ def shape(token: str) -> str:
     if digits:
         if digits == len(bare):
             return "d" + ("1-2" if digits < 3 else "3-4" if digits < 5 else "5-6" if digits < 7 else "7-11" if digits < 12 else "12+")
+        if DATE.fullmatch(bare):
+            return "date"
         if bare.count(".") == 3 and digits >= 4 and digits + 3 == len(bare):
             return "d.d.d.d"
         if all(c.isdigit() or c in "+()-./" for c in bare):
@@ -169,7 +176,8 @@ def features(tokens: list[str], i: int) -> list[str]:
     """Evidence from what stands around a mention. tokens: the whole text's; i: which."""
     get = lambda j: tokens[j] if 0 <= j < len(tokens) else ""
     s = shape(tokens[i])
-    back, back2 = cue(get(i - 1)), cue(get(i - 2))
+    j = i - 2 if form(get(i - 1)).lower() in LINKS and not cue(get(i - 1)) else i - 1
+    back, back2 = cue(get(j)), cue(get(j - 1))
     out = [f"s={s},p={shape(get(i - 1))}", f"s={s},n={shape(get(i + 1))}"]
     if back:
         out += [f"b={back}", f"b={back},s={s}"]
@@ -205,18 +213,25 @@ def made_sentences(n: int, seed: int) -> list[tuple[list[str], list[int]]]:
         hidden = [word(3, 8), rnd.choice(("(at)", "[at]")), word(4, 8), rnd.choice(("(dot)", "[dot]")), rnd.choice(("com", "org"))]
         phone = rnd.choice(([f"{num(3)}-{num(3)}-{num(4)}"], [f"({num(3)})", f"{num(3)}-{num(4)}"], [f"+{num(1, 2)}", f"({num(3)})", f"{num(3)}-{num(4)}"], [num(3), num(3), num(4)], [num(9, 11)]))
         card = rnd.choice(([num(4) for _ in range(4)], [num(16)], ["-".join(num(4) for _ in range(4))]))
-        ident = rnd.choice((f"{word(1, 2).upper()}{num(6, 8)}", num(9)))
+        ident = rnd.choice((f"{word(1, 2).upper()}{num(6, 8)}", num(9), f"{word(2, 2).upper()}{num(14, 22)}"))
+        parts = rnd.choice(([num(3), num(3), num(4)], [f"{word(2, 2).upper()}{num(2)}", *(num(4) for _ in range(rnd.randint(3, 5)))]))
+        date = f"{num(2)}{(sign := rnd.choice('/.-'))}{num(2)}{sign}{num(4)}"
         ip = [".".join(num(1, 3) for _ in range(4))]
         prose = lambda: [(rnd.choice((word(2, 9), word(2, 9), word(2, 9), word(2, 9).capitalize(), word(2, 9).upper(), f"{word(2, 9).upper()}!!", f"{word(2, 9)}.", f"{word(2, 9).capitalize()}.", num(1, 4), num(4), f"{num(1)}.{num(1)}", f"{word(3, 6)}{num(1, 2)}")), 0) for _ in range(rnd.randint(3, 9))]
         says = lambda cues, what, label: [*[(t, 0) for t in rnd.choice(cues).split()], *[(t, LABELS.index(label)) for t in what]]
         again = lambda: [(rnd.choice((t, t, t, t.upper(), f"{t}'s", f"{t},")), LABELS.index("name")) for t in name[: rnd.choice((1, 1, 2))]]
         told = [
-            says(("Mr.", "Dr.", "Contact", "Name:", "Ms", "Dear"), rnd.choice((name, name, name[:1])), "name"), says(("email", "Email:", "mail"), [mail], "email"), says(("email", "write", "write to", "or"), hidden, "email"),
-            says(("phone", "Tel:", "call", "mobile"), phone, "phone"), says(("card", "Visa", "credit"), card, "card"), says(("passport", "ID:", "SSN", "account"), [ident], "id"), says(("host", "IP", "server"), ip, "ip"),
+            says(("Mr.", "Dr.", "Contact", "Name:", "Ms", "Dear", "name is", "named", "Truly,", "Regards,", "I'm"), rnd.choice((name, name, name[:1])), "name"), says(("email", "Email:", "mail"), [mail], "email"), says(("email", "write", "write to", "or"), hidden, "email"),
+            says(("phone", "Tel:", "call", "mobile", "reach me:", "call me at", "number is"), phone, "phone"), says(("card", "Visa", "credit"), card, "card"), says(("passport", "ID:", "SSN", "account", "account number", "passport no.", "IBAN"), [ident], "id"), says(("host", "IP", "server"), ip, "ip"),
             again(), [(mail, LABELS.index("email"))], [(t, LABELS.index("phone")) for t in phone], [(ip[0], LABELS.index("ip"))], [(ident, LABELS.index("id"))],
+            says(("NHS", "IBAN", "Account:", "insurance"), parts, "id"), [(rnd.choice(("born", "on", "since")), 0), (date, 0)], says(("Ring", "Call", "text"), name, "name"),
         ]
         chosen = sorted(rnd.sample(range(len(told)), rnd.randint(2, 6)))
         extra = []
+        if 0 not in chosen and 14 in chosen:
+            chosen = [0, *(i for i in chosen if i != 14)]
+            told[0] = told[14]
+        chosen = [i for i in chosen if i != 14]
         if 0 not in chosen:  # a name is one only where some mention says so; capitals that come again are common
             chosen = [i for i in chosen if i != 7]
             extra = [[(t, 0) for t in name[: rnd.choice((1, 1, 2))]] for _ in range(rnd.choice((1, 1, 2, 4)))]
@@ -304,16 +319,25 @@ def trained(n: int = 700, seed: int = 5, epochs: int = 16) -> Weights:
 
 # ---- Inference ------------------------------------------------------------------------------------------------------
 
-#: Fixed bounds of the field. Tokens on each side of a live one that are nodes too; the change of a message (in nats) at
-#: which a document is done; rounds after which a document that still changes is taken as it is; letters from which on
-#: names may differ by one.
-REACH = 2
-RESIDUAL = 1e-4
-MOST_ROUNDS = 400
-LONG_NAME = 6
-
-
-def nodes_of(tokens: list[str]) -> tuple[list[int], list[str], list[bool]]:
+@dataclass(frozen=True)
+class FieldRules:
+    """Bounds of the field; they decide labels."""
+
+    #: Tokens on each side of a live one that are nodes too.
+    reach: int = 2
+    #: Letters from which on names may differ by one.
+    long_name: int = 6
+    #: The change of a message (in nats) at which a document is done, and rounds after which one that still changes is taken
+    #: as it is.
+    residual: float = 1e-4
+    most_rounds: int = 400
+    #: Characters of an identifier at most.
+    id_chars: int = 34
+    #: What a form that no cue introduces as a name has against being one.
+    never_name: float = -30.0
+
+
+def nodes_of(tokens: list[str], p: FieldRules = FieldRules()) -> tuple[list[int], list[str], list[bool]]:
     """Which tokens of a text the field looks at, the form of each (empty: it is tied to no other), and whether a cue
     introduces that form or one like it somewhere as a name; no other can be one."""
     live, names = set(), set()
@@ -321,14 +345,16 @@ def nodes_of(tokens: list[str]) -> tuple[list[int], list[str], list[bool]]:
         kind = cue(t) if t in CUE_TOKENS else ""
         if kind or "@" in t or any(c.isdigit() for c in t) or t.lower() in AT_WORDS or t.lower() in DOT_WORDS:
             live.add(i)
-            if kind == "name":
-                names.update(kin(x) for x in tokens[i + 1 : i + 3] if shape(x) in ("Cap", "CAPS"))
+            first = i + 2 if i + 1 < len(tokens) and form(tokens[i + 1]).lower() in LINKS else i + 1
+            after = [x for x in tokens[first : first + 2] if shape(x) in ("Cap", "CAPS")]
+            if kind == "name" or (form(t).lower() in ASKS and len(after) == 2):
+                names.update(map(kin, after))
     names.discard("")
     same: dict[str, str] = {}
     if names:
         close: dict[str, set[str]] = {}
         for x in sorted(names):
-            if len(x) >= LONG_NAME and x.isalpha():
+            if len(x) >= p.long_name and x.isalpha():
                 for y in without_one(x):
                     close.setdefault(y, set()).add(x)
         seen: dict[str, str] = {}
@@ -337,24 +363,22 @@ def nodes_of(tokens: list[str]) -> tuple[list[int], list[str], list[bool]]:
                 continue
             x = kin(t)
             if x not in seen:
-                alike = {z for y in without_one(x) for z in close.get(y, ()) if one_edit(x, z)} if close and len(x) >= LONG_NAME and x.isalpha() else set()
+                alike = {z for y in without_one(x) for z in close.get(y, ()) if one_edit(x, z)} if close and len(x) >= p.long_name and x.isalpha() else set()
                 seen[x] = min(alike | ({x} & names), default="")
             if seen[x]:
                 live.add(i)
                 same[x] = seen[x]
-    at = sorted({j for i in live for j in range(max(0, i - REACH), min(len(tokens), i + REACH + 1))})
+    at = sorted({j for i in live for j in range(max(0, i - p.reach), min(len(tokens), i + p.reach + 1))})
     forms = [same.get(x, x) for x in (kin(tokens[i]) for i in at)]
     return at, forms, [x in names for x in forms]
 
 
-NEVER_NAME = np.where(np.array(LABELS) == "name", -30.0, 0.0)
-
-
 class Field:
     """The graphs of many documents, side by side."""
 
-    def __init__(self, weights: Weights):
-        self.weights = weights
+    def __init__(self, weights: Weights, p: FieldRules = FieldRules()):
+        self.weights, self.rules = weights, p
+        self.never_name = np.where(np.array(LABELS) == "name", p.never_name, 0.0)
         self.unary: list[np.ndarray] = []
         self.graph: list[int] = []
         self.edges: list[tuple[int, int, bool]] = []  # from, to, whether it ties a mention to its form
@@ -373,7 +397,7 @@ class Field:
         members: dict[str, list[int]] = {}
         for k, i in enumerate(at):
             own = self._sum(w.around, features(tokens, i))
-            self.unary.append(own if named[k] else own + NEVER_NAME)
+            self.unary.append(own if named[k] else own + self.never_name)
             if k and at[k - 1] == i - 1:
                 self.edges.append((first + k - 1, first + k, False))
             members.setdefault(forms[k] or f"\0{k}", []).append(k)
@@ -404,7 +428,7 @@ class Field:
         message = np.zeros((2 * n, L))
         belief = unary.copy()
         live = np.arange(2 * n)
-        for _ in range(MOST_ROUNDS if n else 0):
+        for _ in range(self.rules.most_rounds if n else 0):
             out = belief[src[live]] - message[back[live]]
             out = np.exp(out - out.max(1, keepdims=True))
             new = np.empty_like(out)
@@ -417,13 +441,13 @@ class Field:
             np.maximum.at(change, graph[dst[live]], np.abs(new - message[live]).max(1))
             np.add.at(belief, dst[live], new - message[live])
             message[live] = new
-            live = live[change[graph[dst[live]]] > RESIDUAL]  # a document's rounds depend on nothing but itself
+            live = live[change[graph[dst[live]]] > self.rules.residual]  # a document's rounds depend on nothing but itself
             if not len(live):
                 break
         return _soft(belief, 1)[1]
 
 
-def plausible(kind: str, piece: str) -> bool:
+def plausible(kind: str, piece: str, p: FieldRules = FieldRules()) -> bool:
     n = len(only_digits(piece))
     if kind == "email":
         return "@" in piece or any(w in piece.lower() for w in AT_WORDS)
@@ -434,11 +458,11 @@ def plausible(kind: str, piece: str) -> bool:
     if kind == "ip":
         return n >= 4 and piece.count(".") == 3
     if kind == "id":
-        return n >= 4 and len(piece) <= 20
+        return n >= 4 and len(piece) <= p.id_chars
     return n == 0 and any(c.isalpha() for c in piece)
 
 
-def stretches(text: str, spans: list[tuple[int, int]], labels: list[int], taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+def stretches(text: str, spans: list[tuple[int, int]], labels: list[int], taken: list[tuple[int, int]], p: FieldRules = FieldRules()) -> Iterator[tuple[str, int, int]]:
     """Tokens in a row with one label, without marks around them. A comma, a line break and a taken span end a stretch; one
     that is no plausible whole is given token by token. spans: of the tokens; labels: 0 for those that aren't looked at."""
 
@@ -463,13 +487,13 @@ def stretches(text: str, spans: list[tuple[int, int]], labels: list[int], taken:
     for run in runs:
         kind = LABELS[labels[run[0]]]
         whole = bare(spans[run[0]][0], spans[run[-1]][1])
-        parts = [whole] if plausible(kind, text[slice(*whole)]) else [bare(*spans[k]) for k in run]
-        yield from ((kind, *x) for x in parts if x[0] < x[1] and plausible(kind, text[slice(*x)]))
+        parts = [whole] if plausible(kind, text[slice(*whole)], p) else [bare(*spans[k]) for k in run]
+        yield from ((kind, *x) for x in parts if x[0] < x[1] and plausible(kind, text[slice(*x)], p))
 
 
-def found_spans(texts: list[str | None], weights: Weights | None = None) -> list[tuple[list, list]]:
+def found_spans(texts: list[str | None], weights: Weights | None = None, p: FieldRules = FieldRules()) -> list[tuple[list, list]]:
     """For each text: base spans, and those that the field adds; none of these overlaps a base one."""
-    field = Field(weights or trained())
+    field = Field(weights or trained(), p)
     base, held = [], []
     for text in texts:
         text = text or ""
@@ -478,7 +502,7 @@ def found_spans(texts: list[str | None], weights: Weights | None = None) -> list
         if re.search(r"[0-9@]", text) or not CUE_TOKENS.isdisjoint(text.split()):
             matches = list(TOKEN.finditer(text))
             tokens = [m[0] for m in matches]
-            at, forms, named = nodes_of(tokens)
+            at, forms, named = nodes_of(tokens, p)
             if at:
                 held[-1] = (field.add(tokens, at, forms, named), at, [m.span() for m in matches])
     labels = field.marginals().argmax(1)
@@ -491,7 +515,7 @@ def found_spans(texts: list[str | None], weights: Weights | None = None) -> list
             for k, i in enumerate(at):
                 said[i] = int(labels[first + k])
             if any(said):
-                added = list(stretches(text, spans, said, sorted((a, b) for _, a, b in own)))
+                added = list(stretches(text, spans, said, sorted((a, b) for _, a, b in own), p))
         out.append((own, added))
     return out
 
@@ -503,12 +527,14 @@ def written(spans: list) -> str:
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def find_pii(docs: DataFrame, text: str = "text", batch_chars: int = 4_000_000) -> DataFrame:
+def find_pii(docs: DataFrame, text: str = "text", batch_chars: int = 4_000_000, p: FieldRules = FieldRules()) -> DataFrame:
     """Each row of docs with: base and added, arrays of (kind, start, end) in code points, end exclusive.
 
     A null or empty text has none. Repeated rows each get the same. Columns of the input with the name of a result are
     replaced; others stay, whatever their names. batch_chars: the texts whose graphs are held together; it doesn't change
-    results.
+    results. p: the field's bounds, which decide labels (FieldRules). Texts are read whole; the longest one's graph bounds a
+    task's memory. Equal spans of two labels don't occur: a token has one, and of labels as likely the first in LABELS.
+    No documents, no rows.
     """
     weights = trained()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -521,7 +547,7 @@ def find_pii(docs: DataFrame, text: str = "text", batch_chars: int = 4_000_000)
             while end < len(texts) and (end == at or size < batch_chars):
                 size += len(texts[end] or "")
                 end += 1
-            found = found_spans(texts[at:end], weights)
+            found = found_spans(texts[at:end], weights, p)
             yield at, end, [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in side] for side in sides], kind) for sides in zip(*found)]
             at = end
 

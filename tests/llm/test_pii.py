@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.llm.plain import EDGES, SF, docs_of
 
-from lectern.llm.pii import LABELS, Field, Weights, base_spans, features, find_pii, found_spans, kin, luhn, made_sentences, one_edit, op4_pii, trained, word_features
+from lectern.llm.pii import LABELS, Field, FieldRules, Weights, base_spans, features, find_pii, found_spans, kin, luhn, made_sentences, one_edit, op4_pii, trained, word_features
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -150,3 +150,49 @@ def test_query_and_edges(spark):
     got = find_pii(docs).collect()
     assert len(got) == len(EDGES) + 1 and sum(len(r["base"]) for r in got) == 1
     assert find_pii(docs.limit(0)).count() == 0
+
+
+#: Written by hand; no template made them. Each with what is in it.
+BY_HAND = [
+    ("Ring Rosalind Franklin tonight. Rosalind knows.", [("name", "Rosalind Franklin"), ("name", "Rosalind")]),
+    ("My name is Omar Haddad.", [("name", "Omar Haddad")]),
+    ("Yours truly, Priya Nair.", [("name", "Priya Nair")]),
+    ("Reach me: 0171 555 0199", [("phone", "0171 555 0199")]),
+    ("IBAN DE89370400440532013000", [("id", "DE89370400440532013000")]),
+    ("born 12/03/1984, NHS 943 476 5919", [("id", "943 476 5919")]),
+    ("Please send it to Mrs. Edith Olusola before Friday, as Edith leaves then.", [("name", "Edith Olusola"), ("name", "Edith")]),
+    ("You can call me at 415-555-2671 after six.", [("phone", "415-555-2671")]),
+    ("His passport no. C01X00T47 was found at the gate.", [("id", "C01X00T47")]),
+    ("Kind regards, Tomasz Wrona", [("name", "Tomasz Wrona")]),
+    ("write to jana.b (at) example (dot) org if you need more", [("email", "jana.b (at) example (dot) org")]),
+    ("Tel: 030 1234567 or fax 030 1234568.", [("phone", "030 1234567"), ("phone", "030 1234568")]),
+    ("The boy, named Hamid Karzan, lives nearby. Later Karzan moved.", [("name", "Hamid Karzan"), ("name", "Karzan")]),
+    ("My number is 0151 23456789 and I answer in the evening.", [("phone", "0151 23456789")]),
+    ("Dr Amina Yusuf signed the form; Yusuf's copy is in the file.", [("name", "Amina Yusuf"), ("name", "Yusuf's")]),
+    ("Pay into account 12345678 by the end of the month.", [("id", "12345678")]),
+    ("Dear Mr Kowalczyk, thank you for the letter.", [("name", "Kowalczyk")]),
+    ("DNI 12345678Z belongs to the tenant.", [("id", "12345678Z")]),
+    ("Herr Jürgen Brandt wohnt dort, und Brandt zahlt.", [("name", "Jürgen Brandt"), ("name", "Brandt")]),
+    ("IBAN GB82 WEST 1234 5698 7654 32 is the one to use", [("id", "GB82 WEST 1234 5698 7654 32")]),
+    ("I'm Sofia Lindqvist and I wrote this.", [("name", "Sofia Lindqvist")]),
+    ("The meeting on 2021-05-17 took 3 hours and 20 minutes.", []), ("Chapter 12 covers 45 cases from 1998 to 2004.", []), ("Version 10.2.3 fixes 14 bugs and adds 2 tests.", []), ("The Old Town Hall stands by the River Main.", []),
+    ("It cost 1,299 in 2019 and 1,450 a year later.", []), ("Contact with water must be avoided at all times.", []), ("He ran 10.5 km in 52 minutes on 12/03/2020.", []), ("The server was down for 5 minutes at 10:45.", []),
+]
+
+
+def test_hand_written_sentences():
+    """Recall and precision of what the field adds, by kind; a span counts if it is the same to the letter."""
+    found = [{(k, t[a:b].strip(",.")) for k, a, b in added} for t, (_, added) in zip([t for t, _ in BY_HAND], found_spans([t for t, _ in BY_HAND]))]
+    want = [set(w) for _, w in BY_HAND]
+    right = {k: (sum(x[0] == k for f, w in zip(found, want) for x in f & w), sum(x[0] == k for w in want for x in w), sum(x[0] == k for f in found for x in f)) for k in ("name", "phone", "id", "email")}
+    print(right, [(t, f, w) for (t, _), f, w in zip(BY_HAND, found, want) if f != w])
+    hits, all_, said = (sum(x) for x in zip(*right.values()))
+    assert hits >= 0.75 * all_ and hits >= 0.85 * said
+    assert not any(f for f, w in zip(found, want) if not w)
+
+
+def test_bounds_of_the_field_are_rules():
+    text = "IBAN DE89370400440532013000 and Dear Marlowe Hastings, then Hastinks."
+    kinds = lambda p: [text[a:b] for _, a, b in found_spans([text], None, p)[0][1]]
+    assert kinds(FieldRules()) == ["DE89370400440532013000", "Marlowe Hastings", "Hastinks"]
+    assert "DE89370400440532013000" not in kinds(FieldRules(id_chars=20)) and "Hastinks" not in kinds(FieldRules(long_name=20))
