@@ -312,15 +312,16 @@ def capped(ranked: DataFrame, group: str | list[str], most: int, order: list[Col
     return ranked.withColumn("_n", F.row_number().over(W.partitionBy(*_listed(group)).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 
-def rerank(ranked: DataFrame, score_pairs: Callable[[DataFrame], DataFrame] | None, head: int = 40) -> DataFrame:
-    """ranked (with pos) in the order of a model for the first head rows; the rest stays behind, as it was. Rows that the
-    model doesn't score come last of the head. No model: nothing changes."""
+def rerank(ranked: DataFrame, score_pairs: Callable[[DataFrame], DataFrame] | None, head: int = 40, by: list[str] | None = None) -> DataFrame:
+    """ranked (with pos) in the order of a model for the first head rows (of each by); the rest stays behind, as it was. Rows
+    that the model doesn't score come last of the head. No model: nothing changes. Without by all rows are one list."""
     if score_pairs is None:
         return ranked
     scored = score_pairs(ranked.where(F.col("pos") < head))
-    order = W.orderBy(F.col("pos") >= head, F.desc(F.when(F.col("pos") < head, F.coalesce("model_score", F.lit(-1e9)))), "pos")
+    order = [F.col("pos") >= head, F.desc(F.when(F.col("pos") < head, F.coalesce("model_score", F.lit(-1e9)))), F.col("pos")]
+    window = W.partitionBy(*by).orderBy(*order) if by else W.orderBy(*order)
     rest = ranked.where(F.col("pos") >= head).withColumn("model_score", F.lit(None).cast("double"))
-    return scored.unionByName(rest).withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
+    return scored.unionByName(rest).withColumn("pos", (F.row_number().over(window) - 1).cast("long"))
 
 
 def recall(

@@ -119,6 +119,17 @@ def highlighted(marks: DataFrame, size: int = 500) -> DataFrame:
     return marks.select("paper_id", "page", F.to_json("rects").alias("rects"), F.substring("text", 1, size).alias("text"))
 
 
+def marks_of(marks: DataFrame, paper_id: int, rects: str = "array<struct<x: double, y: double, w: double, h: double>>") -> DataFrame:
+    """A paper's marks (as highlighted() keeps them, with id and created_at) in reading order, rects read back."""
+    own = marks.where(F.col("paper_id") == paper_id)
+    return own.withColumn("rects", F.from_json("rects", rects)).orderBy("page", "created_at", "id")
+
+
+def marks_without(marks: DataFrame, doomed: DataFrame) -> DataFrame:
+    """marks without those of doomed (id)."""
+    return marks.join(doomed.select("id").distinct(), "id", "left_anti")
+
+
 # ---- Metadata -------------------------------------------------------------------------------------------------------
 
 
@@ -216,6 +227,12 @@ def source_cards(groups: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def paper_contexts(hits: DataFrame, size: int = 12_000) -> DataFrame:
-    """n, text: a paper's hits (n, pos, text) in order, a blank line between, cut."""
+    """n, text: a paper's hits (n, pos, text) in order, a blank line between, cut. Only hits that the cut reaches are put
+    together, and of each no more than the cut."""
+    order = W.partitionBy("n").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    known = hits.select("n", "pos", F.coalesce("text", F.lit("")).alias("text"))
+    before = F.coalesce(F.sum(F.length("text") + 2).over(order) - 2, F.lit(0))
+    near = known.withColumn("before", before).where(F.col("before") < size)
+    near = near.select("n", "pos", F.substring("text", 1, size).alias("text"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda h: h["text"]), "\n\n")
-    return hits.groupBy("n").agg(F.substring(joined, 1, size).alias("text"))
+    return near.groupBy("n").agg(F.substring(joined, 1, size).alias("text"))

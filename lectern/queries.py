@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.functions.vectors import dot, l2_normalise
 from lectern.operators import bibliography, chats, chunking, intake, layout, library, locate, retrieval, upkeep, verify
-from lectern.plans.hybrid import hybrid_search, recalled
+from lectern.plans.hybrid import hybrid_search, recalled, with_context
+from lectern.plans.questions import prepared
 from lectern.sources import library as files
 from lectern.sources import versions
 from lectern.sources.shared import new_folder
@@ -298,9 +299,11 @@ def palette(spark, sf):
     return library.palette(commands, papers(spark, sf).withColumn("year", F.lit(None).cast("int")), "in")
 
 
-@query("SELECT l.doc_id, l.quality FROM labels l WHERE l.doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+@query("SELECT doc_id * 2 AS doc_id, quality FROM labels WHERE doc_id * 2 IN (SELECT doc_id FROM documents)")
 def orphan_cleanup(spark, sf):
-    return library.drop_orphans(read(spark, sf, "labels"), papers(spark, sf).where("lang = 'en'"), "doc_id", "id").select("doc_id", "quality")
+    """What labels say of documents of twice their number; half of these aren't there."""
+    children = read(spark, sf, "labels").select((F.col("doc_id") * 2).alias("doc_id"), "quality")
+    return library.drop_orphans(children, papers(spark, sf), "doc_id", "id").select("doc_id", "quality")
 
 
 @query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -465,10 +468,10 @@ def bibliography_export(spark, sf):
     return bibliography.exported(bibliography.resolved(p, works))
 
 
-@query(rf"WITH {PAPERS}, c AS (SELECT doc_id AS id, '  New  title ' || quality || ' of ' || doc_id AS t FROM labels WHERE toxic = 0) SELECT p.id, coalesce(trim(regexp_replace(c.t, '\s+', ' ', 'g')), p.title) AS title, CASE WHEN c.id IS NULL THEN p.n_chars END AS pvec FROM papers p LEFT JOIN c USING (id)")
+@query(rf"WITH {PAPERS}, c AS (SELECT doc_id AS id, '  New  title ' || quality || ' of ' || doc_id AS t FROM labels) SELECT p.id, coalesce(trim(regexp_replace(c.t, '\s+', ' ', 'g')), p.title) AS title, CASE WHEN c.id IS NULL THEN p.n_chars END AS pvec FROM papers p LEFT JOIN c USING (id)")
 def renamed_papers(spark, sf):
     """The number of characters stands for a paper's vector; labels for what users say."""
-    said = read(spark, sf, "labels").where("toxic = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("  New  title "), "quality", F.lit(" of "), "doc_id").alias("title"))
+    said = read(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("  New  title "), "quality", F.lit(" of "), "doc_id").alias("title"))
     return upkeep.renamed(papers(spark, sf).select("id", "title", F.col("n_chars").alias("pvec")), said)
 
 
@@ -483,11 +486,12 @@ def category_slugs(spark, sf):
     return papers(spark, sf).select("id", upkeep.category_slug(F.col("title")).alias("slug"))
 
 
-@query("WITH c AS (SELECT DISTINCT source AS category FROM documents UNION SELECT 'nothing here'), n AS (SELECT source AS category, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY 1) SELECT category, coalesce(n, 0) AS n, n IS NULL AS ok FROM c LEFT JOIN n USING (category)")
+@query("WITH c AS (SELECT DISTINCT source AS category FROM documents UNION SELECT DISTINCT 'q' || quality FROM labels), n AS (SELECT source AS category, count(*) AS n FROM documents GROUP BY 1) SELECT category, coalesce(n, 0) AS n, n IS NULL AS ok FROM c LEFT JOIN n USING (category)")
 def deletable_categories(spark, sf):
+    """Labels name categories that no paper is in."""
     p = papers(spark, sf)
-    named = p.select("category").unionByName(spark.range(1).select(F.lit("nothing here").alias("category")))
-    return upkeep.deletable(named, p.where("lang = 'en'"))
+    named = p.select("category").unionByName(read(spark, sf, "labels").select(F.concat(F.lit("q"), F.col("quality").cast("string")).alias("category")))
+    return upkeep.deletable(named, p)
 
 
 @query("SELECT d.doc_id AS id, n IS NOT NULL AS indexed, coalesce(n, 0)::BIGINT AS n_pages FROM documents d LEFT JOIN (SELECT conv_id, max(turn) AS n FROM conversations GROUP BY 1) ON conv_id = d.doc_id")
@@ -817,3 +821,42 @@ def jump_places(spark, sf):
     words = F.when(n % 3 != 2, F.array(F.lit("the"), F.lit("ound"), F.lit("Keit")))
     asks = d.select(n.alias("ask_id"), n, F.lit(5).alias("page"), snippet.alias("snippet"), words.alias("words"))
     return locate.jumps(d.select(n, F.lit(1).alias("page"), "text"), asks).select("ask_id", "how", "start")
+
+
+# ---- Whole searches ---------------------------------------------------------------------------------------------------
+
+
+@query(rf"""WITH c AS (SELECT conv_id * 100 + turn AS query_id, trim(substr(text, 1, 80), ' ') AS q, turn, conv_id, 'word' || conv_id AS w FROM conversations),
+o AS (SELECT *, list_distinct(list_concat(list_transform(regexp_extract_all(q, '["“”]([^"“”]{{2,40}})["“”]', 1), lambda x: trim(x)), regexp_extract_all(q, '[A-Za-z][A-Za-z0-9-]{{2,}}'))) AS un FROM c),
+k AS (SELECT query_id, string_agg(x, chr(1) ORDER BY i) AS own FROM (SELECT query_id, x, min(i) AS i FROM (SELECT query_id, unnest(list_concat(list_transform(regexp_extract_all(q, '["“”]([^"“”]{{2,40}})["“”]', 1), lambda x: trim(x)), regexp_extract_all(q, '[A-Za-z][A-Za-z0-9-]{{2,}}'))) AS x, unnest(range(0, len(list_concat(regexp_extract_all(q, '["“”]([^"“”]{{2,40}})["“”]', 1), regexp_extract_all(q, '[A-Za-z][A-Za-z0-9-]{{2,}}'))))) AS i FROM c) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(i)) <= 8) GROUP BY 1),
+r AS (SELECT c.*, coalesce(string_split(own, chr(1)), []) AS own, turn % 3 = 0 AS said, CASE WHEN regexp_matches(q, '["“”][^"“”]{{2,}}["“”]') OR regexp_matches(q, '\b[A-Z]{{2,}}\b') OR regexp_matches(q, '\d+(\.\d+)+') OR regexp_matches(q, '\b\d+[kKmM]?[VAWHz]\b') OR conv_id % 5 = 0 THEN 'exact' ELSE 'semantic' END AS rule FROM c LEFT JOIN k USING (query_id)),
+t AS (SELECT *, list_slice(CASE WHEN said THEN list_concat(['two words', w], list_filter(own, lambda x: x <> w)) ELSE own END, 1, 8) AS terms FROM r)
+SELECT query_id, CASE WHEN said THEN 'about ' || conv_id ELSE q END AS query, CASE WHEN said THEN '"two words"' || CASE WHEN len(terms) > 1 THEN ' OR ' || array_to_string(list_slice(terms, 2, 8), ' OR ') ELSE '' END WHEN len(terms) = 0 THEN q ELSE array_to_string(terms, ' OR ') END AS fts, CASE WHEN said THEN 'exact' ELSE rule END AS intent FROM t""")
+def prepared_questions(spark, sf):
+    """First characters of messages as questions; a model answers every third, in a sentence around its JSON; to others it
+    says something that isn't JSON."""
+    c, n = read(spark, sf, "conversations"), F.col("conv_id")
+    asked = c.select((n * 100 + F.col("turn")).alias("query_id"), F.substring("text", 1, 80).alias("q"))
+    good = F.concat(F.lit('Sure: {"query": " about '), n.cast("string"), F.lit(' ", "intent": "exact", "keywords": ["two  words", "x", "word'), n.cast("string"), F.lit('"]} as asked'))
+    replies = c.select((n * 100 + F.col("turn")).alias("query_id"), F.when(F.col("turn") % 3 == 0, good).otherwise("I {can't").alias("reply"))
+    hits = c.where("conv_id % 5 = 0").select((n * 100 + F.col("turn")).alias("query_id"))
+    return prepared(asked, replies, hits).select("query_id", "query", "fts", "intent")
+
+
+@query(f"""WITH {LISTS}, {FUSED.format(w0='1.0', w1='1.0')},
+g AS (SELECT f.*, lang, source FROM (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, id) <= 240) f JOIN documents d ON d.doc_id = f.id),
+b AS (SELECT *, round(score + 0.08 * sum(score) OVER (PARTITION BY query_id, lang, source), 9) AS boosted FROM g),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, seen, id) - 1 AS pos FROM b),
+m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos >= 40, CASE WHEN pos < 40 THEN -((id * 7919) % 101) ELSE 0 END, pos) AS np FROM p),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY np) AS k FROM m), h AS (SELECT * FROM c WHERE k <= 4 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY np) <= 10),
+x AS (SELECT doc_id AS id, text, lag(text) OVER s AS b, lead(text) OVER s AS a, lag(doc_id) OVER s = doc_id - 1 AS hb, lead(doc_id) OVER s = doc_id + 1 AS ha FROM documents WINDOW s AS (PARTITION BY doc_id // 10, lang ORDER BY doc_id)),
+y AS (SELECT *, CASE WHEN hb AND length(b) + length(text) + 1 <= 4500 THEN length(b) + length(text) + 1 ELSE length(text) END AS c1 FROM x)
+SELECT query_id, h.id, round(boosted, 6) AS score, (CASE WHEN ha AND c1 + length(a) + 1 <= 4500 THEN c1 + length(a) + 1 ELSE c1 END)::INTEGER AS size FROM h JOIN y ON y.id = h.id""")
+def whole_search(spark, sf):
+    """Hybrid search whose first hits a model puts in order, with the texts around each hit. Ten documents in a row are a
+    paper here, its languages are sections, and the model is a made-up function of a document's number."""
+    model = lambda rows: rows.withColumn("model_score", ((F.col("id") * 7919) % 101).cast("double"))
+    p = papers(spark, sf)
+    hits = hybrid_search(chunks(spark, sf), p, _questions(spark, sf), ["lang", "category"], "lang", score_pairs=model)
+    texts = p.select("id", F.floor(F.col("id") / 10).alias("paper_id"), F.col("lang").alias("section"), F.col("id").alias("ord"), "text")
+    return with_context(hits, texts).select("query_id", "id", "score", F.length("context").alias("size"))

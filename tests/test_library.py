@@ -178,3 +178,22 @@ def test_words_for_places(spark):
     assert df.select(X.locate_words(F.col("t"))).first()[0] == ["igbt+", "losses", "热设", "设计"]
     assert df.select(X.merged_keywords(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c")))).first()[0] == ["a", "b", "c"]
     assert df.select(upkeep.with_category(F.lit("t"), F.lit("inbox"))).first()[0] == "【unsorted】t"
+
+
+def test_marks(spark):
+    marks = spark.createDataFrame([(1, 7, 2, [(0.1, 0.2, 0.3, 0.4)], "x" * 600, 2), (2, 7, 1, [], "b", 3), (3, 8, 1, [], "c", 1), (4, 7, 2, [], None, 1)], "id long, paper_id long, page int, rects array<struct<x: double, y: double, w: double, h: double>>, text string, created_at int")
+    kept = upkeep.highlighted(marks.select("paper_id", "page", "rects", "text", "id", "created_at"))
+    assert max(len(r["text"] or "") for r in kept.collect()) == 500
+    stored = marks.withColumn("rects", F.to_json("rects"))
+    got = upkeep.marks_of(stored, 7).collect()
+    assert [r["id"] for r in got] == [2, 4, 1] and tuple(got[2]["rects"][0]) == (0.1, 0.2, 0.3, 0.4)
+    assert sorted(r["id"] for r in upkeep.marks_without(stored, spark.createDataFrame([(2,), (2,), (9,)], "id long")).collect()) == [1, 3, 4]
+
+
+def test_contexts_and_cards(spark):
+    hits = spark.createDataFrame([(1, 0, "a" * 30), (1, 1, None), (1, 2, "b" * 9), (1, 3, "c" * 50), (2, 0, "d")], "n int, pos int, text string")
+    for size in (5, 30, 33, 36, 40, 45, 200):
+        whole = "\n\n".join(["a" * 30, "", "b" * 9, "c" * 50])
+        assert {r["n"]: r["text"] for r in upkeep.paper_contexts(hits, size).collect()} == {1: whole[:size], 2: "d"}
+    papers = spark.createDataFrame([(5, "s", "T", "", None, None)], "id long, slug string, title string, venue string, authors string, year int")
+    assert [tuple(r) for r in upkeep.source_cards(spark.createDataFrame([(1, 5), (2, 6)], "n int, paper_id long"), papers).collect()] == [(1, "s", "T", 1, None, None, None)]

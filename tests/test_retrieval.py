@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 from lectern.operators import numbering, retrieval
+from lectern.plans.hybrid import with_context
+from lectern.plans.questions import prepared
 from lectern.sources.shared import materialise, scratch
 
 R = random.Random(1)
@@ -118,3 +120,31 @@ def test_scratch(spark, tmp_path):
         folder = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
         assert df.count() == 5 and os.path.isdir(folder)
     assert not os.path.exists(folder)
+
+
+def test_rerank_by_question(spark):
+    ranked = spark.createDataFrame([(q, i, i) for q in (1, 2) for i in range(5)], "query_id long, id long, pos long")
+    model = lambda rows: rows.withColumn("model_score", (rows["id"] * (3 - 2 * rows["query_id"])).cast("double"))
+    got = {}
+    for r in retrieval.rerank(ranked, model, 3, ["query_id"]).orderBy("query_id", "pos").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert got == {1: [2, 1, 0, 3, 4], 2: [0, 1, 2, 3, 4]}
+    assert retrieval.rerank(ranked, None) is ranked
+
+
+def test_prepared_questions(spark):
+    asked = [(1, 'What is "gate drive" of the IGBT?'), (2, "x"), (3, None), (4, "how is it?"), (5, "plain question"), (6, "broken"), (7, "???")]
+    replies = [(1, '{"query": "", "intent": "maybe", "keywords": ["gate drive", 5, "a", "insulated gate"]}'), (4, 'Well: {"query": "how is the load?", "intent": "exact", "keywords": ["load", "load"]}'), (5, '{"keywords": null}'), (6, '{"query": "q"'), (2, '{"query": "never"}')]
+    got = {r["query_id"]: tuple(r)[1:] for r in prepared(spark.createDataFrame(asked, "query_id long, q string"), spark.createDataFrame(replies, "query_id long, reply string"), spark.createDataFrame([(5,), (5,)], "query_id long")).collect()}
+    assert got[1][0] == asked[0][1] and got[1][3] == "exact" and got[1][1][0] == "gate drive" and "insulated gate" in got[1][1] and "IGBT" in got[1][1]
+    assert got[2] == ("x", [], "x", "semantic") and got[3] == ("", [], "", "semantic") and got[7] == ("???", [], "???", "semantic")
+    assert got[4] == ("how is the load?", ["load", "how"], "load OR how", "exact")
+    assert got[5] == ("plain question", ["plain", "question"], "plain OR question", "exact") and got[6] == ("broken", ["broken"], "broken", "semantic")
+    assert prepared(spark.createDataFrame([], "query_id long, q string")).count() == 0
+
+
+def test_context_of_hits(spark):
+    texts = spark.createDataFrame([(i, i // 4, "a" if i % 4 < 3 else "b", i, f"t{i}") for i in range(8)], "id long, paper_id long, section string, ord long, text string")
+    hits = spark.createDataFrame([(1, 1), (1, 3), (2, 6), (2, 99)], "query_id long, id long")
+    got = {(r["query_id"], r["id"]): r["context"] for r in with_context(hits, texts).collect()}
+    assert got == {(1, 1): "t0\nt1\nt2", (1, 3): "t3", (2, 6): "t5\nt6", (2, 99): None}

@@ -129,6 +129,10 @@ def test_resolution(spark):
     assert [(got[i]["source"], got[i]["type"]) for i in (1, 2, 3, 4)] == [("official", "article"), ("local", "misc"), ("local", "inproceedings"), ("web", "inproceedings")]
     assert got[2]["warnings"] == ["no-authors", "no-venue", "no-year", "unverified"] and got[1]["names"] == ["title", "author", "year", "journal"]
     assert got[4]["fields"] == {"author": B.latex_escape(B.fold_unicode("E Fé")), "title": "Thermal Design \\& Co", "booktitle": "K Workshop", "year": "2019"}
+    # Official fields are in ASCII, others than the known ones go; a page's address stands for a doi that is missing.
+    web = works.where("id = 4").withColumn("landing", F.lit("http://l/4")).unionByName(works.where("id = 1 AND ordinal = 0").withColumn("bibtex", F.lit("@article{z, title={Deep Learning of Things}, author={Müller–B, A}, year={2020}, publisher={É}, month={5}}")).withColumn("landing", F.lit("http://l/1")))
+    more = {r["id"]: r for r in B.resolved(papers, web).collect()}
+    assert more[1]["fields"] == {"title": "Deep Learning of Things", "author": "M\\'{u}ller--B, A", "year": "2020", "publisher": "\\'{E}"} and more[4]["fields"]["url"] == "http://l/4" and "url" not in more[2]["fields"]
     out = B.exported(B.resolved(papers, works)).collect()
     assert all(r["ok"] for r in out) and len({r["key"] for r in out}) == 4
     assert B.source_counts(B.resolved(papers, works)).first().asDict() == {"official": 1, "web": 1, "local": 2}
