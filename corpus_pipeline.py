@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A
 stage's result is written and read again before the next one starts, so a lost executor costs one stage at most.
+
+In all stages a null text is an empty one, nulls in other columns are values like others, columns beside those of
+documents stay whatever their names, and an empty table gives an empty one. Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise, table
+from lectern.llm.common import materialise, table, unpacked
 from lectern.llm.decontamination import find_contamination
 from lectern.llm.mixing import mix_sources
 from lectern.llm.near_dedup import near_duplicates
@@ -26,33 +29,36 @@ def _with_text(docs: DataFrame, changed: DataFrame, text) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that fail a rule are taken out; documents that are rejected go."""
+    """Lines that fail a rule are taken out; documents that are rejected go, those without words among them. Repeated rows are
+    judged each by itself."""
     judged = quality_rules(docs).where("kept")
     return _with_text(docs, judged, F.when(F.size("line_faults") > 0, F.col("cleaned_text")).otherwise(F.col("text")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least doc_id. Of equal rows one stays."""
+    """One document of each group stays: the one with the least doc_id. Of rows with equal doc_id and text one stays; where
+    their other columns differ, the one that is first when they are written as JSON."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     first = near_duplicates(docs).where("is_first")
     once, again = first.where("n_equal = 1").select(*own), first.where("n_equal > 1").select(*own)
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    one = again.groupBy("doc_id", "text").agg(F.min_by(F.struct(*own), F.to_json(F.struct(*own))).alias("_row"))
+    return once.unionByName(unpacked(one, docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go, repeated rows together; those without words stay."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     return find_contamination(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*own)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; all documents stay."""
+    """Secrets are replaced by a mark; all documents stay, repeated rows too."""
     found = secret_scans(docs)
     return _with_text(docs, found, redacted(F.col("text"), F.col("all_spans")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' uses in the mixture, with their places."""
+    """The documents' uses in the mixture, with their places. Documents without words have none; ties in places go by doc_id."""
     return mix_sources(docs)
 
 
@@ -64,7 +70,8 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: Near-duplicates by similarity and components can't be put in SQL; tests/llm holds the stages against plain versions.
+#: Near-duplicates by similarity and components can't be put in SQL. tests/llm holds each stage's operator against a plain
+#: version or SQL, and the stages one after the other against what they may change.
 ORACLE_SQL = None
 
 
