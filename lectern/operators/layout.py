@@ -93,6 +93,26 @@ def page_lines(runs: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", (F.col("at") + 1).alias("line"), "s.text", "s.x0", "s.col", "page_w")
 
 
+# Where a page's margins are.
+MARGIN_LEFT, MARGIN_RIGHT = 0.03, 0.965
+
+
+def without_margin_junk(runs: DataFrame) -> DataFrame:
+    """runs without the blanks and line numbers (up to four digits) that begin in a page's outer margins. Runs of a page
+    without a width stay."""
+    bare = F.trim(F.regexp_replace(F.coalesce("str", F.lit("")), r"\s+", " "))
+    place = F.col("x") / F.nullif(F.col("page_w"), F.lit(0.0))
+    junk = ((bare == "") | bare.rlike(r"^\d{1,4}$")) & ((place < MARGIN_LEFT) | (place > MARGIN_RIGHT))
+    return runs.where(~F.coalesce(junk, F.lit(False)))
+
+
+def prompt_text(runs: DataFrame) -> DataFrame:
+    """doc_id, page, text of runs (with eol): a page's runs as they come, a line end where one says so, no blanks before it."""
+    piece = F.concat(F.coalesce("str", F.lit("")), F.when(F.coalesce("eol", F.lit(False)), "\n").otherwise(""))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", piece.alias("t")))), lambda r: r["t"]), "")
+    return runs.groupBy("doc_id", "page").agg(F.regexp_replace(joined, "[ \t]+\n", "\n").alias("text"))
+
+
 # ---- Reference lists ------------------------------------------------------------------------------------------------
 
 

@@ -128,3 +128,10 @@ def ranked_urls(candidates: DataFrame, most: int = 5) -> DataFrame:
 def extended_schema(df: DataFrame, defaults: dict[str, tuple[str, object]]) -> DataFrame:
     """df with the columns that it lacks, at their defaults: name -> (type, value)."""
     return df.select("*", *[F.lit(v).cast(t).alias(c) for c, (t, v) in defaults.items() if c not in df.columns])
+
+
+def category_names(papers: DataFrame, more: DataFrame) -> DataFrame:
+    """category: the names that papers or more (category) have, each once, in the order of a reader's language; empty and
+    null ones aren't names."""
+    named = papers.select("category").unionByName(more.select("category")).where("category <> ''").distinct()
+    return named.orderBy(F.collate("category", "UNICODE"))

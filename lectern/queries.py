@@ -860,3 +860,21 @@ def whole_search(spark, sf):
     hits = hybrid_search(chunks(spark, sf), p, _questions(spark, sf), ["lang", "category"], "lang", score_pairs=model)
     texts = p.select("id", F.floor(F.col("id") / 10).alias("paper_id"), F.col("lang").alias("section"), F.col("id").alias("ord"), "text")
     return with_context(hits, texts).select("query_id", "id", "score", F.length("context").alias("size"))
+
+
+@query("SELECT DISTINCT category FROM (SELECT source AS category FROM documents UNION ALL SELECT 'q' || quality FROM labels) WHERE category <> ''")
+def category_names(spark, sf):
+    return library.category_names(papers(spark, sf), read(spark, sf, "labels").select(F.concat(F.lit("q"), F.col("quality").cast("string")).alias("category")))
+
+
+@query(rf"WITH {_RUNS} SELECT doc_id, page, regexp_replace(string_agg(str || '  ' || CASE WHEN eol THEN chr(10) ELSE '' END, '' ORDER BY ord), '[ \t]+\n', chr(10), 'g') AS text FROM runs GROUP BY 1, 2")
+def page_prompts(spark, sf):
+    return layout.prompt_text(_runs(spark, sf).withColumn("str", F.concat("str", F.lit("  "))))
+
+
+@query(rf"WITH {_RUNS}, m AS (SELECT *, CASE WHEN ord % 5 = 0 THEN 10.0 WHEN ord % 5 = 1 THEN 590.0 ELSE x END AS px, CASE WHEN ord % 3 = 0 THEN (ord % 20000)::VARCHAR WHEN ord % 3 = 1 THEN ' ' ELSE str END AS s FROM runs) SELECT doc_id, page, count(*) AS n FROM m WHERE NOT ((trim(s) = '' OR regexp_matches(trim(s), '^\d{{1,4}}$')) AND (px < 18 OR px > 579)) GROUP BY 1, 2")
+def runs_without_margins(spark, sf):
+    """Of five runs two stand in the margins, of three one is a number and one blank."""
+    n = F.col("ord")
+    moved = _runs(spark, sf).withColumn("x", F.when(n % 5 == 0, 10.0).when(n % 5 == 1, 590.0).otherwise(F.col("x"))).withColumn("str", F.when(n % 3 == 0, (n % 20000).cast("string")).when(n % 3 == 1, " ").otherwise(F.col("str")))
+    return layout.without_margin_junk(moved).groupBy("doc_id", "page").agg(F.count("*").alias("n"))

@@ -274,3 +274,11 @@ def test_row_rects(spark):
             top = min(b[1] for b in boxes)
             want[p] = [tuple(round(v, 9) for v in b) for b in boxes], round(top, 9), round(max(b[1] + b[3] for b in boxes) - top, 9)
     assert got == want
+
+
+def test_margins_and_prompts(spark):
+    at = [("12", 5.0), ("12", 300.0), ("12345", 5.0), (" ", 590.0), (None, 1.0), ("word", 5.0), ("1234", 580.0), ("1234", 579.0)]
+    rows = [(1, 1, i, t, x, 1.0, 1.0, 1.0, 600.0, 800.0, i == 3) for i, (t, x) in enumerate(at)] + [(2, 1, 0, "7", 1.0, 1.0, 1.0, 1.0, None, None, None)]
+    df = spark.createDataFrame(rows, RUNS)
+    assert sorted((r["doc_id"], r["ord"]) for r in L.without_margin_junk(df).collect()) == [(1, 1), (1, 2), (1, 5), (1, 7), (2, 0)]
+    assert {r["doc_id"]: r["text"] for r in L.prompt_text(df).collect()} == {1: "121212345\nword12341234", 2: "7"}

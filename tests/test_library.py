@@ -197,3 +197,8 @@ def test_contexts_and_cards(spark):
         assert {r["n"]: r["text"] for r in upkeep.paper_contexts(hits, size).collect()} == {1: whole[:size], 2: "d"}
     papers = spark.createDataFrame([(5, "s", "T", "", None, None)], "id long, slug string, title string, venue string, authors string, year int")
     assert [tuple(r) for r in upkeep.source_cards(spark.createDataFrame([(1, 5), (2, 6)], "n int, paper_id long"), papers).collect()] == [(1, "s", "T", 1, None, None, None)]
+
+
+def test_category_names(spark):
+    of = lambda *names: spark.createDataFrame([(n,) for n in names], "category string")
+    assert [r["category"] for r in library.category_names(of("b", "Z", "a", "a", None), of("Ä", "A", "", "b")).collect()] == ["a", "A", "Ä", "b", "Z"]
