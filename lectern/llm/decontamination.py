@@ -135,7 +135,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
     A null text has no words, and so is clean; an item without words never occurs. Items with equal ids count as one.
     Repeated rows each get the same. Columns of docs with the name of a result are replaced; others stay, whatever their
-    names.
+    names. Texts are looked through whole; the longest bounds a task's memory. A word inside several windows is hit once, an
+    item found several times is listed once. No documents, no rows; no items, nobody is contaminated.
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", F.col("text").alias("item_text")).where("item_text IS NOT NULL").distinct()

@@ -279,7 +279,8 @@ def extract_html(pages: DataFrame, r: BlockRules = BlockRules(), html: str = "ht
 
     Null, empty and text-free pages give an empty text; a page cut off anywhere gives what it has. Repeated rows stay. A
     block as far from a good one as from a bad one is good inside the marked article and bad elsewhere; a heading goes with
-    what follows. A column of the input named text is replaced; others stay, whatever their names.
+    what follows. A column of the input named text is replaced; others stay, whatever their names. Pages are read whole and
+    once, in time in line with their length; the longest bounds a task's memory. No pages, no rows.
     """
 
     def work(column: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:

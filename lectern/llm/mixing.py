@@ -75,7 +75,7 @@ def mix_sources(docs: DataFrame, p: MixRules = MixRules(), text: str = "text", k
     Tokens are words `[^\\x20\\x09-\\x0D]+`. A document without any is never used; a null source is a source like another.
     Equal rows are documents like others; of those with equal keys the order is by tokens. An empty table gives none.
     Columns of docs other than key, source and text are left out, whatever their names.
-    The sums of a source's uses never exceed its budget.
+    The sums of a source's uses never exceed its budget. Texts are only counted, whole, however long.
     """
     words = F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit("[^ \\t-\\r]+")).cast("long")
     docs = materialise(docs.select(F.col(f"`{key}`").alias("id"), "source", words.alias("n_tokens")).where("n_tokens > 0"))

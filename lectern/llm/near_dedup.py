@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, p: NearRules = NearRules(), text: str = "te
 
     A document without words is a group by itself. Null keys come after others; rows with equal texts are copies of each
     other, and equal rows are all first or none. Columns of docs with the name of a result are replaced; others stay,
-    whatever their names.
+    whatever their names. Texts are compared whole; the longest two bound a task's memory. No documents, no rows.
     """
     own = others(docs, "class_id", "class_size", "n_links", "is_first", "n_equal")
     sketches = materialise(signed(docs, p, text, key))

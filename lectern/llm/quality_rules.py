@@ -91,7 +91,9 @@ def quality_rules(docs: DataFrame, p: QualityRules = QualityRules(), text: str =
     n_repeat_words, base_failed, total_chars, lost_chars, line_faults (rule of each failing line), cleaned_text, kept.
 
     A null, empty or blank text has no words, so base_failed is true and kept false; its cleaned_text is empty. Columns
-    of the input with the name of a result are replaced. Repeated rows are judged each by itself.
+    of the input with the name of a result are replaced. Repeated rows are judged each by itself. A text is judged within its
+    row, whole, in time n log n of its words, so the longest bounds a task's memory. Of rules that a line fails the first
+    counts. No documents, no rows.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "total_chars", "lost_chars", "line_faults", "cleaned_text", "kept"]
     df = docs.select(packed(docs, others(docs, *new)), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))

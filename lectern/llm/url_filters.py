@@ -59,7 +59,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
     rules: verdict, host, path. Of two equal rules a block holds; of two rules as long, the one with the longer host.
     A null url has an empty host and path, which no rule fits. Repeated rows stay. No rules: every url gets the default.
-    Columns of pages with the name of a result are replaced; others stay, whatever their names.
+    Columns of pages with the name of a result are replaced; others stay, whatever their names. Urls are compared whole,
+    however long. No pages, no rows.
     """
     spark = pages.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
