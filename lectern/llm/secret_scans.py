@@ -103,7 +103,7 @@ def secret_scans(docs: DataFrame, p: LinkRules = LinkRules(), text: str = "text"
 
     A null text has no spans. Repeated rows each get the same spans; a null key is a key like another. Columns of the
     input with the name of a result are replaced; others stay, whatever their names. Texts are searched whole, within their
-    rows; spans that begin together come by kind, and of parts as near the earlier is linked. No documents, no rows.
+    rows; spans that begin together come by kind. No documents, no rows.
     """
     own = others(docs, "base", "all_spans")
     id_, text_ = F.col(f"`{key}`"), F.col(f"`{text}`")
