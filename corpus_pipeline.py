@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise, packed, table, unpacked
+from lectern.llm.common import materialise, others, packed, table
 from lectern.llm.decontamination import find_contamination
 from lectern.llm.mixing import mix_sources
 from lectern.llm.near_dedup import near_duplicates
@@ -20,27 +20,31 @@ from lectern.llm.quality_rules import quality_rules
 from lectern.llm.secret_scans import redacted, secret_scans
 
 
-#: The whole row of a document while an operator is at work, so that no name of its columns meets a result's.
+#: The other columns of a document while an operator is at work, so that no name of theirs meets a result's.
 ROW = "_document"
 
 
 def _apart(docs: DataFrame, *needed: str) -> DataFrame:
-    return docs.select(*needed, packed(docs, docs.columns, ROW))
+    return docs.select(*needed, packed(docs, others(docs, *needed), ROW))
 
 
-def _with_text(docs: DataFrame, changed: DataFrame, text) -> DataFrame:
+def _together(docs: DataFrame, changed: DataFrame, *needed: str, **new) -> DataFrame:
+    """The columns of docs out of what _apart() has made of them, some of them new."""
+    own = lambda c: new[c] if c in new else F.col(c) if c in needed else F.col(ROW).getField(c)
+    return changed.select(*[own(c).alias(c) for c in docs.columns])
+
+
+def _with_text(docs: DataFrame, changed: DataFrame, text, *needed: str) -> DataFrame:
     """The columns of docs, with another text; n_chars follows it."""
-    new = {"text": text}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return changed.select(*[(new[c] if c in new else F.col(ROW).getField(c)).alias(c) for c in docs.columns])
+    size = {"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return _together(docs, changed, *needed, text=text, **size)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail a rule are taken out; documents that are rejected go, those without words among them. Repeated rows are
     judged each by itself."""
     judged = quality_rules(_apart(docs, "text")).where("kept")
-    return _with_text(docs, judged, F.when(F.size("line_faults") > 0, F.col("cleaned_text")).otherwise(F.col("text")))
+    return _with_text(docs, judged, F.when(F.size("line_faults") > 0, F.col("cleaned_text")).otherwise(F.col("text")), "text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,19 +52,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their other columns differ, the one that is first when they are written as JSON."""
     first = near_duplicates(_apart(docs, "doc_id", "text")).where("is_first")
     one = first.where("n_equal > 1").groupBy("doc_id", "text").agg(F.min_by(ROW, F.to_json(ROW)).alias(ROW))
-    return unpacked(first.where("n_equal = 1").select(ROW).unionByName(one.select(ROW)), docs.columns, name=ROW)
+    return _together(docs, first.where("n_equal = 1").select("doc_id", "text", ROW).unionByName(one), "doc_id", "text")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go, repeated rows together; those without words stay."""
     found = find_contamination(_apart(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return unpacked(found.where("NOT contaminated"), docs.columns, name=ROW)
+    return _together(docs, found.where("NOT contaminated"), "doc_id", "text")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; all documents stay, repeated rows too."""
     found = secret_scans(_apart(docs, "doc_id", "text"))
-    return _with_text(docs, found, redacted(F.col("text"), F.col("all_spans")))
+    return _with_text(docs, found, redacted(F.col("text"), F.col("all_spans")), "doc_id", "text")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
