@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,19 +90,20 @@ def clear_old(spark: SparkSession, root: str, keep: int = 1) -> int:
     return len(gone)
 
 
-def memoised(spark: SparkSession, root: str, listing: DataFrame, derive: Callable[[DataFrame], DataFrame], name: str = "derived") -> DataFrame:
-    """The derived rows of files (listing: path, mtime and what derive needs), where only new and changed files are derived.
+def memoised(spark: SparkSession, root: str, listing: DataFrame, derive: Callable[[DataFrame], DataFrame], name: str = "derived", key: Sequence[str] = ("path",)) -> DataFrame:
+    """The derived rows of files (listing: key, mtime and what derive needs), where only new and changed files are derived.
 
-    derive gives rows with path. What is held of a file counts as long as its path and mtime are the same; files that are
-    no longer listed go. A path that is listed twice counts with its latest mtime. The result is a new version of root.
+    derive gives rows with key. What is held of a file counts as long as its key and mtime are the same; files that are no
+    longer listed go. A key that is listed twice counts with its latest mtime. The result is a new version of root.
     """
-    latest = listing.groupBy("path").agg(F.max_by(F.struct(*[c for c in listing.columns if c != "path"]), "mtime").alias("l")).select("path", "l.*")
+    own = [*key, "mtime"]
+    latest = listing.groupBy(*key).agg(F.max_by(F.struct(*[c for c in listing.columns if c not in key]), "mtime").alias("l")).select(*key, "l.*")
     if manifest(spark, root) is None:
         held, due = None, latest
     else:
-        held = current(spark, root, name).join(latest.select("path", "mtime"), ["path", "mtime"], "left_semi")
-        done = current(spark, root, "files").join(latest.select("path", "mtime"), ["path", "mtime"], "left_semi")
-        due = latest.join(done, ["path", "mtime"], "left_anti")
-    new = derive(due).join(due.select("path", "mtime"), "path")
-    publish(spark, root, {name: new if held is None else held.unionByName(new), "files": latest.select("path", "mtime")})
+        held = current(spark, root, name).join(latest.select(*own), own, "left_semi")
+        done = current(spark, root, "files").join(latest.select(*own), own, "left_semi")
+        due = latest.join(done, own, "left_anti")
+    new = derive(due).join(due.select(*own), list(key))
+    publish(spark, root, {name: new if held is None else held.unionByName(new), "files": latest.select(*own)})
     return current(spark, root, name)

@@ -44,6 +44,30 @@ def test_precedence(spark):
     assert intake.import_plan(spark.createDataFrame([], ITEMS), spark.createDataFrame([], "path string, out string")).count() == 0
 
 
+def test_equal_paths_have_answers_of_their_own(spark):
+    good = lambda t: json.dumps({"title": t, "category_slug": "c"})
+    files = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q")], "ord int, path string")
+    answers = spark.createDataFrame([(1, "p", "no JSON"), (2, "p", good("Two")), (3, "q", "")], "ord int, path string, out string")
+    got = sorted(map(tuple, intake.import_preview(files, answers, "ord").collect()))
+    assert got == [("p", False, "inbox", None), ("p", True, "c", "Two"), ("q", False, "inbox", None)]
+
+
+def test_useless_answers_of_a_path_count_for_nothing(spark):
+    items = spark.createDataFrame([(1, "/p.pdf", "", None, None, None, None), (2, "/q.pdf", "", None, None, None, None)], ITEMS)
+    answers = [("/p.pdf", "no JSON"), ("/p.pdf", json.dumps({"title": "T", "category_slug": "c"})), ("/q.pdf", ""), ("/q.pdf", None)]
+    got = sorted(intake.import_plan(items, spark.createDataFrame(answers, "path string, out string")).select("path", "title", "slug", "classified").collect())
+    assert list(map(tuple, got)) == [("/p.pdf", "T", "t", True), ("/q.pdf", "q", "q", False)]
+
+
+def test_files_of_a_path_are_told_apart(spark, tmp_path):
+    listing = lambda rows: spark.createDataFrame(rows, "path string, n int, mtime int, text string")
+    derive = lambda run: lambda due: due.select("path", "n", F.lit(run).alias("run"), F.length("text").alias("size"))
+    key = ["path", "n"]
+    versions.memoised(spark, str(tmp_path / "m"), listing([("a", 1, 1, "x"), ("a", 2, 1, "yy"), ("b", 3, 1, "")]), derive("first"), key=key)
+    got = versions.memoised(spark, str(tmp_path / "m"), listing([("a", 2, 1, "yy"), ("b", 3, 2, "zzz")]), derive("second"), key=key)
+    assert sorted(map(tuple, got.select("path", "n", "mtime", "run", "size").collect())) == [("a", 2, 1, "first", 2), ("b", 3, 2, "second", 3)]
+
+
 def test_merged_lookup(spark):
     record = "key string, ord int, doi string, cited_by int, title string"
     first = spark.createDataFrame([("a", 0, "10.1/A", None, "A"), ("a", 1, "10.1/other", 1, "later"), ("b", 0, "", 3, "B"), ("e", 0, "10.1/e", 5, "E")], record)
