@@ -55,6 +55,11 @@ ROWS_AT_ONCE, QUESTIONS_AT_ONCE = 4096, 1024
 MOST_HELD = 1 << 20
 
 
+def most_held(k: int, questions: int) -> int:
+    """At least twice what stays, so that the best aren't sought anew after each row where there are many questions."""
+    return max(MOST_HELD, 2 * k * questions)
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -149,7 +154,8 @@ def text_search(texts: DataFrame, questions: DataFrame, k: int, k1: float = 1.2,
 
     texts: id, text. questions: query_id, terms. All terms are looked for together in one walk over a text (Aho-Corasick,
     of the package ahocorasick); two passes over the texts, one that finds in how many each term is, one that scores, do for
-    BLOCK questions. A task gives on k texts a question. A null text is empty; a question without terms of three
+    BLOCK questions. A text's scores for all questions are sums of its terms' weights, and what a task's k best so far leave
+    out goes at once. A task gives on k texts a question. A null text is empty; a question without terms of three
     characters has no rows.
     """
     low = texts.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
@@ -196,6 +202,13 @@ def _scored_block(low: DataFrame, names: np.ndarray, asked: list[list[str]], pla
     first = np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1))
     by_term = pairs[:, 1]
 
+    # Each question's terms in order, a column a question; where there are fewer, one that no text has.
+    width = max(len(own) for own in asked)
+    wanted = np.full((width, len(asked)), len(terms))
+    for q, own in enumerate(asked):
+        wanted[: len(own), q] = sorted(place[t] for t in own)
+    room = most_held(k, len(asked))
+
     def best(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
         q, ids, score = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((ids, -score, q))
@@ -205,21 +218,35 @@ def _scored_block(low: DataFrame, names: np.ndarray, asked: list[list[str]], pla
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, found, size = _finder(terms), [], 0
+        weight, every = np.zeros(len(terms) + 1), np.arange(len(asked))
+        least = np.full(len(asked), -np.inf)  # what a score must reach to be among this task's k best so far
         for batch in batches:
             for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 hits = [i for _, i in held.iter(text)]
                 if not hits:
                     continue
                 t, tf = np.unique(hits, return_counts=True)
-                weight = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * max(len(text) - 2, 0) / mean))
-                reach = first[t + 1] - first[t]
-                q = np.concatenate([by_term[first[i] : first[i + 1]] for i in t])
-                q, at = np.unique(q, return_inverse=True)
-                found.append((q, np.full(len(q), id_), np.round(np.bincount(at, np.repeat(weight, reach)), DIGITS)))
+                weight[t] = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * max(len(text) - 2, 0) / mean))
+                q = every
+                if 8 * (first[t + 1] - first[t]).sum() < len(every):
+                    q = np.unique(np.concatenate([by_term[first[i] : first[i + 1]] for i in t]))
+                own = wanted if q is every else wanted[:, q]
+                score = weight[own[0]]
+                for line in own[1:]:
+                    score += weight[line]
+                weight[t] = 0.0
+                some = np.flatnonzero((score > 0) & (score >= least[q] - 10.0**-DIGITS))
+                q, score = q[some], np.round(score[some], DIGITS)
+                some = score >= least[q]
+                q, score = q[some], score[some]
+                found.append((q, np.full(len(q), id_), score))
                 size += len(q)
-                if size > MOST_HELD:
+                if size > room:
                     found = [best(found)]
                     size = len(found[0][0])
+                    q, at, n = np.unique(found[0][0], return_index=True, return_counts=True)
+                    full = n == k
+                    least[q[full]] = found[0][2][at[full] + k - 1]
         if found:
             q, ids, score = best(found)
             for at in range(0, len(q), ROWS_AT_ONCE):

@@ -148,3 +148,23 @@ def test_context_of_hits(spark):
     hits = spark.createDataFrame([(1, 1), (1, 3), (2, 6), (2, 99)], "query_id long, id long")
     got = {(r["query_id"], r["id"]): r["context"] for r in with_context(hits, texts).collect()}
     assert got == {(1, 1): "t0\nt1\nt2", (1, 3): "t3", (2, 6): "t5\nt6", (2, 99): None}
+
+
+def test_many_questions_of_texts(spark):
+    """Whatever a task has kept so far, equal scores and questions of many terms or none: as bm25() gives it for each."""
+    words = ["alpha", "beta", "gamma", "delta", "alphabet", "eps", "ta "]
+    rows = [(i, " ".join(words[(i * (j + 3)) % 7] for j in range(i % 9))) for i in range(300)]
+    texts = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    asked = [(q, [words[q % 7], words[(q * q) % 7], "ALPHA"][: q % 4]) for q in range(12)]
+    got = {}
+    for r in retrieval.text_search(texts, spark.createDataFrame(asked, "query_id long, terms array<string>"), 5).collect():
+        got.setdefault(r.query_id, []).append((r.pos, r.id, r.score))
+    for q, terms in asked:
+        scored = retrieval.bm25(texts, ["text"], terms, "id").collect() if terms else []
+        want = sorted(((-r.score, r.id) for r in scored))[:5]
+        assert [(i, x[1], -x[0]) for i, x in enumerate(want)] == sorted(got.get(q, []))
+
+
+def test_room_for_twice_what_stays():
+    """65536 questions keep 50 each, 3.3 million scores: with room for a million, each further row had them all put in order."""
+    assert all(retrieval.most_held(50, n) >= 100 * n for n in (1, 20_000, retrieval.BLOCK))
