@@ -1,8 +1,9 @@
 """From placed runs of text to reading order, reference lists, rectangles and matches: column expressions, windows, joins.
 
 A run is what a page's text layer holds: doc_id, page, ord, str, x, y (from the bottom), w, h, page_w, page_h. A page is
-one group, as it is one sheet; documents are never groups of Python code. Empty tables give empty results. Null texts are
-empty, null places are 0.
+one group, as it is one sheet; documents are never groups of Python code. Who has pages with arrays of their runs (doc_id,
+page, page_w, page_h, runs) gives those to lines_of(), prompts_of() and rects_of(), and nothing is exchanged; a table of
+runs is gathered to such pages first. Empty tables give empty results. Null texts are empty, null places are 0.
 """
 
 from __future__ import annotations
@@ -15,12 +16,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions.arrays import divided_at
 from lectern.functions.text import bound, full_width
+from lectern.operators.pages import ROW_LEAST, lines_of, places_of
 
-# What counts as one visual row, a gap between columns, a gap between words, and the right column.
-ROW_LEAST, ROW_SHARE = 2.0, 0.5
-GAP_LEAST, GAP_SHARE = 2.0, 0.012
-WORD_LEAST, WORD_SHARE = 1.0, 0.2
-MIDDLE, LEAST_OF_COLUMN = 0.45, 3
 # What a reference list looks like.
 HEADINGS = ["references", "reference", "bibliography", "参考文献"]
 BRACKETED = r"^[\[(]\s*(\d{1,4})\s*[\])]\s*(.*)$"
@@ -49,22 +46,14 @@ def anchored_rows(runs: Column, alike: Callable[[Column, Column], Column]) -> Co
     return divided_at(runs, starts)
 
 
-def _segments(row: Column, page_w: Column) -> Column:
-    """A row's runs from left to right, cut where a gap is as wide as between columns: text, y and x0 of each segment."""
-    runs = F.array_sort(F.transform(row, lambda r, i: F.struct(r["x"].alias("x"), i.alias("i"), r.alias("r"))))
-    gap = lambda all_, i: F.get(all_, i)["x"] - (F.get(all_, i - 1)["x"] + F.get(all_, i - 1)["r"]["w"])
-    limit = F.greatest(F.lit(GAP_LEAST), page_w * GAP_SHARE)
-
-    def cut(all_: Column) -> Column:
-        starts = F.filter(F.transform(all_, lambda r, i: F.when((i == 0) | (gap(all_, i) > limit), i + 1)), lambda s: s.isNotNull())
-        return divided_at(all_, starts)
-
-    def text(seg: Column) -> Column:
-        wide = lambda i: gap(seg, i) > F.greatest(F.lit(WORD_LEAST), F.get(seg, i - 1)["r"]["h"] * WORD_SHARE)
-        apart = lambda r, i: (i > 0) & wide(i) & ~F.get(seg, i - 1)["r"]["str"].rlike(r"\s$") & ~r["r"]["str"].rlike(r"^\s")
-        return F.trim(F.regexp_replace(F.array_join(F.transform(seg, lambda r, i: F.concat(F.when(apart(r, i), " ").otherwise(""), r["r"]["str"])), ""), r"\s+", " "))
-
-    return F.transform(bound(runs, cut), lambda seg: F.struct(text(seg).alias("text"), F.get(seg, 0)["r"]["y"].alias("y"), F.get(seg, 0)["x"].alias("x0")))
+def gathered(runs: DataFrame) -> DataFrame:
+    """doc_id, page, page_w, page_h, runs of a table of runs: its pages, each with an array of its runs."""
+    has = lambda *names: [c for c in names if c in runs.columns]
+    sizes = has("page_w", "page_h")
+    eol = [F.coalesce(c, F.lit(False)).alias(c) for c in has("eol")]
+    run = F.struct("ord", F.coalesce("str", F.lit("")).alias("str"), *map(_number, has("x", "y", "w", "h")), *eol)
+    known = runs.select("doc_id", "page", *map(_number, sizes), run.alias("r"))
+    return known.groupBy("doc_id", "page").agg(*[F.max(c).alias(c) for c in sizes], F.array_sort(F.collect_list("r")).alias("runs"))
 
 
 def page_lines(runs: DataFrame) -> DataFrame:
@@ -74,23 +63,8 @@ def page_lines(runs: DataFrame) -> DataFrame:
     cut at the gap between columns, and where both sides have some segments the left side is read before the right. Of
     runs at the same place the first by ord comes first. Blank runs and watermarks are left out.
     """
-    near = lambda a, r: F.abs(r["y"] - a["y"]) <= F.greatest(F.lit(ROW_LEAST), F.greatest(a["h"], r["h"]) * ROW_SHARE)
-    known = runs.select("doc_id", "page", "ord", F.coalesce("str", F.lit("")).alias("str"), *map(_number, ("x", "y", "w", "h", "page_w")))
-    known = known.where((F.regexp_replace("str", r"\s+", "") != "") & ~F.col("str").rlike(WATERMARK_RUN))
-    placed = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "ord", "y", "w", "h", "str")))
-    pages = known.groupBy("doc_id", "page").agg(F.max("page_w").alias("page_w"), placed.alias("runs"))
-    segs = F.flatten(F.transform(anchored_rows(F.col("runs"), near), lambda row: _segments(row, F.col("page_w"))))
-    segs = F.filter(segs, lambda s: s["text"] != "")
-
-    def ordered(s: Column) -> Column:
-        right = lambda x: x["x0"] >= F.col("page_w") * MIDDLE
-        two = (F.size(F.filter(s, right)) >= LEAST_OF_COLUMN) & (F.size(F.filter(s, lambda x: ~right(x))) >= LEAST_OF_COLUMN)
-        key = lambda x, i: F.struct(F.when(two & right(x), 1).otherwise(0).alias("side"), (-x["y"]).alias("down"), i.alias("i"), x["text"].alias("text"), x["x0"].alias("x0"), F.when(right(x), 1).otherwise(0).alias("col"))
-        return F.array_sort(F.transform(s, key))
-
-    # The outer form, as the other makes the optimiser ask for the arrays' sizes first, which computes them twice.
-    pages = pages.select("doc_id", "page", "page_w", F.posexplode_outer(bound(segs, ordered)).alias("at", "s")).where("s IS NOT NULL")
-    return pages.select("doc_id", "page", (F.col("at") + 1).alias("line"), "s.text", "s.x0", "s.col", "page_w")
+    said = F.coalesce("str", F.lit(""))
+    return lines_of(gathered(runs.where((F.regexp_replace(said, r"\s+", "") != "") & ~said.rlike(WATERMARK_RUN))))
 
 
 # Where a page's margins are.
@@ -106,11 +80,17 @@ def without_margin_junk(runs: DataFrame) -> DataFrame:
     return runs.where(~F.coalesce(junk, F.lit(False)))
 
 
+def prompts_of(pages: DataFrame) -> DataFrame:
+    """doc_id, page, text of pages (whose runs have eol): their runs as they come, a line end where one says so, no blanks
+    before it."""
+    piece = lambda r: F.concat(F.coalesce(r["str"], F.lit("")), F.when(F.coalesce(r["eol"], F.lit(False)), "\n").otherwise(""))
+    joined = F.array_join(F.transform(F.array_sort(F.transform("runs", lambda r: F.struct(r["ord"].alias("ord"), piece(r).alias("t")))), lambda r: r["t"]), "")
+    return pages.select("doc_id", "page", F.regexp_replace(joined, "[ \t]+\n", "\n").alias("text"))
+
+
 def prompt_text(runs: DataFrame) -> DataFrame:
-    """doc_id, page, text of runs (with eol): a page's runs as they come, a line end where one says so, no blanks before it."""
-    piece = F.concat(F.coalesce("str", F.lit("")), F.when(F.coalesce("eol", F.lit(False)), "\n").otherwise(""))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", piece.alias("t")))), lambda r: r["t"]), "")
-    return runs.groupBy("doc_id", "page").agg(F.regexp_replace(joined, "[ \t]+\n", "\n").alias("text"))
+    """As prompts_of(), of a table of runs."""
+    return prompts_of(gathered(runs.select("doc_id", "page", "ord", "str", "eol")))
 
 
 # ---- Reference lists ------------------------------------------------------------------------------------------------
@@ -236,55 +216,28 @@ def reference_entries(lines: DataFrame) -> DataFrame:
 # ---- Matches and rectangles -----------------------------------------------------------------------------------------
 
 
-def page_text(runs: DataFrame, share: float = 0.6) -> DataFrame:
-    """doc_id, page, text (lower case), page_w, page_h, runs (with start and end in text): a page's runs in their order,
-    with a line end where the next is higher or lower by a share of its height, or where a run says so (eol)."""
-    known = runs.select("doc_id", "page", "ord", F.coalesce("str", F.lit("")).alias("str"), *map(_number, ("x", "y", "w", "h", "page_w", "page_h")), F.coalesce("eol", F.lit(False)).alias("eol"))
-    by_page = W.partitionBy("doc_id", "page").orderBy("ord")
-    jump = F.coalesce(F.abs(F.col("y") - F.lag("y").over(by_page)) > F.greatest("h", F.lit(2.0)) * share, F.lit(False))
-    known = known.select("*", F.concat(F.when(jump, "\n").otherwise(""), F.lower("str"), F.when(F.col("eol"), "\n").otherwise("")).alias("piece"), jump.cast("int").alias("lead"))
-    known = known.select("*", (F.sum(F.length("piece")).over(by_page.rowsBetween(W.unboundedPreceding, 0)) - F.length("piece") + F.col("lead")).alias("start"))
-    placed = F.struct("ord", "piece", F.struct("ord", "start", (F.col("start") + F.length(F.lower("str"))).alias("end"), "x", "y", "w", "h").alias("r"))
-    pages = known.groupBy("doc_id", "page").agg(F.max("page_w").alias("page_w"), F.max("page_h").alias("page_h"), F.array_sort(F.collect_list(placed)).alias("p"))
-    return pages.select("doc_id", "page", F.array_join(F.transform("p", lambda p: p["piece"]), "").alias("text"), "page_w", "page_h", F.transform("p", lambda p: p["r"]).alias("runs"))
-
+def rects_of(pages: DataFrame, needle: str) -> DataFrame:
+    """doc_id, page, hit (from 1 on its page), ord, x, y, w, h of each run's part of each match, as shares of the page.
 
-def match_places(pages: DataFrame, needle: str) -> DataFrame:
-    """doc_id, page, start, end of each place of needle in text (lower case); places may overlap. An empty needle has none."""
+    A page's text is its runs in their order, lower case, with a line end where the next is higher or lower by a share of
+    its height, or where a run says so (eol). Matches may overlap; an empty needle has none. A part is as wide as its
+    characters' share of the run.
+    """
     low = needle.lower()
-    if not low:
-        return pages.select("doc_id", "page", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).limit(0)
-    here = "(?=" + "".join(f"\\x{{{ord(c):x}}}" for c in low) + ")"
-    # The text is divided before each place; so places are running sums of the parts' lengths. A place at the very start
-    # divides nothing off.
-    parts = pages.where(F.contains("text", F.lit(low))).select("doc_id", "page", F.startswith("text", F.lit(low)).alias("at_start"), F.posexplode_outer(F.split("text", here, -1)).alias("i", "part"))
-    upto = F.sum(F.length("part")).over(W.partitionBy("doc_id", "page").orderBy("i").rowsBetween(W.unboundedPreceding, 0)) - F.length("part")
-    found = parts.select("doc_id", "page", "i", "at_start", upto.cast("long").alias("start")).where("i > 0 OR at_start")
-    return found.select("doc_id", "page", "start", (F.col("start") + len(low)).alias("end"))
+    # Lower case in Spark, as it is elsewhere; the order is that of ord, then of the text.
+    run = lambda r: F.struct(r["ord"].alias("ord"), F.lower(F.coalesce(r["str"], F.lit(""))).alias("low"), *[r[c].alias(c) for c in ("x", "y", "w", "h", "eol")])
+    known = pages.select("doc_id", "page", "page_w", "page_h", F.array_sort(F.transform("runs", run)).alias("runs"))
+    met = places_of(known if low else known.where("false"), low or " ")
+    part = lambda c: F.col("w") * F.col(c) / F.col("n")
+    return met.select(
+        "doc_id", "page", "hit", "ord", ((F.col("x") + part("left")) / F.col("page_w")).alias("x"), (1 - (F.col("y") + F.col("h") * 0.85) / F.col("page_h")).alias("y"),
+        (part("size") / F.col("page_w")).alias("w"), (F.col("h") * 1.12 / F.col("page_h")).alias("h"),
+    )
 
 
 def find_rects(runs: DataFrame, needle: str, width: int = 256) -> DataFrame:
-    """doc_id, page, hit (from 1 on its page), x, y, w, h of each run's part of each match, as shares of the page.
-
-    Ranges of matches and of runs meet by buckets of width characters: a run is in few, a match in one or two, so a page
-    costs its matches and its runs, not their product. A part is as wide as its characters' share of the run.
-    """
-    pages = page_text(runs)
-    hits = match_places(pages, needle)
-    hits = hits.select("*", F.row_number().over(W.partitionBy("doc_id", "page").orderBy("start")).alias("hit"))
-    spread = lambda df: df.select("*", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("bucket"))
-    own = pages.select("doc_id", "page", "page_w", "page_h", F.explode("runs").alias("r")).select("doc_id", "page", "page_w", "page_h", "r.*").where("end > start")
-    a, b = spread(hits).alias("a"), spread(own).alias("b")
-    first = F.greatest(F.floor(F.col("a.start") / width), F.floor(F.col("b.start") / width))  # of the buckets that both are in
-    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("doc_id", "page", "bucket")])
-    met = met.where((F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")) & (F.col("a.bucket") == first))
-    n = F.col("b.end") - F.col("b.start")
-    left = F.greatest("a.start", "b.start") - F.col("b.start")
-    size = F.least("a.end", "b.end") - F.greatest("a.start", "b.start")
-    return met.select(
-        "a.doc_id", "a.page", "a.hit", F.col("b.ord").alias("ord"), ((F.col("b.x") + F.col("b.w") * left / n) / F.col("page_w")).alias("x"), (1 - (F.col("b.y") + F.col("b.h") * 0.85) / F.col("page_h")).alias("y"),
-        (F.col("b.w") * size / n / F.col("page_w")).alias("w"), (F.col("b.h") * 1.12 / F.col("page_h")).alias("h"),
-    )
+    """As rects_of(), of a table of runs. width is left for callers and changes nothing: pages are no longer cut."""
+    return rects_of(gathered(runs), needle)
 
 
 def hits_by_page(rects: DataFrame, current: Column | None = None) -> DataFrame:
