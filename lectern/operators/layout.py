@@ -107,24 +107,27 @@ def is_heading(text: Column) -> Column:
 
 
 def _after_heading(lines: DataFrame) -> DataFrame:
-    """The lines (with text in one form) behind each document's last heading, and what each looks like by itself."""
+    """The lines (with text in one form) behind each document's last heading, and what each looks like by itself.
+
+    The first window puts a document's lines in order; all windows behind it, here and in those who call this, take a
+    document or a page in that order, so lines are sorted once and no task holds them several times."""
     place = F.struct("page", "line")
     known = lines.select("doc_id", "page", "line", F.coalesce("text", F.lit("")).alias("given"), _number("x0"), F.coalesce("col", F.lit(0)).alias("col"), _number("page_w"))
-    last = F.max(F.when(is_heading(F.col("given")), place)).over(W.partitionBy("doc_id"))
+    last = F.max(F.when(is_heading(F.col("given")), place)).over(W.partitionBy("doc_id").orderBy("page", "line").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     raw = F.trim(F.regexp_replace(full_width(F.col("given")), r"\s+", " "))
     known = known.select("*", last.alias("heading"), raw.alias("raw")).where(place > F.col("heading")).drop("heading")
     key = line_key(F.col("given"))
     junk = F.trim(F.col("given")).rlike(r"^\d{1,4}$") | key.startswith(WATERMARKS[0]) | key.startswith(WATERMARKS[1])
     number = lambda p: F.nullif(F.regexp_extract("raw", p, 1), F.lit(""))
     found = F.coalesce(number(BRACKETED), number(DOTTED)).cast("int")
-    rest = F.trim(F.when(F.col("raw").rlike(BRACKETED), F.regexp_extract("raw", BRACKETED, 2)).otherwise(F.regexp_extract("raw", DOTTED, 2)))
-    return known.select("*", junk.alias("junk"), key.alias("key"), found.alias("number"), rest.alias("rest"), F.greatest(F.lit(INDENT_LEAST), F.col("page_w") * INDENT_SHARE).alias("slack"))
+    return known.select("*", junk.alias("junk"), found.alias("number"), F.greatest(F.lit(INDENT_LEAST), F.col("page_w") * INDENT_SHARE).alias("slack"))
 
 
 def _edge(of: Column | None = None) -> Column:
-    """The least left edge in a page's column, of all lines or of some."""
+    """The least left edge in a page's column (0, or another), of all lines or of some."""
     x = F.col("x0") if of is None else F.when(of, F.col("x0"))
-    return F.min(x).over(W.partitionBy("doc_id", "page", "col"))
+    left, page = F.col("col") == 0, W.partitionBy("doc_id", "page")
+    return F.when(left, F.min(F.when(left, x)).over(page)).otherwise(F.min(F.when(~left, x)).over(page))
 
 
 def _gated(region: DataFrame) -> DataFrame:
@@ -190,8 +193,10 @@ def entry_lines(lines: DataFrame) -> DataFrame:
     kept = kept.select("*", F.when(numbered, by_number).otherwise(by_name).alias("opens"))
     kept = kept.select("*", F.count_if("opens").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int").alias("entry")).where("entry > 0")
     num = F.when(F.col("opens"), F.when(numbered, F.col("number")).otherwise(F.col("entry")))
-    kept = kept.select("*", F.max(num).over(W.partitionBy("doc_id", "entry")).alias("num"))
-    return kept.select("doc_id", "entry", "num", "opens", "page", "line", "raw", F.when(F.col("opens") & numbered, F.col("rest")).otherwise(F.col("raw")).alias("rest"), "key")
+    kept = kept.select("*", F.last(num, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("num"))
+    # Only lines of entries are taken apart, and behind all windows, which would carry the parts.
+    rest = F.trim(F.when(F.col("raw").rlike(BRACKETED), F.regexp_extract("raw", BRACKETED, 2)).otherwise(F.regexp_extract("raw", DOTTED, 2)))
+    return kept.select("doc_id", "entry", "num", "opens", "page", "line", "raw", F.when(F.col("opens") & numbered, rest).otherwise(F.col("raw")).alias("rest"), line_key(F.col("given")).alias("key"))
 
 
 def _joined(parts: Column) -> Column:

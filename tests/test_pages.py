@@ -28,3 +28,12 @@ def test_pages_of_any_kind(spark):
     got = P.lines_of(df).orderBy("doc_id", "page").collect()
     assert (got[0]["doc_id"], got[0]["text"]) == (1, "ab") and len(got) == P.TOGETHER + 2
     assert P.places_of(df, "b").count() == P.TOGETHER + 2
+
+
+@pytest.mark.parametrize("name", ["reference_lists", "bibliography_pages"])
+def test_lines_are_sorted_once(spark, name):
+    """A task held a document's lines once for each of many sorts."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    windows = plan[plan.index("Window") :]
+    assert sum("Sort [doc_id" in line and "line" in line for line in windows.splitlines()) == 1 and "page#" in plan
+    assert sum("Sort [" in line for line in windows.splitlines()) == 1
