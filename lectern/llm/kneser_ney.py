@@ -51,7 +51,7 @@ class Layout:
     chunk_bytes: int
 
 
-def layout(docs: DataFrame, text: str, rounds: int = 6, turns: int = 4, chunk_bytes: int = 6_000_000, shard_pairs: int = 1_000_000) -> Layout:
+def layout(docs: DataFrame, text: str, rounds: int = 4, turns: int = 2, chunk_bytes: int = 6_000_000, shard_pairs: int = 1_000_000) -> Layout:
     chars = int(docs.agg(F.coalesce(F.sum(F.length(F.col(f"`{text}`"))), F.lit(0))).first()[0])
     words = chars // 6
     return Layout(rounds, turns, max(1, -(-words // (rounds * shard_pairs))), max(1, words // 4_000_000), min(64, (chars // 2).bit_length() + 20), chunk_bytes)
@@ -270,8 +270,10 @@ def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[tuple
             b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most_bytes, "right")))
             part = batch.slice(a, b - a)
             digest = hashlib.blake2b(f"{TaskContext.get().partitionId()} {n}".encode(), digest_size=8)
-            for t in part.column(0).to_pylist():
-                digest.update(b"\xff" if t is None else t.encode())
+            texts = pa.compute.fill_null(part.column(0), "").cast(pa.large_string())
+            edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            digest.update(edges - edges[0])
+            digest.update(memoryview(texts.buffers()[2] or b"")[edges[0] : edges[-1]])
             yield int.from_bytes(digest.digest(), "little", signed=True), part
             a, n = b, n + 1
 
