@@ -89,13 +89,6 @@ def bands(best: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def planes(best: np.ndarray, bits: int = 4) -> np.ndarray:
-    """Some bits of each component's hash, as bit planes: bits x (components / 64) words for each text. Two texts' planes
-    differ in no plane where the components agree; where they don't, all bits agree by chance 1 time in 2 ** bits."""
-    mixed = mix(mix(best.view(np.uint64)))
-    return np.concatenate([np.packbits((mixed >> np.uint64(j) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for j in range(bits)], axis=1)
-
-
 def overlap(pairs: int, a: tuple, b: tuple) -> np.ndarray:
     """Weighted Jaccard similarity of bag a[i] and bag b[i], each as shingle_bags gives them; 0 where both are empty."""
     doc = np.concatenate([a[0], b[0]])
